@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """Cut Arrow batches so that ``column`` holds about ``limit`` bytes in each."""
     for batch in batches:
         rows, size, begin = batch.column(column), 0, 0
-        for k, x in enumerate(pa.compute.binary_length(rows).to_pylist()):
+        for k, x in enumerate(pc.binary_length(rows).to_pylist()):
             size += x or 0
             if size >= limit:
                 yield batch.slice(begin, k + 1 - begin)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import simhash
+from tilewright.llm import langid, pieces, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,28 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def learnable(docs: DataFrame) -> DataFrame:
+    """The documents whose language may be learned from: two thirds, by CRC of the id."""
+    return docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by Kneser-Ney character models learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(learnable(docs)))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the public 32k BPE pieces, and the ids decoded again."""
+    return pieces.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_language_id": op2_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
