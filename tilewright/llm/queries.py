@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import langid, pieces, simhash
+from tilewright.llm import langid, mixing, pieces, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +38,80 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix of the sources at 5 : 2 : 1, repeating, takes."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP5_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents),
+own AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+ordered AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS whole,
+         coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
+         sum(weight) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM own),
+levels AS (SELECT *, (whole - before) / open_weight AS own_level FROM ordered),
+level AS (SELECT arg_min(own_level, before) AS level FROM levels WHERE weight * own_level <= cap),
+plan AS (
+  SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target
+  FROM levels, level),
+budget AS (SELECT *, floor(target + 0.5)::BIGINT AS budget FROM plan),
+split AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM budget),
+run AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs, p.budget - p.epochs * p.source_size AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS UNBOUNDED PRECEDING) - d.size AS ahead
+  FROM sized d JOIN split p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken
+FROM run
+"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 16 and slot, the sources interleaved in proportion."""
+    return sharding.shard(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP10_SQL = """
+WITH crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n::BIGINT, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) r(n))),
+rows_ AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, hex(encode(coalesce(text, ''))) AS h,
+         md5('shard:' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents),
+crc AS (
+  SELECT *, xor(list_reduce(
+      list_transform(range(size - 1), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT),
+      lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM rows_, crc_table),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, text_crc32, size) - 1 AS place, count(*) OVER (PARTITION BY source) AS n_source, count(*) OVER () AS n
+  FROM crc),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * place + 1)::DOUBLE / (2 * n_source)::DOUBLE, source ASC NULLS LAST) - 1 AS rank FROM placed),
+cut AS (SELECT *, (rank * 16 // n)::INT AS shard FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY rank) - 1 AS slot, NULL::INT AS grown_shard
+FROM cut
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
+    "op5_mixing": op5_mixing,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_sharding": op10_sharding,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+    "op10_sharding": OP10_SQL,
+}
