@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import langid, mixing, pieces, sharding, simhash
+from tilewright.llm import langid, mixing, pieces, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,37 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules of every document and the verdict on its host (its source)."""
+    found = quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_words", *quality.COUNTS[1:], "base_failed", "kept")
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, text, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
+windows AS (
+  SELECT doc_id, i, word AS a, lead(word, 1) OVER d AS b, lead(word, 2) OVER d AS c FROM flat WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+often AS (SELECT doc_id, i FROM windows WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) s(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM words w LEFT JOIN dup d ON w.doc_id = d.doc_id LEFT JOIN covered c ON w.doc_id = c.doc_id),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS n_docs, sum(base_failed::INT) AS n_failed FROM failed GROUP BY source),
+moments AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(n_docs) AS size FROM hosts),
+prior AS (SELECT m, CASE WHEN v > 1e-12 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE size END AS strength FROM moments),
+rates AS (SELECT source, (n_failed + m * strength) / (n_docs + strength) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+FROM failed f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the public 32k BPE pieces, and the ids decoded again."""
     return pieces.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -106,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op5_mixing": op5_mixing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
 }
@@ -113,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
     "op5_mixing": OP5_SQL,
+    "op8_quality_rules": OP8_SQL,
     "op10_sharding": OP10_SQL,
 }
