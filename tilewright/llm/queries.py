@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import langid, mixing, pieces, quality, sharding, simhash
+from tilewright.llm import avi, langid, mixing, pieces, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as motion-JPEG AVI and read back; the feature counts frames, shots and their lengths."""
+    found = avi.decode_media(avi.encode_media(table(spark, sf_dir, "documents")))
+    feature = F.format_string(
+        "frames=%d shots=%d clips=%s sha=%s", "frames", F.size("clips"), F.concat_ws(",", F.transform("clips", lambda c: c["frames"].cast("string"))),
+        F.substring(F.sha2(F.concat_ws(",", F.transform("clips", lambda c: c["sha256"])), 256), 1, 16),
+    )
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules of every document and the verdict on its host (its source)."""
     found = quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -137,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op5_mixing": op5_mixing,
+    "op7_media_columns": op7_media_columns,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
