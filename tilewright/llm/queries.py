@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import avi, langid, mixing, pieces, quality, sharding, simhash
+from tilewright.llm import avi, langid, mixing, pieces, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+OP6_SQL = """
+WITH alphabet AS (SELECT string_split('A B C D E F G H I J K L M N O P Q R S T U V W X Y Z 2 3 4 5 6 7', ' ') AS a),
+paid AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS h FROM paid),
+first AS (SELECT h, min(page_id) AS first FROM hashed GROUP BY h),
+coded AS (
+  SELECT page_id, payload_bytes, h,
+         list_aggregate(list_transform(range(32), lambda i: a[((('0x' || substr(h || '0000', (i * 5 // 8 * 2 + 1)::INT, 4))::BIGINT >> (11 - i * 5 % 8)::INT) & 31) + 1]), 'string_agg', '') AS payload_digest
+  FROM hashed, alphabet)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM coded JOIN first USING (h)
+"""
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as motion-JPEG AVI and read back; the feature counts frames, shots and their lengths."""
     found = avi.decode_media(avi.encode_media(table(spark, sf_dir, "documents")))
@@ -147,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_media_columns": op7_media_columns,
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
@@ -156,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
     "op5_mixing": OP5_SQL,
+    "op6_warc": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_sharding": OP10_SQL,
 }
