@@ -1,8 +1,67 @@
-"""The corpus pipeline: language ID, near-dedup, PII surrogates, mixing, tokenisation."""
+"""The corpus pipeline: language ID, near-dedup, PII surrogates, mixing, tokenisation.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
+Parquet in the shared folder and reads it back as the next stage's ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.llm import langid, mixing, pieces, pii, simhash
+from tilewright.llm.common import staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found, learned from the labelled ones; rejected ones go."""
+    found = langid.identify(docs, langid.train(docs), keep=COLUMNS)
+    return found.where("NOT rejected").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least id, of each group of near copies: words of five, 0.8 alike.
+
+    Links are fingerprints of five-word shingles at 4 bits or fewer, the operator's radius.
+    """
+    return simhash.keep_one(docs, shingle=5).select(*COLUMNS)
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets replaced; ``n_chars`` follows the text."""
+    found = pii.surrogates(docs, keep=COLUMNS)
+    return found.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed 5 : 2 : 1, repeating, to 150 % of all words; repeats are rows."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's SentencePiece ids, counted and hashed, and the text decoded from them."""
+    return pieces.round_trip(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("PII surrogates", pii_surrogates),
+    ("mixing", mix_sources),
+    ("SentencePiece", tokenize),
+]
+
+#: Kneser-Ney models, XXH64 fingerprints and byte-pair merges aren't SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = staged(docs, f"stage{k}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import avi, langid, mixing, pieces, quality, sharding, simhash, warc
+from tilewright.llm import avi, langid, mixing, pieces, pii, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced by surrogates."""
+    found = pii.surrogates(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a mix of the sources at 5 : 2 : 1, repeating, takes."""
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -166,6 +173,7 @@ FROM cut
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_media_columns": op7_media_columns,
