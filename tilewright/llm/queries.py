@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import avi, langid, mixing, pieces, pii, quality, sharding, simhash, warc
+from tilewright.llm import avi, langid, licences, mixing, pieces, pii, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,12 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document, by line."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.array_join("licences", ",").alias("licences"), "n_lines")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a mix of the sources at 5 : 2 : 1, repeating, takes."""
     return mixing.mixed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -174,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_licence_scan": op4_licence_scan,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_media_columns": op7_media_columns,
