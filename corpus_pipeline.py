@@ -24,9 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of near copies: words of five, 0.8 alike.
 
-    Links are fingerprints of five-word shingles at 4 bits or fewer, the operator's radius.
+    Fingerprints of 256 bits over five-word shingles, found by meeting balls in bands of them.
     """
-    return simhash.keep_one(docs, shingle=5).select(*COLUMNS)
+    return simhash.keep_one(docs, similar=True).select(*COLUMNS)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

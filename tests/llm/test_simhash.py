@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 from tilewright.llm.components import components
-from tilewright.llm.simhash import _linked, fingerprint, keep_one, near_duplicates
+from tilewright.llm.simhash import _linked, fingerprint, keep_one, near_duplicates, similar_texts
 
 import pyarrow as pa
 
@@ -112,3 +112,29 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert got == [(False, 4, 4), (False, 4, 4), (False, 8, 8), (False, 9, 8), (True, 0, -1), (True, 0, 4)]
     assert near_duplicates(docs.limit(0)).count() == 0
     assert keep_one(docs).count() == 5
+
+
+def test_similar_texts_join_near_copies_and_no_others(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, base_of = [], {}
+    for b in range(60):
+        words = [rng.choice(vocabulary) for _ in range(400)]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 7)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            base_of[len(rows)] = b
+            rows.append((len(rows), " ".join(copy)))
+        base_of[len(rows)] = 1000 + b  # half the words are others: not a copy
+        rows.append((len(rows), " ".join(words[:200] + [rng.choice(vocabulary) for _ in range(200)])))
+    rows += [(None, "x y z"), (900, None), (901, ""), (902, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.component_id for r in similar_texts(docs).collect()}
+    assert len(got) == len(rows) and got[901] == 900 and got[902] == got[0]
+    groups = {}
+    for k, b in base_of.items():
+        groups.setdefault(b, set()).add(got[k])
+    assert all(len(g) == 1 for g in groups.values())
+    assert len(set().union(*groups.values())) == 120
+    assert similar_texts(docs.limit(0)).count() == 0

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, small_side, staged
+from tilewright.llm.common import as_bytes, slices, small_side, staged
 from tilewright.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -87,20 +87,25 @@ def _leading(value: int, bits: int) -> np.uint64:
     return np.uint64(value << (64 - bits)) if bits else np.uint64(0)
 
 
-def _shared(fps: np.ndarray, key: int, bits: int, half: int, radius: int, masks: dict[int, list[np.ndarray]], spelled: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links, as places in ``fps``, from the variants whose leading ``bits`` are ``key``."""
+def _spelled(fps: np.ndarray, key: int, bits: int, half: int, width: int, masks: dict[int, list[np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Variants that several fingerprints share, of those whose leading ``bits`` are ``key``.
+
+    Yields their owners (places in ``fps``), variant after variant, and the number of
+    the variant each belongs to. ``fps`` use the highest ``width`` bits. Beyond ``most``
+    variants the work is cut by the next bit.
+    """
     top = _leading((1 << bits) - 1, bits)
     off = np.bitwise_count((fps ^ _leading(key, bits)) & top)
     inside = np.flatnonzero(off <= half)
     if len(inside) < 2:
         return
     off = off[inside]
-    rest = masks.setdefault(bits, _masks(range(bits, 64), half))
+    rest = masks.setdefault(bits, _masks(range(bits, width), half))
     count = sum(int((off == d).sum()) * sum(len(m) for m in rest[: half - d + 1]) for d in range(half + 1))
-    if count > spelled and bits < 64:
+    if count > most and bits < width:
         for bit in (0, 1):
-            for a, b in _shared(fps[inside], key << 1 | bit, bits + 1, half, radius, masks, spelled):
-                yield inside[a], inside[b]
+            for owners, runs in _spelled(fps[inside], key << 1 | bit, bits + 1, half, width, masks, most):
+                yield inside[owners], runs
         return
     variants, owners = [], []
     for d in range(half + 1):
@@ -113,14 +118,19 @@ def _shared(fps: np.ndarray, key: int, bits: int, half: int, radius: int, masks:
     order = np.argsort(variants)
     variants, owners = variants[order], owners[order]
     new = np.append(True, variants[1:] != variants[:-1])
-    begins = np.flatnonzero(new)
-    if len(begins) == len(variants):
-        return
-    centre = np.minimum.reduceat(owners, begins)[np.cumsum(new) - 1]
-    pairs = np.unique(centre[centre != owners].astype(np.int64) * len(fps) + owners[centre != owners])
-    a, b = pairs // len(fps), pairs % len(fps)
-    near = np.bitwise_count(fps[a] ^ fps[b]) <= radius  # always so; a check of the reasoning above
-    yield a[near], b[near]
+    runs = np.cumsum(new) - 1
+    shared = np.append(~new[1:], False) | ~new
+    if shared.any():
+        yield owners[shared], runs[shared]
+
+
+def _centred(owners: np.ndarray, runs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, owner) pairs: in each run the least owner with each of the others, once."""
+    begins = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+    sizes = np.diff(np.append(begins, len(runs)))
+    centre = np.repeat(np.minimum.reduceat(owners, begins), sizes)
+    pairs = np.unique(centre[centre != owners].astype(np.int64) * n + owners[centre != owners])
+    return pairs // n, pairs % n
 
 
 def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -139,15 +149,23 @@ def _forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return root
 
 
+def _forest_rows(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """The links as a forest of (a, b) rows over signed ids."""
+    root = _forest(len(ids), found)
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": ids[moved].view(np.int64), "b": ids[root[moved]].view(np.int64)})
+
+
 def _linked(bits: int, radius: int, spelled: int):
     half, masks = radius // 2, {}
 
     def run(group: pa.Table) -> pa.Table:
-        fps = np.unique(group.column("fp").to_numpy().view(np.uint64))
-        links = list(_shared(fps, group.column("key")[0].as_py(), bits, half, radius, masks, spelled))
-        root = _forest(len(fps), links)
-        moved = np.flatnonzero(root != np.arange(len(fps)))
-        return pa.table({"a": fps[moved].view(np.int64), "b": fps[root[moved]].view(np.int64)})
+        fps, found = np.unique(group.column("fp").to_numpy().view(np.uint64)), []
+        for owners, runs in _spelled(fps, group.column("key")[0].as_py(), bits, half, 64, masks, spelled):
+            a, b = _centred(owners, runs, len(fps))
+            near = np.bitwise_count(fps[a] ^ fps[b]) <= radius  # always so: both are within half the radius of the variant
+            found.append((a[near], b[near]))
+        return _forest_rows(fps, found)
 
     return run
 
@@ -173,6 +191,16 @@ def links(fps: DataFrame, count: int, radius: int = 4, bits: int | None = None,
     return sent.groupBy("key").applyInArrow(_linked(bits, radius, spelled), "a long, b long").distinct()
 
 
+def _labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (with ``node``) and the ``component_id`` of their node; ``nodes`` are ``(node, least)``."""
+    roots = components(edges).withColumnRenamed("node", "member")
+    member = roots.join(nodes, F.col("member") == F.col("node")).select("node", "root", "least")
+    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = member.join(ids, "root").select(F.col("node").alias("linked"), "component_id")
+    labels = nodes.join(linked, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(labels, "node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, bits: int | None = None) -> DataFrame:
     """``(id, fp, component_id)`` for every row: the least id reachable over links, own included.
 
@@ -181,22 +209,141 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id; a component of null ids only has a null component_id. Repeated rows come back
     as often as they come in. Other columns of ``docs`` don't matter. Empty in, empty out.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), nodes.count(), radius, bits))
-    member = roots.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "least")
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = member.join(ids, "root").select(F.col("fp").alias("linked"), "component_id")
-    labels = nodes.join(linked, F.col("fp") == F.col("linked"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(labels, "fp").select("id", "fp", "component_id")
+    rows = staged(fingerprints(docs, id_col, text_col, shingle).withColumn("node", F.col("fp")), "fingerprints")
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    found = _labelled(rows, nodes, links(nodes.select(F.col("node").alias("fp")), nodes.count(), radius, bits))
+    return found.select("id", "fp", "component_id")
+
+
+#: Words of a long fingerprint, and the bits of it that may differ at 0.8 alike (the
+#: expected share at a Jaccard similarity of 0.8 is 0.15, of 0.7 it is 0.19).
+LONG_WORDS, LONG_RADIUS = 4, 46
+#: Bits of a band, bands, and bits of a band that may differ.
+BAND_BITS, BANDS, BAND_RADIUS = 24, 16, 2
+#: Fingerprints that a group of a band should have at most, on average.
+BAND_GROUP = 1 << 18
+
+
+def _streams(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th further hash of each hash: SplitMix64."""
+    z = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def long_fingerprint(text: bytes | None, shingle: int = 5, words: int = LONG_WORDS) -> np.ndarray:
+    """SimHash of 64 times ``words`` bits over the distinct shingles; no words: all zero."""
+    parts = (text or b"").translate(LOWER).split()
+    if not parts:
+        return np.zeros(words, np.uint64)
+    line = b" ".join(parts)
+    ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    begins, ends = np.append(0, ends + 1), np.append(ends, len(line))
+    if len(begins) >= shingle:
+        begins, ends = begins[: len(begins) - shingle + 1], ends[shingle - 1 :]
+    else:
+        begins, ends = begins[:1], ends[-1:]
+    digest = xxhash.xxh64_digest
+    hashes = np.frombuffer(b"".join([digest(line[i:j], SEED) for i, j in zip(begins.tolist(), ends.tolist())]), ">u8")
+    hashes = np.unique(hashes.astype(np.uint64))
+    total = np.zeros(64 * words, np.int64)
+    for k in range(0, len(hashes), 255):
+        part = np.stack([_streams(hashes[k : k + 255], w) for w in range(words)], axis=1).astype(">u8")
+        total += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8 * words), axis=1), axis=0, dtype=np.uint8)
+    return np.frombuffer(np.packbits(2 * total > len(hashes)).tobytes(), ">u8").astype(np.uint64)
+
+
+def band_places(bands: int = BANDS, width: int = BAND_BITS, words: int = LONG_WORDS) -> list[np.ndarray]:
+    """The bit places of each band: fixed choices out of all, each without repeats."""
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    return [rng.permutation(64 * words)[:width] for _ in range(bands)]
+
 
+def _bits(fps: np.ndarray) -> np.ndarray:
+    return np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+
+def _band_words(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The band's bits as the highest of a word."""
+    weights = np.uint64(1) << (np.uint64(63) - np.arange(len(places), dtype=np.uint64))
+    return (bits[:, places] * weights[None, :]).sum(axis=1, dtype=np.uint64)
+
+
+def _long_fingerprints(shingle: int):
+    names = [f"w{k}" for k in range(LONG_WORDS)]
+    places = band_places()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            fps = np.array([long_fingerprint(x.as_py(), shingle) for x in batch.column("text")], np.uint64).reshape(-1, LONG_WORDS)
+            bits = _bits(fps)
+            leads = np.stack([_band_words(bits, p) >> np.uint64(64 - BAND_BITS) for p in places], axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(LONG_WORDS)), pa.array(leads.tolist(), pa.list_(pa.int32()))], ["id", *names, "bands"])
+
+    return run
+
+
+def _similar(lead: int, radius: int, spelled: int):
+    places, masks, half = band_places(), {}, BAND_RADIUS // 2
+
+    def run(group: pa.Table) -> pa.Table:
+        band, key = group.column("band")[0].as_py(), group.column("key")[0].as_py()
+        ids, first = np.unique(group.column("node").to_numpy(), return_index=True)
+        fps = np.stack([group.column(f"w{k}").to_numpy()[first].view(np.uint64) for k in range(LONG_WORDS)], axis=1)
+        words, found = _band_words(_bits(fps), places[band]), []
+        for owners, runs in _spelled(words, key, lead, half, BAND_BITS, masks, spelled):
+            while len(owners):
+                begins = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+                sizes = np.diff(np.append(begins, len(runs)))
+                centre = np.repeat(owners[begins], sizes)
+                near = np.bitwise_count(fps[centre] ^ fps[owners]).sum(axis=1) <= radius
+                pairs = np.unique(np.minimum(centre, owners)[near].astype(np.int64) * len(ids) + np.maximum(centre, owners)[near])
+                pairs = pairs[pairs // len(ids) != pairs % len(ids)]
+                if len(pairs):
+                    found.append((pairs // len(ids), pairs % len(ids)))
+                owners, runs = owners[~near], runs[~near]  # the centre is near itself, so each turn ends
+        return _forest_rows(ids, found)
+
+    return run
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
+    """``(id, component_id)`` for every row: near copies of about 0.8 Jaccard similarity and more.
+
+    Four bits of 64 are far too few for that, and balls wide enough too large. So the
+    fingerprint has 256 bits, of which bands of 24 are matched by meeting balls (radius 2,
+    every band a shuffle of its own); texts that meet in a band are linked if all 256
+    bits differ in ``radius`` or fewer. Of two texts with 15 % of the bits apart, the
+    bands miss 1 in 200. In a run of one variant a text is compared with centres, each
+    the first not yet linked, so a group of copies costs its size, not its square.
+
+    Nulls, repeats and empty tables are as for :func:`near_duplicates`.
+    """
+    names = [f"w{k}" for k in range(LONG_WORDS)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, " + ", ".join(f"{w} long" for w in names) + ", bands array<int>"
+    rows = docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text")).mapInArrow(_long_fingerprints(shingle), schema)
+    rows = staged(rows.withColumn("node", F.xxhash64(*names)), "long_fingerprints")
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in (*names, "bands"))), "long_nodes")
+    lead, count = 2, nodes.count()
+    while lead < BAND_BITS - 4 and count * (1 + lead) >> lead > BAND_GROUP:
+        lead += 2
+    flips = F.array(*map(F.lit, [0, *(1 << k for k in range(lead))]))
+    sent = nodes.select("node", *names, F.posexplode("bands").alias("band", "word"))
+    sent = sent.select("node", *names, "band", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.shiftrightunsigned("word", BAND_BITS - lead)))).alias("key"))
+    edges = sent.groupBy("band", "key").applyInArrow(_similar(lead, radius, SPELLED), "a long, b long").distinct()
+    return _labelled(rows.select("id", "node"), nodes.select("node", "least"), edges).select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: bool = False, **options) -> DataFrame:
     """``docs`` without the rows whose id isn't the least of its component.
 
+    Components of :func:`near_duplicates`, or with ``similar`` of :func:`similar_texts`.
     Rows with a null id are kept. Of rows that repeat an id with equal or linked
     texts all are kept: an id stands for one document.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    find = similar_texts if similar else near_duplicates
+    found = find(docs, id_col, text_col, **options)
     gone = staged(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct(), "gone")
     return docs.join(small_side(gone), F.col(id_col) == F.col("_gone"), "left_anti")
