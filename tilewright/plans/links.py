@@ -53,3 +53,40 @@ def causes_slowdown(active: DataFrame, slowdowns: DataFrame, least: float = 1.05
     victims = live.select(F.col("dest").alias("vd"), F.col("src").alias("vs"))
     bad = slowdowns.where(F.col("sl") > least).select(F.col("odest").alias("_d"), F.col("osrc").alias("_s"), F.col("dest").alias("vd"), F.col("src").alias("vs")).join(victims, ["vd", "vs"])
     return live.join(bad, (F.col("dest") == F.col("_d")) & (F.col("src") == F.col("_s")), "left_semi")
+
+
+def routes_via(routes: DataFrame, unit: int) -> DataFrame:
+    """Routes that end or pass at a unit."""
+    return routes.where((F.col("dest") == unit) | (F.col("src") == unit) | F.array_contains("routes", unit))
+
+
+def link_load(transfers: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(dest, src, bytes, eta)``: what flows over each link, and seconds until it is through.
+
+    ``transfers`` are ``(dest, src, bytes)``; links without any have an ETA of 0.
+    """
+    flow = transfers.groupBy("dest", "src").agg(F.sum("bytes").alias("bytes"))
+    joined = edges.select("dest", "src", "bw").join(flow, ["dest", "src"], "left")
+    size = F.coalesce("bytes", F.lit(0).cast("long"))
+    return joined.select("dest", "src", size.alias("bytes"), (size / (F.col("bw") * 1e9)).alias("eta"))
+
+
+def rebalanced(transfers: DataFrame, edges: DataFrame, rounds: int = 4, penalty: float = 0.2) -> DataFrame:
+    """Transfers with detours ``via`` chosen by estimated time: a bounded driver loop.
+
+    Each round takes the loads as they stand and moves every pair of ends to the detour
+    whose two links are through soonest, if that is sooner than its own link by more than ``penalty``.
+    The table of links is small; transfers are aggregated by ends, so they are too.
+    """
+    pairs = transfers.groupBy("dest", "src").agg(F.sum("bytes").alias("bytes")).where("dest <> src").withColumn("via", F.lit(None).cast("int"))
+    for _ in range(rounds):
+        hops = pairs.select(F.explode(F.when(F.col("via").isNull(), F.array(F.struct("dest", "src", "bytes"))).otherwise(
+            F.array(F.struct(F.col("via").alias("dest"), "src", "bytes"), F.struct("dest", F.col("via").alias("src"), "bytes")))).alias("h")).select("h.*")
+        load = link_load(hops, edges.where("dest <> src")).persist()
+        first = load.select("src", F.col("dest").alias("u"), F.col("eta").alias("e1"))
+        second = load.select(F.col("src").alias("u"), "dest", F.col("eta").alias("e2"))
+        best = first.join(second, "u").where("src <> dest").groupBy("dest", "src").agg(F.min(F.struct(F.greatest("e1", "e2").alias("e"), "u")).alias("b"))
+        direct = load.select("dest", "src", "eta")
+        moved = pairs.join(direct, ["dest", "src"]).join(best, ["dest", "src"], "left")
+        pairs = moved.select("dest", "src", "bytes", F.when(F.col("via").isNull() & (F.col("b.e") < (1 - penalty) * F.col("eta")), F.col("b.u").cast("int")).otherwise(F.col("via")).alias("via"))
+    return pairs

@@ -131,3 +131,45 @@ def pipeline(flags: Column, t: Column, r: Column, s: Column) -> Column:
         return F.struct(link.alias("link"), work.alias("work"), sent.alias("out"))
 
     return F.aggregate(flags, start, step, lambda x: F.greatest(x["work"], x["out"]))
+
+
+def location_aware(t: Column, r: Column, s: Column, remote_in: Column, remote_out: Column, count: Column) -> Column:
+    """As :func:`steady`, fetching and sending remote operands only."""
+    return steady(t, remote_in * r, remote_out * s, count)
+
+
+def bidirectional(t: Column, overlap: Column, r: Column, s: Column, count: Column) -> Column:
+    """Steady state whose transfers overlap as :func:`both_ways` says."""
+    return F.greatest(t, overlap) * (count - 1) + t + r + s
+
+
+def hetero_reuse(value: Column, factor: Column, share: Column) -> Column:
+    """Reuse time with its raggedness factor, for a unit's share of the work."""
+    return value * factor * share
+
+
+def tile_time(t_tile: Column, tile: Column, level: int, *dims: Column) -> Column:
+    """Whole-problem time by level: linear, quadratic or cubic in the tile."""
+    return full_time(t_tile, tile, *dims[:level])
+
+
+def model_tile_level1(min_t: Column, max_t: Column, n: Column, compat: bool = True) -> Column:
+    """Tile that level 1 is modelled from: the smallest with ``compat``, else as at the other levels."""
+    return F.least(max_t, min_t, n) if compat else F.least(max_t, n)
+
+
+def allowed_tiles(level: int, min_t: Column, *dims: Column) -> tuple[Column, Column]:
+    """Least and greatest tile that a problem may use."""
+    return (min_t if level == 1 else F.greatest(min_t, F.lit(1024))), F.least(*dims) if len(dims) > 1 else dims[0]
+
+
+def stream_bytes(policy: str, sizes: Column, remote: Column, tile_bytes: Column) -> Column:
+    """Bytes that the streams model counts: ``all`` operands, only ``remote`` ones, or ``tile`` by tile."""
+    add = lambda a, x: a + x
+    if policy == "all":
+        return F.aggregate(sizes, F.lit(0).cast("long"), add)
+    if policy == "remote":
+        return F.aggregate(F.zip_with(sizes, remote, lambda s, f: F.when(f, s).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), add)
+    if policy == "tile":
+        return F.aggregate(F.transform(sizes, lambda s: F.ceil(s / tile_bytes).cast("long") * tile_bytes), F.lit(0).cast("long"), add)
+    raise ValueError(f"there is no byte policy {policy!r}")
