@@ -1,0 +1,87 @@
+import random
+import re
+
+import pytest
+from tilewright.llm import pii
+
+
+@pytest.fixture(scope="module")
+def maker():
+    return pii.Surrogates(b"test key")
+
+
+def test_permutations_are_one_cycle(maker):
+    for n in (2, 3, 10, 21, 64, 1000):
+        image = [maker.permute.number(x, n, b"t") for x in range(n)]
+        assert sorted(image) == list(range(n)) and all(x != y for x, y in enumerate(image))
+        at, seen = 0, 0
+        while True:
+            at, seen = image[at], seen + 1
+            if at == 0:
+                break
+        assert seen == n
+
+
+def test_strings_keep_their_format_and_stay_distinct(maker):
+    words = [a + b for a in "bcd" for b in "aeiou"] + ["ñandú", "élan", "иван"]
+    image = [maker.permute.string(w, "t") for w in words]
+    assert len(set(image)) == len(set(words)) and all(len(a) == len(b) and a != b for a, b in zip(words, image))
+    kind = lambda c: next((k for k, a in enumerate(pii.ALPHABETS) if c in a), c)
+    assert all(list(map(kind, a)) == list(map(kind, b)) for a, b in zip(words, image))
+    every = ["".join(x) for x in __import__("itertools").product("bcdfghjklmnpqrstvwxz", "aeiouy")]
+    assert sorted(maker.permute.string(w, "t") for w in every) == sorted(every)
+
+
+CASES = [
+    ("write to a.27@mail6.example.com now", "email", r"[\w.]+@[\w.]+\.example"), ("X.27@MAIL6.EXAMPLE.COM!!", "email", r"[A-Z0-9.]+@[A-Z0-9.]+\.EXAMPLE"),
+    ("at 83.229.25.121 and", "ip", r"\d+\.\d+\.\d+\.\d+"), ("+1 (652) 555-4544", "phone", r"\+1 \(\d{3}\) \d{3}-\d{4}"), ("652-555-4544", "phone", r"\d{3}-\d{3}-\d{4}"),
+    ("pay 2071569108560414 so", "card", r"\d{16}"), ("4111 1111 1111 1111", "card", r"\d{4} \d{4} \d{4} \d{4}"), ("SSN 123-45-6789.", "ssn", r"\d{3}-\d{2}-\d{4}"),
+    ('token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "secret", r"[0-9a-f]{40}"), ("IBAN DE89 3704 0044 0532 0130 00", "iban", r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d"),
+    ("Mr. John Smith", "name", r"[A-Z][a-zé]+ [A-Z][a-z]{4}"), ("met Mary Johnson.", "name", r"[A-Z]\S+ [A-Z][a-z]{6}"), ("Ольга Иванова", "name", r"[А-Я][а-я]+ [А-Я][а-я]{6}"),
+]
+
+
+@pytest.mark.parametrize("text,kind,pattern", CASES)
+def test_kinds(maker, text, kind, pattern):
+    new, found = maker.replace(text)
+    assert [x[0] for x in found] == [kind]
+    _, a, b, _, surrogate = found[0]
+    assert re.fullmatch(pattern, surrogate) and surrogate != text[a:b]
+    assert new == text[:a] + surrogate + text[b:]
+
+
+def test_checks_gender_and_coreference(maker):
+    card = maker.card("4111111111111111")[1]
+    assert pii.luhn(card) and not pii.luhn(maker.card("4111111111111112")[1])
+    assert pii.iban(maker.iban("DE89370400440532013000")[1])
+    first = lambda n: maker.name(n)[1].split(" ")[0].lower()
+    for kind, names in pii.LISTS.items():
+        image = [first(n.title() + " Smith") for n in names]
+        assert sorted(image) == sorted(names) and all(a != b for a, b in zip(image, names)), kind
+    text = "Mary Johnson, MARY JOHNSON; +1 (652) 555-4544 and +1 652 555 4544"
+    new, found = maker.replace(text)
+    assert found[0][3] == found[1][3] and found[0][4].upper() == found[1][4]
+    assert found[2][3] == found[3][3] and re.sub(r"\D", "", found[2][4]) == re.sub(r"\D", "", found[3][4])
+
+
+def test_clean_texts_stay(maker):
+    for text in ("", "The year 2024, version 4.0 and 1.2.3.4.5", "10:30 on 2020-01-02: 3.14159265", "An Inn. Of the Apache License, Version 2.0.", "x" * 100_000, "THE!! END!! OF!!"):
+        assert maker.replace(text) == (text, [])
+
+
+def test_no_collisions_over_many(spark):
+    rng = random.Random(9)
+    rows = [(k, f"a{rng.randrange(500)}.b@c{rng.randrange(9)}.example.org, +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 1100)} or {rng.randrange(10**15, 10**15 + 3000)} at 10.0.{rng.randrange(9)}.{rng.randrange(9)}", "x") for k in range(1500)]
+    rows += [(None, None, "x"), (9000, "", "x"), (9001, "Mr. John Smith " * 3000, "x"), (0, rows[0][1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, entities string")
+    found = pii.surrogates(docs)
+    got = {r.doc_id: r for r in found.collect()}
+    assert found.count() == len(rows) and found.columns == ["doc_id", "text", "entities"]
+    assert got[None].text is None and got[None].entities == [] and got[9000].text == ""
+    assert len(got[9001].entities) == 3000 and len({e.surrogate for e in got[9001].entities}) == 1
+    assert pii.collisions(found).count() == 0
+    entity, seen = {}, {}
+    for r in got.values():
+        for e in r.entities:
+            assert entity.setdefault((e.kind, e.surrogate), e.entity) == e.entity and seen.setdefault(e.entity, e.surrogate) == e.surrogate
+    assert pii.surrogates(docs.limit(0)).count() == 0

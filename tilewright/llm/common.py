@@ -77,3 +77,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def as_bytes(name: str, alias: str | None = None):
     """A string column as its UTF-8 bytes, null kept."""
     return F.col(name).cast("binary").alias(alias or name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

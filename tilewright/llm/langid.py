@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, slices, staged
+from tilewright.llm.common import as_bytes, fresh, slices, staged
 
 ORDER = 4
 #: Texts of a language that its model is fitted on, about: the sample's bound.
@@ -289,16 +289,18 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
 
     ``lang_pred`` is a learned language, or ``und`` if the text is null or has no letter
     or no model was learned; such rows have score 0 and are rejected. Ties go to the
-    language first in code-point order. Texts are scored whole, repeated rows alike.
+    language first in code-point order. Texts are scored whole, repeated rows alike. Columns
+    of the results' names are replaced. Empty in, empty out.
     """
-    names = keep or [id_col]
+    names = [c for c in keep or [id_col] if c not in ("lang_pred", "score", "rejected")]
+    column = fresh(docs, "_text")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double, rejected boolean"
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for batch in slices(batches, "__text"):
-            texts = [None if (x := t.as_py()) is None else x.decode(errors="replace") for t in batch.column("__text")]
+        for batch in slices(batches, column):
+            texts = [None if (x := t.as_py()) is None else x.decode(errors="replace") for t in batch.column(column)]
             if sent.value is None:
                 found = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             else:
@@ -306,7 +308,7 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
                 found = scorer.predict(texts, reject_at)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, found)], [*names, "lang_pred", "score", "rejected"])
 
-    return docs.select(*names, as_bytes(text_col, "__text")).mapInArrow(run, schema)
+    return docs.select(*names, as_bytes(text_col, column)).mapInArrow(run, schema)
 
 
 _scorers: dict[int, Scorer] = {}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import small_side, staged
+from tilewright.llm.common import fresh, small_side, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -138,9 +138,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of each source is joined to them.
     """
     plan = planned(docs, id_col, text_col, source_col, seed, share, cap)
-    plan = plan.select(F.struct("epochs", "cut_key", "cut_taken", "cut_size").alias("_plan"), F.col("source").alias("_source"))
-    key = random_key(F.col(id_col), seed)
-    last = F.when(key < F.col("_plan.cut_key"), 1).when((key == F.col("_plan.cut_key")) & (2 * F.col("_plan.cut_taken") >= F.col("_plan.cut_size")), 1).otherwise(0)
-    joined = docs.join(small_side(plan), F.col(source_col).eqNullSafe(F.col("_source")))
-    times = joined.select(*docs.columns, (F.col("_plan.epochs") + last).cast("int").alias("_times")).where("_times > 0")
-    return times.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_turn")).drop("_turn")
+    name, source, turn = (fresh(docs, c) for c in ("_plan", "_source", "_turn"))
+    plan = plan.select(F.struct("epochs", "cut_key", "cut_taken", "cut_size").alias(name), F.col("source").alias(source))
+    key, cut = random_key(F.col(id_col), seed), F.col(name)
+    last = F.when(key < cut["cut_key"], 1).when((key == cut["cut_key"]) & (2 * cut["cut_taken"] >= cut["cut_size"]), 1).otherwise(0)
+    joined = docs.join(small_side(plan), F.col(source_col).eqNullSafe(F.col(source)))
+    times = (cut["epochs"] + last).cast("int")
+    return joined.where(times > 0).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias(turn)).drop(turn)

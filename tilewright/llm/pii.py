@@ -63,7 +63,8 @@ NUMBER = re.compile(
     r"|(?<!\w)(?P<ssn>\d{3}-\d{2}-\d{4})(?!\w)"
     r"|(?<![\w.])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w]|\.\d)"
 )
-NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(map(re.escape, TITLES))})\.? )?(?P<names>{SURNAME}(?: {SURNAME}){{0,2}})(?!\w)")
+TITLE = rf"(?:{'|'.join(map(re.escape, TITLES))})"
+NAME = re.compile(rf"(?<!\w)(?:(?P<title>{TITLE})\.? )?(?P<names>(?!{TITLE}(?!\w)){SURNAME}(?: (?!{TITLE}(?!\w)){SURNAME}){{0,2}})(?!\w)")
 
 
 def luhn(digits: str) -> bool:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, slices, small_side, staged
+from tilewright.llm.common import as_bytes, fresh, slices, small_side, staged
 from tilewright.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -345,5 +345,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     find = similar_texts if similar else near_duplicates
     found = find(docs, id_col, text_col, **options)
-    gone = staged(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_gone")).distinct(), "gone")
-    return docs.join(small_side(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = staged(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(name)).distinct(), "gone")
+    return docs.join(small_side(gone), F.col(id_col) == F.col(name), "left_anti")
