@@ -17,21 +17,20 @@ from tilewright.queries.transfers import TRACE_SQL, trace
 from tilewright.sources import logs, sinks
 from tilewright.sources.paths import scratch
 
-D1, D2, D3 = pl.D1, pl.D2, pl.D3
 
 
 @query("cm13_location_aware", pl.PRED_SQL + """, v AS (SELECT pid, ceil(D1::DOUBLE / tile)::BIGINT * ceil(D2::DOUBLE / tile)::BIGINT * ceil(D3::DOUBLE / tile)::BIGINT AS v, tile_t AS x, far FROM full_ JOIN costs USING (pid))
 SELECT pid, round((greatest(x, far * x / 4, (far % 2) * x / 8) * (v - 1) + x + far * x / 4 + (far % 2) * x / 8) * 1e6, 4) + 0.0 AS aware_us, round((greatest(x, x * 1.5) * (v - 1) + x + x / 4 + x / 8) * 1e6, 4) + 0.0 AS both_us FROM v""")
 def cm13_location_aware(spark, sf):
     """Steady states that count remote operands only, and that overlap both directions."""
-    p = pl.predicted(spark, sf).withColumn("v", cm.task_count(F.col("tile"), D1, D2, D3))
+    p = pl.predicted(spark, sf).withColumn("v", cm.task_count(F.col("tile"), F.col("D1"), F.col("D2"), F.col("D3")))
     x, v, far = F.col("tile_t"), F.col("v"), F.col("far")
     return p.select("pid", r(cm.location_aware(x, x / 4, x / 8, far, far % 2, v) * 1e6, 4).alias("aware_us"), r(cm.bidirectional(x, x * 1.5, x / 4, x / 8, v) * 1e6, 4).alias("both_us"))
 
 
 @query("cm17_hetero_reuse", f"WITH {pl.NEAR_SQL} SELECT unit, count(*) AS problems, round(sum(sec_near * (1 + 0.05 * (D1 % T_in <> 0)::INT + 0.05 * (D2 % T_in <> 0)::INT + 0.05 * (D3 % T_in <> 0)::INT + 0.1 * (D1 > D2)::INT)::DOUBLE * (unit + 1) / 10.0::DOUBLE), 8) + 0.0 AS seconds FROM near GROUP BY unit")
 def cm17_hetero_reuse(spark, sf):
-    factor = cm.ragged_factor(F.col("T_in"), D1 > D2, D1, D2, D3)
+    factor = cm.ragged_factor(F.col("T_in"), F.col("D1") > F.col("D2"), F.col("D1"), F.col("D2"), F.col("D3"))
     value = cm.hetero_reuse(F.col("sec_near"), factor, (F.col("unit") + 1) / 10.0)
     return pl.near(spark, sf).groupBy("unit").agg(F.count("*").alias("problems"), r(F.sum(value), 8).alias("seconds"))
 
@@ -41,14 +40,14 @@ SELECT pid, round(n.sec_near / T_near * D1 * 1e6, 4) + 0.0 AS level1_us, round(n
 def cm18_lower_levels(spark, sf):
     """Vector and matrix-vector problems from one tile; the level-1 tile with and without its slip."""
     n = pl.near(spark, sf)
-    us = lambda level: r(cm.tile_time(F.col("sec_near"), F.col("T_near"), level, D1, D2, D3) * 1e6, 4)
-    return n.select("pid", us(1).alias("level1_us"), us(2).alias("level2_us"), cm.model_tile_level1(F.lit(256), F.lit(4096), D1).alias("tile_compat"), cm.model_tile_level1(F.lit(256), F.lit(4096), D1, False).alias("tile"))
+    us = lambda level: r(cm.tile_time(F.col("sec_near"), F.col("T_near"), level, F.col("D1"), F.col("D2"), F.col("D3")) * 1e6, 4)
+    return n.select("pid", us(1).alias("level1_us"), us(2).alias("level2_us"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1")).alias("tile_compat"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1"), False).alias("tile"))
 
 
 @query("cm22_stream_bytes", f"WITH {pl.PROB_SQL}, s AS (SELECT pid, [8 * D1 * D3, 8 * D3 * D2, 8 * D1 * D2] AS s, [loc_a > 0, loc_b > 0, loc_c > 0] AS f FROM prob) SELECT pid, list_sum(s)::BIGINT AS all_, list_sum([CASE WHEN f[1] THEN s[1] ELSE 0 END, CASE WHEN f[2] THEN s[2] ELSE 0 END, CASE WHEN f[3] THEN s[3] ELSE 0 END])::BIGINT AS remote, list_sum(list_transform(s, lambda x: ceil(x / 1000000.0)::BIGINT * 1000000))::BIGINT AS tiles FROM s")
 def cm22_stream_bytes(spark, sf):
     """Bytes of the streams model under its three policies."""
-    sizes = F.array(8 * D1 * D3, 8 * D3 * D2, 8 * D1 * D2)
+    sizes = F.array(8 * F.col("D1") * F.col("D3"), 8 * F.col("D3") * F.col("D2"), 8 * F.col("D1") * F.col("D2"))
     remote = F.array(F.col("loc_a") > 0, F.col("loc_b") > 0, F.col("loc_c") > 0)
     one = lambda policy: cm.stream_bytes(policy, sizes, remote, F.lit(1000000))
     return pl.problems(spark, sf).select("pid", one("all").alias("all_"), one("remote").alias("remote"), one("tile").alias("tiles"))
@@ -58,9 +57,9 @@ def cm22_stream_bytes(spark, sf):
 def cm29_task_counts(spark, sf):
     """Tasks and allowed tiles by level."""
     t = F.col("T_in")
-    low1, _ = cm.allowed_tiles(1, F.lit(256), D1)
-    low3, high = cm.allowed_tiles(3, F.lit(256), D1, D2, D3)
-    return pl.problems(spark, sf).select("pid", cm.task_count(t, D1).alias("level1"), cm.task_count(t, D1, D2).alias("level2"), cm.task_count(t, D1, D2, D3).alias("level3"), low1.alias("low1"), low3.alias("low3"), high.alias("high"))
+    low1, _ = cm.allowed_tiles(1, F.lit(256), F.col("D1"))
+    low3, high = cm.allowed_tiles(3, F.lit(256), F.col("D1"), F.col("D2"), F.col("D3"))
+    return pl.problems(spark, sf).select("pid", cm.task_count(t, F.col("D1")).alias("level1"), cm.task_count(t, F.col("D1"), F.col("D2")).alias("level2"), cm.task_count(t, F.col("D1"), F.col("D2"), F.col("D3")).alias("level3"), low1.alias("low1"), low3.alias("low3"), high.alias("high"))
 
 
 @query("lm7_routes_via", f"WITH {pl.LINK_SQL} SELECT dest, src FROM link WHERE dest <> src AND (dest = 1 OR src = 1)")

@@ -50,14 +50,13 @@ def edge(spark):
     return link(spark).select("dest", "src", (5.0 * (1 + (d * 5 + s * 3 + 8) % 7)).alias("bw"), F.when((d + s) % 3 == 1, F.lit(-1.0)).otherwise(4.0 * (1 + (d + s * 2 + 3) % 5)).alias("bw_shared"), (2 - d).alias("p_dest"), s.alias("p_src"))
 
 
-T, TN, D1, D2, D3 = (F.col(c) for c in ("T_in", "T_near", "D1", "D2", "D3"))
 
 
 @query("cm1_tile_lookup", f"WITH {NEAR_SQL} SELECT pid, T_near, round(sec_near * (T_in::DOUBLE / T_near) ** 3 * 1e6, 6) + 0.0 AS us, round(sec_near * (T_in::DOUBLE / T_near) ** 2 * 1e6, 6) + 0.0 AS us_level2, round(sec_near * (T_in::DOUBLE / T_near) * 1e6, 6) + 0.0 AS us_level1, w_near FROM near")
 def cm1_tile_lookup(spark, sf):
     """As-of lookup and rescale, with the cube and with each level's own power."""
     n = near(spark, sf)
-    us = lambda level, compat: r(cm.rescaled(F.col("sec_near"), T, TN, level, compat) * 1e6)
+    us = lambda level, compat: r(cm.rescaled(F.col("sec_near"), F.col("T_in"), F.col("T_near"), level, compat) * 1e6)
     return n.select("pid", "T_near", us(3, True).alias("us"), us(2, False).alias("us_level2"), us(1, False).alias("us_level1"), "w_near")
 
 
@@ -69,7 +68,7 @@ def jn7_asof_join(spark, sf):
 @query("cm4_transfer_time", f"WITH {PROB_SQL}, {LINK_SQL} SELECT pid, dest, src, round(CASE WHEN b < 0 THEN -1 WHEN b = 0 THEN 0 ELSE ti + tb * b END * 1e6, 6) + 0.0 AS us FROM (SELECT *, 8 * (D1 - 1024) * D2 AS b FROM prob) p JOIN link ON dest = unit AND src = loc_b - 1")
 def cm4_transfer_time(spark, sf):
     """Operand to link by location, then latency and bytes."""
-    p = problems(spark, sf).withColumn("b", 8 * (D1 - 1024) * D2)
+    p = problems(spark, sf).withColumn("b", 8 * (F.col("D1") - 1024) * F.col("D2"))
     j = p.join(F.broadcast(link(spark)), (F.col("dest") == F.col("unit")) & (F.col("src") == F.col("loc_b") - 1))
     return j.select("pid", "dest", "src", r(cm.transfer(F.col("ti"), F.col("tb"), F.col("b")) * 1e6).alias("us"))
 
@@ -101,10 +100,10 @@ costs AS (SELECT f.pid, sum(l.ti + l.tb * o.b) FILTER (o.loc <> f.unit) AS recv,
 
 def predicted(spark, sf):
     """Problems with whole-problem time, and receive and send sums over their remote operands."""
-    p = problems(spark, sf).withColumn("Tb", cm.model_tile(F.lit(4096), D1, D2, D3))
-    full = cm.nearest(p, lookup(spark), tile="Tb").withColumn("full_t", cm.full_time(F.col("sec_near"), TN, D1, D2, D3))
+    p = problems(spark, sf).withColumn("Tb", cm.model_tile(F.lit(4096), F.col("D1"), F.col("D2"), F.col("D3")))
+    full = cm.nearest(p, lookup(spark), tile="Tb").withColumn("full_t", cm.full_time(F.col("sec_near"), F.col("T_near"), F.col("D1"), F.col("D2"), F.col("D3")))
     op = lambda loc, size, sent: F.struct((F.col(loc) - 1).alias("loc"), size.alias("b"), F.lit(sent).alias("sent"))
-    ops = full.select("*", F.explode(F.array(op("loc_a", 8 * D1 * D3, 0), op("loc_b", 8 * D3 * D2, 0), op("loc_c", 8 * D1 * D2, 1))).alias("o"))
+    ops = full.select("*", F.explode(F.array(op("loc_a", 8 * F.col("D1") * F.col("D3"), 0), op("loc_b", 8 * F.col("D3") * F.col("D2"), 0), op("loc_c", 8 * F.col("D1") * F.col("D2"), 1))).alias("o"))
     e = link(spark)
     there = e.select(F.col("dest").alias("to1"), F.col("src").alias("from1"), F.col("ti").alias("ti1"), F.col("tb").alias("tb1"))
     back = e.select(F.col("dest").alias("to2"), F.col("src").alias("from2"), F.col("ti").alias("ti2"), F.col("tb").alias("tb2"))
@@ -137,7 +136,7 @@ def cm11_hetero_overlap(spark, sf):
 SELECT pid, v AS tasks, round((greatest(t, rc / v, s / v) * (v - 1) + t + rc / v + s / v) * 1e6, 4) + 0.0 AS baseline_us, round(greatest(rc + full_t / v + s / v, rc / v + full_t + s / v, rc / v + full_t / v + s) * 1e6, 4) + 0.0 AS streams_us FROM v""")
 def cm12_baseline_and_streams(spark, sf):
     """The steady-state baseline with a task count, and the streams model."""
-    p = predicted(spark, sf).withColumn("v", cm.task_count(F.col("tile"), D1, D2, D3))
+    p = predicted(spark, sf).withColumn("v", cm.task_count(F.col("tile"), F.col("D1"), F.col("D2"), F.col("D3")))
     v, rc, s = F.col("v"), F.col("recv"), F.col("send")
     return p.select("pid", v.alias("tasks"), r(cm.steady(F.col("tile_t"), rc / v, s / v, v) * 1e6, 4).alias("baseline_us"), r(cm.streams(F.col("full_t"), rc, s, v) * 1e6, 4).alias("streams_us"))
 
@@ -148,9 +147,9 @@ round((1.0::DOUBLE + CASE WHEN D1 % T_in <> 0 THEN 0.05 ELSE 0 END + CASE WHEN D
 def cm15_reuse(spark, sf):
     """Tasks by the number of operands they fetch first, and the raggedness factor of the heterogeneous form."""
     t = F.col("sec_near")
-    gm, gn, gk = (F.ceil(d / 512.0) for d in (D1, D2, D3))
+    gm, gn, gk = (F.ceil(d / 512.0) for d in (F.col("D1"), F.col("D2"), F.col("D3")))
     value = cm.reuse(t, t / 3, t / 5, F.lit(2), F.lit(1), gm * gn * gk - gm - gn, gm - 1 + gn - 1, F.lit(1))
-    return near(spark, sf).select("pid", r(value * 1e6, 4).alias("reuse_us"), r(cm.ragged_factor(T, D1 > D2, D1, D2, D3)).alias("factor"))
+    return near(spark, sf).select("pid", r(value * 1e6, 4).alias("reuse_us"), r(cm.ragged_factor(F.col("T_in"), F.col("D1") > F.col("D2"), F.col("D1"), F.col("D2"), F.col("D3"))).alias("factor"))
 
 
 @query("cm16_pipeline", f"""WITH RECURSIVE {PROB_SQL}, kinds AS (SELECT DISTINCT (D1 // 512)::INT AS gm, (D2 // 512)::INT AS gn, (D3 // 512)::INT AS gk FROM prob),
@@ -197,7 +196,7 @@ def cm24_peer_bandwidth(spark, sf):
 def cm28_watts_and_limits(spark, sf):
     """Watts at the largest benchmarked tile; least and greatest allowed tiles."""
     ends = lookup(spark).agg(F.max_by("w", "T").alias("watts"), F.greatest(F.min("T"), F.lit(1024)).alias("min_t"), F.max("T").alias("top"))
-    return problems(spark, sf).join(F.broadcast(ends)).select("pid", "watts", "min_t", F.least(D1, D2, D3).alias("max_t"), "top")
+    return problems(spark, sf).join(F.broadcast(ends)).select("pid", "watts", "min_t", F.least(F.col("D1"), F.col("D2"), F.col("D3")).alias("max_t"), "top")
 
 
 @query("lm1_link_bandwidth", f"WITH {LINK_SQL} SELECT dest, src, round(8.0::DOUBLE * 2048 * 2048 / 1e9 / (ti + tb * 8.0::DOUBLE * 2048 * 2048), 6) + 0.0 AS bw FROM link WHERE dest <> src")
@@ -267,7 +266,7 @@ def tn2_best_tile(spark, sf):
 def tn3_best_benchmarked(spark, sf):
     """Least predicted time over the benchmarked tiles."""
     c = problems(spark, sf).join(F.broadcast(lookup(spark)), F.col("T") <= F.least("D1", "D2", "D3"))
-    us = (F.col("sec") * F.ceil(D1 / F.col("T")) * F.ceil(D2 / F.col("T")) * F.ceil(D3 / F.col("T")) + F.col("sec")) * 1e6
+    us = (F.col("sec") * F.ceil(F.col("D1") / F.col("T")) * F.ceil(F.col("D2") / F.col("T")) * F.ceil(F.col("D3") / F.col("T")) + F.col("sec")) * 1e6
     best = tn.best_benchmarked_tile(c.select("pid", "T", F.round(us, 3).alias("sec")))
     return best.select("pid", "T", (F.col("sec") + 0.0).alias("us"))
 
@@ -279,7 +278,7 @@ SELECT pid, value, n::INT AS n FROM f WHERE c = 15""")
 def tn6_subset_search(spark, sf):
     """Sequential acceptance over all subsets of four units with a handicap for each further unit."""
     subsets = tn.device_subsets(spark, 4).select("case", F.size("units").alias("n"))
-    value = D1 * D2 / 65536.0 / F.col("n") + F.col("n") * 1.5 + (F.col("pid") + F.col("case") * 7) % 11 / 4.0
+    value = F.col("D1") * F.col("D2") / 65536.0 / F.col("n") + F.col("n") * 1.5 + (F.col("pid") + F.col("case") * 7) % 11 / 4.0
     each = problems(spark, sf).join(F.broadcast(subsets)).select("pid", "case", F.round(value, 6).alias("value"), "n")
     return tn.accept_in_order(each).select("pid", "value", "n")
 
@@ -385,7 +384,7 @@ def tn4_split_ratios(spark, sf):
 def tn8_warnings(spark, sf):
     """Violated tuning conditions of each problem's tile."""
     tiles = F.expr("D1 div T_in")
-    return problems(spark, sf).select("pid", F.array_join(tn.warnings(tiles % 3 != 0, D1 % T != 0, T < 2048, tiles < 2, T > 4096), ",").alias("violated"))
+    return problems(spark, sf).select("pid", F.array_join(tn.warnings(tiles % 3 != 0, F.col("D1") % F.col("T_in") != 0, F.col("T_in") < 2048, tiles < 2, F.col("T_in") > 4096), ",").alias("violated"))
 
 
 @query("ag28_near_values")

@@ -31,7 +31,6 @@ def log(spark, sf):
 
 KEYS = ["T", "dev_num", "M", "N", "K", "a_loc", "b_loc", "c_loc"]
 KEY_SQL = ", ".join(KEYS)
-M, N, K = F.col("M"), F.col("N"), F.col("K")
 LOCS = ["a_loc", "b_loc", "c_loc"]
 GROUP_SQL = f"{LOG_SQL}, grp AS (SELECT {KEY_SQL}, imp, avg(timer) AS timer, avg(pred_t) AS pred_t, avg(pred_J) AS pred_J, count(*) AS runs FROM log GROUP BY {KEY_SQL}, imp)"
 
@@ -49,10 +48,10 @@ def prj_gemm_metrics(spark, sf):
     """Work, bytes, rate, energy, power-delay, energy-delay and location code of every run."""
     df = log(spark, sf)
     watts = df.agg(F.avg(F.col("pred_J") / F.col("pred_t") / F.col("dev_num")).alias("watts"))
-    df = df.join(F.broadcast(watts)).withColumn("flops", mt.flops_run(M, N, K))
+    df = df.join(F.broadcast(watts)).withColumn("flops", mt.flops_run(F.col("M"), F.col("N"), F.col("K")))
     joules, perf = mt.energy(F.col("timer"), F.col("watts"), F.col("dev_num")), mt.gflops(F.col("flops"), F.col("timer"))
     return df.select(
-        "seq", "T", "imp", "flops", mt.gemm_bytes(M, N, K).alias("bytes"), r(perf).alias("perf"), r(joules, 9).alias("energy"), r(mt.power_delay(F.col("flops"), joules)).alias("pdp"),
+        "seq", "T", "imp", "flops", mt.gemm_bytes(F.col("M"), F.col("N"), F.col("K")).alias("bytes"), r(perf).alias("perf"), r(joules, 9).alias("energy"), r(mt.power_delay(F.col("flops"), joules)).alias("pdp"),
         r(mt.energy_delay(perf, F.col("watts"), F.col("dev_num")), 4).alias("edp"), mt.location_code(*map(F.col, LOCS)).alias("loc_code"),
     )
 
@@ -62,8 +61,8 @@ floor(cbrt(M::DOUBLE * N * K) / 1000 + 1e-12)::BIGINT AS size, CASE WHEN M = N A
 M::DOUBLE * N * K >= 4096.0::DOUBLE ** 3 AND M >= 1024 AND N >= 1024 AND K >= 1024 AND M::DOUBLE * N * K < 19457.0::DOUBLE ** 3 AS within, M::DOUBLE * N * K <= 9200.0::DOUBLE ** 3 AS small FROM log""")
 def prj_flop_formulas(spark, sf):
     return log(spark, sf).select(
-        "M", "N", "K", mt.flops_run(M, N, K).alias("run"), mt.flops_evaluation(M, N, K).alias("evaluation"), mt.flops_roofline(M, N, K).alias("roofline"),
-        mt.cube_root_size(M, N, K).alias("size"), mt.shape_class(M, N, K).alias("shape"), mt.within_limits(M, N, K).alias("within"), mt.is_small(M, N, K).alias("small"),
+        "M", "N", "K", mt.flops_run(F.col("M"), F.col("N"), F.col("K")).alias("run"), mt.flops_evaluation(F.col("M"), F.col("N"), F.col("K")).alias("evaluation"), mt.flops_roofline(F.col("M"), F.col("N"), F.col("K")).alias("roofline"),
+        mt.cube_root_size(F.col("M"), F.col("N"), F.col("K")).alias("size"), mt.shape_class(F.col("M"), F.col("N"), F.col("K")).alias("shape"), mt.within_limits(F.col("M"), F.col("N"), F.col("K")).alias("within"), mt.is_small(F.col("M"), F.col("N"), F.col("K")).alias("small"),
     ).distinct()
 
 
@@ -71,7 +70,7 @@ def prj_flop_formulas(spark, sf):
 SELECT seq, T, timer, round(greatest(2 * M * N * K / 1e12 / (6.9::DOUBLE * d), h * size / 1e9 / (least(4, d) * 13.0::DOUBLE) + CASE WHEN d > 1 THEN (3 - h) * size / 1e9 / ((d - 1) * 24.0::DOUBLE) ELSE 0 END) / 0.9::DOUBLE, 9) + 0.0 AS seconds FROM d""")
 def prj17_roofline(spark, sf):
     host = F.col("a_loc") + F.col("b_loc") + F.col("c_loc")
-    return log(spark, sf).select("seq", "T", "timer", r(mt.roofline_seconds(M, N, K, F.col("dev_num"), host, 3 - host), 9).alias("seconds"))
+    return log(spark, sf).select("seq", "T", "timer", r(mt.roofline_seconds(F.col("M"), F.col("N"), F.col("K"), F.col("dev_num"), host, 3 - host), 9).alias("seconds"))
 
 
 @query("prj11_errors", f"""WITH {LOG_SQL}, d AS (SELECT imp, 100 * (pred_t - timer) / timer AS pe FROM log)
@@ -128,7 +127,7 @@ SELECT imp, CASE WHEN grouping(small) = 1 THEN 'total' WHEN small THEN 'small' E
 round(count(perf) / sum(1 / perf), 4) + 0.0 AS hmean, round(exp(avg(ln(perf))), 4) + 0.0 AS gmean FROM d GROUP BY GROUPING SETS ((imp, small), (imp))""")
 def ag5_means(spark, sf):
     """Arithmetic, ratio, harmonic and geometric means, for small, large and all problems."""
-    df = log(spark, sf).withColumn("flops", mt.flops_run(M, N, K)).withColumn("perf", mt.gflops(F.col("flops"), F.col("timer"))).withColumn("small", mt.is_small(M, N, K))
+    df = log(spark, sf).withColumn("flops", mt.flops_run(F.col("M"), F.col("N"), F.col("K"))).withColumn("perf", mt.gflops(F.col("flops"), F.col("timer"))).withColumn("small", mt.is_small(F.col("M"), F.col("N"), F.col("K")))
     df = df.groupingSets([["imp", "small"], ["imp"]], "imp", "small").agg(
         F.grouping("small").alias("g"), F.count("*").alias("n"), r(F.avg("perf"), 4).alias("mean"), r(F.avg("flops") / F.avg("timer") / 1e9, 4).alias("ratio_of_means"),
         r(mt.harmonic_mean(F.col("perf")), 4).alias("hmean"), r(mt.geometric_mean(F.col("perf")), 4).alias("gmean"))
@@ -173,7 +172,7 @@ def ag17_error_margin(spark, sf):
 
 @query("ag29_five_numbers", f"WITH {LOG_SQL}, d AS (SELECT imp, 100 * (a_loc + 1) + 10 * (b_loc + 1) + (c_loc + 1) AS loc_code, M * N * (2 * K + 2) / (1e9 * timer) AS perf FROM log) SELECT imp, loc_code, round(min(perf), 4) + 0.0 AS low, round(quantile_cont(perf, 0.25), 4) + 0.0 AS q1, round(quantile_cont(perf, 0.5), 4) + 0.0 AS median, round(quantile_cont(perf, 0.75), 4) + 0.0 AS q3, round(max(perf), 4) + 0.0 AS high FROM d GROUP BY ALL")
 def ag29_five_numbers(spark, sf):
-    df = log(spark, sf).select("imp", mt.location_code(*map(F.col, LOCS)).alias("loc_code"), mt.gflops(mt.flops_run(M, N, K), F.col("timer")).alias("perf"))
+    df = log(spark, sf).select("imp", mt.location_code(*map(F.col, LOCS)).alias("loc_code"), mt.gflops(mt.flops_run(F.col("M"), F.col("N"), F.col("K")), F.col("timer")).alias("perf"))
     q = df.groupBy("imp", "loc_code").agg(F.percentile("perf", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
     return q.select("imp", "loc_code", *(r(F.col("q")[k], 4).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))))
 
@@ -191,7 +190,7 @@ def flt4_grid_semi_join(spark, sf):
 
 @query("flt1_device_counts", f"WITH {LOG_SQL} SELECT dev_num, count(*) AS n, count(*) FILTER (M = N AND N = K) AS square, count(*) FILTER (M::DOUBLE * N * K <= 9200.0::DOUBLE ** 3) AS small FROM log WHERE dev_num IN (1, 2, 4) GROUP BY 1")
 def flt1_device_counts(spark, sf):
-    return log(spark, sf).where(F.col("dev_num").isin(1, 2, 4)).groupBy("dev_num").agg(F.count("*").alias("n"), F.count_if((M == N) & (N == K)).alias("square"), F.count_if(mt.is_small(M, N, K)).alias("small"))
+    return log(spark, sf).where(F.col("dev_num").isin(1, 2, 4)).groupBy("dev_num").agg(F.count("*").alias("n"), F.count_if((F.col("M") == F.col("N")) & (F.col("N") == F.col("K"))).alias("square"), F.count_if(mt.is_small(F.col("M"), F.col("N"), F.col("K"))).alias("small"))
 
 
 D = ["M", "N", "K", "a_loc", "b_loc", "c_loc"]
@@ -229,7 +228,7 @@ def jn4_best_of_two(spark, sf):
 SELECT {KEY_SQL}, imp, round(coalesce(p / b, 1), 6) + 0.0 AS ratio FROM perf LEFT JOIN base USING (M, N, K, a_loc, b_loc, c_loc)""")
 def jn5_ratio_to_baseline(spark, sf):
     """Rate over that of the baseline's last variant; 1 where there is none."""
-    p = grouped(spark, sf).withColumn("p", mt.gflops(mt.flops_run(M, N, K), F.col("timer")))
+    p = grouped(spark, sf).withColumn("p", mt.gflops(mt.flops_run(F.col("M"), F.col("N"), F.col("K")), F.col("timer")))
     base = p.where("imp = 'A' AND T > 512").groupBy(*D).agg(F.max_by("p", F.struct("T", "dev_num")).alias("b"))
     return p.join(base, D, "left").select(*KEYS, "imp", r(F.coalesce(F.col("p") / F.col("b"), F.lit(1.0))).alias("ratio"))
 
@@ -246,5 +245,5 @@ def set1_concat(spark, sf):
 @query("ord3_series", f"WITH {GROUP_SQL} SELECT imp, M, N, K, T, dev_num, a_loc, b_loc, c_loc, row_number() OVER (PARTITION BY imp ORDER BY M * N * K, T, dev_num, M, a_loc, b_loc, c_loc) AS place FROM grp")
 def ord3_series(spark, sf):
     """Each implementation's series in order of problem size."""
-    order = W.partitionBy("imp").orderBy(M * N * K, "T", "dev_num", "M", *LOCS)
+    order = W.partitionBy("imp").orderBy(F.col("M") * F.col("N") * F.col("K"), "T", "dev_num", "M", *LOCS)
     return grouped(spark, sf).select("imp", "M", "N", "K", "T", "dev_num", *LOCS, F.row_number().over(order).alias("place"))
