@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 4 << 20
 
 #: Texts are worked on in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,3 +85,17 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], None]) -> None:
+    """Declares what an operator keeps in this Python worker, and lets go of what others keep.
+
+    Workers outlive their tasks and serve one operator after another.
+    """
+    _caches.setdefault(name, clear)
+    for other, clear_other in _caches.items():
+        if other != name:
+            clear_other()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, fresh, slices, staged
+from tilewright.llm.common import as_bytes, fresh, slices, sole_cache, staged
 
 ORDER = 4
 #: Texts of a language that its model is fitted on, about: the sample's bound.
@@ -316,6 +316,7 @@ _scorers: dict[int, Scorer] = {}
 
 def _scorer(sent) -> Scorer:
     """One scorer in a Python worker for each broadcast model."""
+    sole_cache("langid", _scorers.clear)
     key = id(sent.value)
     if key not in _scorers:
         _scorers.clear()

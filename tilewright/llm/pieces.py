@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import slices
+from tilewright.llm.common import slices, sole_cache
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Segments of at most so many characters are remembered, and so many of them.
-KEPT_LENGTH, KEPT = 48, 400_000
+KEPT_LENGTH, KEPT = 48, 250_000
 #: Remembered answers of the compatibility test.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -193,6 +193,7 @@ _loaded: dict[str, Model] = {}
 
 def _model(data: bytes) -> Model:
     """The model of these bytes, built once in a Python worker."""
+    sole_cache("pieces", _loaded.clear)
     key = hashlib.sha256(data).hexdigest()
     if key not in _loaded:
         _loaded.clear()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, slices
+from tilewright.llm.common import as_bytes, slices, sole_cache
 
 KEY = b"tilewright demonstration key"
 ROUNDS = 8
@@ -282,11 +282,16 @@ def surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep:
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-@lru_cache(2)
-def _maker(key: bytes) -> Surrogates:
+@lru_cache(1)
+def _made(key: bytes) -> Surrogates:
     return Surrogates(key)
 
 
+def _maker(key: bytes) -> Surrogates:
+    sole_cache("pii", _made.cache_clear)
+    return _made(key)
+
+
 def collisions(found: DataFrame) -> DataFrame:
     """``(kind, surrogate_hash, entities)`` of surrogates that stand for several entities, over all rows.
 
