@@ -15,7 +15,7 @@ def bandwidth(ti: Column, tb: Column, tile: int = 2048) -> Column:
 def resolved(edges: DataFrame) -> DataFrame:
     """``bw_shared`` of -1 is the partner link's (``p_dest``, ``p_src``)."""
     p = edges.select(F.col("dest").alias("_d"), F.col("src").alias("_s"), F.col("bw_shared").alias("_b"))
-    joined = edges.join(F.broadcast(p), (F.col("p_dest") == F.col("_d")) & (F.col("p_src") == F.col("_s")), "left")
+    joined = edges.join(p, (F.col("p_dest") == F.col("_d")) & (F.col("p_src") == F.col("_s")), "left")
     return joined.select("dest", "src", "bw", F.when(F.col("bw_shared") == -1, F.col("_b")).otherwise(F.col("bw_shared")).alias("bw_shared"))
 
 
@@ -82,7 +82,7 @@ def rebalanced(transfers: DataFrame, edges: DataFrame, rounds: int = 4, penalty:
     for _ in range(rounds):
         hops = pairs.select(F.explode(F.when(F.col("via").isNull(), F.array(F.struct("dest", "src", "bytes"))).otherwise(
             F.array(F.struct(F.col("via").alias("dest"), "src", "bytes"), F.struct("dest", F.col("via").alias("src"), "bytes")))).alias("h")).select("h.*")
-        load = link_load(hops, edges.where("dest <> src")).persist()
+        load = link_load(hops, edges.where("dest <> src"))
         first = load.select("src", F.col("dest").alias("u"), F.col("eta").alias("e1"))
         second = load.select(F.col("src").alias("u"), "dest", F.col("eta").alias("e2"))
         best = first.join(second, "u").where("src <> dest").groupBy("dest", "src").agg(F.min(F.struct(F.greatest("e1", "e2").alias("e"), "u")).alias("b"))

@@ -21,7 +21,8 @@ def nearest(wanted: DataFrame, lookup: DataFrame, on: list[str] | None = None, t
     """
     on = on or []
     arrays = lookup.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("T", "sec", "w"))).alias("_l"))
-    joined = wanted.join(F.broadcast(arrays), on) if on else wanted.join(F.broadcast(arrays))
+    # without keys it is one row; with keys Spark broadcasts it if its size allows
+    joined = wanted.join(arrays, on) if on else wanted.join(F.broadcast(arrays))
     below = F.filter("_l", lambda x: x["T"] <= F.col(tile))
     hit = F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.element_at("_l", 1))
     return joined.withColumn("_h", hit).select(*wanted.columns, F.col("_h.T").alias("T_near"), F.col("_h.sec").alias("sec_near"), F.col("_h.w").alias("w_near"))

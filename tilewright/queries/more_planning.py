@@ -158,7 +158,7 @@ def src7_link_benchmarks(spark, sf):
 
     path = scratch(spark, "linkbench")
     m = transfer_metrics(trace(spark, sf))
-    rows = m.select(F.format_string("CoCoMemcpy_to-%d_from-%d_1.2.log", "dest", "src").alias("log"), F.lit(64).alias("dim1"), (64 + F.col("event_id") % 7).cast("int").alias("dim2"), F.col("transfer_t"), F.lit(0.01).alias("error"), F.lit(10).alias("reps"), F.lit(1.0).alias("benchmark_t"))
+    rows = m.select(F.format_string("linkbench_to-%d_from-%d_1.2.log", "dest", "src").alias("log"), F.lit(64).alias("dim1"), (64 + F.col("event_id") % 7).cast("int").alias("dim2"), F.col("transfer_t"), F.lit(0.01).alias("error"), F.lit(10).alias("reps"), F.lit(1.0).alias("benchmark_t"))
     rows.repartition("log").write.partitionBy("log").csv(path)
     return logs.read_links(spark, path).select("dest", "src", "dim1", "dim2", "bytes", r("transfer_t", 9).alias("transfer_t"))
 
