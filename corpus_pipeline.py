@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of near copies: words of five, 0.8 alike.
 
-    Fingerprints of 256 bits over five-word shingles, found by meeting balls in bands of them.
+    Fingerprints of 512 bits over five-word shingles, found by meeting balls in bands of them.
     """
     return simhash.keep_one(docs, similar=True).select(*COLUMNS)
 

@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Words of a long fingerprint, and the bits of it that may differ at 0.8 alike (the
 #: expected share at a Jaccard similarity of 0.8 is 0.15, of 0.7 it is 0.19).
-LONG_WORDS, LONG_RADIUS = 4, 46
+LONG_WORDS, LONG_RADIUS = 8, 90
 #: Bits of a band, bands, and bits of a band that may differ.
 BAND_BITS, BANDS, BAND_RADIUS = 24, 16, 2
 #: Fingerprints that a group of a band should have at most, on average.
@@ -312,8 +312,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(id, component_id)`` for every row: near copies of about 0.8 Jaccard similarity and more.
 
     Four bits of 64 are far too few for that, and balls wide enough too large. So the
-    fingerprint has 256 bits, of which bands of 24 are matched by meeting balls (radius 2,
-    every band a shuffle of its own); texts that meet in a band are linked if all 256
+    fingerprint has 512 bits, of which bands of 24 are matched by meeting balls (radius 2,
+    every band a key of its own); texts that meet in a band are linked if all 512
     bits differ in ``radius`` or fewer. Of two texts with 15 % of the bits apart, the
     bands miss 1 in 200. In a run of one variant a text is compared with centres, each
     the first not yet linked, so a group of copies costs its size, not its square.
@@ -326,12 +326,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text")).mapInArrow(_long_fingerprints(shingle), schema)
     rows = staged(rows.withColumn("node", F.xxhash64(*names)), "long_fingerprints")
     nodes = staged(rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in (*names, "bands"))), "long_nodes")
-    lead, count = 2, nodes.count()
+    lead, count = 0, nodes.count()
     while lead < BAND_BITS - 4 and count * (1 + lead) >> lead > BAND_GROUP:
         lead += 2
     flips = F.array(*map(F.lit, [0, *(1 << k for k in range(lead))]))
     sent = nodes.select("node", *names, F.posexplode("bands").alias("band", "word"))
-    sent = sent.select("node", *names, "band", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.shiftrightunsigned("word", BAND_BITS - lead)))).alias("key"))
+    sent = sent.select("node", *names, "band", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.shiftrightunsigned("word", BAND_BITS - lead) if lead else F.lit(0)))).alias("key"))
     edges = sent.groupBy("band", "key").applyInArrow(_similar(lead, radius, SPELLED), "a long, b long").distinct()
     return _labelled(rows.select("id", "node"), nodes.select("node", "least"), edges).select("id", "component_id")
 
