@@ -372,9 +372,11 @@ def tn5_normalised_split(spark, sf):
     return n.select("pid", *(r(F.col("s")[k], 9).alias(f"s{k}") for k in range(4)))
 
 
-@query("tn4_split_ratios")
+@query("tn4_split_ratios", f"""WITH RECURSIVE {PROB_SQL}, k AS (SELECT 0 AS i, pid, score, 1 / 3.0::DOUBLE AS a, 1 / 3.0::DOUBLE AS b, 1 / 3.0::DOUBLE AS c FROM prob UNION ALL
+SELECT i + 1, pid, score, x / (x + y + z), y / (x + y + z), z / (x + y + z) FROM (SELECT *, a / (0.05::DOUBLE + a * score) AS x, b / (0.15::DOUBLE + b * 2 * score) AS y, c / (0.25::DOUBLE + c * 3 * score) AS z FROM k WHERE i < 10))
+SELECT pid, round(a, 9) + 0.0 AS s0, round(b, 9) + 0.0 AS s1, round(c, 9) + 0.0 AS s2 FROM k WHERE i = 10""")
 def tn4_split_ratios(spark, sf):
-    """Ten fixed-point steps of the units' shares; checked against a loop in tests."""
+    """Ten fixed-point steps of the units' shares."""
     unit = lambda k: F.struct((F.lit(1.0 + k) * F.col("score")).alias("t"), F.lit(0.1 * k + 0.05).alias("fixed"))
     shares = problems(spark, sf).select("pid", tn.split_ratios(F.array(*map(unit, range(3)))).alias("s"))
     return shares.select("pid", *(r(F.col("s")[k], 9).alias(f"s{k}") for k in range(3)))
@@ -387,9 +389,14 @@ def tn8_warnings(spark, sf):
     return problems(spark, sf).select("pid", F.array_join(tn.warnings(tiles % 3 != 0, F.col("D1") % F.col("T_in") != 0, F.col("T_in") < 2048, tiles < 2, F.col("T_in") > 4096), ",").alias("violated"))
 
 
-@query("ag28_near_values")
+@query("ag28_near_values", """WITH RECURSIVE v AS (SELECT p_brand, p_size, p_retailprice AS x, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice) AS k FROM part),
+piv AS (SELECT p_brand, p_size, min(x) AS pv FROM v GROUP BY ALL UNION ALL
+SELECT p.p_brand, p.p_size, (SELECT min(x) FROM v WHERE v.p_brand = p.p_brand AND v.p_size = p.p_size AND x > pv AND abs(x - pv) > 0.05::DOUBLE * abs(pv)) FROM piv p WHERE pv IS NOT NULL),
+g AS (SELECT v.*, (SELECT max(pv) FROM piv pp WHERE pp.p_brand = v.p_brand AND pp.p_size = v.p_size AND pv <= x) AS pv FROM v),
+a AS (SELECT *, round(avg(x) OVER (PARTITION BY p_brand, p_size, pv), 6) AS y FROM g)
+SELECT p_brand, p_size, string_agg(y::VARCHAR, ',' ORDER BY k) AS averaged FROM a GROUP BY ALL""")
 def ag28_near_values(spark, sf):
-    """Prices of each brand's parts, values within 5 % of a pivot averaged; checked against a loop in tests."""
+    """Prices of each brand's parts, values within 5 % of a pivot averaged."""
     from tilewright.functions.metrics import near_groups
 
     g = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_list("p_retailprice")).alias("v"))
