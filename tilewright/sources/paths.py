@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -12,8 +16,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; where that is unset, on a local master only, in a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_dir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="tilewright-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
