@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,12 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     machine is taken.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tilewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="tilewright-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
