@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, slices
+from tilewright.llm.common import as_bytes, bound_batches, slices
 
 #: Samples in a row, and rows in a frame at most.
 WIDTH, ROWS = 64, 16
@@ -235,7 +235,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, n_bytes, media)``: every text's bytes as an AVI file; null is the empty text."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text"))
-    return rows.mapInArrow(_encoded, f"id {kind}, n_bytes long, media binary")
+    return bound_batches(rows).mapInArrow(_encoded, f"id {kind}, n_bytes long, media binary")
 
 
 CLIPS = "array<struct<clip:int,first_frame:int,frames:int,begin_s:double,end_s:double,mean:double,sha256:string>>"
@@ -283,7 +283,7 @@ def decode_media(media: DataFrame) -> DataFrame:
     """
     kind = media.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, clips {CLIPS}, error string"
-    return media.select("id", "n_bytes", "media").mapInArrow(_decoded, schema)
+    return bound_batches(media.select("id", "n_bytes", "media")).mapInArrow(_decoded, schema)
 
 
 def clip_rows(decoded: DataFrame) -> DataFrame:

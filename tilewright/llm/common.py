@@ -14,10 +14,26 @@ from tilewright.sources.paths import scratch
 #: A staged table of at most so many stored bytes may be broadcast.
 BROADCAST_BYTES = 4 << 20
 
+#: Rows of texts sent to Python at a time.
+BATCH_ROWS = 1000
+
 #: Texts are worked on in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends at most ``BATCH_ROWS`` rows to Python at a time from now on.
+
+    Spark bounds its Arrow batches by rows alone, and the usual 10,000 whole texts are
+    tens of megabytes, several times over, in each task. A smaller setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, fresh, slices, sole_cache, staged
+from tilewright.llm.common import as_bytes, bound_batches, fresh, slices, sole_cache, staged
 
 ORDER = 4
 #: Texts of a language that its model is fitted on, about: the sample's bound.
@@ -212,7 +212,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not counts:
         return None
     sample = staged(rows.where(_fraction(F.col("lang"), counts, most)).select("lang", "text"), "labelled")
-    grams = sample.mapInArrow(_counted(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    grams = bound_batches(sample).mapInArrow(_counted(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     by_lang: dict[str, dict[str, int]] = {}
     for lang, gram, n in zip(*(grams.column(c).to_pylist() for c in ("lang", "gram", "n"))):
         by_lang.setdefault(lang, {})[gram] = n
@@ -230,7 +230,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             h = -sums[np.arange(len(n)), place] / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(h)], ["lang", "n", "h"])
 
-    measured = staged(sample.mapInArrow(measure, "lang string, n double, h double").where("n > 0"), "measured")
+    measured = staged(bound_batches(sample).mapInArrow(measure, "lang string, n double, h double").where("n > 0"), "measured")
     limits = np.zeros((len(models.langs), 3))
     mean = measured.groupBy("lang").agg((F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("m"))
     spread = measured.join(F.broadcast(mean), "lang").groupBy("lang").agg(
@@ -308,7 +308,7 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
                 found = scorer.predict(texts, reject_at)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, found)], [*names, "lang_pred", "score", "rejected"])
 
-    return docs.select(*names, as_bytes(text_col, column)).mapInArrow(run, schema)
+    return bound_batches(docs.select(*names, as_bytes(text_col, column))).mapInArrow(run, schema)
 
 
 _scorers: dict[int, Scorer] = {}

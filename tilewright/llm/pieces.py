@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import slices, sole_cache
+from tilewright.llm.common import bound_batches, slices, sole_cache
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             ids = [[*m.encode(_text(x)), m.end] for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    return bound_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))).mapInArrow(run, f"id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
@@ -245,7 +245,7 @@ def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
                 part = batch.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([m.decode(x.as_py() or []) for x in part.column("ids")], pa.string())], ["id", "text"])
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, text string")
+    return bound_batches(encoded.select("id", "ids")).mapInArrow(run, f"id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None) -> DataFrame:
@@ -269,4 +269,4 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(texts)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bound_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, slices, sole_cache
+from tilewright.llm.common import as_bytes, bound_batches, slices, sole_cache
 
 KEY = b"tilewright demonstration key"
 ROUNDS = 8
@@ -279,7 +279,7 @@ def surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, ENTITY_TYPE)], [*names, "entities"])
 
     columns = [as_bytes(text_col) if c == text_col else F.col(c) for c in names]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return bound_batches(docs.select(*columns)).mapInArrow(run, schema)
 
 
 @lru_cache(1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, slices, small_side, staged
+from tilewright.llm.common import as_bytes, bound_batches, slices, small_side, staged
 
 BLANK = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -60,7 +60,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, host_col)]
     schema = f"id {kinds[0]}, host {kinds[1]}, " + ", ".join(f"{c} long" for c in COUNTS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), as_bytes(text_col, "text"))
-    return rows.mapInArrow(_counted, schema).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return bound_batches(rows).mapInArrow(_counted, schema).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def host_rates(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, fresh, slices, small_side, staged
+from tilewright.llm.common import as_bytes, bound_batches, fresh, slices, small_side, staged
 from tilewright.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -74,7 +74,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``(id, fp)`` for every row; ``fp`` holds the 64 bits as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text")).mapInArrow(_fingerprints(shingle), f"id {kind}, fp long")
+    return bound_batches(docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text"))).mapInArrow(_fingerprints(shingle), f"id {kind}, fp long")
 
 
 def _masks(bits: range, most: int) -> list[np.ndarray]:
@@ -323,7 +323,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [f"w{k}" for k in range(LONG_WORDS)]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{w} long" for w in names) + ", bands array<int>"
-    rows = docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text")).mapInArrow(_long_fingerprints(shingle), schema)
+    rows = bound_batches(docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text"))).mapInArrow(_long_fingerprints(shingle), schema)
     rows = staged(rows.withColumn("node", F.xxhash64(*names)), "long_fingerprints")
     nodes = staged(rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in (*names, "bands"))), "long_nodes")
     lead, count = 0, nodes.count()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, slices, small_side, staged
+from tilewright.llm.common import as_bytes, bound_batches, slices, small_side, staged
 from tilewright.sources.paths import scratch
 
 MAGIC = b"\x1f\x8b\x08"
@@ -196,7 +196,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows = rows.join(small_side(repeated), F.col("key") == F.col("seen"), "left")
     other = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = rows.select(F.col("id").cast("string").alias("page"), "url", "payload", F.when(other, F.col("first").cast("string")).alias("first"))
-    members = rows.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
+    members = bound_batches(rows).mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
     members.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", file_records).text(path)
 
 
@@ -241,7 +241,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     for; its ``payload`` is null. Files without a byte give no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_records(payloads), SCHEMA)
+    return bound_batches(files).mapInArrow(_records(payloads), SCHEMA)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
