@@ -25,8 +25,10 @@ from tilewright.llm.common import bound_batches, slices, sole_cache
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments of at most so many characters are remembered, and so many of them.
-KEPT_LENGTH, KEPT = 48, 250_000
+#: A single letter, as the segments are cut.
+LETTER = re.compile(r"[^\W\d_]").match
+#: Segments of at most so many characters are remembered: so many, and as many that were before.
+KEPT_LENGTH, KEPT = 48, 160_000
 #: Remembered answers of the compatibility test.
 KEPT_PAIRS = 300_000
 
@@ -94,13 +96,18 @@ class Model:
                 self.automaton.add_word(piece, (self.ids[piece], len(piece)))
                 joined.update(piece)
         self.automaton.make_automaton()
-        #: No piece goes on with a space after another character: texts fall apart there.
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: No piece goes on with a space after another character, or from letters to
+        #: others or back: texts fall apart there, as no merge can cross.
+        inner = {(x, y) for p in self.ids for x, y in zip(p, p[1:]) if x != SPACE}
+        self.by_word = not any(y == SPACE for _, y in inner)
+        by_kind = not any(bool(LETTER(x)) != bool(LETTER(y)) for x, y in inner)
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
-        self.segment = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        words = rf"[^\W\d_]+|(?:[^\w{SPACE}{alone}]|[\d_])+" if by_kind else f"[^{SPACE}{alone}]+"
+        self.segment = re.compile((f"[{alone}]|" if alone else "") + f"{SPACE}*(?:{words})|{SPACE}+").findall
         self.sizes = list(map(len, self.pieces))
         self.fits: dict[int, bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The definition, for short texts: join the best-scored neighbours, leftmost first."""
@@ -124,21 +131,24 @@ class Model:
     def tokens(self, text: str) -> list[int]:
         """Tokens of a segment by the prefix table; characters outside the pieces get numbers beyond them."""
         ids, beyond, fits = self.ids, len(self.pieces), self.fits
-        last = [0]
+        last, done, known_of = [0], 1, fits.get  # last[k]: the last token of the first k characters, for k < done
         single = [ids[c] if c in ids else beyond + ord(c) for c in text]
         for end, (piece, size) in self.automaton.iter(text):
-            if (k := len(last)) > end + 1:  # found already
-                continue
-            if k <= end:
-                last += single[k - 1 : end]
-            key = last[end + 1 - size] << 21 | piece
-            known = fits.get(key)
+            if done > end:
+                if done > end + 1:  # its last token is found already
+                    continue
+            else:
+                last += single[done - 1 : end]
+                done = end + 1
+            left = last[done - size]
+            known = known_of(left << 21 | piece)
             if known is None:
                 if len(fits) >= KEPT_PAIRS:
                     fits.clear()
-                known = fits[key] = self.compatible(last[end + 1 - size], piece)
+                known = fits[left << 21 | piece] = self.compatible(left, piece)
             if known:
                 last.append(piece)
+                done += 1
         last += single[len(last) - 1 :]
         out, at, sizes = [], len(text), self.sizes
         while at:
@@ -166,10 +176,11 @@ class Model:
         for part in self.segment(text) if self.by_word else [text]:
             ids = kept.get(part)
             if ids is None:
-                ids = self.segment_ids(part)
+                ids = self.older.get(part) or self.segment_ids(part)
                 if len(part) <= KEPT_LENGTH:
                     if len(kept) >= KEPT:
-                        kept.clear()
+                        self.older, self.kept = kept, {}
+                        kept = self.kept
                     kept[part] = ids
             out += ids
         return out
