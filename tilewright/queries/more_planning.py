@@ -36,12 +36,12 @@ def cm17_hetero_reuse(spark, sf):
 
 
 @query("cm18_lower_levels", f"""WITH {pl.NEAR_SQL}, lo AS (SELECT sec AS lo_t, T AS lo_T FROM (SELECT T, t_s AS sec FROM lookup ORDER BY T LIMIT 1))
-SELECT pid, round(n.sec_near / T_near * D1 * 1e6, 4) + 0.0 AS level1_us, round(n.sec_near / T_near * D1 / T_near * D2 * 1e6, 4) + 0.0 AS level2_us, least(4096, 256, D1) AS tile_compat, least(4096, D1) AS tile FROM near n""".replace(", lo AS (SELECT sec AS lo_t, T AS lo_T FROM (SELECT T, t_s AS sec FROM lookup ORDER BY T LIMIT 1))", ""))
+SELECT pid, round(n.sec_near / T_near * D1 * 1e6, 4) + 0.0 AS level1_us, round(n.sec_near / T_near * D1 / T_near * D2 * 1e6, 4) + 0.0 AS level2_us, least(4096, 256, D1)::BIGINT AS tile_compat, least(4096, D1)::BIGINT AS tile FROM near n""".replace(", lo AS (SELECT sec AS lo_t, T AS lo_T FROM (SELECT T, t_s AS sec FROM lookup ORDER BY T LIMIT 1))", ""))
 def cm18_lower_levels(spark, sf):
     """Vector and matrix-vector problems from one tile; the level-1 tile with and without its slip."""
     n = pl.near(spark, sf)
     us = lambda level: r(cm.tile_time(F.col("sec_near"), F.col("T_near"), level, F.col("D1"), F.col("D2"), F.col("D3")) * 1e6, 4)
-    return n.select("pid", us(1).alias("level1_us"), us(2).alias("level2_us"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1")).alias("tile_compat"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1"), False).alias("tile"))
+    return n.select("pid", us(1).alias("level1_us"), us(2).alias("level2_us"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1")).cast("long").alias("tile_compat"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1"), False).alias("tile"))
 
 
 @query("cm22_stream_bytes", f"WITH {pl.PROB_SQL}, s AS (SELECT pid, [8 * D1 * D3, 8 * D3 * D2, 8 * D1 * D2] AS s, [loc_a > 0, loc_b > 0, loc_c > 0] AS f FROM prob) SELECT pid, list_sum(s)::BIGINT AS all_, list_sum([CASE WHEN f[1] THEN s[1] ELSE 0 END, CASE WHEN f[2] THEN s[2] ELSE 0 END, CASE WHEN f[3] THEN s[3] ELSE 0 END])::BIGINT AS remote, list_sum(list_transform(s, lambda x: ceil(x / 1000000.0)::BIGINT * 1000000))::BIGINT AS tiles FROM s")
@@ -109,7 +109,7 @@ def flt3_location_triples(spark, sf):
     return df.groupBy("a_loc", "b_loc", "c_loc").agg(F.count_if(mt.shape_class(c("M"), c("N"), c("K")) == "thin-fat").alias("thin_fat"), F.count("*").alias("runs"))
 
 
-@query("ord2_labelled_order", f"WITH {LOG_SQL}, g AS (SELECT imp, 100 * (a_loc + 1) + 10 * (b_loc + 1) + (c_loc + 1) AS loc, count(*) AS runs FROM log GROUP BY ALL) SELECT row_number() OVER (ORDER BY imp, loc) AS place, imp, loc, runs FROM g")
+@query("ord2_labelled_order", f"WITH {LOG_SQL}, g AS (SELECT imp, 100 * (a_loc + 1) + 10 * (b_loc + 1) + (c_loc + 1) AS loc, count(*) AS runs FROM log GROUP BY ALL) SELECT row_number() OVER (ORDER BY imp, loc)::INT AS place, imp, loc, runs FROM g")
 def ord2_labelled_order(spark, sf):
     """Groups in order of implementation and location."""
     g = log(spark, sf).groupBy("imp", mt.location_code(F.col("a_loc"), F.col("b_loc"), F.col("c_loc")).alias("loc")).agg(F.count("*").alias("runs"))

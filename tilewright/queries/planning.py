@@ -238,7 +238,7 @@ def lm6_residual_slowdown(spark, sf):
 
 SL_SQL = """(CASE WHEN bl // u > 0 THEN (bl % u)::DOUBLE / (bl // u) * u ELSE bl::DOUBLE / u END) + (CASE WHEN D1 % T <> 0 THEN 1.0 / greatest(D1 // T, 1) ELSE 0 END) + (CASE WHEN D2 % T <> 0 THEN 1.0 / greatest(D2 // T, 1) ELSE 0 END) + (CASE WHEN D3 % T <> 0 THEN 1.0 / greatest(D3 // T, 1) ELSE 0 END)
 + (CASE WHEN T < 2048 THEN 2048.0::DOUBLE / T * 0.2 ELSE 0 END) + (CASE WHEN k = 0 THEN 'inf'::DOUBLE ELSE 2.0::DOUBLE / greatest(k, 1) + CASE WHEN k > 512 THEN k / 512.0::DOUBLE * 0.1 ELSE 0 END END) + (CASE WHEN T > 4096 THEN (T // 4096) * 0.1 ELSE 0 END)"""
-TILE_SQL = f"""{PROB_SQL}, kinds AS (SELECT DISTINCT D1 // 8 AS D1, D2 // 8 AS D2, D3 // 8 AS D3, (1 + unit) AS u FROM prob), ts AS (SELECT *, unnest(range(1, least(D1, D2, D3) + 1)) AS T FROM kinds),
+TILE_SQL = f"""{PROB_SQL}, kinds AS (SELECT DISTINCT (D1 // 8)::BIGINT AS D1, D2 // 8 AS D2, D3 // 8 AS D3, (1 + unit)::BIGINT AS u FROM prob), ts AS (SELECT *, unnest(range(1, least(D1, D2, D3) + 1)) AS T FROM kinds),
 b AS (SELECT *, ceil(D1::DOUBLE / T)::BIGINT * ceil(D2::DOUBLE / T)::BIGINT AS bl, ceil(D1::DOUBLE / T)::BIGINT * ceil(D2::DOUBLE / T)::BIGINT * ceil(D3::DOUBLE / T)::BIGINT // u AS k FROM ts), sl AS (SELECT D1, D2, D3, u, T, round({SL_SQL}, 9) AS sl FROM b)"""
 
 

@@ -242,7 +242,7 @@ def set1_concat(spark, sf):
     return x.unionByName(y, allowMissingColumns=True).groupBy("imp", "T").agg(F.count("*").alias("n"), F.count("pred_t").alias("n_pred"), r(F.sum("timer"), 4).alias("t"))
 
 
-@query("ord3_series", f"WITH {GROUP_SQL} SELECT imp, M, N, K, T, dev_num, a_loc, b_loc, c_loc, row_number() OVER (PARTITION BY imp ORDER BY M * N * K, T, dev_num, M, a_loc, b_loc, c_loc) AS place FROM grp")
+@query("ord3_series", f"WITH {GROUP_SQL} SELECT imp, M, N, K, T, dev_num, a_loc, b_loc, c_loc, row_number() OVER (PARTITION BY imp ORDER BY M * N * K, T, dev_num, M, a_loc, b_loc, c_loc)::INT AS place FROM grp")
 def ord3_series(spark, sf):
     """Each implementation's series in order of problem size."""
     order = W.partitionBy("imp").orderBy(F.col("M") * F.col("N") * F.col("K"), "T", "dev_num", "M", *LOCS)

@@ -10,7 +10,7 @@ from tilewright.queries.registry import query, r, table
 TRACE_SQL = """trace AS (SELECT event_id, (user_id % 9)::INT - 1 AS src, (event_id % 9)::INT - 1 AS dest,
   CASE WHEN event_id % 3 = 0 THEN '[ ' || ((user_id % 9)::INT - 1) || ' ' || ((event_id // 9) % 8) || ' ' || ((event_id % 9)::INT - 1) || ' ]'
        ELSE '[ ' || ((user_id % 9)::INT - 1) || ' ' || ((event_id % 9)::INT - 1) || ' ]' END AS route, event_id % 3 = 0 AS routed,
-  33554432 AS bytes, event_id / 1024.0::DOUBLE AS fire_t, event_id / 1024.0::DOUBLE + 0.125 AS sced_t, event_id / 1024.0::DOUBLE + 0.125 + value / 65536 AS complete_t FROM events),
+  33554432::BIGINT AS bytes, event_id / 1024.0::DOUBLE AS fire_t, event_id / 1024.0::DOUBLE + 0.125 AS sced_t, event_id / 1024.0::DOUBLE + 0.125 + value / 65536 AS complete_t FROM events),
 m AS (SELECT *, complete_t - fire_t AS pipe_t, complete_t - sced_t AS transfer_t, bytes / (complete_t - sced_t) / 1e9 AS gbs FROM trace)"""
 HOPS_SQL = f"""{TRACE_SQL}, n AS (SELECT *, list_transform(string_split(trim(replace(replace(route, '[', ''), ']', '')), ' '), lambda x: x::INT) AS nodes FROM m),
 hops AS (SELECT event_id, h - 1 AS hop, nodes[h] AS src, nodes[h + 1] AS dest, gbs, bytes FROM n, range(1, 3) r(h) WHERE routed AND h < len(nodes)),
