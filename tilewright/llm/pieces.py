@@ -11,10 +11,12 @@ linear in the text but for the number of matches at a place.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +30,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A single letter, as the segments are cut.
 LETTER = re.compile(r"[^\W\d_]").match
 #: Segments of at most so many characters are remembered: so many, and as many that were before.
-KEPT_LENGTH, KEPT = 48, 160_000
+KEPT_LENGTH, KEPT = 48, 240_000
 #: Remembered answers of the compatibility test.
 KEPT_PAIRS = 300_000
 
@@ -222,6 +224,16 @@ def model_bytes(path: str | None = None) -> bytes:
         return file.read()
 
 
+@contextmanager
+def _no_gc() -> Iterator[None]:
+    """Without looking for reference cycles: none are made, and what is kept is large to look through."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _text(value) -> str:
     return (value.as_py() or b"").decode(errors="replace")
 
@@ -238,7 +250,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(sent.value)
         for batch in slices(batches, "text"):
-            ids = [[*m.encode(_text(x)), m.end] for x in batch.column("text")]
+            with _no_gc():
+                ids = [[*m.encode(_text(x)), m.end] for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     return bound_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))).mapInArrow(run, f"id {kind}, ids array<int>")
@@ -272,12 +285,13 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         digits = list(map(str, range(len(m.pieces))))
         for batch in slices(batches, "text"):
             counts, hashes, texts = [], [], []
-            for x in batch.column("text"):
-                ids = m.encode(_text(x))
-                ids.append(m.end)
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                texts.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
+            with _no_gc():
+                for x in batch.column("text"):
+                    ids = m.encode(_text(x))
+                    ids.append(m.end)
+                    counts.append(len(ids))
+                    hashes.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    texts.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(texts)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return bound_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
