@@ -24,3 +24,18 @@ def test_families(spark):
     unknown = spark.createDataFrame([(1, "Distributed under the Artistic License.")], "doc_id long, text string")
     assert licences.scan(unknown).first().licences == ["unknown"]
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+def test_lines_without_a_marker_are_classified(spark):
+    texts = {
+        1: ("Released under the MIT licence", {"MIT"}), 2: ("modification, are permitted provided that the following conditions are met:", {"BSD", "unknown"}),
+        4: ("Er ging mit dem Hund nach Hause.", set()),
+        5: ("Im Zug saß er mit dem Hund, " * 3000, set()),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    for r in licences.scan(docs).collect():
+        want = texts[r.id][1]
+        assert set(r.licences) <= want and bool(r.licences) == bool(want), r
+    each = ["This program is free software: you can redistribute it and/or modify", "it is of no use to them", "", 'of this software and associated documentation files (the "Software"), to deal', "mit", "it was theirs"]
+    docs = spark.createDataFrame([(1, "\n".join(each))], "doc_id long, text string")
+    assert sorted(r.line for r in licences.lines(docs, "doc_id", "text", licences.anchors()).collect()) == [0, 3, 4]

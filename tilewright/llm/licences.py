@@ -5,9 +5,8 @@ in the templates and aren't made of stop words alone; a multinomial logistic reg
 over them tells the licence families and ``none`` apart. It is trained on the
 templates, mutilated in fixed ways, and on a bounded sample of the corpus's lines.
 
-Only lines with a marker go to it: markers are a few words such that every template
-has one (a greedy hitting set). Looking for them is a plain substring search over whole
-texts; the rest of the work is on the few texts that have one.
+A line none of whose words is a template's has no feature at all, so it is left out
+early, exactly; every other line goes to the classifier.
 
 A family needs a probability above a cut calibrated on held-out mutilations and its
 template's words must be there; a line that the classifier takes for a licence but
@@ -17,7 +16,6 @@ that fails either test is ``unknown``.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -135,17 +133,26 @@ def markers() -> list[str]:
     return found
 
 
-def marked(text: Column, words: list[str]) -> Column:
-    """Whether a text has one of the words, in any case, also inside others; null has none."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+def anchors() -> list[str]:
+    """Words without which a line has no feature: those of the features, stop words left out."""
+    return sorted({w for g in vocabulary() for w in g.split()} - STOP)
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column more, computed once a row.
+
+    A generator's output: later filters are not moved below it. Else the filter on the
+    classifier's result would hold the whole chain spelled out, and cut a line into
+    words again for each of its grams.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """``(id, line, text)``: a row for each line that has one of the words."""
-    docs = docs.where(marked(F.col(text_col), words))
+    """``(id, line, words)``: a row for each line that has one of ``words`` among its own."""
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
-    return each.where(marked(F.col("text"), words))
+    cut = once(each, "words", tokens(F.col("text"))).drop("text")
+    return cut.where(F.arrays_overlap("words", F.array(*map(F.lit, words))))
 
 
 class Scanner:
@@ -155,7 +162,7 @@ class Scanner:
         self.families = sorted(TEMPLATES)
         self.labels = [*self.families, NONE, UNKNOWN]
         self.vocabulary = vocabulary()
-        self.markers = markers()
+        self.anchors = anchors()
         rows = [(t, self.labels.index(f), k) for f in self.families for x in TEMPLATES[f] for k, t in enumerate(_mutilated(x))]
         rows += [(t, self.labels.index(UNKNOWN), k) for x in OTHER for k, t in enumerate(_mutilated(x))]
         known = spark.createDataFrame(rows, "text string, label int, k int")
@@ -164,10 +171,14 @@ class Scanner:
         negatives = spark.createDataFrame(plain, known.schema)
         if sample is not None:
             # licence lines in the sample are told apart by their word, not taken for prose
+            # and by being mostly made of the templates' words
+            own, known_words = F.array_except(tokens(F.col("text")), F.array(*map(F.lit, sorted(STOP)))), F.array(*map(F.lit, self.anchors))
+            shared = F.size(F.array_intersect(own, known_words))
+            sample = sample.where((shared < 3) | (2 * shared <= F.size(own)))
             clean = sample.where(~F.lower("text").rlike("licen|copyright|redistribut|warrant|creative commons|gnu|spdx")).select("text", F.lit(none).alias("label"), F.lit(0).alias("k"))
             negatives = negatives.unionByName(clean)
         # a few thousand rows by the sample's bound: one partition, read in every iteration
-        data = self._vectors(known.unionByName(negatives)).select("features", "label", "k").coalesce(1).persist()
+        data = self._vectors(known.unionByName(negatives).withColumn("words", tokens(F.col("text")))).select("features", "label", "k").coalesce(1).persist()
         fit = LogisticRegression(maxIter=40, regParam=0.001, family="multinomial", featuresCol="features", labelCol="label")
         model = fit.fit(data.where("k % 4 <> 3"))
         held = model.transform(data.where(f"k % 4 = 3 AND label < {len(self.families)}"))
@@ -180,10 +191,10 @@ class Scanner:
     def _vectors(self, rows: DataFrame) -> DataFrame:
         counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="grams", outputCol="features")
         counter = counter.setBinary(True) if hasattr(counter, "setBinary") else counter
-        return counter.transform(rows.withColumn("words", tokens(F.col("text"))).withColumn("grams", grams(F.col("words"))))
+        return counter.transform(once(rows, "grams", grams(F.col("words"))))
 
     def scan(self, rows: DataFrame) -> DataFrame:
-        """``(id, line, family, probability, overlap)`` for lines that are licences."""
+        """``(id, line, family, probability, overlap)`` for those of :func:`lines` that are licences."""
         scored = self.model.transform(self._vectors(rows)).withColumn("p", vector_to_array("probability"))
         label = F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)
         found = scored.select("id", "line", "words", label.alias("best"), F.array_max("p").alias("probability")).where(F.col("best") != NONE)
@@ -217,7 +228,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanne
     columns don't matter. Empty in, empty out.
     """
     scanner = scanner or train(docs, id_col, text_col)
-    hits = staged(scanner.scan(lines(docs, id_col, text_col, scanner.markers)), "licence_hits")
+    hits = staged(scanner.scan(lines(docs, id_col, text_col, scanner.anchors)), "licence_hits")
     by_id = hits.groupBy("id").agg(F.array_sort(F.collect_set("family")).alias("found"), F.countDistinct("line").alias("n"), F.max("probability").alias("p"))
     by_id = staged(by_id.withColumnRenamed("id", "_id"), "licence_ids")
     joined = docs.select(F.col(id_col).alias("id")).join(small_side(by_id), F.col("id").eqNullSafe(F.col("_id")), "left")
