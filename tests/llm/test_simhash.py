@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from tilewright.llm import simhash
 from tilewright.llm.components import components
 from tilewright.llm.simhash import _linked, fingerprint, keep_one, near_duplicates, similar_texts
 
@@ -138,3 +139,17 @@ def test_similar_texts_join_near_copies_and_no_others(spark):
     assert all(len(g) == 1 for g in groups.values())
     assert len(set().union(*groups.values())) == 120
     assert similar_texts(docs.limit(0)).count() == 0
+
+
+def test_texts_that_meet_are_joined_or_compared():
+    rng = np.random.default_rng(8)
+    for size in (5, 40, 300):
+        points = rng.integers(0, 60, size)
+        near = lambda a, b: abs(points[a] - points[b]) <= 1  # noqa: B023, E731
+        meeting = simhash._Meeting(size, near)
+        order = rng.permutation(size)
+        meeting.add(order, np.zeros(size, np.int64))
+        root = simhash._forest(size, meeting.found)
+        for i in range(size):
+            assert all(root[i] == root[j] for j in range(i) if near(i, j))
+        assert len(meeting.found) == 1 or size <= simhash.SMALL_RUN

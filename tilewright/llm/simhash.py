@@ -220,6 +220,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 LONG_WORDS, LONG_RADIUS = 8, 90
 #: Bits of a band, bands, and bits of a band that may differ.
 BAND_BITS, BANDS, BAND_RADIUS = 24, 16, 2
+#: Runs of so many texts at most are compared all with all, at once.
+SMALL_RUN = 16
+#: Pairs compared at a time.
+PAIRS = 1 << 16
 #: Fingerprints that a group of a band should have at most, on average.
 BAND_GROUP = 1 << 18
 
@@ -284,6 +288,80 @@ def _long_fingerprints(shingle: int):
     return run
 
 
+def _reached(labels: np.ndarray, hits) -> Iterator[tuple[int, int]]:
+    """Links by which every two places are in one component, or were compared and aren't alike.
+
+    Places of one label are in one component already. ``hits(front, rest)`` gives for
+    each place of ``rest`` a place of ``front`` that it is alike, or -1. What a component
+    has reached is compared with all that is left, also when it was reached late.
+    """
+    left = np.arange(len(labels))
+    while len(left):
+        front = left[labels[left] == labels[left[0]]]
+        left = left[labels[left] != labels[left[0]]]
+        while len(front) and len(left):
+            by = hits(front, left)
+            yield from zip(by[by >= 0].tolist(), left[by >= 0].tolist())
+            moved = np.isin(labels[left], labels[left[by >= 0]])
+            front, left = left[moved], left[~moved]
+
+
+def _hits_of_pairs(near, members: np.ndarray):
+    """``hits`` for :func:`_reached` from a test of pairs, in blocks."""
+
+    def hits(front: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        by = np.full(len(rest), -1)
+        at = 0
+        while at < len(front) and len(open_ := np.flatnonzero(by < 0)):
+            some = front[at : at + max(1, PAIRS // len(open_))]
+            for k in range(0, len(open_), PAIRS):
+                part = open_[k : k + PAIRS]
+                found = near(np.repeat(members[some], len(part)), np.tile(members[rest[part]], len(some))).reshape(len(some), len(part))
+                by[part] = np.where(found.any(axis=0), some[found.argmax(axis=0)], -1)
+            at += len(some)
+        return by
+
+    return hits
+
+
+class _Meeting:
+    """Links among ``n`` places that meet in runs; ``near`` tells of arrays of pairs which are alike."""
+
+    def __init__(self, n: int, near):
+        self.n, self.near, self.found, self.parent = n, near, [], {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def add(self, owners: np.ndarray, runs: np.ndarray) -> None:
+        """Every two owners of a run are tested, unless links found before join them."""
+        begins = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+        sizes = np.diff(np.append(begins, len(runs)))
+        small = np.repeat(sizes <= SMALL_RUN, sizes)
+        o, r = owners[small], runs[small]
+        for step in range(1, SMALL_RUN):
+            same = r[step:] == r[:-step]
+            if not same.any():
+                break
+            a, b = o[step:][same].astype(np.int64), o[:-step][same]
+            pairs = np.unique(np.minimum(a, b) * self.n + np.maximum(a, b))
+            a, b = pairs // self.n, pairs % self.n
+            for k in range(0, len(pairs), PAIRS):
+                near = self.near(a[k : k + PAIRS], b[k : k + PAIRS])
+                self.found.append((a[k : k + PAIRS][near], b[k : k + PAIRS][near]))
+        for begin, size in zip(begins[sizes > SMALL_RUN].tolist(), sizes[sizes > SMALL_RUN].tolist()):
+            members = np.unique(owners[begin : begin + size])
+            labels = np.array([self.root(x) for x in members.tolist()])
+            links = [(members[a], members[b]) for a, b in _reached(labels, _hits_of_pairs(self.near, members))]
+            for a, b in links:
+                self.parent[self.root(int(a))] = self.root(int(b))
+            if links:
+                self.found.append(tuple(np.array(x, np.int64) for x in zip(*links)))
+
+
 def _similar(lead: int, radius: int, spelled: int):
     places, masks, half = band_places(), {}, BAND_RADIUS // 2
 
@@ -291,19 +369,11 @@ def _similar(lead: int, radius: int, spelled: int):
         band, key = group.column("band")[0].as_py(), group.column("key")[0].as_py()
         ids, first = np.unique(group.column("node").to_numpy(), return_index=True)
         fps = np.stack([group.column(f"w{k}").to_numpy()[first].view(np.uint64) for k in range(LONG_WORDS)], axis=1)
-        words, found = _band_words(_bits(fps), places[band]), []
+        words = _band_words(_bits(fps), places[band])
+        meeting = _Meeting(len(ids), lambda a, b: np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= radius)
         for owners, runs in _spelled(words, key, lead, half, BAND_BITS, masks, spelled):
-            while len(owners):
-                begins = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
-                sizes = np.diff(np.append(begins, len(runs)))
-                centre = np.repeat(owners[begins], sizes)
-                near = np.bitwise_count(fps[centre] ^ fps[owners]).sum(axis=1) <= radius
-                pairs = np.unique(np.minimum(centre, owners)[near].astype(np.int64) * len(ids) + np.maximum(centre, owners)[near])
-                pairs = pairs[pairs // len(ids) != pairs % len(ids)]
-                if len(pairs):
-                    found.append((pairs // len(ids), pairs % len(ids)))
-                owners, runs = owners[~near], runs[~near]  # the centre is near itself, so each turn ends
-        return _forest_rows(ids, found)
+            meeting.add(owners, runs)
+        return _forest_rows(ids, meeting.found)
 
     return run
 
@@ -315,8 +385,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint has 512 bits, of which bands of 24 are matched by meeting balls (radius 2,
     every band a key of its own); texts that meet in a band are linked if all 512
     bits differ in ``radius`` or fewer. Of two texts with 15 % of the bits apart, the
-    bands miss 1 in 200. In a run of one variant a text is compared with centres, each
-    the first not yet linked, so a group of copies costs its size, not its square.
+    bands miss 1 in 200. Texts that meet in a run are compared unless others join them, so
+    a group of copies costs about its size, not its square.
 
     Nulls, repeats and empty tables are as for :func:`near_duplicates`.
     """
