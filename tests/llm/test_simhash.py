@@ -153,3 +153,20 @@ def test_texts_that_meet_are_joined_or_compared():
         for i in range(size):
             assert all(root[i] == root[j] for j in range(i) if near(i, j))
         assert len(meeting.found) == 1 or size <= simhash.SMALL_RUN
+
+
+def test_the_threshold_is_exact(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, want = [], []
+    for k in range(120):
+        n = rng.choice((5, 7, 8, 20, 44, 60, 200, 400))
+        base = [word() for _ in range(n)]
+        more = [word() for _ in range(rng.randrange(0, max(2, n // 2)))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + more))]
+        a, b = (len(simhash.shingle_hashes(t.encode())) for _, t in rows[-2:])
+        want.append(a * 5 >= b * 4)  # the first set is inside the second
+    assert 20 < sum(want) < 100
+    got = {r.id: r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(120)] == want
+    assert len(set(got.values())) == 240 - sum(want)
