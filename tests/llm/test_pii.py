@@ -85,3 +85,16 @@ def test_no_collisions_over_many(spark):
         for e in r.entities:
             assert entity.setdefault((e.kind, e.surrogate), e.entity) == e.entity and seen.setdefault(e.entity, e.surrogate) == e.surrogate
     assert pii.surrogates(docs.limit(0)).count() == 0
+
+
+RUNS = [
+    ("Chief Executive Mary Jones said", ["Mary Jones"]), ("The President James Carter", ["James Carter"]), ("New York Mary Jones", ["Mary Jones"]), ("John F. Kennedy spoke", ["John F. Kennedy"]),
+    ("by George W. Bush and Mary A. B. Jones", ["George W. Bush", "Mary A. B. Jones"]), ("Mary Jones James Carter", ["Mary Jones", "James Carter"]), ("Dr. J. Smith", ["J. Smith"]), ("Dr. Chief Executive Mary Jones", ["Chief Executive", "Mary Jones"]),
+    ("María Carmen López García", ["María Carmen López García"]), ("Mr. Smith", ["Smith"]), ("Vitamin A. And Mary", []), ("The Old Man And Mary", []),
+]
+
+
+@pytest.mark.parametrize("text,names", RUNS)
+def test_names_inside_runs(maker, text, names):
+    found = maker.replace(text)[1]
+    assert [text[a:b] for _, a, b, _, _ in found] == names and all(x[0] == "name" for x in found)

@@ -64,7 +64,13 @@ NUMBER = re.compile(
     r"|(?<![\w.])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w]|\.\d)"
 )
 TITLE = rf"(?:{'|'.join(map(re.escape, TITLES))})"
-NAME = re.compile(rf"(?<!\w)(?:(?P<title>{TITLE})\.? )?(?P<names>(?!{TITLE}(?!\w)){SURNAME}(?: (?!{TITLE}(?!\w)){SURNAME}){{0,2}})(?!\w)")
+NAME_WORD = rf"(?!{TITLE}(?!\w)){SURNAME}"
+INITIALS = rf"(?:(?:(?:[{UPPER}]\.)+|[{UPPER}]) )*"
+#: A whole run of capitalised words and initials.
+NAME = re.compile(rf"(?<!\w)(?:(?P<title>{TITLE})\.? )?(?P<names>{INITIALS}{NAME_WORD}(?: {INITIALS}{NAME_WORD})*)(?!\w)")
+INITIAL = re.compile(rf"(?:[{UPPER}]\.)+|[{UPPER}]")
+#: Words of a name after its listed first names at most, initials left out.
+LAST_NAMES = 2
 
 
 def luhn(digits: str) -> bool:
@@ -144,6 +150,40 @@ def spread(layout: str, signs: str, keep: Callable[[str], bool]) -> str:
     return "".join(next(rest) if keep(c) else c for c in layout)
 
 
+def names_in(run: str, titled: bool) -> list[tuple[int, int]]:
+    """Begins and ends of the names in a run of capitalised words.
+
+    One begins where a title stands before, and at each listed first name with a word behind it.
+    """
+    parts = run.split(" ")
+    begins = [0]
+    for part in parts:
+        begins.append(begins[-1] + len(part) + 1)
+    initial = [bool(INITIAL.fullmatch(p)) for p in parts]
+    listed = [p.lower() in PLACE for p in parts]
+    out, k = [], 0
+    while k < len(parts):
+        if not (titled and k == 0 or listed[k] and k + 1 < len(parts)):
+            k += 1
+            continue
+        end, rest = k + 1, LAST_NAMES
+        while end < len(parts):
+            if initial[end]:
+                pass
+            elif listed[end] and (listed[end - 1] or initial[end - 1] and rest == LAST_NAMES):
+                pass  # a further first name
+            elif rest == 0 or listed[end] and end + 1 < len(parts):
+                break
+            else:
+                rest -= 1
+            end += 1
+        while initial[end - 1] and end - 1 > k:
+            end -= 1
+        out.append((begins[k], begins[end] - 1))
+        k = end
+    return out
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.permute = Permuter(key)
@@ -210,13 +250,7 @@ class Surrogates:
         for region in NUMERIC.finditer(text):
             found += [(m.lastgroup if m.lastgroup else "phone", *m.span()) for m in NUMBER.finditer(text, max(0, region.start()), region.end())]
         for m in NAME.finditer(text):
-            parts = m["names"].split(" ")
-            if m["title"] or len(parts) > 1 and any(p.lower() in PLACE for p in parts[:-1]):
-                begin = m.start("names")
-                if not m["title"]:
-                    first = next(k for k, p in enumerate(parts) if p.lower() in PLACE)
-                    begin += sum(len(p) + 1 for p in parts[:first])
-                found.append(("name", begin, m.end("names")))
+            found += [("name", m.start("names") + a, m.start("names") + b) for a, b in names_in(m["names"], bool(m["title"]))]
         order = {"email": 0, "secret": 1, "iban": 2}
         found.sort(key=lambda x: (x[1], order.get(x[0], 3), -x[2]))
         out, end = [], 0
@@ -227,7 +261,7 @@ class Surrogates:
         return out
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int, str, str]]]:
-        """The text with surrogates, and its entities; distinct ones are checked to stay so."""
+        """The text with surrogates, and its entities."""
         found, out, at = self.entities(text), [], 0
         for _, a, b, _, new in found:
             out += [text[at:a], new]
