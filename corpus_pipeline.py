@@ -24,14 +24,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group of near copies: words of five, 0.8 alike.
 
-    Fingerprints of 512 bits over five-word shingles, found by meeting balls in bands of them.
+    Candidates by fingerprints of 512 bits over five-word shingles, verified on the shingles.
     """
     return simhash.keep_one(docs, similar=True).select(*COLUMNS)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced; ``n_chars`` follows the text."""
-    found = pii.surrogates(docs, keep=COLUMNS)
+    found = pii.distinct_surrogates(docs, keep=COLUMNS)
     return found.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -98,3 +98,21 @@ RUNS = [
 def test_names_inside_runs(maker, text, names):
     found = maker.replace(text)[1]
     assert [text[a:b] for _, a, b, _, _ in found] == names and all(x[0] == "name" for x in found)
+
+
+def test_listed_and_other_names_stay_apart(maker):
+    every = ["".join(x) for x in __import__("itertools").product("bcdfghjklmnpqrstvwxz", "aeiouy", "bcdfghjklmnpqrstvwxz", "aeiouy")]
+    every += [n for kind in (("latin", "m"), ("latin", "f")) for n in pii.LISTS[kind] if n not in set(every)]
+    assert len({maker.name(w)[1] for w in every}) == len(every)
+
+
+def test_collisions_are_looked_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Mary Johnson"), (2, None)], "doc_id long, text string")
+    plain, keys, make, real = {r.doc_id: r.text for r in pii.surrogates(docs).collect()}, [], pii.surrogates, pii.collisions
+    assert {r.doc_id: r.text for r in pii.distinct_surrogates(docs).collect()} == plain
+    monkeypatch.setattr(pii, "surrogates", lambda docs, text_col, key, keep: keys.append(key) or make(docs, text_col, key, keep))
+    monkeypatch.setattr(pii, "collisions", lambda found: spark.range(1) if len(keys) < 2 else real(found))
+    assert pii.distinct_surrogates(docs).where("doc_id = 1").first().text != plain[1] and len(set(keys)) == 2
+    monkeypatch.setattr(pii, "collisions", lambda found: spark.range(1))
+    with pytest.raises(ValueError):
+        pii.distinct_surrogates(docs)

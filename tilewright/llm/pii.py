@@ -4,7 +4,7 @@ A surrogate comes from a keyed permutation of all strings of the original's form
 same length, vowels for vowels, consonants for consonants, digits for digits, in the
 same script. Permutations can't map two originals to one surrogate, so distinct entities
 stay distinct and equal ones equal, across documents and runs, without a table of them;
-:func:`collisions` checks it on data. First names are permuted within the list of
+:func:`distinct_surrogates` checks it on all data. First names are permuted within the list of
 their script and gender. No surrogate equals its original.
 
 Case, spacing and punctuation are put back as they were, so one number in two layouts,
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, bound_batches, slices, sole_cache
+from tilewright.llm.common import as_bytes, bound_batches, slices, sole_cache, staged
 
 KEY = b"tilewright demonstration key"
 ROUNDS = 8
@@ -229,7 +229,7 @@ class Surrogates:
         return text, like(text, self.permute.string(text.lower(), "secret", alphabets))
 
     def name(self, text: str) -> tuple[str, str]:
-        """Known first names within their list, by script and gender; others letter by letter."""
+        """Known first names within their list, by script and gender; others letter by letter, never to a listed one."""
         out = []
         for part in text.split(" "):
             low = part.lower()
@@ -237,7 +237,7 @@ class Surrogates:
                 kind, k = PLACE[low]
                 out.append(like_name(part, LISTS[kind][self.permute.number(k, len(LISTS[kind]), repr(kind).encode())]))
             else:
-                out.append(like(part, self.permute.string(low, "name")))
+                out.append(like(part, self.permute.string(low, "name", ALPHABETS, _listed)))
         return text.lower(), " ".join(out)
 
     def entities(self, text: str) -> list[tuple[str, int, int, str, str]]:
@@ -269,6 +269,10 @@ class Surrogates:
         return "".join([*out, text[at:]]) if found else text, found
 
 
+def _listed(name: str) -> bool:
+    return name in PLACE
+
+
 @lru_cache(64)
 def _valid_iban(country: str) -> Callable[[str], bool]:
     return lambda rest: iban(country + rest)
@@ -336,3 +340,17 @@ def collisions(found: DataFrame) -> DataFrame:
     sign = F.when(number, F.regexp_replace("surrogate", r"[ ().\-]", "")).when(F.col("kind") == "secret", F.col("surrogate")).otherwise(F.lower("surrogate"))
     pairs = each.select("kind", F.xxhash64("kind", sign).alias("surrogate_hash"), "entity").distinct()
     return pairs.groupBy("kind", "surrogate_hash").agg(F.count("*").alias("entities")).where("entities > 1")
+
+
+def distinct_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep: list[str] | None = None, tries: int = 3) -> DataFrame:
+    """:func:`surrogates`, written and checked: no surrogate stands for two entities.
+
+    Where one does, all are made anew with a key derived from ``key``; after ``tries``
+    keys that is an error.
+    """
+    for k in range(tries):
+        own = key if k == 0 else blake2b(b"again|%d" % k, key=key[:64]).digest()
+        found = staged(surrogates(docs, text_col, own, keep), "surrogates")
+        if collisions(found).isEmpty():
+            return found
+    raise ValueError(f"surrogates of distinct entities are equal under {tries} keys")

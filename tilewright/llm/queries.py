@@ -101,7 +101,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data and secrets replaced by surrogates."""
-    found = pii.surrogates(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    found = pii.distinct_surrogates(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
     return found.select("doc_id", "text", F.size("entities").alias("n_entities"), kinds.alias("kinds"))
 
