@@ -62,3 +62,20 @@ def test_payloads_and_gaps_from_files(spark, tmp_path):
     assert [r.gap is None for r in rows] == [True, False, True]
     assert (rows[1].begin, rows[1].end) == (len(members[0]), len(members[0]) + 4)
     assert warc.base32_sha1(rows[0].payload) == rows[0].payload_digest
+
+
+def test_salvage_inside_a_member():
+    records = archive()
+    begins = [sum(map(len, records[:k])) for k in range(31)]
+    bad = bytearray(b"".join(records))
+    bad[begins[8] - 10] ^= 0xFF  # inside record 7
+    data = gzip.compress(bytes(bad)) + warc.member(records[3])
+    out = list(warc.salvage(data))
+    assert found_pages(data)[0] == [*range(7), *range(8, 30), 3]
+    assert [x.reason.split("; ")[1] for x in out if not x.headers] == [f"bytes {begins[7]} to {begins[8]} of the member"]
+    whole = gzip.compress(b"".join(records))
+    pages, gaps = found_pages(whole[: len(whole) * 2 // 3])  # cut off
+    assert pages and pages == list(range(len(pages))) and len(pages) >= 15 and gaps[-1] == (0, len(whole) * 2 // 3)
+    broken = bytearray(whole)
+    broken[-6] ^= 0xFF  # the CRC
+    assert found_pages(bytes(broken) + warc.member(records[2]))[0] == [*range(30), 2]

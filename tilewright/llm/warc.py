@@ -7,7 +7,8 @@ protocol, and are ordinary ``.warc.gz`` data.
 
 The reader checks each member and record. Where a check fails it searches for the
 next gzip member or version line that begins a valid record, goes on from there, and
-logs the bytes between as a quarantined gap.
+logs the bytes between as a quarantined gap. Inside a member it does so too, over what
+can be unpacked of it; such a gap has the member's place, and its own in the reason.
 """
 
 from __future__ import annotations
@@ -84,7 +85,11 @@ class Found:
 
 
 class Damaged(ValueError):
-    pass
+    """A check failed; ``found`` are the records that are whole all the same."""
+
+    def __init__(self, reason: str, found: list[Found] | None = None):
+        super().__init__(reason)
+        self.found = found or []
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -139,15 +144,57 @@ def unpack(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at - len(pack.unused_data)
 
 
+def inflated(data: bytes, at: int) -> bytes:
+    """What a damaged gzip member gives up to the place where it can't be read on."""
+    pack, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    step = STEP
+    while at < len(data) and not pack.eof:
+        try:
+            parts.append(pack.decompress(view[at : at + step]))
+            at += step
+        except zlib.error:
+            if step == 1:
+                break
+            # what came of the failing piece is lost: once more, this piece byte by byte
+            pack, step = zlib.decompressobj(31), 1
+            for k in range(at - STEP * len(parts), at, STEP):
+                pack.decompress(view[k : k + STEP])
+    return b"".join(parts)
+
+
+def _in_member(plain: bytes, begin: int, end: int, sound: bool = True) -> list[Found]:
+    """Records of a member's bytes, and the gaps between them; of a damaged one, those that a digest confirms."""
+    found, k, gap, reason = [], 0, None, ""
+    while k < len(plain):
+        try:
+            headers, block, stop = parse_record(plain, k)
+            if not sound and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damaged("no digest in a damaged member")
+        except Damaged as error:
+            if gap is None:
+                gap, reason = k, str(error)
+            line = VERSION_LINE.search(plain, k + 1)
+            k = line.start() if line else len(plain)
+            continue
+        if gap is not None:
+            found.append(Found(begin, end, reason=f"{reason}; bytes {gap} to {k} of the member"))
+            gap = None
+        found.append(Found(begin, end, headers, block))
+        k = stop
+    if gap is not None:
+        found.append(Found(begin, end, reason=f"{reason}; bytes {gap} to {len(plain)} of the member"))
+    return found
+
+
 def _at(data: bytes, at: int) -> tuple[list[Found], int]:
-    """The records of the gzip member, or the plain record, at a place."""
+    """The records of the gzip member, or the plain record, at a place; gaps are those inside a sound member."""
     if data.startswith(MAGIC, at):
-        plain, end = unpack(data, at)
-        found, k = [], 0
-        while k < len(plain):
-            headers, block, k = parse_record(plain, k)
-            found.append(Found(at, end, headers, block))
-        return found, end
+        try:
+            plain, end = unpack(data, at)
+        except Damaged as error:
+            found = _in_member(inflated(data, at), at, len(data), False)
+            raise Damaged(str(error), found if any(x.headers for x in found) else None) from None
+        return _in_member(plain, at, end), end
     headers, block, end = parse_record(data, at)
     return [Found(at, end, headers, block)], end
 
@@ -159,6 +206,10 @@ def salvage(data: bytes) -> Iterator[Found]:
         try:
             found, end = _at(data, at)
         except Damaged as error:
+            if error.found and gap is not None:
+                yield Found(gap, at, reason=reason)
+                gap = None
+            yield from error.found
             if gap is None:
                 gap, reason = at, str(error)
             line = VERSION_LINE.search(data, at + 1)
