@@ -62,6 +62,31 @@ def test_means_and_errors(spark):
         spark.range(1).select(mt.level_of(F.lit("Cgemm"))).collect()
 
 
+def plain_roofline(m, n, k, d, locs):
+    compute, speed = 2 * m * n * k / 1e12 / (6.9 * d), [min(4, d) * 13 if x == -1 else (d - 1) * 24 for x in locs]
+    if 0 in speed:
+        return 0.0
+    transfer = sum(8 * c / 1e9 / s for c, s in zip((m * k, n * k, m * n), speed))
+    return 2 * m * n * k / 1e12 / max(compute, transfer) * 0.9
+
+
+def test_roofline_takes_each_operand_over_its_link(spark):
+    rows = [(m, 2048, k, d, a, b, -1) for m in (512, 8192) for k in (256, 16384) for d in (1, 2, 8) for a in (-1, 0) for b in (-1, 1)]
+    df = spark.createDataFrame(rows, "m long, n long, k long, d int, a int, b int, c int")
+    for r in df.withColumn("x", mt.roofline(*map(F.col, df.columns))).collect():
+        assert r.x == pytest.approx(plain_roofline(r.m, r.n, r.k, r.d, (r.a, r.b, r.c)), rel=1e-12)
+
+
+def test_nothing_divides_by_zero(spark):
+    z = spark.createDataFrame([(0.0, 3.0), (2.0, 3.0)], "z double, x double")
+    z0 = F.col("z")
+    got = z.select(mt.gflops(F.col("x"), z0), mt.power_delay(F.col("x"), z0), mt.percentage_error(F.col("x"), z0), mt.rate(F.col("x"), z0), mt.energy_delay(F.col("x"), z0, F.lit(1))).collect()
+    assert set(got[0]) == {None} and None not in got[1]
+    assert z.agg(mt.harmonic_mean(z0), mt.geometric_mean(z0), mt.student_margin(z0 * 0)).first()[:] == (0.0, 0.0, None)
+    long = spark.createDataFrame([("[512|" + "0" * 2_000_000 + "1.5|2.5]",)], "p string")
+    assert long.select(*mt.struct_fields(F.col("p"))).first()[:] == (512, 1.5, 2.5)
+
+
 def test_distributions_give_all_tasks_once(spark):
     scores = spark.createDataFrame([(p, u, s, n) for p, n in ((1, 13), (2, 7)) for u, s in enumerate((0.5, 0.0, 0.3, 0.2))], "pid int, unit int, score double, n long")
     quota = tn.quotas(scores)

@@ -78,11 +78,61 @@ def test_shapes_and_flags_are_checked(spark):
     with pytest.raises(ValueError):
         la.transposed(table(spark, np.eye(2)), "C")
     one = spark.range(1)
-    bad = one.select(la.conforming(*map(F.lit, (3, 4, 5, 6, 3, 6))).alias("x"))
+    ok = lambda *x: one.select(la.fits(*map(F.lit, x))).first()[0]
+    assert ok("N", 3, 4, "N", 4, 6, 3, 6) and ok("T", 4, 3, "T", 6, 4, 3, 6) and ok("T", 4, 3, "N", 4, 6, 3, 6)
+    assert not ok("T", 3, 4, "N", 4, 6, 3, 6) and not ok("N", 3, 4, "N", 4, 6, 3, 5) and not ok("C", 4, 3, "N", 4, 6, 3, 6)
+    bad = one.select(la.conforming(*map(F.lit, ("N", 3, 4, "T", 4, 6, 3, 6))).alias("x"))
     with pytest.raises(PySparkException):
         bad.collect()
 
 
+def rows_of(spark, m):
+    return spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(m)], "i long, row array<double>")
+
+
+@pytest.mark.parametrize("mode", la.MODES)
+def test_modes_and_plans_leave_the_value(spark, mode):
+    rng = np.random.default_rng(45)
+    a, b, c = rng.random((23, 9)), rng.random((23, 5)), rng.random((9, 5))
+    want = ALPHA * a.T @ b + 0.9876 * c
+    for plan in (None, {"T": 4}):
+        got = la.gemm(table(spark, a), table(spark, b), table(spark, c), ALPHA, 0.9876, "T", plan=plan, mode=mode)
+        assert np.allclose(dense(got, (9, 5)), want, rtol=1e-9)
+    assert np.allclose(dense(la.gemm_tall(rows_of(spark, a), rows_of(spark, b), table(spark, c), ALPHA, 0.9876, mode), (9, 5)), want, rtol=1e-9)
+    assert np.allclose(dense(la.gemm_tall(rows_of(spark, a)), (9, 9)), a.T @ a, rtol=1e-9)
+    assert np.allclose(dense(la.syrk_tall(rows_of(spark, a), 2.0), (9, 9)), np.triu(2 * a.T @ a), rtol=1e-9)
+    with pytest.raises(ValueError):
+        la.gemm(table(spark, a), table(spark, b), table(spark, c), 1.0, 1.0, "T", mode="OTHER")
+
+
+def test_single_precision_and_vector_plans(spark):
+    rng = np.random.default_rng(46)
+    a, x, y = rng.random((7, 11)), rng.random(11), rng.random(7)
+    f = lambda m: m.astype(np.float32).astype(float)
+    got = {r.i: r.v for r in la.gemv(table(spark, a), vector(spark, x), vector(spark, y), 0.1, 0.7, single=True).collect()}
+    want = (float(np.float32(0.1)) * f(a) @ f(x) + float(np.float32(0.7)) * f(y)).astype(np.float32)
+    assert np.allclose([got[k] for k in range(7)], want, rtol=1e-7)
+    assert la.dot(vector(spark, x), vector(spark, x), single=True).first().v == pytest.approx(f(x) @ f(x), rel=1e-7)
+    assert la.dot(vector(spark, x), vector(spark, x), 1.0, plan={"T": 3}).first().v == pytest.approx(1 + x @ x, rel=1e-12)
+    got = {r.i: r.v for r in la.gemv(table(spark, a), vector(spark, x), plan={"T": 4}).collect()}
+    assert np.allclose([got[k] for k in range(7)], a @ x, rtol=1e-9)
+
+
+def test_axpy_takes_the_indices_of_both(spark):
+    got = {r.i: r.v for r in la.axpy(vector(spark, [1.0, 2.0, 3.0]), spark.createDataFrame([(2, 5.0), (7, 1.0)], "i long, v double"), 2.0).collect()}
+    assert got == {0: 2.0, 1: 4.0, 2: 11.0, 7: 1.0}
+
+
+def test_ragged_rows_are_refused(spark):
+    with pytest.raises(PySparkException):
+        la.gemm_tall(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "i long, row array<double>").coalesce(1)).collect()
+
+
+def test_plan_reuse(spark):
+    calls = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "a", None), (4, "b", 1), (5, "b", 2)], "pid int, f string, m int")
+    assert {(r.pid, r.planned_by, r.reuses) for r in la.plan_reuse(calls, "pid", ["f", "m"]).collect()} == {(1, 1, False), (2, 2, False), (3, 1, True), (4, 2, True), (5, 5, False)}
+
+
 def test_task_grid_is_the_nested_loop(spark):
     p = spark.createDataFrame([(1, 9, 5, 7, 4)], "pid int, M long, N long, K long, T long")
     got = [(r.sk, r.mi, r.ni, r.ki) for r in la.task_grid(p).orderBy("sk").collect()]
@@ -91,6 +141,7 @@ def test_task_grid_is_the_nested_loop(spark):
 
 def test_plan_cache():
     cache, made = la.PlanCache(2), []
-    for d in ("a", "b", "a", "c", "a"):
+    for d in ("a", "b", "a", "c", "b", "d", "b", "c"):
         cache.get((d,), lambda d=d: made.append(d))
-    assert made == ["a", "b", "c", "a"]
+    # the first place goes to c, then to d, then to c again; b keeps its own
+    assert made == ["a", "b", "c", "d", "c"]

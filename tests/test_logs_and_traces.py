@@ -52,6 +52,13 @@ def test_routes(spark):
     assert traces.link_matrix(stats, [-1, 0, 3], "n").columns == ["dest", "from_h", "from_0", "from_3"]
 
 
+def test_transfers_without_time_have_no_rate(spark):
+    t = spark.createDataFrame([(0, 1, "[ 0 1 ]", 100, 0.0, 1.0, 1.0), (0, 1, "[ 0 1 ]", 10**9, 0.0, 1.0, 2.0)], TRACE)
+    m = traces.transfer_metrics(t)
+    assert sorted((r.transfer_t, r.gbs) for r in m.collect()) == [(0.0, None), (1.0, 1.0)]
+    assert [(r.n, r.gbs) for r in traces.link_stats(m).collect()] == [(1, 1.0)]
+
+
 def test_streamed_links_equal_the_batch(spark, tmp_path):
     rows = [(k % 3, (k + 1) % 3, f"[ {k % 3} {(k + 1) % 3} ]", 64, 0.0, 1.0, 2.0 + k) for k in range(60)]
     t = spark.createDataFrame(rows, TRACE).withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(complete_t * 5 as int))"))

@@ -1,4 +1,7 @@
-"""Column functions of the performance analytics: work, rates, errors, classes."""
+"""Column functions of the performance analytics: work, rates, errors, classes.
+
+A rate over no time, an error of nothing measured and the like are null; aggregates leave nulls out.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +31,7 @@ def gemm_bytes(m: Column, n: Column, k: Column) -> Column:
 
 
 def gflops(flops: Column, seconds: Column) -> Column:
-    return flops / (F.lit(1e9) * seconds)
+    return F.try_divide(flops, F.lit(1e9) * seconds)
 
 
 def energy(seconds: Column, watts: Column, devices: Column) -> Column:
@@ -37,11 +40,11 @@ def energy(seconds: Column, watts: Column, devices: Column) -> Column:
 
 def power_delay(flops: Column, joules: Column) -> Column:
     """GFlop/J."""
-    return flops / (F.lit(1e9) * joules)
+    return F.try_divide(flops, F.lit(1e9) * joules)
 
 
 def energy_delay(perf: Column, watts: Column, devices: Column) -> Column:
-    return perf * perf / (watts * devices)
+    return F.try_divide(perf * perf, watts * devices)
 
 
 def location_code(a: Column, b: Column, c: Column) -> Column:
@@ -50,16 +53,16 @@ def location_code(a: Column, b: Column, c: Column) -> Column:
 
 def rate(amount: Column, seconds: Column, scale: float = 1.0) -> Column:
     """Billions a second, over ``scale`` (1024: the plots' Tflops)."""
-    return amount * F.lit(1e-9) / seconds / F.lit(scale)
+    return F.try_divide(amount * F.lit(1e-9), seconds) / F.lit(scale)
 
 
 def percentage_error(predicted: Column, measured: Column) -> Column:
-    return 100 * (predicted - measured) / measured
+    return F.try_divide(100 * (predicted - measured), measured)
 
 
 def struct_fields(packed: Column) -> tuple[Column, Column, Column]:
     """T, ratio and prediction of a packed ``[T|ratio|t]``."""
-    parts = F.split(F.substring(packed, 2, 1 << 20).substr(F.lit(1), F.length(packed) - 2), r"\|")
+    parts = F.split(packed.substr(F.lit(2), F.length(packed) - 2), r"\|")
     return parts[0].cast("long"), parts[1].cast("double"), parts[2].cast("double")
 
 
@@ -82,13 +85,23 @@ def cube_root_size(m: Column, n: Column, k: Column) -> Column:
     return F.floor(F.cbrt(m.cast("double") * n * k) / 1000 + 1e-12).cast("long")
 
 
-def roofline_seconds(m: Column, n: Column, k: Column, devices: Column, host_operands: Column, device_operands: Column) -> Column:
-    """The larger of compute and transfer times; constants of the plotted machine."""
-    size = (m * k + k * n + m * n) * 8 / 3.0
-    compute = flops_roofline(m, n, k) / F.lit(1e12) / (F.lit(6.9) * devices)
-    host = host_operands * size / F.lit(1e9) / (F.least(F.lit(4), devices) * 13.0)
-    peer = F.when(devices > 1, device_operands * size / F.lit(1e9) / ((devices - 1) * 24.0)).otherwise(F.lit(0.0))
-    return F.greatest(compute, host + peer) / 0.9
+#: The plotted machine's Tflop/s a unit, GB/s of a host channel, channels, GB/s between units, cost of going parallel.
+UNIT_TFLOPS, HOST_GBS, HOST_CHANNELS, PEER_GBS, PARALLEL_COST = 6.9, 13.0, 4, 24.0, 0.1
+
+
+def roofline(m: Column, n: Column, k: Column, devices: Column, a_loc: Column, b_loc: Column, c_loc: Column) -> Column:
+    """Analytic Tflop/s of a gemm: its work over the larger of compute and transfer time.
+
+    Each operand travels on its own: from the host (location -1) over as many channels as
+    there are units, up to ``HOST_CHANNELS``; else from the other units. Without another
+    unit an operand that lies on one has no link to come over: the rate is 0.
+    """
+    compute = flops_roofline(m, n, k) / F.lit(1e12) / (F.lit(UNIT_TFLOPS) * devices)
+    speed = lambda loc: F.when(loc == -1, F.least(F.lit(HOST_CHANNELS), devices) * HOST_GBS).otherwise((devices - 1) * PEER_GBS)
+    seconds = lambda cells, loc: F.try_divide(8 * cells / F.lit(1e9), speed(loc))
+    transfer = seconds(m * k, a_loc) + seconds(n * k, b_loc) + seconds(m * n, c_loc)
+    rate_ = flops_roofline(m, n, k) / F.lit(1e12) / F.greatest(compute, transfer) * (1 - PARALLEL_COST)
+    return F.when(transfer.isNull(), F.lit(0.0)).otherwise(rate_)
 
 
 def level_of(function: Column) -> Column:
@@ -113,8 +126,12 @@ def is_small(m: Column, n: Column, k: Column) -> Column:
     return m.cast("double") * n * k <= 9200.0**3
 
 
-def error_band(error: Column) -> Column:
-    """3: beyond 200; 2: (55, 200] or [-200, -50); 1: (25, 50] or [-50, -25); else 0."""
+def error_band(error: Column, digits: int = 9) -> Column:
+    """3: beyond 200; 2: (55, 200] or [-200, -50); 1: (25, 50] or [-50, -25); else 0.
+
+    Errors are taken to ``digits`` places, so that one that a division leaves a hair off an edge is on it.
+    """
+    error = F.round(error, digits)
     return (
         F.when(F.abs(error) > 200, 3)
         .when(((error > 55) & (error <= 200)) | ((error >= -200) & (error < -50)), 2)
@@ -130,11 +147,13 @@ def offload_class(*locations: Column) -> Column:
 
 
 def harmonic_mean(x: Column) -> Column:
-    return F.count(x) / F.sum(1 / x)
+    """0 as soon as one value is 0; null without values."""
+    return F.when(F.count_if(x == 0) > 0, F.lit(0.0)).otherwise(F.try_divide(F.count(x), F.sum(F.try_divide(F.lit(1.0), x))))
 
 
 def geometric_mean(x: Column) -> Column:
-    return F.exp(F.avg(F.ln(x)))
+    """0 as soon as one value is 0; null without values."""
+    return F.when(F.count_if(x == 0) > 0, F.lit(0.0)).otherwise(F.exp(F.avg(F.ln(x))))
 
 
 def mape(error: Column) -> Column:
@@ -152,7 +171,7 @@ def student_margin(x: Column) -> Column:
     """Half-width of the 95 % interval over the mean: t(n - 1) sd / sqrt(n) / mean."""
     n = F.count(x)
     t = F.when(n > 31, F.lit(1.96)).otherwise(F.element_at(F.array(*map(F.lit, T_975)), F.greatest(F.lit(1), F.least(F.lit(30), n - 1)).cast("int")))
-    return t * F.stddev_pop(x) / F.sqrt(n) / F.avg(x)
+    return F.try_divide(t * F.stddev_pop(x) / F.sqrt(n), F.avg(x))
 
 
 def near_groups(values: Column, tolerance: float = 0.05) -> Column:

@@ -1,9 +1,14 @@
 """Dense linear algebra over DataFrames.
 
-A matrix is a table of cells ``(i, j, v)``, a vector one of ``(i, v)``; a missing
-cell is zero. Products are equi-joins on the inner index and a grouped sum, which
-Spark combines before the shuffle. For a tall matrix times a small one, and for
-blocks, there are forms that don't spell out every product as a row.
+A matrix is a table of cells ``(i, j, v)`` or of rows ``(i, row)``, a vector one of ``(i, v)``; a missing
+cell is zero. Products of cells are equi-joins on the inner index and a grouped sum. That spells out
+every product as a row, so there are forms without: a tall matrix times a small one (:func:`gemm_small`),
+the product of two tall ones along their length (:func:`gemm_tall`, :func:`syrk_tall`) and
+products by tiles (:func:`gemm_blocked`).
+
+``single`` takes operands and scalars as float, sums in double and rounds the result to float.
+``plan`` (tile size ``T`` and ``units``, from a tuner) says how, never what: with a tile size
+matrices are multiplied by tiles and inner products summed by tile first.
 """
 
 from __future__ import annotations
@@ -11,10 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.sources.paths import staged
+
 #: A matrix of at most so many cells may be sent to every task.
 SMALL_CELLS = 1 << 20
 
@@ -37,34 +44,69 @@ def transposed(matrix: DataFrame, flag: str = "T") -> DataFrame:
     return matrix if flag == "N" else matrix.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
-def _plus(product: DataFrame, on: list[str], c: DataFrame | None, alpha: float, beta: float) -> DataFrame:
+def _scalar(x: float, single: bool = False) -> Column:
+    return F.lit(float(np.float32(x))) if single else F.lit(float(x))
+
+
+def _operand(table: DataFrame, single: bool) -> DataFrame:
+    return table.withColumn("v", F.col("v").cast("float").cast("double")) if single else table
+
+
+def _result(table: DataFrame, single: bool) -> DataFrame:
+    return table.withColumn("v", F.col("v").cast("float")) if single else table
+
+
+def _plus(product: DataFrame, on: list[str], c: DataFrame | None, alpha: float, beta: float, single: bool = False) -> DataFrame:
     """alpha * product + beta * c; with beta 0, ``c`` isn't read."""
-    product = product.select(*on, (F.lit(float(alpha)) * F.col("v")).alias("v"))
+    product = product.select(*on, (_scalar(alpha, single) * F.col("v")).alias("v"))
     if c is None or beta == 0:
         return product
-    c = c.select(*on, F.col("v").alias("w"))
-    total = F.coalesce("v", F.lit(0.0)) + F.lit(float(beta)) * F.coalesce("w", F.lit(0.0))
+    c = _operand(c, single).select(*on, F.col("v").alias("w"))
+    total = F.coalesce("v", F.lit(0.0)) + _scalar(beta, single) * F.coalesce("w", F.lit(0.0))
     return product.join(c, on, "full").select(*on, total.alias("v"))
 
 
-def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans_a: str = "N", trans_b: str = "N", single: bool = False, plan: dict | None = None) -> DataFrame:
-    """C <- alpha op(A) op(B) + beta C. ``single`` rounds the result to float.
+#: How partial products along the inner dimension meet C.
+MODES = ("WR", "WR_LAZY", "W_REDUCE")
+
 
-    ``plan`` (tile size and units, from a tuner) never changes the value.
+def _reduced(partial: DataFrame, c: DataFrame | None, alpha: float, beta: float, mode: str) -> DataFrame:
+    """Partial products ``(i, j, v)`` summed, and beta C once. The modes differ in where C comes in, not in the value.
+
+    ``WR``: C, times beta, is the first of the terms; ``WR_LAZY``: it is fetched after the sum
+    is done; ``W_REDUCE``: sums are reduced once more together with it.
     """
+    if mode not in MODES:
+        raise ValueError(f"there is no reduction mode {mode!r}")
+    terms = partial.select("i", "j", (F.lit(float(alpha)) * F.col("v")).alias("v"))
+    if c is None or beta == 0 or mode == "WR_LAZY":
+        return _plus(partial.groupBy("i", "j").agg(F.sum("v").alias("v")), ["i", "j"], c, alpha, beta)
+    scaled = c.select("i", "j", (F.lit(float(beta)) * F.col("v")).alias("v"))
+    if mode == "W_REDUCE":
+        terms = terms.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return terms.unionByName(scaled).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans_a: str = "N", trans_b: str = "N", single: bool = False, plan: dict | None = None, mode: str = "WR_LAZY") -> DataFrame:
+    """C <- alpha op(A) op(B) + beta C, all as cells."""
+    a, b = _operand(a, single), _operand(b, single)
+    if plan and plan.get("T") and not single:
+        return gemm_blocked(a, b, plan["T"], c, alpha, beta, trans_a, trans_b, mode)
     left = transposed(a, trans_a).select("i", F.col("j").alias("k"), "v")
     right = transposed(b, trans_b).select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
-    product = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    out = _plus(product, ["i", "j"], c, alpha, beta)
-    return out.withColumn("v", F.col("v").cast("float")) if single else out
+    product = left.join(right, "k").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
+    if not single:
+        return _reduced(product, c, alpha, beta, mode)
+    return _result(_plus(product.groupBy("i", "j").agg(F.sum("v").alias("v")), ["i", "j"], c, alpha, beta, True), True)
 
 
 def gemm_small(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
-    """C <- alpha A B + beta C for ``a`` as ``(i, row)`` and a small B as cells.
+    """C <- alpha A B + beta C for ``a`` as ``(i, row)`` and a small B as cells, all of them given.
 
-    B goes to every task as one array of its columns, if its size allows; A isn't
-    shuffled and each product is a fold over two arrays.
+    B is written once, and goes to every task as one array of its columns if its size allows;
+    A isn't shuffled and each product is a fold over two arrays.
     """
+    b = staged(b, "operand")
     if b.count() > SMALL_CELLS:
         raise ValueError("B is too large to send to every task; use gemm or gemm_blocked")
     columns = b.groupBy("j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("column"))
@@ -74,59 +116,124 @@ def gemm_small(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha: fl
     return _plus(product, ["i", "j"], c, alpha, beta)
 
 
+def _dense(rows_: pa.ListArray) -> np.ndarray:
+    """Rows of equal length as a matrix; a null cell is zero."""
+    width = np.diff(rows_.offsets.to_numpy())
+    if len(width) and (width != width[0]).any() or rows_.null_count:
+        raise ValueError("rows of a dense matrix must be there and of one length")
+    return rows_.flatten().fill_null(0.0).to_numpy(zero_copy_only=False).reshape(len(rows_), -1).astype(float)
+
+
+def _cells(i: np.ndarray, j: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(v, pa.float64())], ["i", "j", "v"])
+
+
+def _tall_partials(pairs: DataFrame, upper: bool) -> DataFrame:
+    """Cells of X^T Y over ``(x, y)`` rows: one dense partial product a task, so no cell of X meets the shuffle."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _dense(batch.column(0)), _dense(batch.column(1))
+                if x.shape[1] * y.shape[1] > SMALL_CELLS:
+                    raise ValueError("the product is too large for one task; use gemm_blocked")
+                product = x.T @ y
+                total = product if total is None else total + product
+        if total is not None:
+            i, j = np.indices(total.shape).reshape(2, -1)
+            keep = i <= j if upper else np.ones(len(i), bool)
+            yield _cells(i[keep], j[keep], total.ravel()[keep])
+
+    return pairs.select("x", "y").mapInArrow(partial, "i long, j long, v double")
+
+
+def gemm_tall(a: DataFrame, b: DataFrame | None = None, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, mode: str = "WR_LAZY") -> DataFrame:
+    """C <- alpha A^T B + beta C for tall A and B as ``(i, row)``; without ``b`` it is A^T A and nothing is joined.
+
+    The product of their widths must be ``SMALL_CELLS`` at most: each task sums one dense product of its rows.
+    """
+    x = a.select("i", F.col("row").alias("x"))
+    pairs = x.withColumn("y", F.col("x")) if b is None else x.join(b.select("i", F.col("row").alias("y")), "i")
+    return _reduced(_tall_partials(pairs, False), c, alpha, beta, mode)
+
+
+def syrk_tall(a: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """The upper triangle of alpha A^T A for a tall A as ``(i, row)``."""
+    x = a.select(F.col("row").alias("x"), F.col("row").alias("y"))
+    return _reduced(_tall_partials(x, True), None, alpha, 0.0, "WR_LAZY")
+
+
 def blocks(matrix: DataFrame, size: int) -> DataFrame:
-    """``(bi, bj, data)``: dense tiles of ``size`` by ``size`` as row-major arrays; edges are filled with zeros."""
+    """``(bi, bj, data)``: tiles of ``size`` by ``size`` as arrays of place in the tile and value."""
     cell = F.struct((F.col("i") % size * size + F.col("j") % size).cast("int").alias("p"), "v")
     return matrix.groupBy(F.expr(f"i div {size}").alias("bi"), F.expr(f"j div {size}").alias("bj")).agg(F.collect_list(cell).alias("data"))
 
 
-def gemm_blocked(a: DataFrame, b: DataFrame, size: int, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans_a: str = "N", trans_b: str = "N") -> DataFrame:
+def gemm_blocked(a: DataFrame, b: DataFrame, size: int, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans_a: str = "N", trans_b: str = "N", mode: str = "WR_LAZY") -> DataFrame:
     """As :func:`gemm`, by tiles: a join of tiles on the inner tile index, products in numpy.
 
-    Each pair of tiles gives one partial tile; partial tiles are summed by cell, first within a task.
+    A task adds up what it has for each tile of the result, as long as that fits ``SMALL_CELLS``
+    cells, before it sends cells on; these are summed by cell.
     """
     left = blocks(transposed(a, trans_a), size).select("bi", F.col("bj").alias("bk"), F.col("data").alias("x"))
     right = blocks(transposed(b, trans_b), size).select(F.col("bi").alias("bk"), "bj", F.col("data").alias("y"))
 
-    def tile(data) -> np.ndarray:
-        out = np.zeros(size * size)
-        for cell in data:
-            out[cell["p"]] += cell["v"]
-        return out.reshape(size, size)
+    def tiles(column: pa.ListArray) -> Iterator[np.ndarray]:
+        ends, flat = column.offsets.to_numpy(), column.values
+        place, value = flat.field("p").to_numpy(), flat.field("v").to_numpy(zero_copy_only=False)
+        for low, high in zip(ends, ends[1:]):
+            yield np.bincount(place[low:high], value[low:high], size * size).reshape(size, size)
 
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flushed(sums: dict) -> Iterator[pa.RecordBatch]:
+        for (bi, bj), total in sums.items():
+            p, q = np.nonzero(total)
+            yield _cells(bi * size + p, bj * size + q, total[p, q])
+        sums.clear()
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for bi, bj, x, y in zip(batch.bi, batch.bj, batch.x, batch.y):
-                product = tile(x) @ tile(y)
-                p, q = np.nonzero(product)
-                yield pd.DataFrame({"i": bi * size + p, "j": bj * size + q, "v": product[p, q]})
+            for bi, bj, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tiles(batch.column(2)), tiles(batch.column(3))):
+                product = x @ y
+                sums[bi, bj] = product if (bi, bj) not in sums else sums[bi, bj] + product
+                if len(sums) * size * size > SMALL_CELLS:
+                    yield from flushed(sums)
+        yield from flushed(sums)
 
-    partial = left.join(right, "bk").select("bi", "bj", "x", "y").mapInPandas(multiply, "i long, j long, v double")
-    return _plus(partial.groupBy("i", "j").agg(F.sum("v").alias("v")), ["i", "j"], c, alpha, beta)
+    partial = left.join(right, "bk").select("bi", "bj", "x", "y").mapInArrow(multiply, "i long, j long, v double")
+    return _reduced(partial, c, alpha, beta, mode)
 
 
 def syrk(a: DataFrame, trans: str = "N", alpha: float = 1.0) -> DataFrame:
-    """The upper triangle of alpha op(A) op(A)^T: only its products are made."""
+    """The upper triangle of alpha op(A) op(A)^T, as cells; for a tall A transposed there is :func:`syrk_tall`."""
     left = transposed(a, trans).select("i", F.col("j").alias("k"), "v")
     right = left.select(F.col("i").alias("j"), "k", F.col("v").alias("w"))
     return left.join(right, "k").where("i <= j").groupBy("i", "j").agg((F.sum(F.col("v") * F.col("w")) * alpha).alias("v"))
 
 
-def gemv(a: DataFrame, x: DataFrame, y: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans: str = "N") -> DataFrame:
+def gemv(a: DataFrame, x: DataFrame, y: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans: str = "N", single: bool = False, plan: dict | None = None) -> DataFrame:
     """y <- alpha op(A) x + beta y."""
-    joined = transposed(a, trans).join(x.select(F.col("i").alias("j"), F.col("v").alias("w")), "j")
-    return _plus(joined.groupBy("i").agg(F.sum(F.col("v") * F.col("w")).alias("v")), ["i"], y, alpha, beta)
+    a, x = _operand(a, single), _operand(x, single)
+    joined = transposed(a, trans).join(x.select(F.col("i").alias("j"), F.col("v").alias("w")), "j").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
+    if plan and plan.get("T"):
+        joined = joined.groupBy("i", F.expr(f"j div {int(plan['T'])}")).agg(F.sum("v").alias("v"))
+    return _result(_plus(joined.groupBy("i").agg(F.sum("v").alias("v")), ["i"], y, alpha, beta, single), single)
 
 
-def axpy(x: DataFrame, y: DataFrame, alpha: float) -> DataFrame:
-    """y <- alpha x + y, for the indices of ``y``."""
-    return y.join(x.select("i", F.col("v").alias("w")), "i", "left").select("i", (alpha * F.coalesce("w", F.lit(0.0)) + F.col("v")).alias("v"))
+def axpy(x: DataFrame, y: DataFrame, alpha: float, single: bool = False, plan: dict | None = None) -> DataFrame:
+    """y <- alpha x + y, for every index that either has. Index by index, so a plan changes nothing."""
+    w = _operand(x, single).select("i", F.col("v").alias("w"))
+    total = _scalar(alpha, single) * F.coalesce("w", F.lit(0.0)) + F.coalesce("v", F.lit(0.0))
+    return _result(_operand(y, single).join(w, "i", "full").select("i", total.alias("v")), single)
 
 
-def dot(x: DataFrame, y: DataFrame, init: float = 0.0) -> DataFrame:
+def dot(x: DataFrame, y: DataFrame, init: float = 0.0, single: bool = False, plan: dict | None = None) -> DataFrame:
     """``init`` plus the inner product, as one row ``v``."""
-    joined = x.join(y.select("i", F.col("v").alias("w")), "i")
-    return joined.agg((F.lit(float(init)) + F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0))).alias("v"))
+    joined = _operand(x, single).join(_operand(y, single).select("i", F.col("v").alias("w")), "i").select("i", (F.col("v") * F.col("w")).alias("v"))
+    if plan and plan.get("T"):
+        joined = joined.groupBy(F.expr(f"i div {int(plan['T'])}")).agg(F.sum("v").alias("v"))
+    return _result(joined.agg((_scalar(init, single) + F.coalesce(F.sum("v"), F.lit(0.0))).alias("v")), single)
 
 
 def strided(vector: DataFrame, inc: int) -> DataFrame:
@@ -139,10 +246,17 @@ def from_flat(vector: DataFrame, rows_: int, lead: int) -> DataFrame:
     return vector.where(F.col("i") % lead < rows_).select((F.col("i") % lead).alias("i"), F.expr(f"i div {lead}").alias("j"), "v")
 
 
-def conforming(m_a: Column, k_a: Column, k_b: Column, n_b: Column, m_c: Column, n_c: Column) -> Column:
-    """True if the shapes of op(A), op(B) and C fit; raises otherwise."""
-    fits = (k_a == k_b) & (m_a == m_c) & (n_b == n_c)
-    return F.when(fits, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("shapes don't fit: k "), k_a.cast("string"), F.lit(" and "), k_b.cast("string"))).cast("boolean"))
+def fits(trans_a: Column, a_rows: Column, a_cols: Column, trans_b: Column, b_rows: Column, b_cols: Column, c_rows: Column, c_cols: Column) -> Column:
+    """Whether op(A), op(B) and C have shapes that go together, for all flags; a flag other than N and T never does."""
+    m, ka = F.when(trans_a == "N", a_rows).otherwise(a_cols), F.when(trans_a == "N", a_cols).otherwise(a_rows)
+    kb, n = F.when(trans_b == "N", b_rows).otherwise(b_cols), F.when(trans_b == "N", b_cols).otherwise(b_rows)
+    return F.coalesce(trans_a.isin("N", "T") & trans_b.isin("N", "T") & (ka == kb) & (m == c_rows) & (n == c_cols), F.lit(False))
+
+
+def conforming(*shapes: Column) -> Column:
+    """True if :func:`fits`; raises otherwise."""
+    said = F.concat_ws(" ", *(x.cast("string") for x in shapes))
+    return F.when(fits(*shapes), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("shapes or flags don't fit: "), said)).cast("boolean"))
 
 
 def ceil_div(a: Column, b: Column) -> Column:
@@ -168,15 +282,25 @@ def buffer_blocks(problems: DataFrame, lazy: bool = True) -> DataFrame:
     return problems.select("pid", needed.alias("needed"), held.alias("held"), (held >= 3).alias("fits"))
 
 
+def plan_reuse(calls: DataFrame, order: str, descriptor: list[str]) -> DataFrame:
+    """Each call with the first one of its descriptor, whose plan it takes: ``planned_by``, and ``reuses``."""
+    first = calls.groupBy(*descriptor).agg(F.min(order).alias("planned_by"))
+    same = calls.alias("c").join(first.alias("f"), [F.col(f"c.{d}").eqNullSafe(F.col(f"f.{d}")) for d in descriptor])
+    return same.select("c.*", "f.planned_by", (F.col(f"c.{order}") != F.col("f.planned_by")).alias("reuses"))
+
+
 class PlanCache:
-    """Plans by problem descriptor; when full, the first entry gives way."""
+    """Plans by problem descriptor; when all places are taken, a new plan takes the first place."""
 
     def __init__(self, size: int = 100):
-        self.size, self.entries = size, {}
+        self.size, self.places, self.plans = size, [], {}
 
     def get(self, descriptor: tuple, make):
-        if descriptor not in self.entries:
-            if len(self.entries) >= self.size:
-                self.entries.pop(next(iter(self.entries)))
-            self.entries[descriptor] = make()
-        return self.entries[descriptor]
+        if descriptor not in self.plans:
+            if len(self.places) < self.size:
+                self.places.append(descriptor)
+            else:
+                del self.plans[self.places[0]]
+                self.places[0] = descriptor
+            self.plans[descriptor] = make()
+        return self.plans[descriptor]

@@ -12,9 +12,9 @@ def route_nodes(route: Column) -> Column:
 
 
 def transfer_metrics(trace: DataFrame) -> DataFrame:
-    """Adds seconds in the pipe, seconds of transfer and GB/s."""
+    """Adds seconds in the pipe, seconds of transfer and GB/s, which is null for a transfer that took no time."""
     seconds = F.col("complete_t") - F.col("sced_t")
-    return trace.select("*", (F.col("complete_t") - F.col("fire_t")).alias("pipe_t"), seconds.alias("transfer_t"), (F.col("bytes") / seconds / F.lit(1e9)).alias("gbs"))
+    return trace.select("*", (F.col("complete_t") - F.col("fire_t")).alias("pipe_t"), seconds.alias("transfer_t"), (F.try_divide(F.col("bytes"), seconds) / F.lit(1e9)).alias("gbs"))
 
 
 def unchained(trace: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def all_hops(direct: DataFrame, routed: DataFrame) -> DataFrame:
 
 
 def link_stats(transfers: DataFrame, cap: float = 50.0) -> DataFrame:
-    """Count and mean GB/s by (dest, src), without self-transfers and rates at or over ``cap``."""
+    """Count and mean GB/s by (dest, src), without self-transfers, rates at or over ``cap`` and those without a rate."""
     return transfers.where((F.col("dest") != F.col("src")) & (F.col("gbs") < cap)).groupBy("dest", "src").agg(F.count("*").alias("n"), F.avg("gbs").alias("gbs"))
 
 

@@ -68,7 +68,7 @@ def link_load(transfers: DataFrame, edges: DataFrame) -> DataFrame:
     flow = transfers.groupBy("dest", "src").agg(F.sum("bytes").alias("bytes"))
     joined = edges.select("dest", "src", "bw").join(flow, ["dest", "src"], "left")
     size = F.coalesce("bytes", F.lit(0).cast("long"))
-    return joined.select("dest", "src", size.alias("bytes"), (size / (F.col("bw") * 1e9)).alias("eta"))
+    return joined.select("dest", "src", size.alias("bytes"), F.try_divide(size, F.col("bw") * 1e9).alias("eta"))
 
 
 def rebalanced(transfers: DataFrame, edges: DataFrame, rounds: int = 4, penalty: float = 0.2) -> DataFrame:

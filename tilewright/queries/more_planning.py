@@ -158,22 +158,22 @@ def src7_link_benchmarks(spark, sf):
 
     path = scratch(spark, "linkbench")
     m = transfer_metrics(trace(spark, sf))
-    rows = m.select(F.format_string("linkbench_to-%d_from-%d_1.2.log", "dest", "src").alias("log"), F.lit(64).alias("dim1"), (64 + F.col("event_id") % 7).cast("int").alias("dim2"), F.col("transfer_t"), F.lit(0.01).alias("error"), F.lit(10).alias("reps"), F.lit(1.0).alias("benchmark_t"))
-    rows.repartition("log").write.partitionBy("log").csv(path)
+    rows = m.select(F.format_string("linkbench_to-%d_from-%d_1.2.log", "dest", "src").alias("log"), F.lit(64).alias("dim1"), (64 + F.col("event_id") % 7).cast("int").alias("dim2"), F.col("transfer_t"), F.lit(0.01).alias("error"), F.lit(10).alias("reps"), F.lit(1.0).alias("benchmark_t"), F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("salt"))
+    rows.repartition("log", "salt").drop("salt").write.partitionBy("log").csv(path)
     return logs.read_links(spark, path).select("dest", "src", "dim1", "dim2", "bytes", r("transfer_t", 9).alias("transfer_t"))
 
 
-@query("src8_link_overlap", f"WITH {TRACE_SQL} SELECT dest, src, (event_id % 4)::INT AS odest, (event_id % 3)::INT AS osrc, count(*) AS runs, round(avg(pipe_t / transfer_t), 6) + 0.0 AS sl FROM m GROUP BY ALL")
+@query("src8_link_overlap", f"WITH {TRACE_SQL} SELECT dest, src, (event_id % 4)::INT AS odest, (event_id % 3)::INT AS osrc, count(*) AS runs, round(avg(pipe_t / nullif(transfer_t, 0)), 6) + 0.0 AS sl FROM m GROUP BY ALL")
 def src8_link_overlap(spark, sf):
     """Overlap benchmarks, and the slowdown that each other link causes."""
     from tilewright.operators.traces import transfer_metrics
 
     path = scratch(spark, "overlap")
     m = transfer_metrics(trace(spark, sf))
-    rows = m.select(F.format_string("Overlap_to-%d_from-%d_1.2.log", "dest", "src").alias("log"), (F.col("event_id") % 4).alias("a"), (F.col("event_id") % 3).alias("b"), "transfer_t", "pipe_t", F.lit(10), F.lit(1.0))
-    rows.repartition("log").write.partitionBy("log").csv(path)
+    rows = m.select(F.format_string("Overlap_to-%d_from-%d_1.2.log", "dest", "src").alias("log"), (F.col("event_id") % 4).alias("a"), (F.col("event_id") % 3).alias("b"), "transfer_t", "pipe_t", F.lit(10), F.lit(1.0), F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("salt"))
+    rows.repartition("log", "salt").drop("salt").write.partitionBy("log").csv(path)
     back = logs.read_links(spark, path, "link_overlap")
-    return back.groupBy("dest", "src", F.col("over_loc_dest").alias("odest"), F.col("over_loc_src").alias("osrc")).agg(F.count("*").alias("runs"), r(F.avg(F.col("over_transfer_t") / F.col("transfer_t"))).alias("sl"))
+    return back.groupBy("dest", "src", F.col("over_loc_dest").alias("odest"), F.col("over_loc_src").alias("osrc")).agg(F.count("*").alias("runs"), r(F.avg(F.try_divide(F.col("over_transfer_t"), F.col("transfer_t")))).alias("sl"))
 
 
 @query("src12_prediction_log", f"WITH {FULL_SQL} SELECT dev_num - 1 AS dev, 'Dgemm' AS func, trans_a, trans_b, M, N, K, a_loc, b_loc, c_loc, T, round(timer, 6) + 0.0 AS t_pred FROM run WHERE dev_num <= 2")
@@ -219,16 +219,6 @@ def src5_local_link(spark, sf):
     return logs.local_link(list(range(-1, 4)), spark)
 
 
-@query("la18_single_precision", "SELECT o_orderkey AS i, (1.5::FLOAT * o_totalprice::FLOAT + o_orderkey::FLOAT)::DOUBLE AS v FROM orders")
-def la18_single_precision(spark, sf):
-    """saxpy: operands and result in float."""
-    o = table(spark, sf, "orders")
-    x = o.select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").cast("float").alias("v"))
-    y = o.select(F.col("o_orderkey").alias("i"), F.col("o_orderkey").cast("float").alias("v"))
-    z = y.join(x.select("i", F.col("v").alias("w")), "i").select("i", (F.lit(1.5).cast("float") * F.col("w") + F.col("v")).cast("float").alias("v"))
-    return z.select("i", F.col("v").cast("double").alias("v"))
-
-
 @query("prj18_level_of", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 1 ELSE 3 END AS level FROM part")
 def prj18_level_of(spark, sf):
     """The BLAS level of each routine name."""

@@ -40,14 +40,14 @@ def grouped(spark, sf):
     return log(spark, sf).groupBy(*KEYS, "imp").agg(F.avg("timer").alias("timer"), F.avg("pred_t").alias("pred_t"), F.avg("pred_J").alias("pred_J"), F.count("*").alias("runs"))
 
 
-@query("prj_gemm_metrics", f"""WITH {LOG_SQL}, w AS (SELECT avg(pred_J / pred_t / dev_num) AS watts FROM log),
+@query("prj_gemm_metrics", f"""WITH {LOG_SQL}, w AS (SELECT avg(pred_J / nullif(pred_t, 0) / dev_num) AS watts FROM log),
 d AS (SELECT *, M * N * (2 * K + 2) AS flops, 8 * (M * (N + K) + N * K) AS bytes, timer * watts * dev_num AS joules FROM log, w)
 SELECT seq, T, imp, flops, bytes, round(flops / (1e9 * timer), 6) + 0.0 AS perf, round(joules, 9) + 0.0 AS energy, round(flops / (1e9 * joules), 6) + 0.0 AS pdp,
 round((flops / (1e9 * timer)) ** 2 / (watts * dev_num), 4) + 0.0 AS edp, 100 * (a_loc + 1) + 10 * (b_loc + 1) + (c_loc + 1) AS loc_code FROM d""")
 def prj_gemm_metrics(spark, sf):
     """Work, bytes, rate, energy, power-delay, energy-delay and location code of every run."""
     df = log(spark, sf)
-    watts = df.agg(F.avg(F.col("pred_J") / F.col("pred_t") / F.col("dev_num")).alias("watts"))
+    watts = df.agg(F.avg(F.try_divide(F.try_divide(F.col("pred_J"), F.col("pred_t")), F.col("dev_num"))).alias("watts"))
     df = df.join(F.broadcast(watts)).withColumn("flops", mt.flops_run(F.col("M"), F.col("N"), F.col("K")))
     joules, perf = mt.energy(F.col("timer"), F.col("watts"), F.col("dev_num")), mt.gflops(F.col("flops"), F.col("timer"))
     return df.select(
@@ -66,22 +66,24 @@ def prj_flop_formulas(spark, sf):
     ).distinct()
 
 
-@query("prj17_roofline", f"""WITH {LOG_SQL}, d AS (SELECT seq, M, N, K, T, dev_num AS d, a_loc + b_loc + c_loc AS h, (M * K + K * N + M * N) * 8 / 3.0::DOUBLE AS size, timer FROM log)
-SELECT seq, T, timer, round(greatest(2 * M * N * K / 1e12 / (6.9::DOUBLE * d), h * size / 1e9 / (least(4, d) * 13.0::DOUBLE) + CASE WHEN d > 1 THEN (3 - h) * size / 1e9 / ((d - 1) * 24.0::DOUBLE) ELSE 0 END) / 0.9::DOUBLE, 9) + 0.0 AS seconds FROM d""")
+@query("prj17_roofline", f"""WITH {LOG_SQL}, d AS (SELECT seq, T, timer, M, N, K, dev_num AS d, a_loc - 1 AS a, b_loc - 1 AS b, c_loc - 1 AS c FROM log),
+s AS (SELECT *, 13.0::DOUBLE * least(4, d) AS host, 24.0::DOUBLE * (d - 1) AS peer, 2 * M * N * K / 1e12 AS work FROM d),
+t AS (SELECT *, work / (6.9::DOUBLE * d) AS exec_t, 8 * M * K / 1e9 / nullif(CASE WHEN a = -1 THEN host ELSE peer END, 0) + 8 * N * K / 1e9 / nullif(CASE WHEN b = -1 THEN host ELSE peer END, 0) + 8 * M * N / 1e9 / nullif(CASE WHEN c = -1 THEN host ELSE peer END, 0) AS transfer_t FROM s)
+SELECT seq, T, timer, round(CASE WHEN transfer_t IS NULL THEN 0 ELSE work / greatest(exec_t, transfer_t) * 0.9::DOUBLE END, 9) + 0.0 AS tflops FROM t""")
 def prj17_roofline(spark, sf):
-    host = F.col("a_loc") + F.col("b_loc") + F.col("c_loc")
-    return log(spark, sf).select("seq", "T", "timer", r(mt.roofline_seconds(F.col("M"), F.col("N"), F.col("K"), F.col("dev_num"), host, 3 - host), 9).alias("seconds"))
+    """Each operand over its own link; locations are host (-1) or a unit."""
+    c = F.col
+    rate = mt.roofline(c("M"), c("N"), c("K"), c("dev_num"), *(c(x) - 1 for x in LOCS))
+    return log(spark, sf).select("seq", "T", "timer", r(rate, 9).alias("tflops"))
 
 
-@query("prj11_errors", f"""WITH {LOG_SQL}, d AS (SELECT imp, 100 * (pred_t - timer) / timer AS pe FROM log)
-SELECT imp, round(avg(abs(pe)), 6) + 0.0 AS mape, round(stddev_samp(pe), 6) + 0.0 AS sd, count(*) FILTER (abs(pe) > 200.0000001) AS beyond,
-count(*) FILTER ((pe > 55.0000001 AND pe <= 200.0000001) OR (pe >= -199.9999999 AND pe < -49.9999999)) AS far, count(*) FILTER ((pe > 25.0000001 AND pe <= 50.0000001) OR (pe >= -49.9999999 AND pe < -24.9999999)) AS near FROM d GROUP BY imp""")
+@query("prj11_errors", f"""WITH {LOG_SQL}, d AS (SELECT imp, 100 * (pred_t - timer) / nullif(timer, 0) AS pe FROM log), e AS (SELECT imp, pe, round(pe, 9) AS x FROM d)
+SELECT imp, round(avg(abs(pe)), 6) + 0.0 AS mape, round(stddev_samp(pe), 6) + 0.0 AS sd, count(*) FILTER (abs(x) > 200) AS beyond,
+count(*) FILTER ((x > 55 AND x <= 200) OR (x >= -200 AND x < -50)) AS far, count(*) FILTER ((x > 25 AND x <= 50) OR (x >= -50 AND x < -25)) AS near FROM e GROUP BY imp""")
 def prj11_errors(spark, sf):
     """Percentage errors: mean absolute, deviation, and counts by outlier band."""
     error = mt.percentage_error(F.col("pred_t"), F.col("timer"))
-    # shifted by a hair: band edges are met exactly here, and division rounds
-    band = mt.error_band(error - F.lit(1e-7))
-    df = log(spark, sf).select("imp", error.alias("pe"), band.alias("band"))
+    df = log(spark, sf).select("imp", error.alias("pe"), mt.error_band(error).alias("band"))
     return df.groupBy("imp").agg(r(mt.mape(F.col("pe"))).alias("mape"), r(F.stddev_samp("pe")).alias("sd"), *(F.count_if(F.col("band") == b).alias(name) for b, name in ((3, "beyond"), (2, "far"), (1, "near"))))
 
 
@@ -129,7 +131,7 @@ def ag5_means(spark, sf):
     """Arithmetic, ratio, harmonic and geometric means, for small, large and all problems."""
     df = log(spark, sf).withColumn("flops", mt.flops_run(F.col("M"), F.col("N"), F.col("K"))).withColumn("perf", mt.gflops(F.col("flops"), F.col("timer"))).withColumn("small", mt.is_small(F.col("M"), F.col("N"), F.col("K")))
     df = df.groupingSets([["imp", "small"], ["imp"]], "imp", "small").agg(
-        F.grouping("small").alias("g"), F.count("*").alias("n"), r(F.avg("perf"), 4).alias("mean"), r(F.avg("flops") / F.avg("timer") / 1e9, 4).alias("ratio_of_means"),
+        F.grouping("small").alias("g"), F.count("*").alias("n"), r(F.avg("perf"), 4).alias("mean"), r(F.try_divide(F.avg("flops"), F.avg("timer")) / 1e9, 4).alias("ratio_of_means"),
         r(mt.harmonic_mean(F.col("perf")), 4).alias("hmean"), r(mt.geometric_mean(F.col("perf")), 4).alias("gmean"))
     return df.select("imp", F.when(F.col("g") == 1, "total").when(F.col("small"), "small").otherwise("large").alias("size"), "n", "mean", "ratio_of_means", "hmean", "gmean")
 
@@ -151,7 +153,7 @@ def ag13_predicted_best(spark, sf):
     g = grouped(spark, sf).groupBy("M", "N", "K", *LOCS, "imp")
     fixed = F.coalesce(F.max(F.when((F.col("T") == 1024) & (F.col("dev_num") == 2), F.col("timer"))), F.max_by("timer", F.struct("T", "dev_num")))
     b = g.agg(F.min_by("timer", F.struct(F.round("pred_t", 9), "T", "dev_num")).alias("picked"), F.min("timer").alias("best"), fixed.alias("fixed"))
-    return b.select("M", "N", "K", *LOCS, "imp", r(F.col("picked") / F.col("best")).alias("achieved"), r(F.col("fixed") / F.col("best")).alias("fixed_ratio"))
+    return b.select("M", "N", "K", *LOCS, "imp", r(F.try_divide(F.col("picked"), F.col("best"))).alias("achieved"), r(F.try_divide(F.col("fixed"), F.col("best"))).alias("fixed_ratio"))
 
 
 @query("ag15_least_squares", "SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 6) + 0.0 AS slope, round(abs(regr_intercept(l_extendedprice, l_quantity)), 5) + 0.0 AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) + 0.0 AS r2 FROM lineitem GROUP BY 1")
@@ -230,7 +232,7 @@ def jn5_ratio_to_baseline(spark, sf):
     """Rate over that of the baseline's last variant; 1 where there is none."""
     p = grouped(spark, sf).withColumn("p", mt.gflops(mt.flops_run(F.col("M"), F.col("N"), F.col("K")), F.col("timer")))
     base = p.where("imp = 'A' AND T > 512").groupBy(*D).agg(F.max_by("p", F.struct("T", "dev_num")).alias("b"))
-    return p.join(base, D, "left").select(*KEYS, "imp", r(F.coalesce(F.col("p") / F.col("b"), F.lit(1.0))).alias("ratio"))
+    return p.join(base, D, "left").select(*KEYS, "imp", r(F.coalesce(F.try_divide(F.col("p"), F.col("b")), F.lit(1.0))).alias("ratio"))
 
 
 @query("set1_concat", f"WITH {LOG_SQL}, x AS (SELECT 'mine' AS imp, T, timer, pred_t FROM log WHERE imp = 'A'), y AS (SELECT 'other' AS imp, T, timer FROM log WHERE imp <> 'A'), u AS (SELECT * FROM x UNION ALL BY NAME SELECT * FROM y) SELECT imp, T, count(*) AS n, count(pred_t) AS n_pred, round(sum(timer), 4) + 0.0 AS t FROM u GROUP BY ALL")
