@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -139,6 +141,29 @@ def error_band(error: Column, digits: int = 9) -> Column:
     )
 
 
+def admissible(level: int, tile: Column, *dims: Column) -> Column:
+    """Whether a tile is fit for validation: one and a half times in every dimension; at level 1 also 64 times at most."""
+    if level == 1:
+        return (tile >= dims[0] / 64) & (tile <= dims[0] / 1.5)
+    return reduce(lambda a, b: a & b, [d / 1.5 >= tile for d in dims])
+
+
+def in_shape_windows(runs: DataFrame, locations: DataFrame, sizes: list[int], fat: list[int], thin: list[int]) -> DataFrame:
+    """Runs ``(M, N, K, a_loc, b_loc, c_loc)`` at one of the locations whose volume is that of a cube of one of ``sizes`` and whose
+    shape is one of the ratios, with room for dimensions that were rounded down.
+
+    A semi-join with the grid of parameters, whose size the arguments fix.
+    """
+    each = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+    ratios = [float(x) ** 3 / 8 for x in fat] + [8 / float(x) ** 3 for x in thin]
+    grid = locations.select(*(F.col(c).alias(f"_{c}") for c in ("a_loc", "b_loc", "c_loc")), each(ratios).alias("_ratio")).select("*", each([float(x) for x in sizes]).alias("_size"))
+    m, n, k = F.col("M"), F.col("N"), F.col("K")
+    volume = (k.cast("double") * m * n <= F.pow("_size", F.lit(3.0))) & ((k + 1).cast("double") * (m + 1) * (n + 1) >= F.pow(F.col("_size") - 1, F.lit(3.0)))
+    shape = (m == n) & (n >= k * F.col("_ratio")) & (n <= (k + 1) * F.col("_ratio"))
+    where = (F.col("a_loc") == F.col("_a_loc")) & (F.col("b_loc") == F.col("_b_loc")) & (F.col("c_loc") == F.col("_c_loc"))
+    return runs.join(F.broadcast(grid), where & volume & shape, "left_semi")
+
+
 def offload_class(*locations: Column) -> Column:
     ones = reduce(lambda a, b: a & b, [c == 1 for c in locations])
     some_one = reduce(lambda a, b: a | b, [c == 1 for c in locations])
@@ -175,23 +200,59 @@ def student_margin(x: Column) -> Column:
 
 
 def near_groups(values: Column, tolerance: float = 0.05) -> Column:
-    """Values within ``tolerance`` of a pivot averaged together, in order of the array.
+    """Values nearer than ``tolerance`` to a pivot averaged together, in order of the array.
 
-    The first value not yet in a group is the next pivot; each value that is within
-    the tolerance of it and not yet in a group joins. Returns the array of averages in
-    place of the values. An ordered fold: no builtin says this.
+    Each place in turn is the pivot, with the value that it has by then; values not yet averaged that are
+    nearer than the tolerance to it are. Returns the array with averages in place of the values. An
+    ordered fold for short arrays; over a whole column there is :func:`near_value_means`.
     """
     start = F.struct(F.transform(values, lambda x: x.cast("double")).alias("v"), F.transform(values, lambda x: F.lit(False)).alias("done"))
 
     def step(state: Column, i: Column) -> Column:
-        pivot = F.element_at(values, i)
-        joins = F.transform(F.sequence(F.lit(1), F.size(values)), lambda k: ~F.element_at(state["done"], k) & (F.abs(F.element_at(values, k) - pivot) <= tolerance * F.abs(pivot)))
-        total = F.aggregate(F.zip_with(values, joins, lambda v, j: F.when(j, v.cast("double")).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
-        count = F.size(F.filter(joins, lambda j: j))
-        changed = F.struct(
-            F.zip_with(state["v"], joins, lambda v, j: F.when(j, total / count).otherwise(v)).alias("v"),
-            F.zip_with(state["done"], joins, lambda d, j: d | j).alias("done"),
-        )
-        return F.when(F.element_at(state["done"], i), state).otherwise(changed)
+        pivot = F.element_at(state["v"], i)
+        joins = F.transform(F.sequence(F.lit(1), F.size(values)), lambda k: ~F.element_at(state["done"], k) & (F.abs(F.element_at(state["v"], k) - pivot) < tolerance * F.abs(pivot)))
+        total = F.aggregate(F.zip_with(state["v"], joins, lambda v, j: F.when(j, v).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+        mean = F.try_divide(total, F.size(F.filter(joins, lambda j: j)))
+        return F.struct(
+            F.zip_with(state["v"], joins, lambda v, j: F.when(j, mean).otherwise(v)).alias("v"),
+            F.zip_with(state["done"], joins, lambda d, j: d | j).alias("done"))
 
     return F.when(F.size(values) > 0, F.aggregate(F.sequence(F.lit(1), F.size(values)), start, step)["v"]).otherwise(F.transform(values, lambda x: x.cast("double")))
+
+
+def running_near(values: Column, tolerance: float = 0.05, parts: Column | int = 1) -> Column:
+    """Each place in turn averaged with the later ones nearer to it than ``tolerance`` (times ``parts``), in place."""
+
+    def step(v: Column, i: Column) -> Column:
+        pivot = F.element_at(v, i)
+        joins = F.transform(F.sequence(F.lit(1), F.size(v)), lambda k: (k == i) | ((k > i) & (F.abs(F.element_at(v, k) - pivot) < tolerance * parts * pivot)))
+        total = F.aggregate(F.zip_with(v, joins, lambda x, j: F.when(j, x).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+        return F.zip_with(v, joins, lambda x, j: F.when(j, total / F.size(F.filter(joins, lambda y: y))).otherwise(x))
+
+    doubles = F.transform(values, lambda x: x.cast("double"))
+    return F.when(F.size(values) > 0, F.aggregate(F.sequence(F.lit(1), F.size(values)), doubles, step)).otherwise(doubles)
+
+
+def near_value_means(df: DataFrame, keys: list[str], value: str, tolerance: float = 0.05) -> DataFrame:
+    """``(*keys, value, n, averaged)``: the groups of :func:`near_groups` over each key's values in ascending order.
+
+    Equal values are counted before they meet, so a key's task gets its distinct values only, and takes
+    them in one pass: a group's mean is the next pivot where it reaches a further value, else that value is. Values must
+    not be negative.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"))
+
+    def means(group: pa.Table) -> pa.Table:
+        group = group.sort_by(value)
+        x, n = group.column(value).to_numpy(), group.column("n").to_numpy()
+        out, low, pivot = np.empty(len(x)), 0, None
+        while low < len(x):
+            if pivot is None or not x[low] - pivot < tolerance * pivot:
+                pivot = x[low]
+            high = max(low + 1, low + int(np.searchsorted(x[low:] - pivot, tolerance * pivot, "left")))
+            pivot = out[low:high] = float((x[low:high] * n[low:high]).sum() / n[low:high].sum())
+            low = high
+        return group.append_column("averaged", pa.array(out))
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in counted.dtypes)
+    return counted.groupBy(*keys).applyInArrow(means, f"{kinds}, averaged double")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.metrics import near_groups, running_near
+from tilewright.sources.paths import staged
+
 
 def bandwidth(ti: Column, tb: Column, tile: int = 2048) -> Column:
     """GB/s of a square of ``tile`` doubles."""
@@ -19,11 +22,65 @@ def resolved(edges: DataFrame) -> DataFrame:
     return joined.select("dest", "src", "bw", F.when(F.col("bw_shared") == -1, F.col("_b")).otherwise(F.col("bw_shared")).alias("bw_shared"))
 
 
+def weighted(links: DataFrame, tile: int = 2048, tolerance: float = 0.05) -> DataFrame:
+    """``(dest, src, ti, tb, bw)``: each link's bandwidth for a square of ``tile`` doubles, near ones averaged.
+
+    Averaging goes by pivots in order of the links, units first and the host last. Links to a unit itself have 0.
+    """
+    order = lambda c: F.when(F.col(c) < 0, F.lit(1 << 30)).otherwise(F.col(c))
+    bw = F.when(F.col("dest") == F.col("src"), F.lit(0.0)).otherwise(bandwidth(F.col("ti"), F.col("tb"), tile))
+    listed = F.array_sort(F.collect_list(F.struct(order("dest").alias("o1"), order("src").alias("o2"), "dest", "src", "ti", "tb", bw.alias("bw"))))
+    near = lambda l: near_groups(F.transform(l, lambda x: x["bw"]), tolerance)
+    one = links.agg(listed.alias("l"))
+    each = one.select(F.explode(F.zip_with("l", near(F.col("l")), lambda x, v: F.struct(x["dest"].alias("dest"), x["src"].alias("src"), x["ti"].alias("ti"), x["tb"].alias("tb"), v.alias("bw")))).alias("x"))
+    return each.select("x.*")
+
+
+def partner(unit: Column) -> Column:
+    """The unit that shares another's link to the host: 0 and 1, 2 and 3 and so on."""
+    return unit.bitwiseXOR(F.lit(1))
+
+
+def used(dest: Column, src: Column, workers: Column, holders: Column) -> Column:
+    """Whether a link may carry anything: a worker at one end, a worker or holder of data at the other."""
+    inside = lambda u, us: F.array_contains(us, u)
+    either = (inside(dest, workers) & (inside(src, workers) | inside(src, holders))) | (inside(src, workers) & inside(dest, holders))
+    return (dest != src) & either
+
+
 def activated(edges: DataFrame, workers: list[int], holders: list[int]) -> DataFrame:
     """``active``: 2 to a worker, 1 to a unit that only holds data, -1 unused."""
-    units = sorted({*workers, *holders})
-    used = F.col("src").isin(units) & F.col("dest").isin(units) & (F.col("src") != F.col("dest"))
-    return edges.withColumn("active", F.when(used & F.col("dest").isin(workers), 2).when(used, 1).otherwise(-1))
+    w, h = F.array(*map(F.lit, workers)), F.array(*map(F.lit, holders))
+    on = used(F.col("dest"), F.col("src"), w, h)
+    return edges.withColumn("active", F.when(on & F.array_contains(w, F.col("dest")), 2).when(on, 1).otherwise(-1))
+
+
+def shared_links(weights: DataFrame, sets: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """``(set, dest, src, ti, tb, bw, active, share)`` of each set of ``(set, workers, holders)``.
+
+    Of two partner links with the host the later one takes the earlier one's bandwidth, if that is in use;
+    then near bandwidths into one unit are averaged. ``share`` is 2 where a link and its partner are both in use.
+    Unused links have a null ``bw``.
+    """
+    dest, src = F.col("dest"), F.col("src")
+    all_ = sets.crossJoin(F.broadcast(weights))
+    on = used(dest, src, F.col("workers"), F.col("holders"))
+    p_dest, p_src = F.when(src == -1, partner(dest)).otherwise(dest), F.when(dest == -1, partner(src)).otherwise(src)
+    paired = (dest == -1) != (src == -1)
+    state = all_.select("set", "dest", "src", "ti", "tb", "bw", on.alias("on"), F.when(on & F.array_contains("workers", dest), 2).when(on, 1).otherwise(-1).alias("active"), F.when(paired, p_dest).alias("pd"), F.when(paired, p_src).alias("ps"))
+    mate = state.select(F.col("set").alias("_set"), dest.alias("_d"), src.alias("_s"), F.col("on").alias("_on"), F.col("bw").alias("_bw"))
+    met = state.join(mate, (F.col("set") == F.col("_set")) & (F.col("pd") == F.col("_d")) & (F.col("ps") == F.col("_s")), "left")
+    later = F.when(src == -1, F.col("pd") < dest).otherwise(F.col("ps") < src)
+    both = F.coalesce(F.col("on") & F.col("_on"), F.lit(False))
+    own = F.when(both & later, F.lit(None)).when(F.col("on"), F.col("bw"))
+    row = met.select("set", "dest", "src", "ti", "tb", "active", own.alias("own"), (both & later).alias("follows"), "pd", "ps", F.when(both, 2.0).otherwise(1.0).alias("share"))
+    order = F.when(src < 0, F.lit(1 << 30)).otherwise(src)
+    lists = row.where("own IS NOT NULL").groupBy("set", "dest").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "src", "own"))).alias("l"))
+    even = lists.select("set", "dest", F.explode(F.zip_with("l", running_near(F.transform("l", lambda x: x["own"]), tolerance), lambda x, v: F.struct(x["src"].alias("src"), v.alias("bw")))).alias("x")).select("set", "dest", "x.*")
+    taken = even.select(F.col("set").alias("_set"), F.col("dest").alias("_d"), F.col("src").alias("_s"), "bw")
+    at_dest, at_src = F.when(F.col("follows"), F.col("pd")).otherwise(dest), F.when(F.col("follows"), F.col("ps")).otherwise(src)
+    out = row.withColumn("ad", at_dest).withColumn("as_", at_src).join(taken, (F.col("set") == F.col("_set")) & (F.col("ad") == F.col("_d")) & (F.col("as_") == F.col("_s")), "left")
+    return out.select("set", "dest", "src", "ti", "tb", "bw", "active", "share")
 
 
 def one_hop_routes(edges: DataFrame, penalty: float = 0.2) -> DataFrame:
@@ -60,6 +117,23 @@ def routes_via(routes: DataFrame, unit: int) -> DataFrame:
     return routes.where((F.col("dest") == unit) | (F.col("src") == unit) | F.array_contains("routes", unit))
 
 
+def without_routes_via(routes: DataFrame, direct: DataFrame, unit: int) -> DataFrame:
+    """``routes`` with every link that may pass at ``unit`` back on its direct link."""
+    d = direct.select("dest", "src", F.col("bw").alias("_b"))
+    ends = F.array_contains("routes", unit)
+    return routes.join(d, ["dest", "src"]).select("dest", "src", F.when(ends, F.col("_b")).otherwise(F.col("bw")).alias("bw"), F.when(ends, F.array().cast("array<int>")).otherwise(F.col("routes")).alias("routes"))
+
+
+def reset(edges: DataFrame) -> DataFrame:
+    """The links as they are before anything is known of use: no shared bandwidth, nothing active, no routes."""
+    return edges.select("dest", "src", "bw", F.lit(0.0).alias("bw_shared"), F.lit(-1).alias("active"), F.array().cast("array<int>").alias("routes"))
+
+
+def load_stats(load: DataFrame) -> DataFrame:
+    """Greatest, mean and variance of the links' times to completion, over all of them."""
+    return load.agg(F.max("eta").alias("most"), F.avg("eta").alias("mean"), F.var_pop("eta").alias("variance"))
+
+
 def link_load(transfers: DataFrame, edges: DataFrame) -> DataFrame:
     """``(dest, src, bytes, eta)``: what flows over each link, and seconds until it is through.
 
@@ -76,9 +150,11 @@ def rebalanced(transfers: DataFrame, edges: DataFrame, rounds: int = 4, penalty:
 
     Each round takes the loads as they stand and moves every pair of ends to the detour
     whose two links are through soonest, if that is sooner than its own link by more than ``penalty``.
-    The table of links is small; transfers are aggregated by ends, so they are too.
+    The table of links is small; transfers are aggregated by ends, so they are too. Each round's
+    outcome is written, so the trace is read once.
     """
     pairs = transfers.groupBy("dest", "src").agg(F.sum("bytes").alias("bytes")).where("dest <> src").withColumn("via", F.lit(None).cast("int"))
+    pairs, edges = staged(pairs, "pairs"), staged(edges.select("dest", "src", "bw"), "edges")
     for _ in range(rounds):
         hops = pairs.select(F.explode(F.when(F.col("via").isNull(), F.array(F.struct("dest", "src", "bytes"))).otherwise(
             F.array(F.struct(F.col("via").alias("dest"), "src", "bytes"), F.struct("dest", F.col("via").alias("src"), "bytes")))).alias("h")).select("h.*")
@@ -88,5 +164,5 @@ def rebalanced(transfers: DataFrame, edges: DataFrame, rounds: int = 4, penalty:
         best = first.join(second, "u").where("src <> dest").groupBy("dest", "src").agg(F.min(F.struct(F.greatest("e1", "e2").alias("e"), "u")).alias("b"))
         direct = load.select("dest", "src", "eta")
         moved = pairs.join(direct, ["dest", "src"]).join(best, ["dest", "src"], "left")
-        pairs = moved.select("dest", "src", "bytes", F.when(F.col("via").isNull() & (F.col("b.e") < (1 - penalty) * F.col("eta")), F.col("b.u").cast("int")).otherwise(F.col("via")).alias("via"))
+        pairs = staged(moved.select("dest", "src", "bytes", F.when(F.col("via").isNull() & (F.col("b.e") < (1 - penalty) * F.col("eta")), F.col("b.u").cast("int")).otherwise(F.col("via")).alias("via")), "pairs")
     return pairs

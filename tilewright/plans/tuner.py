@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Tiles under TILE_MIN and over TILE_MAX cost extra, and so do more than MAX_TASKS tasks a unit.
+TILE_MIN, TILE_MIN_COST, TILE_MAX, TILE_MAX_COST, MAX_TASKS, MAX_TASKS_COST = 2048, 0.2, 4096, 0.1, 512, 0.1
 
-def tile_slowdown(tile: Column, d1: Column, d2: Column, d3: Column, units: Column) -> Column:
-    """Sum of the five penalties of a tile size: imbalance, remainder, small, count, big."""
+
+def tile_terms(tile: Column, d1: Column, d2: Column, d3: Column, units: Column) -> dict[str, Column]:
+    """The five penalties of a tile size: imbalance, remainder, small, count, big. A d2 or d3 of -1 is as d1."""
     d2, d3 = F.when(d2 == -1, d1).otherwise(d2), F.when(d3 == -1, d1).otherwise(d3)
     up = lambda d: F.ceil(d / tile).cast("long")
     div = lambda a, b: F.floor(a / b)
@@ -17,11 +24,38 @@ def tile_slowdown(tile: Column, d1: Column, d2: Column, d3: Column, units: Colum
     turns = div(blocks, units)
     imbalance = F.when(turns > 0, (blocks % units) / turns * units).otherwise(blocks / units)
     remainder = sum((F.when(d % tile != 0, 1.0 / F.greatest(div(d, tile), F.lit(1))).otherwise(0.0) for d in (d1, d2, d3)), F.lit(0.0))
-    small = F.when(tile < 2048, F.lit(2048.0) / tile * 0.2).otherwise(0.0)
+    small = F.when(tile < TILE_MIN, F.lit(float(TILE_MIN)) / tile * TILE_MIN_COST).otherwise(0.0)
     k = div(tasks, units)
-    count = F.when(k == 0, F.lit(float("inf"))).otherwise(2.0 / F.greatest(k, F.lit(1)) + F.when(k > 512, k / 512.0 * 0.1).otherwise(0.0))
-    big = F.when(tile > 4096, div(tile, F.lit(4096)) * 0.1).otherwise(0.0)
-    return imbalance + remainder + small + count + big
+    count = F.when(k == 0, F.lit(float("inf"))).otherwise(2.0 / F.greatest(k, F.lit(1)) + F.when(k > MAX_TASKS, k / float(MAX_TASKS) * MAX_TASKS_COST).otherwise(0.0))
+    big = F.when(tile > TILE_MAX, div(tile, F.lit(TILE_MAX)) * TILE_MAX_COST).otherwise(0.0)
+    return {"imbalance": imbalance, "remainder": remainder, "small": small, "count": count, "big": big}
+
+
+def tile_slowdown(tile: Column, d1: Column, d2: Column, d3: Column, units: Column) -> Column:
+    """Sum of :func:`tile_terms`."""
+    a, b, c, d, e = tile_terms(tile, d1, d2, d3, units).values()
+    return a + b + c + d + e
+
+
+def _runs(d: Column) -> Column:
+    """The tile sizes at which the number of tiles along ``d``, whole ones or all, is about to change: O(sqrt d) of them."""
+    root = F.ceil(F.sqrt(d)).cast("long")
+    q = F.sequence(F.lit(1).cast("long"), F.greatest(root, F.lit(1).cast("long")))
+    div = lambda a, k: F.floor(a / k).cast("long")
+    return F.concat(q, F.transform(q, lambda k: div(d, k)), F.transform(q, lambda k: div(d - 1, k)))
+
+
+def candidate_tiles(d1: Column, d2: Column, d3: Column) -> Column:
+    """Tile sizes among which the least slowdown is, and the largest that has it.
+
+    Between two of :func:`_runs` the numbers of tiles are constant and no size divides a dimension but
+    the last one; there the small-tile penalty falls and the big-tile one rises at multiples of TILE_MAX only. So
+    the last size of each stretch is as good as any in it.
+    """
+    top = F.least(d1, d2, d3)
+    steps = F.transform(F.sequence(F.lit(1).cast("long"), F.floor(top / TILE_MAX).cast("long") + 1), lambda k: F.when(k == 1, F.lit(TILE_MAX)).otherwise(k * TILE_MAX - 1))
+    all_ = F.concat(F.array(top), steps, _runs(d1), _runs(d2), _runs(d3))
+    return F.array_distinct(F.filter(all_, lambda t: (t >= 1) & (t <= top)))
 
 
 def best_tile(problems: DataFrame, digits: int = 9) -> DataFrame:
@@ -29,9 +63,10 @@ def best_tile(problems: DataFrame, digits: int = 9) -> DataFrame:
 
     ``problems``: ``(pid, D1, D2, D3, units)``. Slowdowns are compared to ``digits`` places.
     """
-    dims = [F.when(F.col(d) == -1, F.col("D1")).otherwise(F.col(d)) for d in ("D1", "D2", "D3")]
-    each = problems.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(*dims))).alias("T"))
-    sl = F.round(tile_slowdown(F.col("T"), F.col("D1"), F.col("D2"), F.col("D3"), F.col("units")), digits)
+    d1 = F.col("D1")
+    d2, d3 = (F.when(F.col(d) == -1, d1).otherwise(F.col(d)) for d in ("D2", "D3"))
+    each = problems.select("*", F.explode(candidate_tiles(d1, d2, d3)).alias("T"))
+    sl = F.round(tile_slowdown(F.col("T"), d1, d2, d3, F.col("units")), digits)
     return each.withColumn("sl", sl).groupBy("pid").agg(F.min(F.struct("sl", (-F.col("T")).alias("neg"))).alias("m")).select("pid", (-F.col("m.neg")).alias("T"), F.col("m.sl").alias("slowdown"))
 
 
@@ -60,46 +95,24 @@ def permutations(spark, units: int) -> DataFrame:
     return out.select((F.row_number().over(W.orderBy("units")) - 1).alias("place"), "units")
 
 
-def accept_in_order(cases: DataFrame, handicap: float = 0.05) -> DataFrame:
-    """``(pid, case)`` that a sequential search ends with.
-
-    Cases come in order of their number; one replaces the incumbent if its value, worsened by
-    ``handicap`` for each unit that it has more, is lower, or within the handicap and it has
-    fewer units. The outcome hangs on the order: an ordered fold.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("case", "value", F.col("n").cast("int").alias("n"))))
-    start = F.struct(F.lit(-1).cast("long").alias("case"), F.lit(float("inf")).alias("value"), F.lit(0).alias("n"))
-
-    def step(best: Column, x: Column) -> Column:
-        worse = x["value"] * (1 + handicap * F.greatest(x["n"] - best["n"], F.lit(0)))
-        takes = (best["case"] < 0) | (worse < best["value"]) | ((x["n"] < best["n"]) & (x["value"] <= best["value"] * (1 + handicap)))
-        return F.when(takes, x).otherwise(best)
-
-    return cases.groupBy("pid").agg(F.aggregate(ordered, start, step).alias("b")).select("pid", "b.case", "b.value", "b.n")
-
-
-def normalised_split(scores: Column, least: float = 0.05) -> Column:
-    """Scores under ``least`` dropped to 0, the others rescaled to a sum of 1."""
-    kept = F.transform(scores, lambda s: F.when(s < least, F.lit(0.0)).otherwise(s))
-    total = F.aggregate(kept, F.lit(0.0), lambda a, s: a + s)
-    return F.transform(kept, lambda s: s / total)
-
+def normalised_split(scores: Column, least: float = 0.05, tolerance: float = 0.05) -> Column:
+    """Scores under ``least`` dropped to 0, the others rescaled; scores near each other averaged.
 
-def split_ratios(times: Column, rounds: int = 10) -> Column:
-    """Shares of work by unit after ``rounds`` fixed-point steps: share / its time, rescaled.
-
-    ``times`` are the units' times for the whole problem and a fixed cost each, as
-    ``(t, fixed)``; a share's time is fixed + share * t.
+    One place after the other: a score under ``least`` goes, and the rest is divided by what is left; any
+    other is averaged with the later ones nearer to it than ``tolerance`` times the number of units.
     """
-    n = F.size(times)
-    start = F.transform(times, lambda x: 1.0 / n)
+    n = F.size(scores)
+    doubles = F.transform(scores, lambda x: x.cast("double"))
 
-    def step(shares: Column, _: Column) -> Column:
-        raw = F.zip_with(shares, times, lambda s, x: s / (x["fixed"] + s * x["t"]))
-        total = F.aggregate(raw, F.lit(0.0), lambda a, s: a + s)
-        return F.transform(raw, lambda s: s / total)
+    def step(v: Column, i: Column) -> Column:
+        own = F.element_at(v, i)
+        rest = F.transform(v, lambda x, k: F.when(k + 1 == i, F.lit(0.0)).otherwise(F.try_divide(x, 1 - own)))
+        joins = lambda x, k: (k + 1 == i) | ((k + 1 > i) & (F.abs(x - own) < tolerance * n * own))
+        picked = F.filter(v, joins)
+        mean = F.aggregate(picked, F.lit(0.0), lambda a, x: a + x) / F.size(picked)
+        return F.when(own < least, rest).otherwise(F.transform(v, lambda x, k: F.when(joins(x, k), mean).otherwise(x)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), doubles, step)).otherwise(doubles)
 
 
 def quotas(scores: DataFrame) -> DataFrame:
@@ -139,17 +152,82 @@ def distribute(quota: DataFrame, strategy: str, chunk: int = 1) -> DataFrame:
 
 
 def squarest(units: int) -> tuple[int, int]:
-    """The factors p1 <= p2 of a number that are nearest each other."""
-    p1 = max(k for k in range(1, int(units**0.5) + 1) if units % k == 0)
+    """The factors of a number that are nearest each other: the first is the greatest up to one more than its root."""
+    p1 = next(k for k in range(int(units**0.5) + 1, 0, -1) if units % k == 0)
     return p1, units // p1
 
 
-def block_units(tasks: DataFrame, g1: int, g2: int, units: int) -> DataFrame:
-    """``(mi, ni)`` tasks to a p1 x p2 grid of units by blocks; edge blocks go to the last row or column."""
-    p1, p2 = squarest(units)
-    row = F.least(F.floor(F.col("mi") / max(1, g1 // p1)), F.lit(p1 - 1))
-    col = F.least(F.floor(F.col("ni") / max(1, g2 // p2)), F.lit(p2 - 1))
-    return tasks.withColumn("unit", (row * p2 + col).cast("int"))
+def block_quotas(scores: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets a unit may take: the whole part of its score, then one more for units below an even share, then one more in order."""
+    quota = np.floor(np.round(scores * buckets, 9)).astype(int)
+    for below in (quota < buckets // len(scores), np.ones(len(scores), bool)):
+        left = buckets - quota.sum()
+        quota[np.flatnonzero(below)[:max(left, 0)]] += 1
+    while (left := buckets - quota.sum()) > 0:
+        quota[:left] += 1
+    return quota
+
+
+def block_owners(g1: int, g2: int, g3: int, scores: list[float]) -> np.ndarray:
+    """The unit of each (mi, ni) of a g1 x g2 x g3 grid, or of each (mi, ni, ki) if the grid is dealt task by task.
+
+    Units are laid out p1 x p2; each has a block of the grid, and what is over its quota goes to the next unit that
+    has room. Rows and columns beyond a multiple of p1 and p2 are dealt in turns: columns, rows, corner. A grid
+    narrower than the layout is dealt row by row of D3, one of width 1 task by task, both in turns by quota.
+    """
+    n, share = len(scores), np.asarray(scores, float)
+    p1, p2 = squarest(n)
+    if g2 == 1 and g3 == 1:
+        return _in_turns(share, g1).reshape(g1, 1)
+    if g1 < p1 or g2 < p2:
+        return _in_turns(share, g1 * g2).reshape(g1, g2)
+    d1, d2 = g1 // p1 * p1, g2 // p2 * p2
+    m, k = np.indices((d1, d2))
+    owner = np.full((g1, g2), -1)
+    inner = m // (g1 // p1) * p2 + k // (g2 // p2)
+    quota = block_quotas(share, d1 * d2)
+    if (np.bincount(inner.ravel(), minlength=n) > quota).any():
+        room = quota.copy()
+        for place, unit in enumerate(inner.ravel()):
+            while room[unit] == 0:
+                unit = (unit + 1) % n
+            room[unit] -= 1
+            inner.ravel()[place] = unit
+    owner[:d1, :d2] = inner
+    for part in (owner[:d1, d2:], owner[d1:, :d2], owner[d1:, d2:]):
+        part[...] = (np.arange(part.size) % n).reshape(part.shape)
+    return owner
+
+
+def _in_turns(share: np.ndarray, count: int) -> np.ndarray:
+    """``count`` things dealt one at a time to units by quota."""
+    quota = np.floor(np.round(share * count, 9)).astype(int)
+    left = count - quota.sum()
+    quota += left // len(share) + (np.arange(len(share)) < left % len(share))
+    unit = np.repeat(np.arange(len(share)), quota)
+    slot = np.concatenate([np.arange(q) for q in quota])
+    return unit[np.lexsort((unit, slot))]
+
+
+def block_units(problems: DataFrame) -> DataFrame:
+    """``(pid, mi, ni, unit)`` of ``(pid, g1, g2, g3, scores)``: every bucket of each grid with its unit; its g3 tasks go with it."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.to_pylist():
+                owner = block_owners(p["g1"], p["g2"], p["g3"], p["scores"])
+                mi, ni = np.indices(owner.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([p["pid"]] * owner.size, batch.schema.field("pid").type), pa.array(mi), pa.array(ni), pa.array(owner.ravel().astype(np.int32))], ["pid", "mi", "ni", "unit"])
+
+    kind = dict(problems.dtypes)["pid"]
+    return problems.select("pid", "g1", "g2", "g3", "scores").mapInArrow(dealt, f"pid {kind}, mi long, ni long, unit int")
+
+
+def best_friends_seconds(links: DataFrame, ratio: float, size: Column) -> DataFrame:
+    """``(dest, sec)``: ``size`` bytes from the fastest peers, each giving its :func:`closest_units` share of them, one after the other."""
+    part = F.floor(F.col("share") / ratio * size)
+    each = closest_units(links, ratio).join(links.select("dest", "src", "ti"), ["dest", "src"])
+    return each.groupBy("dest").agg(F.sum(F.when(part > 0, F.col("ti") + part / (F.col("bw") * 1e9)).otherwise(0.0)).alias("sec"))
 
 
 def closest_units(links: DataFrame, ratio: float) -> DataFrame:
@@ -169,12 +247,28 @@ def select_task(ready: DataFrame, rule: str = "eta") -> DataFrame:
     return ready.withColumn("_p", F.row_number().over(W.partitionBy("unit").orderBy(*order))).where("_p = 1").select("unit", "sk")
 
 
-def warnings(imbalanced: Column, ragged: Column, small: Column, few: Column, big: Column) -> Column:
-    """Names of the violated tuning conditions."""
-    flags = zip(("C1", "C2", "C3", "C4", "C5"), (imbalanced, ragged, small, few, big))
-    return F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in flags)))
+def warnings(tile: Column, d1: Column, d2: Column, d3: Column, units: Column, tasks: Column) -> Column:
+    """``(name, slowdown)`` of the tuning conditions that a tile violates: C1 to C5 by :func:`tile_terms`.
+
+    C4 counts only the cost of more than MAX_TASKS tasks a unit, by the exact ratio.
+    """
+    terms = tile_terms(tile, d1, d2, d3, units)
+    many = F.when(F.floor(tasks / units) > MAX_TASKS, F.floor(tasks / units) / float(MAX_TASKS) * MAX_TASKS_COST).otherwise(0.0)
+    each = (terms["imbalance"], terms["remainder"], terms["small"], many, terms["big"])
+    return F.filter(F.array(*(F.struct(F.lit(f"C{k}").alias("name"), x.alias("slowdown")) for k, x in enumerate(each, 1))), lambda x: x["slowdown"] > 0)
+
+
+def differing(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """In how many of its preset fields a plan ``b`` differs from ``a``: tile, units, cache limit.
+
+    A field of ``b`` is preset unless it is null, -1 (tile), empty (units) or 0 (cache limit).
+    """
+    preset = {"T": b["T"] != -1, "units": F.size(b["units"]) > 0, "cache_limit": b["cache_limit"] != 0}
+    one = lambda k: F.when(b[k].isNotNull() & preset[k] & ~a[k].eqNullSafe(b[k]), 1).otherwise(0)
+    return one("T") + one("units") + one("cache_limit")
 
 
 def plan_difference(a: dict, b: dict) -> int:
-    """Number of preset fields in which two plans differ."""
-    return sum(a.get(k) != b.get(k) for k in ("T", "units", "cache_limit"))
+    """:func:`differing` of two plans at hand."""
+    unset = {"T": (None, -1), "units": (None, [], ()), "cache_limit": (None, 0)}
+    return sum(b.get(k) not in none and a.get(k) != b.get(k) for k, none in unset.items())

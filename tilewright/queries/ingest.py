@@ -98,6 +98,45 @@ def snk2_link_models(spark, sf):
     return models.join(slowdowns, ["dest", "src"]).select("dest", "src", r(F.col("ti") * 1e6, 2).alias("ti_us"), "osrc", "odest", r("sl", 4).alias("sl"))
 
 
+@query("snk4_run_log_level2", f"WITH {FULL_SQL} SELECT T, dev_num, dev_id_token, cachesize_limit, trans_a, alpha, beta, M, N, 1::BIGINT AS inc1, 2::BIGINT AS inc2, a_loc, b_loc AS x_loc, c_loc AS y_loc, c_out_loc AS y_out_loc, timer, round(pred_t, 6) + 0.0 AS pred_t, pred_J FROM run")
+def snk4_run_log_level2(spark, sf):
+    """The level 2 log in its own columns."""
+    path, c = scratch(spark, "runlog2"), F.col
+    runs = full_log(spark, sf).select("T", "dev_num", "dev_id_token", "cachesize_limit", "trans_a", "alpha", "beta", "M", "N", F.lit(1).alias("inc1"), F.lit(2).alias("inc2"), "a_loc", c("b_loc").alias("x_loc"), c("c_loc").alias("y_loc"), c("c_out_loc").alias("y_out_loc"), "timer", "pred_t", "pred_J")
+    sinks.append_run_log(runs, path, "run_l2")
+    return logs.read(spark, path, "run_l2").drop("file").withColumn("pred_t", r("pred_t"))
+
+
+@query("snk5_run_log_level1", f"WITH {FULL_SQL} SELECT T, dev_num, dev_id_token, cachesize_limit, alpha, N, 1::BIGINT AS inc1, 2::BIGINT AS inc2, a_loc AS x_loc, b_loc AS y_loc, a_loc AS x_out_loc, c_out_loc AS y_out_loc, timer FROM run")
+def snk5_run_log_level1(spark, sf):
+    """The level 1 log, each row a whole line that ends with its time."""
+    path, c = scratch(spark, "runlog1"), F.col
+    runs = full_log(spark, sf).select("T", "dev_num", "dev_id_token", "cachesize_limit", "alpha", "N", F.lit(1).alias("inc1"), F.lit(2).alias("inc2"), c("a_loc").alias("x_loc"), c("b_loc").alias("y_loc"), c("a_loc").alias("x_out_loc"), c("c_out_loc").alias("y_out_loc"), "timer")
+    sinks.append_run_log(runs, path, "run_l1")
+    return logs.read(spark, path, "run_l1").drop("file")
+
+
+@query("snk7_benchmark_rows", f"""WITH {BENCH_SQL} SELECT 3 AS level, dev, trans_a, trans_b, count(*) AS n, sum(M)::BIGINT AS size, round(sum(format('{{:e}}', t)::DOUBLE), 4) + 0.0 AS t FROM b GROUP BY ALL
+UNION ALL SELECT 2, dev, trans_a, NULL, count(*), sum(M)::BIGINT, round(sum(format('{{:e}}', t)::DOUBLE), 4) + 0.0 FROM b GROUP BY ALL UNION ALL SELECT 1, dev, NULL, NULL, count(*), sum(M)::BIGINT, round(sum(format('{{:e}}', t)::DOUBLE), 4) + 0.0 FROM b GROUP BY ALL
+UNION ALL SELECT 0, dev, NULL, NULL, count(*), sum(M)::BIGINT * 64, round(sum(format('{{:e}}', t)::DOUBLE), 4) + 0.0 FROM b GROUP BY ALL""")
+def snk7_benchmark_rows(spark, sf):
+    """Benchmark rows of the three levels and of links, written by one writer and read back by their names."""
+    c = F.col
+    df = bench(spark, sf).select("dev", "trans_a", "trans_b", "M", c("M").alias("N"), c("M").alias("K"), "mean_t", "w_avg", F.lit(-1.0).alias("joules"), F.lit(0.01).alias("margin_err"), F.lit(11).alias("samples"), F.lit(1.5).alias("bench_t"))
+    none, parts = F.lit(None).cast("string"), []
+    for level, func in ((3, "Dgemm"), (2, "Dgemv"), (1, "Daxpy")):
+        path = scratch(spark, f"bench{level}")
+        sinks.write_benchmarks(df.withColumn("func", F.lit(func)), path, level)
+        back = logs.read_benchmarks(spark, path, level)
+        flags = [c(f) if f in back.columns else none.alias(f) for f in ("trans_a", "trans_b")]
+        parts.append(back.select(F.lit(level).alias("level"), "dev", *flags, c("M" if level > 1 else "N").alias("size"), "mean_t"))
+    path = scratch(spark, "benchlinks")
+    sinks.write_benchmarks(df.select(c("dev").alias("dest"), F.lit(-1).alias("src"), F.lit(8).alias("dim1"), c("M").cast("int").alias("dim2"), c("mean_t").alias("transfer_t"), F.lit(0.01).alias("error"), F.lit(5).alias("reps"), F.lit(1.0).alias("benchmark_t")), path, None)
+    parts.append(logs.read_links(spark, path).select(F.lit(0).alias("level"), c("dest").alias("dev"), none.alias("trans_a"), none.alias("trans_b"), c("bytes").alias("size"), c("transfer_t").alias("mean_t")))
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return every.groupBy("level", "dev", "trans_a", "trans_b").agg(F.count("*").alias("n"), F.sum("size").alias("size"), r(F.sum("mean_t"), 4).alias("t"))
+
+
 @query("snk6_idempotent_append", f"WITH {FULL_SQL} SELECT T, dev_num, count(DISTINCT (cachesize_limit, trans_a, M, N, K, a_loc, b_loc, c_loc)) AS rows_ FROM run GROUP BY ALL")
 def snk6_idempotent_append(spark, sf):
     """Appending the same runs twice leaves one row for each key."""

@@ -19,31 +19,6 @@ from tilewright.sources.paths import scratch
 
 
 
-@query("cm13_location_aware", pl.PRED_SQL + """, v AS (SELECT pid, ceil(D1::DOUBLE / tile)::BIGINT * ceil(D2::DOUBLE / tile)::BIGINT * ceil(D3::DOUBLE / tile)::BIGINT AS v, tile_t AS x, far FROM full_ JOIN costs USING (pid))
-SELECT pid, round((greatest(x, far * x / 4, (far % 2) * x / 8) * (v - 1) + x + far * x / 4 + (far % 2) * x / 8) * 1e6, 4) + 0.0 AS aware_us, round((greatest(x, x * 1.5) * (v - 1) + x + x / 4 + x / 8) * 1e6, 4) + 0.0 AS both_us FROM v""")
-def cm13_location_aware(spark, sf):
-    """Steady states that count remote operands only, and that overlap both directions."""
-    p = pl.predicted(spark, sf).withColumn("v", cm.task_count(F.col("tile"), F.col("D1"), F.col("D2"), F.col("D3")))
-    x, v, far = F.col("tile_t"), F.col("v"), F.col("far")
-    return p.select("pid", r(cm.location_aware(x, x / 4, x / 8, far, far % 2, v) * 1e6, 4).alias("aware_us"), r(cm.bidirectional(x, x * 1.5, x / 4, x / 8, v) * 1e6, 4).alias("both_us"))
-
-
-@query("cm17_hetero_reuse", f"WITH {pl.NEAR_SQL} SELECT unit, count(*) AS problems, round(sum(sec_near * (1 + 0.05 * (D1 % T_in <> 0)::INT + 0.05 * (D2 % T_in <> 0)::INT + 0.05 * (D3 % T_in <> 0)::INT + 0.1 * (D1 > D2)::INT)::DOUBLE * (unit + 1) / 10.0::DOUBLE), 8) + 0.0 AS seconds FROM near GROUP BY unit")
-def cm17_hetero_reuse(spark, sf):
-    factor = cm.ragged_factor(F.col("T_in"), F.col("D1") > F.col("D2"), F.col("D1"), F.col("D2"), F.col("D3"))
-    value = cm.hetero_reuse(F.col("sec_near"), factor, (F.col("unit") + 1) / 10.0)
-    return pl.near(spark, sf).groupBy("unit").agg(F.count("*").alias("problems"), r(F.sum(value), 8).alias("seconds"))
-
-
-@query("cm18_lower_levels", f"""WITH {pl.NEAR_SQL}, lo AS (SELECT sec AS lo_t, T AS lo_T FROM (SELECT T, t_s AS sec FROM lookup ORDER BY T LIMIT 1))
-SELECT pid, round(n.sec_near / T_near * D1 * 1e6, 4) + 0.0 AS level1_us, round(n.sec_near / T_near * D1 / T_near * D2 * 1e6, 4) + 0.0 AS level2_us, least(4096, 256, D1)::BIGINT AS tile_compat, least(4096, D1)::BIGINT AS tile FROM near n""".replace(", lo AS (SELECT sec AS lo_t, T AS lo_T FROM (SELECT T, t_s AS sec FROM lookup ORDER BY T LIMIT 1))", ""))
-def cm18_lower_levels(spark, sf):
-    """Vector and matrix-vector problems from one tile; the level-1 tile with and without its slip."""
-    n = pl.near(spark, sf)
-    us = lambda level: r(cm.tile_time(F.col("sec_near"), F.col("T_near"), level, F.col("D1"), F.col("D2"), F.col("D3")) * 1e6, 4)
-    return n.select("pid", us(1).alias("level1_us"), us(2).alias("level2_us"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1")).cast("long").alias("tile_compat"), cm.model_tile_level1(F.lit(256), F.lit(4096), F.col("D1"), False).alias("tile"))
-
-
 @query("cm22_stream_bytes", f"WITH {pl.PROB_SQL}, s AS (SELECT pid, [8 * D1 * D3, 8 * D3 * D2, 8 * D1 * D2] AS s, [loc_a > 0, loc_b > 0, loc_c > 0] AS f FROM prob) SELECT pid, list_sum(s)::BIGINT AS all_, list_sum([CASE WHEN f[1] THEN s[1] ELSE 0 END, CASE WHEN f[2] THEN s[2] ELSE 0 END, CASE WHEN f[3] THEN s[3] ELSE 0 END])::BIGINT AS remote, list_sum(list_transform(s, lambda x: ceil(x / 1000000.0)::BIGINT * 1000000))::BIGINT AS tiles FROM s")
 def cm22_stream_bytes(spark, sf):
     """Bytes of the streams model under its three policies."""
@@ -62,34 +37,89 @@ def cm29_task_counts(spark, sf):
     return pl.problems(spark, sf).select("pid", cm.task_count(t, F.col("D1")).alias("level1"), cm.task_count(t, F.col("D1"), F.col("D2")).alias("level2"), cm.task_count(t, F.col("D1"), F.col("D2"), F.col("D3")).alias("level3"), low1.alias("low1"), low3.alias("low3"), high.alias("high"))
 
 
-@query("lm7_routes_via", f"WITH {pl.LINK_SQL} SELECT dest, src FROM link WHERE dest <> src AND (dest = 1 OR src = 1)")
+@query("lm7_routes_via", f"""WITH {pl.LINK_SQL}, e AS (SELECT * FROM edge WHERE dest <> src), v AS (SELECT a.src, b.dest, a.dest AS u, 0.8::DOUBLE * least(a.bw, b.bw) AS hop FROM e a JOIN e b ON b.src = a.dest AND b.dest <> a.src),
+k AS (SELECT v.*, max(hop) OVER (PARTITION BY v.dest, v.src) AS top, e.bw FROM v JOIN e ON e.dest = v.dest AND e.src = v.src WHERE hop > e.bw),
+x AS (SELECT dest, src, any_value(top) AS top, list(u ORDER BY u) AS routes FROM k WHERE hop = top GROUP BY ALL)
+SELECT e.dest, e.src, CASE WHEN x.routes IS NULL OR list_contains(x.routes, 1) THEN e.bw ELSE x.top END AS bw, CASE WHEN x.routes IS NULL OR list_contains(x.routes, 1) THEN '' ELSE array_to_string(x.routes, ',') END AS routes,
+(e.dest = 1 OR e.src = 1 OR coalesce(list_contains(x.routes, 1), FALSE)) AS met FROM e LEFT JOIN x ON x.dest = e.dest AND x.src = e.src""")
 def lm7_routes_via(spark, sf):
-    """Links that end at unit 1, detours left out."""
-    direct = lk.one_hop_routes(pl.edge(spark), 1.0)
-    return lk.routes_via(direct, 1).select("dest", "src")
+    """Detours that pass at unit 1 ended, and which links end at it or passed there."""
+    edges = pl.edge(spark, sf)
+    routes = lk.one_hop_routes(edges)
+    met = lk.routes_via(routes, 1).select("dest", "src", F.lit(True).alias("met"))
+    ended = lk.without_routes_via(routes, edges, 1).join(met, ["dest", "src"], "left")
+    return ended.select("dest", "src", "bw", F.array_join(F.col("routes").cast("array<string>"), ",").alias("routes"), F.coalesce("met", F.lit(False)).alias("met"))
+
+
+@query("lm7_reset", f"WITH {pl.LINK_SQL} SELECT dest, src, bw, 0.0::DOUBLE AS bw_shared, -1 AS active, 0 AS hops FROM edge")
+def lm7_reset(spark, sf):
+    """A map with shares, activity and routes taken back."""
+    return lk.reset(lk.activated(pl.edge(spark, sf), [0, 1], [-1])).select("dest", "src", "bw", "bw_shared", "active", F.size("routes").alias("hops"))
+
+
+@query("lm8_load_stats", f"WITH {pl.LINK_SQL}, {TRACE_SQL}, fl AS (SELECT dest, src, sum(bytes)::BIGINT AS b FROM trace WHERE dest < 4 AND src < 4 GROUP BY ALL), t AS (SELECT coalesce(b, 0) / (bw * 1e9) AS eta FROM edge e LEFT JOIN fl ON fl.dest = e.dest AND fl.src = e.src) SELECT round(max(eta), 9) + 0.0 AS most, round(avg(eta), 9) + 0.0 AS mean, round(var_pop(eta), 9) + 0.0 AS variance FROM t")
+def lm8_load_stats(spark, sf):
+    """How uneven the links' loads are."""
+    s = lk.load_stats(lk.link_load(trace(spark, sf).where("dest < 4 AND src < 4"), pl.edge(spark, sf)))
+    return s.select(*(r(c, 9).alias(c) for c in s.columns))
 
 
 @query("lm8_link_load", f"WITH {pl.LINK_SQL}, {TRACE_SQL}, fl AS (SELECT dest, src, sum(bytes)::BIGINT AS b FROM trace WHERE dest < 4 AND src < 4 GROUP BY ALL) SELECT e.dest, e.src, coalesce(b, 0)::BIGINT AS bytes, round(coalesce(b, 0) / (bw * 1e9), 9) + 0.0 AS eta FROM edge e LEFT JOIN fl ON fl.dest = e.dest AND fl.src = e.src")
 def lm8_link_load(spark, sf):
     """Bytes and time to completion of each link under the trace."""
     t = trace(spark, sf).where("dest < 4 AND src < 4")
-    return lk.link_load(t, pl.edge(spark)).select("dest", "src", "bytes", r("eta", 9).alias("eta"))
+    return lk.link_load(t, pl.edge(spark, sf)).select("dest", "src", "bytes", r("eta", 9).alias("eta"))
 
 
 @query("lm8_rebalanced")
 def lm8_rebalanced(spark, sf):
     """Detours chosen by estimated time in a bounded number of rounds; checked against a loop in tests."""
     t = trace(spark, sf).where("dest < 4 AND src < 4").select("dest", "src", "bytes")
-    return lk.rebalanced(t, pl.edge(spark))
+    return lk.rebalanced(t, pl.edge(spark, sf))
 
 
-@query("jn2_reuse_join", f"WITH {LOG_SQL}, a AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, round(avg(pred_t), 11) AS w, min(timer) AS reuse FROM log WHERE imp = 'A' GROUP BY ALL), b AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, min(timer) AS no_reuse FROM log WHERE imp = 'N' GROUP BY ALL) SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, reuse, no_reuse, w + 0.0 AS w FROM a JOIN b USING (M, N, K, T, a_loc, b_loc, c_loc, dev_num)")
+@query("jn2_reuse_join", f"""WITH {LOG_SQL}, p AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, imp, round((2.0::DOUBLE * M * N * K / 7e12 + 8.0::DOUBLE * M * K / 13e9) / dev_num + CASE imp WHEN 'N' THEN seq % 2 * 1e-3::DOUBLE ELSE 0 END, 9) AS streams, timer FROM log),
+a AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams, min(timer) AS reuse FROM p WHERE imp = 'A' GROUP BY ALL), b AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams, min(timer) AS no_reuse FROM p WHERE imp = 'N' GROUP BY ALL)
+SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams, reuse, no_reuse FROM a JOIN b USING (M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams)""")
 def jn2_reuse_join(spark, sf):
-    """Reuse and no-reuse predictions side by side; the float that the key had is only carried."""
-    keys = ["M", "N", "K", "T", "a_loc", "b_loc", "c_loc", "dev_num"]
-    df = log(spark, sf)
-    a = df.where("imp = 'A'").groupBy(*keys).agg(r(F.avg("pred_t"), 11).alias("w"), F.min("timer").alias("reuse"))
-    return a.join(df.where("imp = 'N'").groupBy(*keys).agg(F.min("timer").alias("no_reuse")), keys).select(*keys, "reuse", "no_reuse", "w")
+    """Reuse and no-reuse predictions side by side. One key is the streams model's time, a float: equal to nine places."""
+    c = F.col
+    streams = (2.0 * c("M") * c("N") * c("K") / 7e12 + 8.0 * c("M") * c("K") / 13e9) / c("dev_num") + F.when(c("imp") == "N", c("seq") % 2 * 1e-3).otherwise(0.0)
+    keys = ["M", "N", "K", "T", "a_loc", "b_loc", "c_loc", "dev_num", "streams"]
+    df = log(spark, sf).withColumn("streams", F.round(streams, 9))
+    a = df.where("imp = 'A'").groupBy(*keys).agg(F.min("timer").alias("reuse"))
+    return a.join(df.where("imp = 'N'").groupBy(*keys).agg(F.min("timer").alias("no_reuse")), keys)
+
+
+GRID_SQL = """g AS (SELECT l_orderkey, l_partkey, 4096 * (1 + l_suppkey % 4) AS mid, 2 + l_partkey % 4 AS c, l_linenumber % 3 AS kind, (l_linenumber % 2)::INT AS a_loc, (l_partkey % 2)::INT AS b_loc, (l_suppkey % 2)::INT AS c_loc, l_quantity AS t FROM lineitem),
+runs AS (SELECT *, CASE kind WHEN 0 THEN mid * c // 2 WHEN 1 THEN mid * 2 // c ELSE mid END AS M, CASE kind WHEN 0 THEN mid * 4 // (c * c) WHEN 1 THEN mid * c * c // 4 ELSE mid + c END AS K FROM g)"""
+
+
+def grid_runs(spark, sf):
+    """Every line item as a run of a square, fat or thin problem of about ``mid`` cubed."""
+    c = F.col
+    g = table(spark, sf, "lineitem").select((4096 * (1 + c("l_suppkey") % 4)).alias("mid"), (2 + c("l_partkey") % 4).alias("c"), (c("l_linenumber") % 3).alias("kind"), (c("l_linenumber") % 2).cast("int").alias("a_loc"), (c("l_partkey") % 2).cast("int").alias("b_loc"), (c("l_suppkey") % 2).cast("int").alias("c_loc"), c("l_quantity").alias("t"))
+    m = F.when(c("kind") == 0, F.expr("mid * c div 2")).when(c("kind") == 1, F.expr("mid * 2 div c")).otherwise(c("mid"))
+    k = F.when(c("kind") == 0, F.expr("mid * 4 div (c * c)")).when(c("kind") == 1, F.expr("mid * c * c div 4")).otherwise(c("mid") + c("c"))
+    return g.select("*", m.alias("M"), m.alias("N"), k.alias("K"))
+
+
+@query("flt8_rounding_windows", f"""WITH {GRID_SQL}, w AS (SELECT * FROM (VALUES (1, 1, 1), (0, 0, 0), (0, 1, 1)) l(a_loc, b_loc, c_loc), (VALUES (4096), (8192), (12288)) m(size), (VALUES (3, TRUE), (4, TRUE), (5, TRUE), (3, FALSE), (4, FALSE)) r(ratio, fat))
+SELECT M, K, a_loc, count(*) AS runs, round(sum(t), 4) + 0.0 AS t FROM runs WHERE EXISTS (SELECT 1 FROM w WHERE w.a_loc = runs.a_loc AND w.b_loc = runs.b_loc AND w.c_loc = runs.c_loc AND K::DOUBLE * M * M <= size::DOUBLE ** 3 AND (K + 1)::DOUBLE * (M + 1) * (M + 1) >= (size - 1)::DOUBLE ** 3
+ AND CASE WHEN fat THEN M >= K * ratio ** 3 / 8 AND M <= (K + 1) * ratio ** 3 / 8 ELSE M >= K * 8 / ratio ** 3 AND M <= (K + 1) * 8 / ratio ** 3 END) GROUP BY ALL""")
+def flt8_rounding_windows(spark, sf):
+    """Fat and thin problems of given sizes, with room for the rounding of their dimensions."""
+    locs = spark.createDataFrame([(1, 1, 1), (0, 0, 0), (0, 1, 1)], "a_loc int, b_loc int, c_loc int")
+    runs = grid_runs(spark, sf)
+    kept = mt.in_shape_windows(runs, locs, [4096, 8192, 12288], [3, 4, 5], [3, 4])
+    return kept.groupBy("M", "K", "a_loc").agg(F.count("*").alias("runs"), r(F.sum("t"), 4).alias("t"))
+
+
+@query("flt7_admissible", f"WITH {LOG_SQL} SELECT M, N, K, T, count(*) AS runs FROM log WHERE M / 1.5 >= T AND N / 1.5 >= T AND K / 1.5 >= T GROUP BY ALL")
+def flt7_admissible(spark, sf):
+    """Runs whose tile fits one and a half times in every dimension."""
+    c = F.col
+    return log(spark, sf).where(mt.admissible(3, c("T"), c("M"), c("N"), c("K"))).groupBy("M", "N", "K", "T").agg(F.count("*").alias("runs"))
 
 
 @query("flt9_vector_grid", f"WITH {LOG_SQL} SELECT a_loc, b_loc, N, count(*) AS runs FROM log SEMI JOIN (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 1)) l(a_loc, b_loc), (VALUES (2048), (6144), (10240)) n(N)) g USING (a_loc, b_loc, N) WHERE N / 64 <= T AND T <= N / 1.5 GROUP BY ALL")
@@ -97,7 +127,7 @@ def flt9_vector_grid(spark, sf):
     """The level-1 grid by locations and exact sizes, with its admissible tiles."""
     locs = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "a_loc int, b_loc int").crossJoin(spark.createDataFrame([(2048,), (6144,), (10240,)], "N long"))
     df = log(spark, sf).join(F.broadcast(locs), ["a_loc", "b_loc", "N"], "left_semi")
-    return df.where((F.col("N") / 64 <= F.col("T")) & (F.col("T") <= F.col("N") / 1.5)).groupBy("a_loc", "b_loc", "N").agg(F.count("*").alias("runs"))
+    return df.where(mt.admissible(1, F.col("T"), F.col("N"))).groupBy("a_loc", "b_loc", "N").agg(F.count("*").alias("runs"))
 
 
 @query("flt3_location_triples", f"WITH {LOG_SQL} SELECT a_loc, b_loc, c_loc, count(*) FILTER (M = N AND N < K) AS thin_fat, count(*) AS runs FROM log WHERE (a_loc, b_loc, c_loc) IN ((1, 1, 1), (0, 0, 0), (1, 0, 1)) GROUP BY ALL")
@@ -129,14 +159,23 @@ def ord11_launch_replay(spark, sf):
     return bound.select("pid", "unit", "sk", (F.row_number().over(W.partitionBy("pid", "unit").orderBy("sk")) - 1).cast("long").alias("launch"))
 
 
-@query("tf6_validation_grid", "SELECT ta.f AS trans_a, tb.f AS trans_b, (512 * k)::BIGINT AS T, 2048 * s AS M, 2048 * s // q AS K, l AS loc FROM (VALUES ('N'), ('T')) ta(f), (VALUES ('N'), ('T')) tb(f), range(1, 33) x(k), range(1, 6) y(s), (VALUES (1), (3), (4), (5)) z(q), range(2) w(l) WHERE 1.5 * 512 * k <= 2048 * s")
+TF6 = """f AS (SELECT * FROM (VALUES ('N'), ('T')) a(trans_a), (VALUES ('N'), ('T')) b(trans_b), (SELECT 512 * k AS T FROM range(1, 33) x(k)) t, (SELECT 4096 * s AS size FROM range(1, 5) y(s)) s),
+l AS (SELECT * FROM (VALUES (-1), (0)) a(a_loc), (VALUES (-1), (0)) b(b_loc), (VALUES (-1), (0)) c(c_loc))"""
+
+
+@query("tf6_validation_grid", f"""WITH {TF6} SELECT trans_a, trans_b, T, size AS M, size AS N, size AS K, a_loc, b_loc, c_loc FROM f, l
+UNION ALL SELECT trans_a, trans_b, T, size * c // 2, size * c // 2, size * 4 // c // c, -1, -1, -1 FROM f, (VALUES (3), (4), (5)) r(c)
+UNION ALL SELECT trans_a, trans_b, T, size * 2 // c, size * 2 // c, size * c * c // 4, -1, -1, -1 FROM f, (VALUES (3), (4), (5)) r(c)""")
 def tf6_validation_grid(spark, sf):
-    """Flags by tiles, sizes, thinness and location; only tiles that fit."""
+    """Square problems by flags, tiles and locations on unit 0 or the host; fat and thin ones from the host."""
     e = lambda *x: F.explode(F.array(*map(F.lit, x)))
-    span = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)))
-    g = spark.range(1).select(e("N", "T").alias("trans_a")).select("*", e("N", "T").alias("trans_b")).select("*", span(1, 32).alias("k")).select("*", span(1, 5).alias("s")).select("*", e(1, 3, 4, 5).alias("q")).select("*", e(0, 1).alias("loc"))
-    g = g.select("trans_a", "trans_b", (512 * F.col("k")).cast("long").alias("T"), (2048 * F.col("s")).cast("long").alias("M"), F.expr("2048 * s div q").cast("long").alias("K"), F.col("loc").cast("long").alias("loc"))
-    return g.where(1.5 * F.col("T") <= F.col("M"))
+    by = lambda k: F.explode(F.sequence(F.lit(k).cast("long"), F.lit(16384).cast("long"), F.lit(k).cast("long")))
+    f = spark.range(1).select(e("N", "T").alias("trans_a")).select("*", e("N", "T").alias("trans_b")).select("*", by(512).alias("T")).select("*", by(4096).alias("size"))
+    dims = lambda df, m, k: df.select("trans_a", "trans_b", "T", m.alias("M"), m.alias("N"), k.alias("K"), *(c for c in ("a_loc", "b_loc", "c_loc")))
+    square = f.select("*", e(-1, 0).alias("a_loc")).select("*", e(-1, 0).alias("b_loc")).select("*", e(-1, 0).alias("c_loc"))
+    ratios = f.select("*", e(3, 4, 5).alias("c"), *(F.lit(-1).alias(x) for x in ("a_loc", "b_loc", "c_loc")))
+    fat = dims(ratios, F.expr("size * c div 2"), F.expr("size * 4 div c div c"))
+    return dims(square, F.col("size"), F.col("size")).unionByName(fat).unionByName(dims(ratios, F.expr("size * 2 div c"), F.expr("size * c * c div 4")))
 
 
 @query("tf7_targeted_grid", "SELECT m AS M, m // q AS K, q AS ratio FROM range(2048, 19458, 1024) x(m), range(3, 11) y(q)")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.functions.metrics import near_value_means
 from tilewright.plans import links as lk
 from tilewright.plans import models as cm
 from tilewright.plans import tuner as tn
@@ -17,8 +18,10 @@ LOOKUP_SQL = "lookup AS (SELECT (256 * k)::BIGINT AS T, 1e-5::DOUBLE + 2 * (256.
 PROB_SQL = """prob AS (SELECT p_partkey AS pid, 512 * (1 + p_size % 7) AS D1, 512 * (1 + p_partkey % 5)::BIGINT AS D2, 512 * (1 + (p_partkey // 5) % 9)::BIGINT AS D3, (100 + 97 * (p_size % 60))::BIGINT AS T_in,
 (p_partkey % 4)::INT AS unit, (p_partkey % 3)::INT AS loc_a, (p_size % 4) AS loc_b, (p_partkey // 7 % 4)::INT AS loc_c, p_retailprice / 1000 AS score FROM part)"""
 NEAR_SQL = f"{LOOKUP_SQL}, {PROB_SQL}, near AS (SELECT p.*, l.T AS T_near, l.t_s AS sec_near, l.w AS w_near FROM prob p JOIN lookup l ON l.T = coalesce((SELECT max(T) FROM lookup WHERE T <= T_in), (SELECT min(T) FROM lookup)))"
-LINK_SQL = """link AS (SELECT d::INT AS dest, s::INT AS src, CASE WHEN d = s THEN 0.0 ELSE 1e-5 * (1 + (d * 3 + s) % 4) END::DOUBLE AS ti, CASE WHEN d = s THEN 0.0 ELSE 1e-10 / (1 + (d * 5 + s * 3) % 7) END::DOUBLE AS tb FROM range(-1, 4) a(d), range(-1, 4) b(s)),
-edge AS (SELECT dest, src, 5.0::DOUBLE * (1 + (dest * 5 + src * 3 + 8) % 7) AS bw, CASE WHEN (dest + src) % 3 = 1 THEN -1.0 ELSE 4.0::DOUBLE * (1 + (dest + src * 2 + 3) % 5) END::DOUBLE AS bw_shared, (3 - dest - 1)::INT AS p_dest, src AS p_src FROM link)"""
+LINK_SQL = """cnt AS (SELECT (event_id % 9)::INT - 1 AS dest, (user_id % 9)::INT - 1 AS src, count(*) AS n FROM events GROUP BY ALL),
+ends AS (SELECT d::INT AS dest, s::INT AS src, coalesce(n, 0) AS n FROM range(-1, 4) a(d) CROSS JOIN range(-1, 4) b(s) LEFT JOIN cnt ON cnt.dest = d AND cnt.src = s),
+link AS (SELECT dest, src, CASE WHEN dest = src THEN 0.0 ELSE 1e-5 * (1 + (dest * 3 + src + n + 8) % 4) END::DOUBLE AS ti, CASE WHEN dest = src THEN 0.0 ELSE 1e-10 / (1 + (dest * 5 + src * 3 + n + 8) % 7) END::DOUBLE AS tb FROM ends),
+edge AS (SELECT dest, src, 5.0::DOUBLE * (1 + (dest * 5 + src * 3 + n + 8) % 7) AS bw, CASE WHEN (dest + src) % 3 = 1 THEN -1.0 ELSE 4.0::DOUBLE * (1 + (dest + src * 2 + n + 3) % 5) END::DOUBLE AS bw_shared, (3 - dest - 1)::INT AS p_dest, src AS p_src FROM ends)"""
 
 
 def lookup(spark):
@@ -37,19 +40,23 @@ def near(spark, sf):
     return cm.nearest(problems(spark, sf), lookup(spark))
 
 
-def link(spark):
-    d, s = F.col("dest"), F.col("src")
+def ends(spark, sf):
+    """Links between five units, with the number of the trace's transfers over each."""
     units = spark.range(-1, 4)
     grid = units.select(F.col("id").cast("int").alias("dest")).crossJoin(units.select(F.col("id").cast("int").alias("src")))
-    zero = F.when(d == s, F.lit(0.0))
-    return grid.select("dest", "src", zero.otherwise(1e-5 * (1 + (d * 3 + s) % 4)).alias("ti"), zero.otherwise(F.lit(1e-10) / (1 + (d * 5 + s * 3) % 7)).alias("tb"))
+    e = table(spark, sf, "events").groupBy(((F.col("event_id") % 9).cast("int") - 1).alias("dest"), ((F.col("user_id") % 9).cast("int") - 1).alias("src")).agg(F.count("*").alias("n"))
+    return grid.join(e, ["dest", "src"], "left").fillna(0, "n")
 
 
-def edge(spark):
-    d, s = F.col("dest"), F.col("src")
-    return link(spark).select("dest", "src", (5.0 * (1 + (d * 5 + s * 3 + 8) % 7)).alias("bw"), F.when((d + s) % 3 == 1, F.lit(-1.0)).otherwise(4.0 * (1 + (d + s * 2 + 3) % 5)).alias("bw_shared"), (2 - d).alias("p_dest"), s.alias("p_src"))
+def link(spark, sf):
+    d, s, n = F.col("dest"), F.col("src"), F.col("n")
+    zero = F.when(d == s, F.lit(0.0))
+    return ends(spark, sf).select("dest", "src", zero.otherwise(1e-5 * (1 + (d * 3 + s + n + 8) % 4)).alias("ti"), zero.otherwise(F.lit(1e-10) / (1 + (d * 5 + s * 3 + n + 8) % 7)).alias("tb"))
 
 
+def edge(spark, sf):
+    d, s, n = F.col("dest"), F.col("src"), F.col("n")
+    return ends(spark, sf).select("dest", "src", (5.0 * (1 + (d * 5 + s * 3 + n + 8) % 7)).alias("bw"), F.when((d + s) % 3 == 1, F.lit(-1.0)).otherwise(4.0 * (1 + (d + s * 2 + n + 3) % 5)).alias("bw_shared"), (2 - d).alias("p_dest"), s.alias("p_src"))
 
 
 @query("cm1_tile_lookup", f"WITH {NEAR_SQL} SELECT pid, T_near, round(sec_near * (T_in::DOUBLE / T_near) ** 3 * 1e6, 6) + 0.0 AS us, round(sec_near * (T_in::DOUBLE / T_near) ** 2 * 1e6, 6) + 0.0 AS us_level2, round(sec_near * (T_in::DOUBLE / T_near) * 1e6, 6) + 0.0 AS us_level1, w_near FROM near")
@@ -69,16 +76,16 @@ def jn7_asof_join(spark, sf):
 def cm4_transfer_time(spark, sf):
     """Operand to link by location, then latency and bytes."""
     p = problems(spark, sf).withColumn("b", 8 * (F.col("D1") - 1024) * F.col("D2"))
-    j = p.join(F.broadcast(link(spark)), (F.col("dest") == F.col("unit")) & (F.col("src") == F.col("loc_b") - 1))
+    j = p.join(F.broadcast(link(spark, sf)), (F.col("dest") == F.col("unit")) & (F.col("src") == F.col("loc_b") - 1))
     return j.select("pid", "dest", "src", r(cm.transfer(F.col("ti"), F.col("tb"), F.col("b")) * 1e6).alias("us"))
 
 
 @query("cm5_shared_transfer", f"WITH {LINK_SQL} SELECT e.dest, e.src, round(CASE WHEN e.src = e.dest THEN 0 ELSE l.ti + 33554432 / (1e9 * CASE WHEN e.bw_shared = -1 THEN p.bw_shared ELSE e.bw_shared END) END * 1e6, 6) + 0.0 AS us FROM edge e JOIN link l USING (dest, src) LEFT JOIN edge p ON p.dest = e.p_dest AND p.src = e.p_src")
 def cm5_shared_transfer(spark, sf):
     """Over shared links; -1 follows the partner link."""
-    e = edge(spark)
+    e = edge(spark, sf)
     p = e.select(F.col("dest").alias("_d"), F.col("src").alias("_s"), F.col("bw_shared").alias("pb"))
-    j = e.join(p, (F.col("p_dest") == F.col("_d")) & (F.col("p_src") == F.col("_s")), "left").join(link(spark), ["dest", "src"])
+    j = e.join(p, (F.col("p_dest") == F.col("_d")) & (F.col("p_src") == F.col("_s")), "left").join(link(spark, sf), ["dest", "src"])
     return j.select("dest", "src", r(cm.shared_transfer(F.col("src"), F.col("dest"), F.col("ti"), F.col("bw_shared"), F.col("pb"), F.lit(33554432)) * 1e6).alias("us"))
 
 
@@ -86,7 +93,7 @@ def cm5_shared_transfer(spark, sf):
 y AS (SELECT *, tix + tbx * bx * sx AS x, tiy + tby * b_y * sy AS y FROM x)
 SELECT dest, src, round(CASE WHEN x <= y THEN x * (1 - 1 / sy) + b_y * tby + tiy / sy ELSE y * (1 - 1 / sx) + bx * tbx + tix / sx END * 1e6, 6) + 0.0 AS us, round(x * 1e6, 6) + 0.0 AS slowed_us FROM y""")
 def cm7_both_ways(spark, sf):
-    e = link(spark)
+    e = link(spark, sf)
     back = e.select(F.col("dest").alias("src"), F.col("src").alias("dest"), F.col("ti").alias("ti2"), F.col("tb").alias("tb2"))
     c = F.col
     us = cm.both_ways(c("ti"), c("tb"), F.lit(8388608), F.lit(1.25), c("ti2"), c("tb2"), F.lit(33554432), F.lit(1.5))
@@ -104,7 +111,7 @@ def predicted(spark, sf):
     full = cm.nearest(p, lookup(spark), tile="Tb").withColumn("full_t", cm.full_time(F.col("sec_near"), F.col("T_near"), F.col("D1"), F.col("D2"), F.col("D3")))
     op = lambda loc, size, sent: F.struct((F.col(loc) - 1).alias("loc"), size.alias("b"), F.lit(sent).alias("sent"))
     ops = full.select("*", F.explode(F.array(op("loc_a", 8 * F.col("D1") * F.col("D3"), 0), op("loc_b", 8 * F.col("D3") * F.col("D2"), 0), op("loc_c", 8 * F.col("D1") * F.col("D2"), 1))).alias("o"))
-    e = link(spark)
+    e = link(spark, sf)
     there = e.select(F.col("dest").alias("to1"), F.col("src").alias("from1"), F.col("ti").alias("ti1"), F.col("tb").alias("tb1"))
     back = e.select(F.col("dest").alias("to2"), F.col("src").alias("from2"), F.col("ti").alias("ti2"), F.col("tb").alias("tb2"))
     j = ops.join(F.broadcast(there), (F.col("to1") == F.col("unit")) & (F.col("from1") == F.col("o.loc"))).join(F.broadcast(back), (F.col("to2") == F.col("o.loc")) & (F.col("from2") == F.col("unit")))
@@ -123,70 +130,10 @@ def cm9_overlap_models(spark, sf):
     return p.select("pid", r(f * 1e6, 4).alias("full_us"), r(cm.full_overlap(f, rc, s) * 1e6, 4).alias("overlap_us"), r(cm.zero_overlap(f, rc, s) * 1e6, 4).alias("no_overlap_us"), "far")
 
 
-@query("cm11_hetero_overlap", PRED_SQL + """, u AS (SELECT pid, f.unit, full_t, recv, send, (1 + f.unit)::DOUBLE / 10 AS sc, 1 + (f.unit % 2) AS share FROM full_ f JOIN costs USING (pid))
-SELECT unit, count(*) AS n, round(sum(sc * full_t), 6) + 0.0 AS exec_s, round(sum(share * coalesce(recv, 0)), 6) + 0.0 AS recv_s, round(sum(share * coalesce(send, 0)), 6) + 0.0 AS send_s FROM u GROUP BY unit""")
-def cm11_hetero_overlap(spark, sf):
-    """By unit: the score's part of the time, and shared receives and sends; all three."""
-    p = predicted(spark, sf).join(problems(spark, sf).select("pid", "unit"), "pid")
-    share = 1 + F.col("unit") % 2
-    return p.groupBy("unit").agg(F.count("*").alias("n"), r(F.sum((1 + F.col("unit")) / 10.0 * F.col("full_t"))).alias("exec_s"), r(F.sum(share * F.col("recv"))).alias("recv_s"), r(F.sum(share * F.col("send"))).alias("send_s"))
-
-
-@query("cm12_baseline_and_streams", PRED_SQL + """, v AS (SELECT pid, ceil(D1::DOUBLE / tile)::BIGINT * ceil(D2::DOUBLE / tile)::BIGINT * ceil(D3::DOUBLE / tile)::BIGINT AS v, tile_t AS t, coalesce(recv, 0) AS rc, coalesce(send, 0) AS s, full_t FROM full_ JOIN costs USING (pid))
-SELECT pid, v AS tasks, round((greatest(t, rc / v, s / v) * (v - 1) + t + rc / v + s / v) * 1e6, 4) + 0.0 AS baseline_us, round(greatest(rc + full_t / v + s / v, rc / v + full_t + s / v, rc / v + full_t / v + s) * 1e6, 4) + 0.0 AS streams_us FROM v""")
-def cm12_baseline_and_streams(spark, sf):
-    """The steady-state baseline with a task count, and the streams model."""
-    p = predicted(spark, sf).withColumn("v", cm.task_count(F.col("tile"), F.col("D1"), F.col("D2"), F.col("D3")))
-    v, rc, s = F.col("v"), F.col("recv"), F.col("send")
-    return p.select("pid", v.alias("tasks"), r(cm.steady(F.col("tile_t"), rc / v, s / v, v) * 1e6, 4).alias("baseline_us"), r(cm.streams(F.col("full_t"), rc, s, v) * 1e6, 4).alias("streams_us"))
-
-
-@query("cm15_reuse", f"""WITH {NEAR_SQL}, g AS (SELECT pid, sec_near AS t, sec_near / 3 AS rr, sec_near / 5 AS s, ceil(D1 / 512.0) AS gm, ceil(D2 / 512.0) AS gn, ceil(D3 / 512.0) AS gk, D1, D2, D3, T_in FROM near)
-SELECT pid, round((t * (1 + gm * gn * gk - gm - gn + 1 - 1) + greatest(t, rr) * (gm - 1 + gn - 1) + greatest(t, 2 * rr) * 1 + 2 * rr + s) * 1e6, 4) + 0.0 AS reuse_us,
-round((1.0::DOUBLE + CASE WHEN D1 % T_in <> 0 THEN 0.05 ELSE 0 END + CASE WHEN D2 % T_in <> 0 THEN 0.05 ELSE 0 END + CASE WHEN D3 % T_in <> 0 THEN 0.05 ELSE 0 END + CASE WHEN D1 > D2 THEN 0.1 ELSE 0 END), 6) + 0.0 AS factor FROM g""")
-def cm15_reuse(spark, sf):
-    """Tasks by the number of operands they fetch first, and the raggedness factor of the heterogeneous form."""
-    t = F.col("sec_near")
-    gm, gn, gk = (F.ceil(d / 512.0) for d in (F.col("D1"), F.col("D2"), F.col("D3")))
-    value = cm.reuse(t, t / 3, t / 5, F.lit(2), F.lit(1), gm * gn * gk - gm - gn, gm - 1 + gn - 1, F.lit(1))
-    return near(spark, sf).select("pid", r(value * 1e6, 4).alias("reuse_us"), r(cm.ragged_factor(F.col("T_in"), F.col("D1") > F.col("D2"), F.col("D1"), F.col("D2"), F.col("D3"))).alias("factor"))
-
-
-@query("cm16_pipeline", f"""WITH RECURSIVE {PROB_SQL}, kinds AS (SELECT DISTINCT (D1 // 512)::INT AS gm, (D2 // 512)::INT AS gn, (D3 // 512)::INT AS gk FROM prob),
-steps AS (SELECT gm, gn, gk, sk::INT AS sk, ((CASE WHEN (sk // gk) % gn = 0 THEN 1 ELSE 0 END) + (CASE WHEN sk // gk // gn = 0 THEN 1 ELSE 0 END) + (CASE WHEN sk % gk = 0 THEN 1 ELSE 0 END)) AS fetch, sk % gk = gk - 1 AS last FROM kinds, range(0, 400) x(sk) WHERE sk < gm * gn * gk),
-run AS (SELECT gm, gn, gk, -1 AS sk, 0.0::DOUBLE AS link, 0.0::DOUBLE AS work, 0.0::DOUBLE AS out_ FROM kinds
- UNION ALL SELECT r.gm, r.gn, r.gk, s.sk, r.link + s.fetch * 2.5, greatest(r.link + s.fetch * 2.5, r.work) + 3.0, CASE WHEN s.last THEN greatest(greatest(r.link + s.fetch * 2.5, r.work) + 3.0, r.out_) + 1.25 ELSE r.out_ END FROM run r JOIN steps s ON s.gm = r.gm AND s.gn = r.gn AND s.gk = r.gk AND s.sk = r.sk + 1)
-SELECT gm, gn, gk, max(greatest(work, out_)) AS total FROM run GROUP BY ALL""")
-def cm16_pipeline(spark, sf):
-    """The emulated pipeline of each grid: first touches fetch, last tiles send."""
-    kinds = problems(spark, sf).select(*(F.expr(f"D{k} div 512").cast("int").alias(n) for k, n in ((1, "gm"), (2, "gn"), (3, "gk")))).distinct()
-    gn, gk = F.col("gn"), F.col("gk")
-    sk = F.sequence(F.lit(0), F.col("gm") * gn * gk - 1)
-
-    def flags(k):
-        one = lambda c: F.when(c, 1).otherwise(0)
-        tile = F.floor(k / gk)
-        return F.struct((one(tile % gn == 0) + one(tile < gn) + one(k % gk == 0)).alias("fetch"), (k % gk == gk - 1).alias("last"))
-
-    return kinds.select("gm", "gn", "gk", cm.pipeline(F.transform(sk, flags), F.lit(3.0), F.lit(2.5), F.lit(1.25)).alias("total"))
-
-
-@query("cm23_best_reuse_transfer", """WITH g AS (SELECT u, u // 2 AS rw, u % 2 AS cl FROM range(4) x(u)), p AS (SELECT a.u, sum(CASE WHEN a.rw = b.rw THEN 1 ELSE 0 END * 3.5 + CASE WHEN a.cl = b.cl THEN 1 ELSE 0 END * 2.25) AS cost FROM g a JOIN g b ON a.u <> b.u AND (a.rw = b.rw OR a.cl = b.cl) GROUP BY a.u) SELECT u::INT AS unit, cost::DOUBLE AS cost, (max(cost) OVER ())::DOUBLE AS worst FROM p""")
-def cm23_best_reuse_transfer(spark, sf):
-    """Peers in a unit's row and column of the 2 x 2 grid: what they must send it; the worst unit counts."""
-    g = spark.range(4).select(F.col("id").cast("int").alias("unit"), F.expr("id div 2").alias("rw"), (F.col("id") % 2).alias("cl"))
-    peer = g.select(F.col("unit").alias("o"), F.col("rw").alias("orow"), F.col("cl").alias("ocol"))
-    same_row, same_col = F.col("rw") == F.col("orow"), F.col("cl") == F.col("ocol")
-    cost = F.when(same_row, 3.5).otherwise(0.0) + F.when(same_col, 2.25).otherwise(0.0)
-    per = g.join(peer, (F.col("unit") != F.col("o")) & (same_row | same_col)).groupBy("unit").agg(F.sum(cost).alias("cost"))
-    worst = per.agg(F.max("cost").alias("worst"))
-    return per.join(F.broadcast(worst))
-
-
 @query("cm24_peer_bandwidth", f"WITH {LINK_SQL} SELECT dest, round(33554432 / (sum(bw * 0.8 ** (src % 2 + 1)) * 1e9) * 1e6, 6) + 0.0 AS sum_us, round(sum(33554432 / 4.0::DOUBLE / (bw * 1e9)) * 1e6, 6) + 0.0 AS mean_us, count(*) AS peers FROM edge WHERE dest <> src GROUP BY dest")
 def cm24_peer_bandwidth(spark, sf):
     """Bytes over all peers' links at once, and in equal parts."""
-    e = edge(spark).where("dest <> src").groupBy("dest").agg(F.collect_list(F.struct("src", "bw")).alias("l"), F.count("*").alias("peers"))
+    e = edge(spark, sf).where("dest <> src").groupBy("dest").agg(F.collect_list(F.struct("src", "bw")).alias("l"), F.count("*").alias("peers"))
     bws, hops = F.transform("l", lambda x: x["bw"]), F.transform("l", lambda x: (x["src"] % 2 + 1).cast("double"))
     mean = F.aggregate(bws, F.lit(0.0), lambda a, b: a + 33554432 / 4.0 / (b * 1e9))
     return e.select("dest", r(cm.sum_bandwidth(F.lit(33554432), bws, 0.2, hops) * 1e6).alias("sum_us"), r(mean * 1e6).alias("mean_us"), "peers")
@@ -199,30 +146,18 @@ def cm28_watts_and_limits(spark, sf):
     return problems(spark, sf).join(F.broadcast(ends)).select("pid", "watts", "min_t", F.least(F.col("D1"), F.col("D2"), F.col("D3")).alias("max_t"), "top")
 
 
-@query("lm1_link_bandwidth", f"WITH {LINK_SQL} SELECT dest, src, round(8.0::DOUBLE * 2048 * 2048 / 1e9 / (ti + tb * 8.0::DOUBLE * 2048 * 2048), 6) + 0.0 AS bw FROM link WHERE dest <> src")
-def lm1_link_bandwidth(spark, sf):
-    return link(spark).where("dest <> src").select("dest", "src", r(lk.bandwidth(F.col("ti"), F.col("tb"))).alias("bw"))
-
-
-@query("lm2_active_links", f"WITH {LINK_SQL} SELECT e.dest, e.src, CASE WHEN e.dest <> e.src AND e.src < 3 AND e.dest < 3 THEN CASE WHEN e.dest IN (0, 1) THEN 2 ELSE 1 END ELSE -1 END AS active, CASE WHEN e.bw_shared = -1 THEN p.bw_shared ELSE e.bw_shared END AS bw_shared FROM edge e LEFT JOIN edge p ON p.dest = e.p_dest AND p.src = e.p_src")
-def lm2_active_links(spark, sf):
-    """Links to workers 0 and 1 and to holders -1 and 2; shared bandwidth from the partner where it is -1."""
-    act = lk.activated(edge(spark), [0, 1], [-1, 2]).select("dest", "src", "active")
-    return act.join(lk.resolved(edge(spark)).select("dest", "src", "bw_shared"), ["dest", "src"])
-
-
 @query("lm5_one_hop_routes", f"""WITH {LINK_SQL}, e AS (SELECT * FROM edge WHERE dest <> src), v AS (SELECT a.src, b.dest, a.dest AS u, 0.8::DOUBLE * least(a.bw, b.bw) AS hop FROM e a JOIN e b ON b.src = a.dest AND b.dest <> a.src),
 k AS (SELECT v.*, max(hop) OVER (PARTITION BY v.dest, v.src) AS top, e.bw FROM v JOIN e ON e.dest = v.dest AND e.src = v.src WHERE hop > e.bw)
 SELECT e.dest, e.src, coalesce(x.top, e.bw) AS bw, coalesce(x.routes, '') AS routes FROM e LEFT JOIN (SELECT dest, src, any_value(top) AS top, string_agg(u::VARCHAR, ',' ORDER BY u) AS routes FROM k WHERE hop = top GROUP BY ALL) x ON x.dest = e.dest AND x.src = e.src""")
 def lm5_one_hop_routes(spark, sf):
-    return lk.one_hop_routes(edge(spark)).select("dest", "src", "bw", F.array_join(F.col("routes").cast("array<string>"), ",").alias("routes"))
+    return lk.one_hop_routes(edge(spark, sf)).select("dest", "src", "bw", F.array_join(F.col("routes").cast("array<string>"), ",").alias("routes"))
 
 
 SLOW_SQL = "slow AS (SELECT a.dest, a.src, b.dest AS odest, b.src AS osrc, 0.9::DOUBLE + ((a.dest * 7 + a.src * 3 + b.dest * 2 + b.src + 20) % 13) / 8.0::DOUBLE AS sl FROM link a, link b WHERE a.dest <> a.src AND b.dest <> b.src AND (a.dest <> b.dest OR a.src <> b.src)), live AS (SELECT dest, src FROM link WHERE dest <> src AND dest < 3 AND src < 3)"
 
 
-def slowdowns(spark):
-    a = link(spark).where("dest <> src").select("dest", "src")
+def slowdowns(spark, sf):
+    a = link(spark, sf).where("dest <> src").select("dest", "src")
     b = a.select(F.col("dest").alias("odest"), F.col("src").alias("osrc"))
     c = F.col
     return a.join(b, (c("dest") != c("odest")) | (c("src") != c("osrc"))).withColumn("sl", 0.9 + (c("dest") * 7 + c("src") * 3 + c("odest") * 2 + c("osrc") + 20) % 13 / 8.0)
@@ -231,37 +166,11 @@ def slowdowns(spark):
 @query("lm6_residual_slowdown", f"WITH {LINK_SQL}, {SLOW_SQL} SELECT l.dest, l.src, least(2.0, greatest(1.0, coalesce(max(s.sl), 1.0)))::DOUBLE AS sl, (any_value(c.n) IS NOT NULL) AS causes FROM live l LEFT JOIN (SELECT s.* FROM slow s JOIN live o ON o.dest = s.odest AND o.src = s.osrc) s ON s.dest = l.dest AND s.src = l.src LEFT JOIN (SELECT odest, osrc, count(*) AS n FROM slow s JOIN live v ON v.dest = s.dest AND v.src = s.src WHERE sl > 1.05 GROUP BY ALL) c ON c.odest = l.dest AND c.osrc = l.src GROUP BY ALL")
 def lm6_residual_slowdown(spark, sf):
     """What other active links cost each one, and whether it slows any itself."""
-    act, slow = lk.activated(edge(spark), [0, 1, 2], [-1]), slowdowns(spark)
+    act, slow = lk.activated(edge(spark, sf), [0, 1, 2], [-1]), slowdowns(spark, sf)
     causes = lk.causes_slowdown(act, slow).withColumn("c", F.lit(True))
     return lk.residual_slowdown(act, slow).join(causes, ["dest", "src"], "left").select("dest", "src", "sl", F.coalesce("c", F.lit(False)).alias("causes"))
 
 
-SL_SQL = """(CASE WHEN bl // u > 0 THEN (bl % u)::DOUBLE / (bl // u) * u ELSE bl::DOUBLE / u END) + (CASE WHEN D1 % T <> 0 THEN 1.0 / greatest(D1 // T, 1) ELSE 0 END) + (CASE WHEN D2 % T <> 0 THEN 1.0 / greatest(D2 // T, 1) ELSE 0 END) + (CASE WHEN D3 % T <> 0 THEN 1.0 / greatest(D3 // T, 1) ELSE 0 END)
-+ (CASE WHEN T < 2048 THEN 2048.0::DOUBLE / T * 0.2 ELSE 0 END) + (CASE WHEN k = 0 THEN 'inf'::DOUBLE ELSE 2.0::DOUBLE / greatest(k, 1) + CASE WHEN k > 512 THEN k / 512.0::DOUBLE * 0.1 ELSE 0 END END) + (CASE WHEN T > 4096 THEN (T // 4096) * 0.1 ELSE 0 END)"""
-TILE_SQL = f"""{PROB_SQL}, kinds AS (SELECT DISTINCT (D1 // 8)::BIGINT AS D1, D2 // 8 AS D2, D3 // 8 AS D3, (1 + unit)::BIGINT AS u FROM prob), ts AS (SELECT *, unnest(range(1, least(D1, D2, D3) + 1)) AS T FROM kinds),
-b AS (SELECT *, ceil(D1::DOUBLE / T)::BIGINT * ceil(D2::DOUBLE / T)::BIGINT AS bl, ceil(D1::DOUBLE / T)::BIGINT * ceil(D2::DOUBLE / T)::BIGINT * ceil(D3::DOUBLE / T)::BIGINT // u AS k FROM ts), sl AS (SELECT D1, D2, D3, u, T, round({SL_SQL}, 9) AS sl FROM b)"""
-
-
-def kinds(spark, sf):
-    return problems(spark, sf).select(*(F.expr(f"D{k} div 8").alias(f"D{k}") for k in (1, 2, 3)), (F.col("unit") + 1).cast("long").alias("units")).distinct()
-
-
-@query("tn1_tile_slowdown", f"WITH {TILE_SQL} SELECT D1, D2, D3, u AS units, T, round(sl, 6) + 0.0 AS sl FROM sl WHERE T % 16 = 0 OR T = least(D1, D2, D3)")
-def tn1_tile_slowdown(spark, sf):
-    """The penalty of every 16th tile size and the largest one."""
-    c = F.col
-    low = F.least("D1", "D2", "D3")
-    each = kinds(spark, sf).select("*", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(16).cast("long"), low, F.lit(16).cast("long")), F.array(low)))).alias("T"))
-    return each.select("D1", "D2", "D3", "units", "T", r(F.round(tn.tile_slowdown(c("T"), c("D1"), c("D2"), c("D3"), c("units")), 9)).alias("sl"))
-
-
-@query("tn2_best_tile", f"WITH {TILE_SQL}, m AS (SELECT D1, D2, D3, u, min((sl, -T)) AS m FROM sl GROUP BY ALL) SELECT D1, D2, D3, u AS units, -m[2] AS T, round(m[1], 6) + 0.0 AS slowdown FROM m".replace("min((sl, -T)) AS m", "arg_min(T, (sl, -T)) AS bt, min(sl) AS ms").replace("-m[2] AS T, round(m[1], 6)", "bt AS T, round(ms, 6)"))
-def tn2_best_tile(spark, sf):
-    """Least penalty over all tile sizes; ties keep the larger."""
-    k = kinds(spark, sf).withColumn("pid", F.struct("D1", "D2", "D3", "units"))
-    return tn.best_tile(k).select("pid.D1", "pid.D2", "pid.D3", "pid.units", "T", r("slowdown").alias("slowdown"))
-
-
 @query("tn3_best_benchmarked", f"WITH {LOOKUP_SQL}, {PROB_SQL}, c AS (SELECT pid, T, round((t_s * ceil(D1::DOUBLE / T) * ceil(D2::DOUBLE / T) * ceil(D3::DOUBLE / T) + t_s) * 1e6, 3) AS us FROM prob, lookup WHERE T <= least(D1, D2, D3)) SELECT pid, arg_min(T, (us, -T)) AS T, min(us) + 0.0 AS us FROM c GROUP BY pid")
 def tn3_best_benchmarked(spark, sf):
     """Least predicted time over the benchmarked tiles."""
@@ -271,18 +180,6 @@ def tn3_best_benchmarked(spark, sf):
     return best.select("pid", "T", (F.col("sec") + 0.0).alias("us"))
 
 
-@query("tn6_subset_search", f"""WITH RECURSIVE {PROB_SQL}, cases AS (SELECT c::BIGINT AS c, bit_count(c) AS n FROM range(1, 16) x(c)), v AS (SELECT pid, c, n, round((D1 * D2 / 65536.0::DOUBLE / n + n * 1.5 + ((pid + c * 7) % 11) / 4.0::DOUBLE), 6) AS value FROM prob, cases),
-f AS (SELECT pid, c, value, n FROM v WHERE c = 1 UNION ALL
- SELECT f.pid, v.c, CASE WHEN t THEN v.value ELSE f.value END, CASE WHEN t THEN v.n ELSE f.n END FROM (SELECT * FROM f) f JOIN (SELECT * FROM v) v ON v.pid = f.pid AND v.c = f.c + 1, LATERAL (SELECT (v.value * (1 + 0.05::DOUBLE * greatest(v.n - f.n, 0)) < f.value OR (v.n < f.n AND v.value <= f.value * 1.05::DOUBLE)) AS t) q)
-SELECT pid, value, n::INT AS n FROM f WHERE c = 15""")
-def tn6_subset_search(spark, sf):
-    """Sequential acceptance over all subsets of four units with a handicap for each further unit."""
-    subsets = tn.device_subsets(spark, 4).select("case", F.size("units").alias("n"))
-    value = F.col("D1") * F.col("D2") / 65536.0 / F.col("n") + F.col("n") * 1.5 + (F.col("pid") + F.col("case") * 7) % 11 / 4.0
-    each = problems(spark, sf).join(F.broadcast(subsets)).select("pid", "case", F.round(value, 6).alias("value"), "n")
-    return tn.accept_in_order(each).select("pid", "value", "n")
-
-
 @query("tf2_device_subsets", "SELECT c AS \"case\", list_filter(range(5), lambda k: (c >> k::INT) & 1 = 1)::INT[]::VARCHAR AS units FROM range(1, 32) x(c) WHERE bit_count(c) <= 3")
 def tf2_device_subsets(spark, sf):
     return tn.device_subsets(spark, 5, 3).select("case", F.concat(F.lit("["), F.array_join(F.col("units").cast("array<string>"), ", "), F.lit("]")).alias("units"))
@@ -337,16 +234,9 @@ for _name, (_strategy, _chunk, _order) in ORDERS.items():
         return tn.distribute(tn.quotas(scores(spark, sf)), strategy, chunk)
 
 
-@query("ds5_block", "SELECT mi, ni, (least(mi // 4, 1) * 3 + least(ni // 3, 2))::INT AS unit FROM range(8) a(mi), range(10) b(ni)")
-def ds5_block(spark, sf):
-    """Six units in a 2 x 3 grid over 8 x 10 tasks."""
-    tasks = spark.range(80).select(F.expr("id div 10").alias("mi"), (F.col("id") % 10).alias("ni"))
-    return tn.block_units(tasks, 8, 10, 6)
-
-
 @query("ord5_closest_units", f"WITH {LINK_SQL}, k AS (SELECT dest, src, bw, row_number() OVER (PARTITION BY dest ORDER BY bw DESC, src) AS p FROM edge WHERE dest <> src) SELECT dest, src, bw, greatest(0, least(1, 2.5 - (p - 1)))::DOUBLE AS share FROM k")
 def ord5_closest_units(spark, sf):
-    return tn.closest_units(edge(spark).where("dest <> src"), 2.5)
+    return tn.closest_units(edge(spark, sf).where("dest <> src"), 2.5)
 
 
 @query("ord7_task_selection", f"WITH {PROB_SQL}, e AS (SELECT unit, pid AS sk, round(score, 1) AS eta, D1 // 512 AS fired, D2 // 512 AS local_tiles, loc_b * 0.5::DOUBLE AS penalty FROM prob) SELECT unit, arg_min(sk, (eta, -fired, sk)) AS by_eta, arg_min(sk, (-local_tiles, sk)) AS by_local, min(sk) AS serial, arg_min(sk, (eta + penalty, sk)) AS by_cost FROM e GROUP BY unit")
@@ -365,42 +255,17 @@ def ag26_data_locations(spark, sf):
     return g.select("pid", F.array_join(F.col("l").cast("array<string>"), ",").alias("locs"), "main")
 
 
-@query("tn5_normalised_split", f"WITH {PROB_SQL}, s AS (SELECT pid, [0.04::DOUBLE, score / 4, (unit + 1) / 8.0::DOUBLE, 0.3::DOUBLE] AS s FROM prob), k AS (SELECT pid, list_transform(s, lambda x: CASE WHEN x < 0.05 THEN 0.0::DOUBLE ELSE x END) AS s FROM s) SELECT pid, round(s[1] / list_sum(s), 9) + 0.0 AS s0, round(s[2] / list_sum(s), 9) + 0.0 AS s1, round(s[3] / list_sum(s), 9) + 0.0 AS s2, round(s[4] / list_sum(s), 9) + 0.0 AS s3 FROM k")
-def tn5_normalised_split(spark, sf):
-    s = F.array(F.lit(0.04), F.col("score") / 4, (F.col("unit") + 1) / 8.0, F.lit(0.3))
-    n = problems(spark, sf).select("pid", tn.normalised_split(s).alias("s"))
-    return n.select("pid", *(r(F.col("s")[k], 9).alias(f"s{k}") for k in range(4)))
-
-
-@query("tn4_split_ratios", f"""WITH RECURSIVE {PROB_SQL}, k AS (SELECT 0 AS i, pid, score, 1 / 3.0::DOUBLE AS a, 1 / 3.0::DOUBLE AS b, 1 / 3.0::DOUBLE AS c FROM prob UNION ALL
-SELECT i + 1, pid, score, x / (x + y + z), y / (x + y + z), z / (x + y + z) FROM (SELECT *, a / (0.05::DOUBLE + a * score) AS x, b / (0.15::DOUBLE + b * 2 * score) AS y, c / (0.25::DOUBLE + c * 3 * score) AS z FROM k WHERE i < 10))
-SELECT pid, round(a, 9) + 0.0 AS s0, round(b, 9) + 0.0 AS s1, round(c, 9) + 0.0 AS s2 FROM k WHERE i = 10""")
-def tn4_split_ratios(spark, sf):
-    """Ten fixed-point steps of the units' shares."""
-    unit = lambda k: F.struct((F.lit(1.0 + k) * F.col("score")).alias("t"), F.lit(0.1 * k + 0.05).alias("fixed"))
-    shares = problems(spark, sf).select("pid", tn.split_ratios(F.array(*map(unit, range(3)))).alias("s"))
-    return shares.select("pid", *(r(F.col("s")[k], 9).alias(f"s{k}") for k in range(3)))
-
-
-@query("tn8_warnings", f"WITH {PROB_SQL} SELECT pid, concat_ws(',', CASE WHEN D1 // T_in % 3 <> 0 THEN 'C1' END, CASE WHEN D1 % T_in <> 0 THEN 'C2' END, CASE WHEN T_in < 2048 THEN 'C3' END, CASE WHEN D1 // T_in < 2 THEN 'C4' END, CASE WHEN T_in > 4096 THEN 'C5' END) AS violated FROM prob")
-def tn8_warnings(spark, sf):
-    """Violated tuning conditions of each problem's tile."""
-    tiles = F.expr("D1 div T_in")
-    return problems(spark, sf).select("pid", F.array_join(tn.warnings(tiles % 3 != 0, F.col("D1") % F.col("T_in") != 0, F.col("T_in") < 2048, tiles < 2, F.col("T_in") > 4096), ",").alias("violated"))
-
-
-@query("ag28_near_values", """WITH RECURSIVE v AS (SELECT p_brand, p_size, p_retailprice AS x, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice) AS k FROM part),
-piv AS (SELECT p_brand, p_size, min(x) AS pv FROM v GROUP BY ALL UNION ALL
-SELECT p.p_brand, p.p_size, (SELECT min(x) FROM v WHERE v.p_brand = p.p_brand AND v.p_size = p.p_size AND x > pv AND abs(x - pv) > 0.05::DOUBLE * abs(pv)) FROM piv p WHERE pv IS NOT NULL),
-g AS (SELECT v.*, (SELECT max(pv) FROM piv pp WHERE pp.p_brand = v.p_brand AND pp.p_size = v.p_size AND pv <= x) AS pv FROM v),
-a AS (SELECT *, round(avg(x) OVER (PARTITION BY p_brand, p_size, pv), 6) AS y FROM g)
-SELECT p_brand, p_size, string_agg(y::VARCHAR, ',' ORDER BY k) AS averaged FROM a GROUP BY ALL""")
+@query("ag28_near_values", """WITH RECURSIVE v AS (SELECT p_brand, p_size, p_retailprice AS x, count(*) AS n FROM part GROUP BY ALL),
+g AS (SELECT p_brand, p_size, min(x) AS lo, min(x) AS pv FROM v GROUP BY ALL UNION ALL
+SELECT p_brand, p_size, nx, CASE WHEN nx - mean < 0.05::DOUBLE * mean THEN mean ELSE nx END FROM (SELECT g.p_brand, g.p_size,
+ (SELECT sum(x * n) / sum(n) FROM v WHERE v.p_brand = g.p_brand AND v.p_size = g.p_size AND x >= lo AND x - pv < 0.05::DOUBLE * pv) AS mean,
+ (SELECT min(x) FROM v WHERE v.p_brand = g.p_brand AND v.p_size = g.p_size AND x >= lo AND NOT x - pv < 0.05::DOUBLE * pv) AS nx FROM g) WHERE nx IS NOT NULL),
+w AS (SELECT v.*, (SELECT max(lo) FROM g WHERE g.p_brand = v.p_brand AND g.p_size = v.p_size AND lo <= x) AS lo FROM v)
+SELECT p_brand, p_size, x AS p_retailprice, n, round(sum(x * n) OVER (PARTITION BY p_brand, p_size, lo) / sum(n) OVER (PARTITION BY p_brand, p_size, lo), 6) + 0.0 AS averaged FROM w""")
 def ag28_near_values(spark, sf):
-    """Prices of each brand's parts, values within 5 % of a pivot averaged."""
-    from tilewright.functions.metrics import near_groups
-
-    g = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.array_sort(F.collect_list("p_retailprice")).alias("v"))
-    return g.select("p_brand", "p_size", F.array_join(F.transform(near_groups(F.col("v")), lambda x: F.round(x, 6).cast("string")), ",").alias("averaged"))
+    """Prices of each brand's parts by size, values nearer than 5 % to a pivot averaged."""
+    g = near_value_means(table(spark, sf, "part"), ["p_brand", "p_size"], "p_retailprice")
+    return g.withColumn("averaged", r("averaged"))
 
 
 @query("set4_unit_sets", f"WITH {PROB_SQL} SELECT pid, list_sort(list_distinct(list_concat([unit, 3], [loc_a, loc_b])))::VARCHAR AS units, list_contains([loc_a, loc_b], unit) AS own FROM prob")

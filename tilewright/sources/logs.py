@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RUN = "T long, dev_num int, dev_id_token long, cachesize_limit long, trans_a string, trans_b string, alpha double, beta double, M long, N long, K long, a_loc int, b_loc int, c_loc int, c_out_loc int, timer double"
+_CONTROL = "T long, dev_num int, dev_id_token long, cachesize_limit long"
+_RUN = f"{_CONTROL}, trans_a string, trans_b string, alpha double, beta double, M long, N long, K long, a_loc int, b_loc int, c_loc int, c_out_loc int, timer double"
 _TAIL = "mean_t double, w_avg double, joules double, margin_err double, samples long, bench_t double"
 
 #: The logs' columns in order.
@@ -24,6 +25,8 @@ SCHEMAS = {
     "link_overlap": "over_loc_dest int, over_loc_src int, transfer_t double, over_transfer_t double, over_reps long, benchmark_t double",
     "run16": _RUN,
     "run18": f"{_RUN}, pred_t double, pred_J double",
+    "run_l2": f"{_CONTROL}, trans_a string, alpha double, beta double, M long, N long, inc1 long, inc2 long, a_loc int, x_loc int, y_loc int, y_out_loc int, timer double, pred_t double, pred_J double",
+    "run_l1": f"{_CONTROL}, alpha double, N long, inc1 long, inc2 long, x_loc int, y_loc int, x_out_loc int, y_out_loc int, timer double",
     "prediction": "model string, dev int, func string, flag0 string, trans_a string, trans_b string, M long, N long, K long, a_loc int, b_loc int, c_loc int, a_out int, b_out int, c_out int, lda long, ldb long, ldc long, pred string, inference_t double",
     "trace": "src int, dest int, route string, bytes long, fire_t double, sced_t double, complete_t double",
 }
