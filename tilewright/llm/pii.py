@@ -31,6 +31,7 @@ ROUNDS = 8
 ALPHABETS = (
     "0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâäãèéêëìíîïòóôöõùúûü", "çñšžčř",
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
+    "āăąēĕėęěĩīĭįōŏőũūŭůűų", "ćĉċďđĝğġģĥħĵķĺļľłńņňŕŗśŝşţťŧŵźż",
 )
 HEX = ("0123456789abcdef",)
 
@@ -49,7 +50,9 @@ PLACE = {name: (kind, k) for kind, names in LISTS.items() for k, name in enumera
 #: Titles that a name follows.
 TITLES = "Mr Mrs Ms Miss Dr Prof Mme Mlle Monsieur Madame Herr Frau Señor Señora Sr Sra Don Doña г-н г-жа Κύριος Κυρία".split()
 
-UPPER, WORD = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ", r"[^\W\d_]"
+#: Capitals of the scripts above; those of Latin Extended-A by rule.
+UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ" + "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper())
+WORD = r"[^\W\d_]"
 SURNAME = rf"[{UPPER}](?:{WORD}|['’-](?={WORD}))+"
 EMAIL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([a-z0-9_+/\-]{8,})")
@@ -248,7 +251,9 @@ class Surrogates:
         found += [("secret", *m.span(1)) for m in SECRET.finditer(text)] + [("secret", *m.span()) for m in LONG_HEX.finditer(text)]
         found += [("iban", *m.span()) for m in IBAN.finditer(text)]
         for region in NUMERIC.finditer(text):
-            found += [(m.lastgroup if m.lastgroup else "phone", *m.span()) for m in NUMBER.finditer(text, max(0, region.start()), region.end())]
+            # two signs more: what the patterns look ahead at
+            each = NUMBER.finditer(text, region.start(), region.end() + 2)
+            found += [(m.lastgroup or "phone", *m.span()) for m in each if m.lastgroup != "card" or luhn(re.sub(r"\D", "", m[0]))]
         for m in NAME.finditer(text):
             found += [("name", m.start("names") + a, m.start("names") + b) for a, b in names_in(m["names"], bool(m["title"]))]
         order = {"email": 0, "secret": 1, "iban": 2}
@@ -291,6 +296,7 @@ ENTITY_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()),
 def surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``, else all) with the text replaced, and ``entities``.
 
+    Card numbers are those of 13 to 19 digits with a valid check digit.
     ``entities`` has each one's kind, place in the old text (in characters), surrogate
     and a keyed hash that is equal for mentions of one entity. Null stays null, with no
     entities; texts without any stay as they are. Rows are independent, repeated ones
