@@ -84,3 +84,23 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert langid.train(docs) is None
     assert {(r.lang_pred, r.rejected) for r in langid.identify(docs, None).collect()} == {("und", True)}
+
+
+def test_signs_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(k, "the house of the water", "en") for k in range(30)] + [(100, "½ ² ①", None), (101, "Ⅷ ⅷ", None), (102, "ª", None), (103, "the½house", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert all((got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0.0, True) for k in (100, 101))
+    assert got[102].lang_pred == got[103].lang_pred == "en" and langid.words_of("the½house²x y") == ["the", "house", "x", "y"]
+
+
+def test_rejection_keeps_to_its_rate(spark):
+    """About REJECT_RATE of fresh texts go, and nearly all of another alphabet's and of noise."""
+    rng = random.Random(11)
+    rows = [(k, make(rng, lang), lang) for k in range(9000) for lang in [rng.choice(["en", "de", "fr"])]]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    assert np.isfinite(models.reject_at)
+    scorer = langid.Scorer(models)
+    fresh = [make(rng, rng.choice(["en", "de", "fr"])) for _ in range(20_000)]
+    assert scorer.predict(fresh)[2].mean() <= 5 * langid.REJECT_RATE
+    noise = ["".join(rng.choice("qxzjkvwpy ") for _ in range(200)) for _ in range(200)] + ["это вода и дом " * 5] * 10
+    assert scorer.predict(noise)[2].mean() > 0.99

@@ -5,8 +5,8 @@ and an end sign), so that a word's log-probabilities don't depend on what is aro
 The models are stored as arrays sorted by gram hash, one column per language: the
 interpolated log-probability of each gram and, for each context, the log of the weight
 that backing off from it costs. A text's language is the one of least cross-entropy
-per symbol; a text whose cross-entropy is beyond what the language's own texts
-show is rejected.
+per symbol. Rejection is calibrated on labelled texts that the models weren't fitted on: a text whose
+cross-entropy lies farther out than all but a stated share of those is rejected.
 """
 
 from __future__ import annotations
@@ -26,13 +26,19 @@ from tilewright.llm.common import as_bytes, bound_batches, fresh, slices, sole_c
 ORDER = 4
 #: Texts of a language that its model is fitted on, about: the sample's bound.
 TRAIN_TEXTS = 4000
-#: Standard deviations beyond the language's mean cross-entropy at which a text is rejected.
-REJECT_AT = 8.0
+#: One labelled text in so many is held out to calibrate rejection, of languages with ``LEAST_HELD`` texts or more.
+HOLD_OUT, LEAST_HELD = 5, 25
+#: Share of held-out texts that may be rejected. With too few to tell, it is what lies so many times as far out as all of them.
+REJECT_RATE, BEYOND_ALL = 0.001, 4.0
+#: Symbols of evidence that a score goes by at most.
+SCORE_SYMBOLS = 50
+#: Bounds of what is gathered to fit, and sent around: languages, and grams of all of them.
+MOST_LANGS, MOST_GRAMS = 400, 20_000_000
 BEGIN, END = "\x02", "\x03"
 KEPT = 200_000
 UND = "und"
 
-words_of = re.compile(r"[^\W\d_]+").findall
+_runs = re.compile(r"[^\W\d_]+").findall
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +46,14 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def words_of(text: str) -> list[str]:
+    """Maximal runs of letters. Signs such as ½, ² and Ⅷ are no letters, and cut a run."""
+    out = _runs(text)
+    if all(map(str.isalpha, out)):
+        return out
+    return "".join([c if c.isalpha() else " " for c in text]).split()
+
+
 def _letters(text: str) -> list[str]:
     return words_of(text.lower())
 
@@ -75,6 +89,12 @@ class Models:
     contexts: list[tuple[np.ndarray, np.ndarray]]
     floor: float
     limits: np.ndarray | None = None  # by language: mean, deviation between texts, deviation of a symbol
+    reject_at: float = np.inf  # deviations out at which a text is rejected
+
+    def distance(self, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many deviations a text of ``n`` symbols has more than its language's mean cross-entropy."""
+        mean, between, symbol = self.limits[lang].T
+        return (entropy - mean) / np.maximum(between + symbol / np.sqrt(np.maximum(n, 1)), 1e-9)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row for each word: log-probability by language, then the number of symbols."""
@@ -205,14 +225,23 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Models from the rows of ``labelled`` that have a text and a language; None if none has.
 
     Fitted on a sample chosen by hash of the id, about ``most`` whole texts a language
-    (all, of languages with fewer): the bound of what is gathered.
+    (all, of languages with fewer): the bound of what is gathered. Every ``HOLD_OUT``-th of them isn't learned
+    from; these tell from where on a text is rejected.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), as_bytes(text_col, "text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if not counts:
         return None
-    sample = staged(rows.where(_fraction(F.col("lang"), counts, most)).select("lang", "text"), "labelled")
-    grams = bound_batches(sample).mapInArrow(_counted(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    enough = [k for k, n in counts.items() if n >= LEAST_HELD]
+    held = F.col("lang").isin(enough) & (F.pmod(F.xxhash64("id", "text", F.lit("held out")), F.lit(HOLD_OUT)) == 0)
+    sample = staged(rows.where(_fraction(F.col("lang"), counts, most)).select("lang", "text", held.alias("held")), "labelled")
+    grams = bound_batches(sample.where("NOT held").select("lang", "text")).mapInArrow(_counted(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = staged(grams, "grams")
+    if grams.count() > MOST_GRAMS:
+        raise ValueError(f"more than {MOST_GRAMS} grams; take fewer texts")
+    grams = grams.toArrow()
     by_lang: dict[str, dict[str, int]] = {}
     for lang, gram, n in zip(*(grams.column(c).to_pylist() for c in ("lang", "gram", "n"))):
         by_lang.setdefault(lang, {})[gram] = n
@@ -228,17 +257,27 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             place = [scorer.models.langs.index(x) if x in scorer.models.langs else 0 for x in batch.column("lang").to_pylist()]
             n = sums[:, -1]
             h = -sums[np.arange(len(n)), place] / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n), pa.array(h)], ["lang", "n", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("held"), pa.array(n), pa.array(h)], ["lang", "held", "n", "h"])
 
-    measured = staged(bound_batches(sample).mapInArrow(measure, "lang string, n double, h double").where("n > 0"), "measured")
-    limits = np.zeros((len(models.langs), 3))
-    mean = measured.groupBy("lang").agg((F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("m"))
-    spread = measured.join(F.broadcast(mean), "lang").groupBy("lang").agg(
+    measured = staged(bound_batches(sample).mapInArrow(measure, "lang string, held boolean, n double, h double").where("n > 0"), "measured")
+    # by what is held out where a language has some, else by what it was learned from
+    own = measured.join(F.broadcast(measured.groupBy("lang").agg(F.max("held").alias("any"))), "lang").where("held = any")
+    mean = own.groupBy("lang").agg((F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("m"))
+    spread = own.join(F.broadcast(mean), "lang").groupBy("lang").agg(
         F.first("m").alias("m"), F.stddev_pop("h").alias("between"), F.sqrt(F.avg(F.col("n") * (F.col("h") - F.col("m")) ** 2)).alias("symbol"),
     )
+    models.limits = np.zeros((len(models.langs), 3))
     for r in spread.collect():
-        limits[models.langs.index(r.lang)] = r.m, r.between, r.symbol
-    models.limits = limits
+        if r.lang in models.langs:
+            models.limits[models.langs.index(r.lang)] = r.m, r.between, r.symbol
+    # at most TRAIN_TEXTS a language: the bound of what comes here
+    seen = own.toArrow()
+    place = np.array([models.langs.index(x) if x in models.langs else -1 for x in seen.column("lang").to_pylist()], int)
+    known = place >= 0
+    far = models.distance(place[known], seen.column("h").to_numpy()[known], seen.column("n").to_numpy()[known])
+    if len(far):
+        enough_held = len(far) >= 1 / REJECT_RATE
+        models.reject_at = float(np.quantile(far, 1 - REJECT_RATE, method="higher")) if enough_held else max(1.0, float(far.max())) * BEYOND_ALL
     return models
 
 
@@ -265,30 +304,32 @@ class Scorer:
         for k, words in enumerate(lists):
             if words:
                 out[k] = self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-        return out, [bool(w) or has_letter(t) for w, t in zip(lists, texts)]
+        return out, [has_letter(t) for t in texts]
 
-    def predict(self, texts: list[str | None], reject_at: float = REJECT_AT) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str | None], reject_at: float | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether rejected, for each text."""
         sums, letters = self.sums([t or "" for t in texts])
         n = np.maximum(sums[:, -1], 1)
         entropy = -sums[:, :-1] / n[:, None]
         best = entropy.argmin(axis=1) if len(texts) else np.zeros(0, int)
-        # odds over at most 50 symbols' worth of evidence, so that long texts stay comparable
-        gap = (entropy - entropy[np.arange(len(best)), best][:, None]) * np.minimum(n, 50)[:, None]
+        least = entropy[np.arange(len(best)), best]
+        gap = (entropy - least[:, None]) * np.minimum(n, SCORE_SYMBOLS)[:, None]
         score = 1 / np.exp(-gap).sum(axis=1)
         rejected = ~np.array(letters, bool)
         if self.models.limits is not None:
-            mean, between, symbol = self.models.limits[best].T
-            rejected |= entropy[np.arange(len(best)), best] > mean + reject_at * (between + symbol / np.sqrt(n)) + 1e-9
+            rejected |= self.models.distance(best, least, n) > (self.models.reject_at if reject_at is None else reject_at) + 1e-9
         langs = [self.models.langs[b] if x else UND for b, x in zip(best, letters)]
         return langs, np.where(letters, score, 0.0), rejected
 
 
-def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, reject_at: float = REJECT_AT) -> DataFrame:
+def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, reject_at: float | None = None) -> DataFrame:
     """The rows of ``docs`` (their columns ``keep``, else the id) with ``lang_pred``, ``score``, ``rejected``.
 
     ``lang_pred`` is a learned language, or ``und`` if the text is null or has no letter
-    or no model was learned; such rows have score 0 and are rejected. Ties go to the
+    or no model was learned; such rows have score 0 and are rejected. ``score`` is the language's
+    share of the odds at the text's mean cross-entropies, over ``SCORE_SYMBOLS`` symbols or as many as it has: what
+    a stretch of that length tells, so that a long text's score isn't always 1. A text is rejected ``reject_at`` deviations beyond its
+    language's mean, where None takes what :func:`train` found. Ties go to the
     language first in code-point order. Texts are scored whole, repeated rows alike. Columns
     of the results' names are replaced. Empty in, empty out.
     """
