@@ -39,14 +39,27 @@ def test_hosts_and_rows(spark):
     kept = {r.id: r.kept for r in got}
     assert all(kept[k] for k in range(20)) and kept[200] and kept[None] and not kept[300] and not kept[201]
     assert not any(kept[100 + k] for k in range(20))  # the host goes, good documents with it
-    rate = {r.host: r.shrunk_rate for r in quality.host_rates(quality.base_rules(docs)).collect()}
-    hosts = {}
-    for r in quality.base_rules(docs).collect():
-        n, f = hosts.get(r.host, (0, 0))
-        hosts[r.host] = n + 1, f + r.base_failed
-    each = [f / n for n, f in hosts.values()]
-    m = sum(each) / len(each)
-    v = sum((x - m) ** 2 for x in each) / len(each)
-    s = max(1, m * (1 - m) / v - 1)
-    assert all(abs(rate[h] - (f + m * s) / (n + s)) < 1e-9 for h, (n, f) in hosts.items())
+    rows_ = quality.base_rules(docs).collect()
+    rules = {"lines": lambda r: 20 * r.n_dup_lines > r.n_words, "repeats": lambda r: 100 * r.n_repeat_words > 50 * r.n_words, "short": lambda r: r.n_words < 50, "symbols": lambda r: 10 * r.n_symbols > r.n_words}
+    rates = {(r.host, x.rule): x.shrunk_rate for r in quality.host_rates(quality.base_rules(docs)).collect() for x in r.rates}
+    for rule, bad in rules.items():
+        hosts = {}
+        for r in rows_:
+            n, f = hosts.get(r.host, (0, 0))
+            hosts[r.host] = n + 1, f + bad(r)
+        each = [f / n for n, f in hosts.values()]
+        m = sum(each) / len(each)
+        v = sum((x - m) ** 2 for x in each) / len(each)
+        s = max(1, m * (1 - m) / v - 1) if v > 1e-12 else sum(n for n, _ in hosts.values()) / len(hosts)
+        assert all(abs(rates[h, rule] - (f + m * s) / (n + s)) < 1e-9 for h, (n, f) in hosts.items())
     assert quality.judge(docs.limit(0)).count() == 0
+
+
+def test_any_rule_can_condemn_a_host(spark):
+    good = " ".join(f"w{k}" for k in range(60))
+    signs = " ".join(f"w{k}#" if k % 3 else f"w{k}" for k in range(60))
+    lines = "\n".join([f"line {k} of the text" for k in range(20)] + ["again"] * 9)
+    rows = [(k, good, f"h{k % 9}") for k in range(360)] + [(1000 + k, signs if k % 2 else good, "signs") for k in range(40)] + [(2000 + k, lines if k % 2 else good, "lines") for k in range(40)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.id // 1000, r.host_rule, r.kept) for r in got if r.id >= 1000} == {(1, "symbols", False), (2, "lines", False)}
+    assert all(r.kept and not r.base_failed for r in got if r.id < 1000)

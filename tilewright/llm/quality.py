@@ -1,9 +1,9 @@
 """Quality rules with host verdicts.
 
-Base rules judge each document. Their failures are counted by host; a host's failure
-rate is shrunk towards those of all hosts with a beta prior fitted to them (method of
+Rules judge each document. Their failures are counted by host, each rule's on its own; a host's
+failure rate is shrunk towards those of all hosts with a beta prior fitted to that rule (method of
 moments), so that a host of few documents isn't judged by chance. Documents of
-a host whose shrunk rate is too high go with it.
+a host that has a rule's shrunk rate over its limit go with it.
 """
 
 from __future__ import annotations
@@ -13,15 +13,15 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import as_bytes, bound_batches, slices, small_side, staged
 
 BLANK = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
-#: A host goes if its shrunk failure rate is over this.
-HOST_LIMIT = 0.5
+#: A host goes if its shrunk failure rate of a rule is over this.
+HOST_LIMITS = {"lines": 0.3, "repeats": 0.5, "short": 0.5, "symbols": 0.3}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -63,31 +63,46 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return bound_batches(rows).mapInArrow(_counted, schema).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def failures() -> dict[str, Column]:
+    """The rules over ``COUNTS``: a repeated line for 20 words, half the words in repeated windows, under 50 words, a symbol for 10 words."""
+    n = F.col("n_words")
+    return {"lines": 20 * F.col("n_dup_lines") > n, "repeats": 100 * F.col("n_repeat_words") > 50 * n, "short": n < 50, "symbols": 10 * F.col("n_symbols") > n}
+
+
 def host_rates(rows: DataFrame) -> DataFrame:
-    """``(host, n_docs, n_failed, shrunk_rate)`` from ``(host, base_failed)`` rows.
+    """``(host, n_docs, rates)`` from rows of :func:`base_rules`; ``rates`` has each rule's ``rule, n_failed, shrunk_rate``.
 
-    The prior's mean is the mean of the hosts' rates, and its strength a + b is
+    A rule's prior has the mean of the hosts' rates, and its strength a + b is
     m (1 - m) / v - 1 for their variance v over the hosts, but at least 1; where the
     variance is 0 (also with one host) it is the mean number of documents a host.
     """
-    own = rows.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    own = staged(own, "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    prior = own.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg("n_docs").alias("size"))
-    strength = F.when(F.col("v") > 1e-12, F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)).otherwise(F.col("size"))
-    prior = prior.select("m", strength.alias("strength"))
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    return own.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"))
+    failed = [F.count_if(c).alias(f"n_{rule}") for rule, c in failures().items()]
+    own = staged(rows.groupBy("host").agg(F.count("*").alias("n_docs"), *failed), "hosts")
+    rate = {rule: F.col(f"n_{rule}") / F.col("n_docs") for rule in HOST_LIMITS}
+    # a mean and a variance for each rule, over all hosts
+    seen = own.agg(F.avg("n_docs").alias("size"), *(f(rate[r]).alias(f"{k}_{r}") for r in rate for k, f in (("m", F.avg), ("v", F.var_pop)))).first()
+
+    def shrunk(rule: str) -> Column:
+        m, v = seen[f"m_{rule}"] or 0.0, seen[f"v_{rule}"] or 0.0
+        strength = max(1.0, m * (1 - m) / v - 1) if v > 1e-12 else seen["size"] or 1.0
+        return (F.col(f"n_{rule}") + m * strength) / (F.col("n_docs") + strength)
+
+    each = [F.struct(F.lit(rule).alias("rule"), F.col(f"n_{rule}").alias("n_failed"), shrunk(rule).alias("shrunk_rate")) for rule in rate]
+    return own.select("host", "n_docs", F.array(*each).alias("rates"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """``(id, COUNTS, base_failed, host_rate, kept)`` for every row.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
+    """``(id, COUNTS, base_failed, host_rule, host_rate, kept)`` for every row.
 
-    Kept: passed the base rules, of a host with a shrunk failure rate of ``host_limit``
-    at most. Null texts have no words and fail; null hosts are one host. Repeated rows
+    Kept: passed the base rules, of a host whose shrunk failure rates are at most ``host_limits``.
+    ``host_rule`` is the rule that the host's rate is nearest to, or farthest over, the limit of; ``host_rate`` that
+    rate; ties go to the first in order of the names. Null texts have no words and fail; null hosts are one host. Repeated rows
     count each. Other columns don't matter. Empty in, empty out.
     """
     rows = staged(base_rules(docs, id_col, text_col, host_col), "base_rules")
-    rates = staged(host_rates(rows).select(F.col("host").alias("_host"), F.col("shrunk_rate").alias("host_rate")), "host_rates")
+    limit = F.create_map(*[F.lit(x) for pair in sorted(host_limits.items()) for x in pair])
+    # to nine places: rates are sums, and ties are to be ties
+    over = F.transform("rates", lambda x: F.struct((-F.round(x["shrunk_rate"] / F.element_at(limit, x["rule"]), 9)).alias("near"), x["rule"].alias("rule"), x["shrunk_rate"].alias("rate")))
+    rates = staged(host_rates(rows).select(F.col("host").alias("_host"), F.array_min(over).alias("_x")), "host_rates")
     joined = rows.join(small_side(rates), F.col("host").eqNullSafe(F.col("_host")))
-    return joined.select("id", *COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= host_limit)).alias("kept"))
+    return joined.select("id", *COUNTS, "base_failed", F.col("_x.rule").alias("host_rule"), F.col("_x.rate").alias("host_rate"), (~F.col("base_failed") & (F.col("_x.near") >= -1)).alias("kept"))

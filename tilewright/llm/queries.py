@@ -66,7 +66,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules of every document and the verdict on its host (its source)."""
     found = quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
-    return found.select("doc_id", "n_words", *quality.COUNTS[1:], "base_failed", "kept")
+    return found.select("doc_id", "n_words", *quality.COUNTS[1:], "base_failed", "kept", "host_rule", F.round("host_rate", 6).alias("host_rate"))
 
 
 OP8_SQL = r"""
@@ -85,12 +85,17 @@ base AS (
          coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM words w LEFT JOIN dup d ON w.doc_id = d.doc_id LEFT JOIN covered c ON w.doc_id = c.doc_id),
 failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n_docs, sum(base_failed::INT) AS n_failed FROM failed GROUP BY source),
-moments AS (SELECT avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(n_docs) AS size FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 1e-12 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE size END AS strength FROM moments),
-rates AS (SELECT source, (n_failed + m * strength) / (n_docs + strength) AS rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
-FROM failed f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source
+ruled AS (
+  SELECT source, rule, limit_, CASE rule WHEN 'lines' THEN 20 * n_dup_lines > n_words WHEN 'repeats' THEN 100 * n_repeat_words > 50 * n_words WHEN 'short' THEN n_words < 50 ELSE 10 * n_symbols > n_words END AS bad
+  FROM failed, (VALUES ('lines', 0.3::DOUBLE), ('repeats', 0.5), ('short', 0.5), ('symbols', 0.3)) r(rule, limit_)),
+hosts AS (SELECT source, rule, limit_, count(*) AS n_docs, sum(bad::INT) AS n_failed FROM ruled GROUP BY source, rule, limit_),
+moments AS (SELECT rule, avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(n_docs) AS size FROM hosts GROUP BY rule),
+prior AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE size END AS strength FROM moments),
+rates AS (SELECT source, rule, limit_, (n_failed + m * strength) / (n_docs + strength) AS rate FROM hosts JOIN prior USING (rule)),
+near AS (SELECT *, round(rate / limit_, 9) AS near FROM rates),
+verdict AS (SELECT source, arg_min(rule, (-near, rule)) AS host_rule, arg_min(rate, (-near, rule)) AS host_rate, max(near) AS worst FROM near GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND worst <= 1 AS kept, host_rule, round(host_rate, 6) AS host_rate
+FROM failed f JOIN verdict r ON f.source IS NOT DISTINCT FROM r.source
 """
 
 
