@@ -1,6 +1,8 @@
 import gzip
 import random
 
+import pytest
+from pyspark.errors import PySparkException
 from tilewright.llm import warc
 
 
@@ -79,3 +81,38 @@ def test_salvage_inside_a_member():
     broken = bytearray(whole)
     broken[-6] ^= 0xFF  # the CRC
     assert found_pages(bytes(broken) + warc.member(records[2]))[0] == [*range(30), 2]
+
+
+def test_damage_in_the_middle_of_one_member():
+    records = archive(3)
+    bad = bytearray(b"".join(records))
+    bad[len(records[0]) + len(records[1]) - 20] ^= 0xFF
+    assert found_pages(gzip.compress(bytes(bad)))[0] == [0, 2]
+    whole = gzip.compress(b"".join(archive(50)))
+    pages, gaps = found_pages(whole[:-40])
+    assert len(pages) >= 45 and pages == list(range(len(pages))) and gaps
+
+
+def test_ids_come_back_whatever_signs_they_have(spark):
+    ids = ["a b", "x>y<z", "100%", "%41", "p+q", "é/ü", "line\nbreak", "", None, "plain"]
+    rows = [(x, "u", f"page {k // 2}") for k, x in enumerate(ids)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted(str(r.id) for r in got) == sorted(str(x or None) for x in ids)
+    assert {r.id: r.refers_to for r in got if r.refers_to} == {"x>y<z": "a b", "100%": "%41", "é/ü": "p+q", None: "plain"}
+
+
+def test_a_gap_in_what_was_written_is_an_error(spark, monkeypatch):
+    written = warc.write
+
+    def damaged(pages, path, *args):
+        written(pages, path, *args)
+        from pathlib import Path
+        for f in Path(path.removeprefix("file://")).glob("*.txt"):
+            f.write_bytes(f.read_bytes()[:-60])
+        for f in Path(path.removeprefix("file://")).glob(".*.crc"):
+            f.unlink()
+
+    monkeypatch.setattr(warc, "write", damaged)
+    pages = spark.createDataFrame([(1, "u", "x" * 500)], "page_id long, url string, html string")
+    with pytest.raises(PySparkException, match="lost in an archive"):
+        warc.round_trip(pages).collect()

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import as_bytes, bound_batches, slices, small_side, staged
@@ -50,6 +50,11 @@ def _field(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
+def quoted(page: str) -> str:
+    """An id as part of a URN: with % for itself and for what would end the id or the line."""
+    return re.sub(r"[\x00-\x20\x7f%<>]", lambda m: f"%{ord(m[0]):02X}", page)
+
+
 def record(page: str, url: str, payload: bytes, refers_to: str | None = None, date: str = DATE) -> bytes:
     """A response record, or a revisit of the record of page ``refers_to``.
 
@@ -58,11 +63,11 @@ def record(page: str, url: str, payload: bytes, refers_to: str | None = None, da
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     head = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{ID}{_field(page)}>"), ("WARC-Date", date),
+        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{ID}{quoted(page)}>"), ("WARC-Date", date),
         ("WARC-Target-URI", _field(url) or "about:blank"), ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)), ("WARC-Block-Digest", "sha1:" + base32_sha1(block)),
     ]
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<{ID}{_field(refers_to)}>"), ("WARC-Profile", PROFILE)]
+        head += [("WARC-Refers-To", f"<{ID}{quoted(refers_to)}>"), ("WARC-Profile", PROFILE)]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -202,6 +207,7 @@ def _at(data: bytes, at: int) -> tuple[list[Found], int]:
 def salvage(data: bytes) -> Iterator[Found]:
     """Every valid record of an archive, in order, and the gaps between them."""
     at, gap, reason = 0, None, ""
+    line, packed = -1, -1  # the next version line and member that were searched for; they hold until passed
     while at < len(data):
         try:
             found, end = _at(data, at)
@@ -212,9 +218,11 @@ def salvage(data: bytes) -> Iterator[Found]:
             yield from error.found
             if gap is None:
                 gap, reason = at, str(error)
-            line = VERSION_LINE.search(data, at + 1)
-            packed = data.find(MAGIC, at + 1)
-            at = min(packed if packed >= 0 else len(data), line.start() if line else len(data))
+            if line <= at:
+                line = m.start() if (m := VERSION_LINE.search(data, at + 1)) else len(data)
+            if packed <= at:
+                packed = p if (p := data.find(MAGIC, at + 1)) >= 0 else len(data)
+            at = min(packed, line)
             continue
         if gap is not None:
             yield Found(gap, at, reason=reason)
@@ -289,17 +297,29 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
     Gaps have ``gap``, the reason, and nulls but for their place. Digests are checked
     against the bytes. A revisit's ``payload_bytes`` is that of the payload it stands
-    for; its ``payload`` is null. Files without a byte give no row.
+    for; its ``payload`` is null. Files without a byte give no row. A file is one value of Spark's
+    binary reader and so under 2 GB: the usual size of archives is half of that.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return bound_batches(files).mapInArrow(_records(payloads), SCHEMA)
 
 
+def page_id(uri: Column, kind: str) -> Column:
+    """The id in a record's URN, unquoted; null where there is none."""
+    found = F.regexp_extract(uri, f"{ID}([^>]*)", 1)
+    return F.when(found != "", F.url_decode(F.regexp_replace(found, r"\+", "%2B"))).cast(kind)
+
+
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """``pages`` written as archives in the shared folder and read back, ids from the records."""
-    kind = pages.schema[id_col].dataType
+    """``pages`` written as archives in the shared folder and read back, ids from the records.
+
+    A row for each row of ``pages``: what was just written has no gaps, so one is an error, not a row less. Ids
+    come back as they were, whatever signs they have; an empty id, like a null one, as null.
+    """
+    kind = pages.schema[id_col].dataType.simpleString()
     path = scratch(pages.sparkSession, "warc")
     write(pages, path, id_col, url_col, payload_col, least_bytes)
-    number = lambda c: F.nullif(F.regexp_extract(c, f"{ID}([^>]*)", 1), F.lit("")).cast(kind)
-    found = read(pages.sparkSession, path, payloads=False).where("gap IS NULL")
-    return found.select(number("record_id").alias("id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    found = read(pages.sparkSession, path, payloads=False)
+    lost = F.raise_error(F.concat_ws(" ", F.lit("lost in an archive just written:"), "file", F.col("begin").cast("string"), "gap")).cast("string")
+    whole = F.when(F.col("gap").isNotNull(), lost).otherwise(F.col("record_id"))
+    return found.select(page_id(whole, kind).alias("id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page_id(F.col("refers_to"), kind).alias("refers_to"))
