@@ -9,8 +9,8 @@ of 9 - s bits for category s makes every difference 9 bits long; Kraft's sum is
 which leaves just the all-ones code free, as JPEG demands. With one bit for "end of
 block" a block is 10 bits, so encoding and decoding are array operations.
 
-A decoder of other files needs their own Huffman tables; frames here are read by the
-tables they carry, and refused if those aren't the ones above.
+Frames with other tables, colour, all their coefficients, other sizes or no tables at all, as cameras write
+them, are decoded in general (:mod:`tilewright.llm.jpeg`); shots are then found in their luminance.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm import jpeg
 from tilewright.llm.common import as_bytes, bound_batches, slices
+from tilewright.llm.jpeg import BadMedia
 
 #: Samples in a row, and rows in a frame at most.
 WIDTH, ROWS = 64, 16
@@ -61,10 +63,6 @@ TABLES = (
 SCAN = _segment(0xDA, b"\x01\x01\x00\x00\x3f\x00")
 
 
-class BadMedia(ValueError):
-    """The bytes aren't a file of this kind, or are damaged."""
-
-
 def encode_frames(samples: np.ndarray) -> list[bytes]:
     """JPEG images of ``samples``, a uint8 array (frames, rows, width)."""
     count, rows, width = samples.shape
@@ -77,6 +75,10 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [head + x.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for x in data]
 
 
+class OtherTables(BadMedia):
+    """A frame that isn't one of :func:`encode_frames`."""
+
+
 def decode_frames(images: list[bytes]) -> np.ndarray:
     """The samples of :func:`encode_frames` images of one size."""
     shape, scans = None, []
@@ -93,13 +95,15 @@ def decode_frames(images: list[bytes]) -> np.ndarray:
             elif marker == 0xC0:
                 _, h, w, parts = struct.unpack(">BHHB", image[at + 4 : at + 10])
                 if parts != 1 or h % 8 or w % 32 or shape not in (None, (h // 8, w // 8)):
-                    raise BadMedia("only gray frames of one size are read")
+                    raise OtherTables("no gray frames of one size")
                 shape = h // 8, w // 8
+            elif marker != 0xDA:
+                raise OtherTables("other segments")
             at += 2 + size
             if marker == 0xDA:
                 break
         if tables != TABLES or shape is None:
-            raise BadMedia("a JPEG image has other tables")
+            raise OtherTables("other tables")
         scans.append(image[at:-2].replace(b"\xff\x00", b"\xff"))
     rows, width = shape
     if any(len(s) != rows * width // 4 * 5 for s in scans):
@@ -160,40 +164,83 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
 
 @dataclass
 class Movie:
+    """``samples`` are gray levels, (frames, rows, width): what was stored, or the luminance."""
+
     fps: float
     samples: np.ndarray
     payload: bytes | None
 
 
+def luminance(images: list[bytes]) -> np.ndarray:
+    """The gray plane or the luminance of frames of one size, whatever their tables."""
+    planes = [jpeg.decode(x)[:, :, 0] for x in images]
+    if any(p.shape != planes[0].shape for p in planes):
+        raise BadMedia("frames of several sizes")
+    return np.stack(planes)
+
+
+def _movie_chunks(data: bytes, begin: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Chunks of a ``movi`` list, those of its ``rec`` lists among them."""
+    for name, b, e in _chunks(data, begin, end):
+        if name == b"LIST" and data[b : b + 4] == b"rec ":
+            yield from _chunks(data, b + 4, e)
+        else:
+            yield name, b, e
+
+
 def read_avi(data: bytes) -> Movie:
-    """Frames of an AVI file by its index, or by its chunks where it has none."""
+    """Frames of an AVI file by its index, or by its chunks where it has none.
+
+    The frames are those of the first video stream, in all of the file's RIFF parts. Parts after the first
+    have no such index and are read by their chunks. An empty chunk repeats the frame before it.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise BadMedia("no AVI file")
-    fps, length, movie, entries = float(FPS), None, None, []
-    for name, begin, end in _chunks(data, 12, min(len(data), 8 + int.from_bytes(data[4:8], "little"))):
-        kind = data[begin : begin + 4] if name == b"LIST" else b""
-        if kind == b"hdrl":
-            for n, b, _ in _chunks(data, begin + 4, end):
-                if n == b"avih":
-                    fps = 1e6 / max(1, int.from_bytes(data[b : b + 4], "little"))
-        elif kind == b"INFO":
-            for n, b, e in _chunks(data, begin + 4, end):
-                if n == b"ICMT" and data[b:e].startswith(b"payload="):
-                    length = int(data[b + 8 : e].rstrip(b"\x00"))
-        elif kind == b"movi":
-            movie = begin, end
-        elif name == b"idx1":
-            entries = [struct.unpack("<4sIII", data[k : k + 16]) for k in range(begin, end - 15, 16)]
-    if movie is None:
+    fps, length, lists, entries, kinds = float(FPS), None, [], [], []
+    for part, begin, end in _chunks(data, 0, len(data)):
+        if part != b"RIFF" or data[begin : begin + 4] not in (b"AVI ", b"AVIX"):
+            raise BadMedia("a part of the file is no AVI")
+        for name, begin, end in _chunks(data, begin + 4, end):
+            kind = data[begin : begin + 4] if name == b"LIST" else b""
+            if kind == b"hdrl":
+                for n, b, e in _chunks(data, begin + 4, end):
+                    if n == b"avih":
+                        fps = 1e6 / max(1, int.from_bytes(data[b : b + 4], "little"))
+                    elif n == b"LIST" and data[b : b + 4] == b"strl":
+                        kinds += [data[x : x + 4] for m, x, _ in _chunks(data, b + 4, e) if m == b"strh"]
+            elif kind == b"INFO":
+                for n, b, e in _chunks(data, begin + 4, end):
+                    if n == b"ICMT" and data[b:e].startswith(b"payload="):
+                        length = int(data[b + 8 : e].rstrip(b"\x00"))
+            elif kind == b"movi":
+                lists.append((begin, end))
+            elif name == b"idx1" and not entries:
+                entries = [struct.unpack("<4sIII", data[k : k + 16]) for k in range(begin, end - 15, 16)]
+    if not lists:
+        raise BadMedia("no frames")
+    stream = kinds.index(b"vids") if b"vids" in kinds else 0
+    names, places = {b"%02ddc" % stream, b"%02ddb" % stream}, []
+    entries = [x for x in entries if x[0] in names]
+    for k, (begin, end) in enumerate(lists):
+        if k == 0 and entries:
+            # places are told from the list's begin or, by some writers, from the file's
+            origin = begin if data[begin + entries[0][2] : begin + entries[0][2] + 4] in names else 0
+            found = [(origin + at + 8, origin + at + 8 + size) for _, _, at, size in entries]
+            if any(e > end or b < begin or data[b - 8 : b - 4] not in names for b, e in found):
+                raise BadMedia("the index points beside the frames")
+            places += found
+        else:
+            places += [(b, e) for n, b, e in _movie_chunks(data, begin + 4, end) if n in names]
+    images = []
+    for b, e in places:
+        if e > b or images:
+            images.append(data[b:e] if e > b else images[-1])
+    if not images:
         raise BadMedia("no frames")
-    begin, end = movie
-    if entries:
-        places = [(begin + at + 8, begin + at + 8 + size) for n, _, at, size in entries if n == b"00dc"]
-    else:
-        places = [(b, e) for n, b, e in _chunks(data, begin + 4, end) if n == b"00dc"]
-    if not places or any(e > end or data[b - 8 : b - 4] != b"00dc" for b, e in places):
-        raise BadMedia("the index points beside the frames")
-    samples = decode_frames([data[b:e] for b, e in places])
+    try:
+        samples = decode_frames(images)
+    except OtherTables:
+        return Movie(fps, luminance(images), None)
     return Movie(fps, samples, None if length is None else samples.tobytes()[:length])
 
 
@@ -265,7 +312,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 movie = read_avi(media)
                 data = movie.payload if movie.payload is not None else movie.samples.tobytes()
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), *whole, len(movie.samples), _clips(movie), None))
-            except (BadMedia, struct.error, ValueError) as error:
+            except (BadMedia, struct.error, ValueError, IndexError) as error:
                 rows.append((None, None, None, *whole, None, None, str(error)[:200]))
         columns = list(zip(*rows))
         kinds[8] = CLIP_TYPE
@@ -278,8 +325,9 @@ CLIP_TYPE = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()
 def decode_media(media: DataFrame) -> DataFrame:
     """One row for each of :func:`encode_media`'s: digests of what was read back, and its clips.
 
-    A damaged file gives nulls and its ``error``; null media give nulls. Repeated rows
-    come back repeated; equal media give equal values.
+    A damaged file gives nulls and its ``error``; null media give nulls. Of a movie by another writer the
+    luminance counts as what was read back. Repeated rows come back repeated; equal media give equal values. Of
+    equal changes in a row only the first can be a cut: the next doesn't stand out from it.
     """
     kind = media.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, clips {CLIPS}, error string"
