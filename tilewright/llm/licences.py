@@ -1,16 +1,18 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines. Their features are word 1- to 3-grams out of those that occur
+Candidates are paragraphs (blocks of lines between blank ones, their lines joined) and each
+of their lines. Their features are word 1- to 3-grams out of those that occur
 in the templates and aren't made of stop words alone; a multinomial logistic regression
 over them tells the licence families and ``none`` apart. It is trained on the
-templates, mutilated in fixed ways, and on a bounded sample of the corpus's lines.
+templates, mutilated in fixed ways, and on a bounded sample of the corpus's paragraphs.
 
-A line none of whose words is a template's has no feature at all, so it is left out
-early, exactly; every other line goes to the classifier.
+A candidate none of whose words is a template's has no feature at all, so it is left out
+early, exactly; every other one goes to the classifier.
 
-A family needs a probability above a cut calibrated on held-out mutilations and its
-template's words must be there; a line that the classifier takes for a licence but
-that fails either test is ``unknown``.
+A family needs a probability above a cut calibrated on notices that the classifier wasn't fitted on, and
+enough of a template: of its words in a line, of its word pairs in a paragraph of several lines. A line that the
+classifier takes for a licence but that fails either test is ``unknown``, unless its paragraph
+is of a family. Of equal probabilities the first label in the order families by name, none, unknown counts.
 """
 
 from __future__ import annotations
@@ -25,44 +27,56 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import small_side, staged
 
-#: How the families are named in notices.
+#: How the families are named, and what their notices say.
 TEMPLATES = {
     "Apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License Version 2.0, January 2004",
+        "Available under the terms of the Apache License 2.0",
+        "Apache-2.0 licensed",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "Released under the BSD License.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Distributed under the BSD license",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "The 2-Clause BSD License",
     ],
     "CC": [
-        "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under the Creative Commons Attribution-ShareAlike License.",
-        "Content is available under CC BY-SA 4.0 unless otherwise noted.",
         "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0.",
+        "This work is dedicated to the public domain",
+        "CC0 1.0 Universal",
+        *[f"Text available under CC {kind} 4.0" for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
     ],
     "GPL": [
-        "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "Licensed under the GNU Lesser General Public License.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "Licensed under the GNU Lesser General Public License.",
+        "Covered by the GNU General Public License, version 2",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Distributed under the GNU GPL v3", "Released under the GPL v2", "GPL v3 licensed",
     ],
     "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
         "SPDX-License-Identifier: MIT",
+        "The MIT License (MIT)",
+        "Available under the MIT license", "Distributed under the terms of the MIT license", "MIT licensed", "Dual MIT/Apache licensed",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org/MPL/2.0/.",
+        "Released under the terms of the Mozilla Public License, version 2.0", "MPL 2.0 licensed",
         "SPDX-License-Identifier: MPL-2.0",
     ],
 }
@@ -73,24 +87,38 @@ OTHER = [
     "This software is proprietary and confidential; unauthorised copying is prohibited under the license.",
     "Distributed under the Artistic License.", "Licensed under the Eclipse Public License.", "This file is licensed under the zlib license.",
     "Use, modification and distribution are subject to the Boost Software License.", "Made available under the Open Database License.",
+    "Licensed under the EUPL, version 1.2", "License: ISC", "License: EUPL-1.1", "European Union Public License", "EUPL 1.1 or later",
 ]
+#: Notices worded in other ways, which the classifier isn't fitted on: they tell what probability a family needs.
+HELD_OUT = {
+    "Apache": ["This project is licensed under Apache 2.0", "Code licensed under the Apache License v2.0", "You may use this file only in accordance with the Apache License, Version 2.0"],
+    "BSD": ["This library is available under the 3-clause BSD license", "BSD licensed, see LICENSE", "Redistribution in source or binary form is permitted provided that the copyright notice is retained"],
+    "CC": ["Photographs are CC BY-SA 3.0", "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution-NonCommercial license", "Dedicated to the public domain by its author (CC0)"],
+    "GPL": ["This file is part of a program licensed under the GPL version 2 or later", "Released under the terms of the GNU General Public License (GPL)", "GNU GPL v3 or later"],
+    "MIT": ["This project is open source under the MIT license", "Code is MIT licensed", "Permission is granted, free of charge, to use, copy and modify this software"],
+    "MPL": ["Licensed under the MPL 2.0", "This file is covered by the Mozilla Public License 2.0"],
+}
 NONE, UNKNOWN = "none", "unknown"
 STOP = frozenset("a an and any are as at be by can for from if in is it may no not of on one or other that the this to use was with you we".split())
-#: Lines of the corpus that the classifier is fitted on at most, about: the sample's bound.
-TRAIN_LINES = 4000
-#: Share of a family's template words, by one template, that a line must have.
+#: Texts of the corpus of which the classifier is fitted on one paragraph each at most, about: the sample's bound.
+TRAIN_TEXTS = 4000
+#: Share of a template's words that a line must have, and of its word pairs that a paragraph must.
 CONFIRM = 0.6
-#: Held-out template mutilations may fall below the probability cut at this rate.
-MISS_RATE = 0.02
+#: Blocks of lines end at blank lines.
+BLANK = r"\n[ \t\x0B\f\r]*\n"
+#: Held-out notices, in capitals and with words around them too, may fall below the probability cut at this rate.
+MISS_RATE = 0.1
+#: What a notice weighs in the fit, beside a paragraph of the corpus: notices are few.
+NOTICE_WEIGHT = 20.0
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner ``.+-``; ends of sentences don't count."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.+\-]+|[.\-]+(?=\s|$)", " "), " +"), "")
+    """Lower-case words of letters, digits and inner ``.+-``; ends of sentences don't count, and a licence is a license."""
+    return F.array_remove(F.split(F.regexp_replace(F.replace(F.lower(text), F.lit("licenc"), F.lit("licens")), r"[^\p{L}\p{N}.+\-]+|[.\-]+(?=\s|$)", " "), " +"), "")
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in re.split(" +", re.sub(r"[^\w.+\-]+|_|[.\-]+(?=\s|$)", " ", text.lower())) if w]
+    return [w for w in re.split(" +", re.sub(r"[^\w.+\-]+|_|[.\-]+(?=\s|$)", " ", text.lower().replace("licenc", "licens"))) if w]
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -121,18 +149,6 @@ def _mutilated(text: str) -> list[str]:
     return out
 
 
-def markers() -> list[str]:
-    """Words, few, such that each template contains one of them."""
-    left = [t.lower() for family in TEMPLATES.values() for t in family] + [t.lower() for t in OTHER]
-    words = {w for t in left for w in _words(t) if len(w) > 2} - STOP
-    found = []
-    while left:
-        best = max(words, key=lambda w: (sum(w in t for t in left), len(w), w))
-        found.append(best)
-        left = [t for t in left if best not in t]
-    return found
-
-
 def anchors() -> list[str]:
     """Words without which a line has no feature: those of the features, stop words left out."""
     return sorted({w for g in vocabulary() for w in g.split()} - STOP)
@@ -148,10 +164,16 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """``(id, line, words)``: a row for each line that has one of ``words`` among its own."""
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
-    cut = once(each, "words", tokens(F.col("text"))).drop("text")
+def candidates(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
+    """``(id, para, part, words)`` of each paragraph and line that has one of ``words`` among its own.
+
+    ``part`` is 0 for a whole paragraph, and the line's number from 1 in one of several lines.
+    """
+    blocks = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), BLANK)).alias("para", "text"))
+    whole = F.array("text")
+    parts = F.when(F.col("text").contains("\n"), F.concat(whole, F.split("text", "\n"))).otherwise(whole)
+    each = blocks.select("id", "para", F.posexplode(parts).alias("part", "text"))
+    cut = once(each, "words", tokens(F.col("text"))).select("id", "para", "part", F.col("text").contains("\n").alias("wrapped"), "words")
     return cut.where(F.arrays_overlap("words", F.array(*map(F.lit, words))))
 
 
@@ -163,11 +185,11 @@ class Scanner:
         self.labels = [*self.families, NONE, UNKNOWN]
         self.vocabulary = vocabulary()
         self.anchors = anchors()
-        rows = [(t, self.labels.index(f), k) for f in self.families for x in TEMPLATES[f] for k, t in enumerate(_mutilated(x))]
-        rows += [(t, self.labels.index(UNKNOWN), k) for x in OTHER for k, t in enumerate(_mutilated(x))]
-        known = spark.createDataFrame(rows, "text string, label int, k int")
+        rows = [(t, self.labels.index(f)) for f in self.families for x in TEMPLATES[f] for t in _mutilated(x)]
+        rows += [(t, self.labels.index(UNKNOWN)) for x in OTHER for t in _mutilated(x)]
+        known = spark.createDataFrame(rows, "text string, label int")
         none = self.labels.index(NONE)
-        plain = [(x, none, 0) for x in ("", "the", "a word of the day", "general terms and conditions may apply", "version 3 of the story", "the public was free to copy it", "software and source code", "no permission")]
+        plain = [(x, none) for x in ("", "the", "a word of the day", "general terms and conditions may apply", "version 3 of the story", "the public was free to copy it", "software and source code", "no permission")]
         negatives = spark.createDataFrame(plain, known.schema)
         if sample is not None:
             # licence lines in the sample are told apart by their word, not taken for prose
@@ -175,17 +197,15 @@ class Scanner:
             own, known_words = F.array_except(tokens(F.col("text")), F.array(*map(F.lit, sorted(STOP)))), F.array(*map(F.lit, self.anchors))
             shared = F.size(F.array_intersect(own, known_words))
             sample = sample.where((shared < 3) | (2 * shared <= F.size(own)))
-            clean = sample.where(~F.lower("text").rlike("licen|copyright|redistribut|warrant|creative commons|gnu|spdx")).select("text", F.lit(none).alias("label"), F.lit(0).alias("k"))
+            clean = sample.where(~F.lower("text").rlike("licen|copyright|redistribut|warrant|creative commons|gnu|spdx")).select("text", F.lit(none).alias("label"))
             negatives = negatives.unionByName(clean)
         # a few thousand rows by the sample's bound: one partition, read in every iteration
-        data = self._vectors(known.unionByName(negatives).withColumn("words", tokens(F.col("text")))).select("features", "label", "k").coalesce(1).persist()
-        fit = LogisticRegression(maxIter=40, regParam=0.001, family="multinomial", featuresCol="features", labelCol="label")
-        model = fit.fit(data.where("k % 4 <> 3"))
-        held = model.transform(data.where(f"k % 4 = 3 AND label < {len(self.families)}"))
-        own = vector_to_array("probability")
-        cut = held.agg(F.percentile(F.element_at(own, F.col("label") + 1), F.lit(MISS_RATE))).first()[0]
-        self.cut = max(0.35, min(0.9, cut if cut is not None else 0.5))
-        self.model = fit.fit(data)
+        data = self._vectors(known.unionByName(negatives).withColumn("words", tokens(F.col("text")))).select("features", "label", F.when(F.col("label") == none, 1.0).otherwise(NOTICE_WEIGHT).alias("weight")).coalesce(1).persist()
+        self.model = LogisticRegression(maxIter=60, regParam=0.001, family="multinomial", featuresCol="features", labelCol="label", weightCol="weight").fit(data)
+        unseen = [(t, self.labels.index(f)) for f in self.families for x in HELD_OUT[f] for t in _mutilated(x)[:4]]
+        held = self.model.transform(self._vectors(spark.createDataFrame(unseen, "text string, label int").withColumn("words", tokens(F.col("text")))))
+        own = F.element_at(vector_to_array("probability"), F.col("label") + 1)
+        self.cut = held.agg(F.percentile(own, F.lit(MISS_RATE))).first()[0]
         data.unpersist()
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
@@ -194,42 +214,50 @@ class Scanner:
         return counter.transform(once(rows, "grams", grams(F.col("words"))))
 
     def scan(self, rows: DataFrame) -> DataFrame:
-        """``(id, line, family, probability, overlap)`` for those of :func:`lines` that are licences."""
+        """``(id, para, part, family, probability, overlap)`` for those of :func:`candidates` that are licences."""
         scored = self.model.transform(self._vectors(rows)).withColumn("p", vector_to_array("probability"))
         label = F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)
-        found = scored.select("id", "line", "words", label.alias("best"), F.array_max("p").alias("probability")).where(F.col("best") != NONE)
-        sets = {f: F.array(*[F.array(*map(F.lit, sorted(set(_words(t)) - STOP))) for t in TEMPLATES[f]]) for f in self.families}
-        share = lambda t: F.size(F.array_intersect(F.col("words"), t)) / F.size(t)
+        found = scored.select("id", "para", "part", "wrapped", "grams", label.alias("best"), F.array_max("p").alias("probability")).where(F.col("best") != NONE)
+        literal = lambda xs: F.array(*map(F.lit, sorted(xs)))
+        share = lambda t: F.size(F.array_intersect(F.col("grams"), t)) / F.size(t)
+        pairs = lambda t: {" ".join(x) for x in zip(_words(t), _words(t)[1:])}
         overlap = F.lit(0.0)
         for f in self.families:
-            overlap = F.when(F.col("best") == f, F.array_max(F.transform(sets[f], share))).otherwise(overlap)
+            by_words = F.array(*[literal(set(_words(t)) - STOP) for t in TEMPLATES[f]])
+            by_pairs = F.array(*[literal(pairs(t)) for t in TEMPLATES[f]])
+            own = F.when(F.col("wrapped"), F.array_max(F.transform(by_pairs, share))).otherwise(F.array_max(F.transform(by_words, share)))
+            overlap = F.when(F.col("best") == f, own).otherwise(overlap)
         found = found.withColumn("overlap", overlap)
         sure = (F.col("probability") >= self.cut) & (F.col("overlap") >= CONFIRM)
-        return found.select("id", "line", F.when(sure, F.col("best")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "overlap")
+        named = found.select("id", "para", "part", "wrapped", F.when(sure, F.col("best")).otherwise(F.lit(UNKNOWN)).alias("family"), "probability", "overlap")
+        # of a paragraph of several lines only what is sure counts: its lines tell the rest
+        return named.where(~F.col("wrapped") | (F.col("family") != UNKNOWN)).drop("wrapped")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_LINES) -> Scanner:
-    """A scanner fitted on the templates and about ``most`` lines: one, by hash, of so many texts."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_TEXTS) -> Scanner:
+    """A scanner fitted on the templates and on a paragraph, by hash, of each of about ``most`` texts."""
     count = docs.count()
     share = F.lit(min(1.0, most / max(count, 1)))
     kept = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(F.col(id_col), F.lit("licence")), F.lit(1 << 30)) < share * (1 << 30)))
-    parts = F.split(F.col(text_col), "\n")
+    parts = F.split(F.col(text_col), r"\n")
     one = F.element_at(parts, (F.pmod(F.xxhash64(F.col(id_col), F.lit("line")), F.size(parts)) + 1).cast("int"))
-    sample = staged(kept.select(F.substring(one, 1, 2000).alias("text")), "licence_lines")
-    return Scanner(docs.sparkSession, sample)
+    return Scanner(docs.sparkSession, staged(kept.select(one.alias("text")), "licence_lines"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scanner: Scanner | None = None) -> DataFrame:
-    """``(id, licences, n_lines, best_probability)`` for every row of ``docs``.
+    """``(id, licences, n_paragraphs, best_probability)`` for every row of ``docs``.
 
-    ``licences`` are the families of its licence lines, sorted, ``unknown`` among them;
+    ``licences`` are the families of its licence paragraphs and lines, sorted, ``unknown`` among them;
     empty for texts without, also null and empty ones. Rows that repeat an id with
     one text come back repeated, each with the licences of all of that id. Null ids match null ids. Other
     columns don't matter. Empty in, empty out.
     """
     scanner = scanner or train(docs, id_col, text_col)
-    hits = staged(scanner.scan(lines(docs, id_col, text_col, scanner.anchors)), "licence_hits")
-    by_id = hits.groupBy("id").agg(F.array_sort(F.collect_set("family")).alias("found"), F.countDistinct("line").alias("n"), F.max("probability").alias("p"))
+    hits = staged(scanner.scan(candidates(docs, id_col, text_col, scanner.anchors)), "licence_hits")
+    by_para = hits.groupBy("id", "para").agg(F.collect_set("family").alias("f"), F.max("probability").alias("p"))
+    sure = F.array_remove("f", UNKNOWN)
+    by_para = by_para.select("id", "p", F.when(F.size(sure) > 0, sure).otherwise(F.col("f")).alias("f"))
+    by_id = by_para.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("f")))).alias("found"), F.count("*").alias("n"), F.max("p").alias("p"))
     by_id = staged(by_id.withColumnRenamed("id", "_id"), "licence_ids")
     joined = docs.select(F.col(id_col).alias("id")).join(small_side(by_id), F.col("id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("id", F.coalesce("found", F.array().cast("array<string>")).alias("licences"), F.coalesce("n", F.lit(0)).cast("int").alias("n_lines"), F.col("p").alias("best_probability"))
+    return joined.select("id", F.coalesce("found", F.array().cast("array<string>")).alias("licences"), F.coalesce("n", F.lit(0)).cast("int").alias("n_paragraphs"), F.col("p").alias("best_probability"))

@@ -112,9 +112,9 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence families of every document, by line."""
+    """Licence families of every document, by paragraph and line."""
     found = licences.scan(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.array_join("licences", ",").alias("licences"), "n_lines")
+    return found.select(F.col("id").alias("doc_id"), F.array_join("licences", ",").alias("licences"), "n_paragraphs")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
