@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from tilewright.operators import traces
 from tilewright.plans import links as lk
-from tilewright.sources import logs, sinks
+from tilewright.sources import logs, paths, sinks
 from tilewright.streaming.traces import windowed_link_stats
 
 TRACE = "src int, dest int, route string, bytes long, fire_t double, sced_t double, complete_t double"
@@ -90,3 +90,17 @@ def test_rebalanced_is_the_loop(spark):
         via = {(d, s): best[d, s][1] if v is None and best[d, s][0] < 0.8 * now[d, s] else v for (d, s), v in via.items()}
     got = {(r.dest, r.src): r.via for r in lk.rebalanced(t, e).collect()}
     assert got == via and via[0, 1] == 2
+
+
+def test_what_passes_is_deleted(spark):
+    with paths.passing(spark) as made:
+        first = paths.staged(spark.range(3), "first")
+        second = paths.staged(first, "second")
+        kept = [made.pop()]
+        (gone,) = made
+    assert second.count() == 3 and kept[0].split("/")[-1].startswith("second")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone)
+    paths.discard(spark, kept)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(kept[0])

@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,35 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _own_dir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """What :func:`scratch` names meanwhile is deleted at the end, but for what is taken out of the list that this gives.
+
+    Results that read such a path must be written before.
+    """
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.remove(made)
+        discard(spark, made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders by Spark's own file systems; one that isn't there is none too many."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
