@@ -18,6 +18,11 @@ def docs(sf_dir):
     return {d: (t, lang) for d, t, lang in duckdb.sql(f"SELECT doc_id, text, lang FROM '{sf_dir}/documents.parquet'").fetchall()}
 
 
+def luhn(digits):
+    each = [int(x) * (2 if k % 2 else 1) for k, x in enumerate(reversed(digits))]
+    return sum(x - 9 if x > 9 else x for x in each) % 10 == 0
+
+
 def run(spark, sf_dir, name):
     return {r.doc_id: r for r in QUERIES[name](spark, sf_dir).collect()}
 
@@ -54,7 +59,8 @@ def test_op3(spark, sf_dir, docs):
     got = run(spark, sf_dir, "op3_pii_surrogates")
     personal = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{40}\b", re.I)
     for d, (text, _) in docs.items():
-        found = personal.findall(text)
+        # numbers of 16 digits are cards if their check digit is right
+        found = [x for x in personal.findall(text) if not re.fullmatch(r"\d{16}", x) or luhn(x)]
         assert not any(x in got[d].text for x in found), d
         assert len(found) == got[d].n_entities and (found or got[d].text == text)
 

@@ -216,7 +216,7 @@ def _counted(order: int):
                 words.setdefault(lang, Counter()).update(_letters(text.as_py().decode(errors="replace")))
         for lang, own in words.items():
             grams = count_grams(own, order)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
     return run
 
