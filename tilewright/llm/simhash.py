@@ -215,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("id", "fp", "component_id")
 
 
-#: Words of a long fingerprint, and the bits of it in which candidates may differ (the
-#: expected share at a Jaccard similarity of 0.8 is 0.15, or 77 bits, with a deviation of 8).
-LONG_WORDS, LONG_RADIUS = 8, 120
+#: Words of a long fingerprint; those that candidates are compared by, and the bits of these in which they may differ
+#: (the expected share at a Jaccard similarity of 0.8 is 0.15, or 38 of 256 bits, with a deviation of 6).
+LONG_WORDS, NEAR_WORDS, LONG_RADIUS = 8, 4, 70
 #: Bits of a band, bands, and bits of a band that may differ.
 BAND_BITS, BANDS, BAND_RADIUS = 24, 32, 2
 #: Texts with so many distinct shingles at most are also found by the shingles themselves.
@@ -293,7 +293,7 @@ def _band_words(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _long_fingerprints(shingle: int):
-    names = ["id", "node", "n", "shingles", *(f"w{k}" for k in range(LONG_WORDS)), "bands", "leading"]
+    names = ["id", "node", "n", "shingles", *(f"w{k}" for k in range(NEAR_WORDS)), "bands", "leading"]
     places = band_places()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,7 @@ def _long_fingerprints(shingle: int):
             data = [x.tobytes() for x in sets]
             node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in data], np.uint64).view(np.int64)
             leading = [leading_hashes(x).view(np.int64).tolist() if 0 < len(x) <= FEW else None for x in sets]
-            columns = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(data, pa.binary()), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(LONG_WORDS))]
+            columns = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(data, pa.binary()), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(NEAR_WORDS))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, pa.array(leads.tolist(), pa.list_(pa.int32())), pa.array(leading, pa.list_(pa.int64()))], names)
 
     return run
@@ -386,13 +386,13 @@ class _Meeting:
 
 
 def _similar(lead: int, radius: int, spelled: int):
-    places, masks, half = band_places(), {}, BAND_RADIUS // 2
+    masks, half = {}, BAND_RADIUS // 2
 
     def run(group: pa.Table) -> pa.Table:
-        band, key = group.column("band")[0].as_py(), group.column("key")[0].as_py()
+        key = group.column("key")[0].as_py()
         ids, first = np.unique(group.column("node").to_numpy(), return_index=True)
-        fps = np.stack([group.column(f"w{k}").to_numpy()[first].view(np.uint64) for k in range(LONG_WORDS)], axis=1)
-        words = _band_words(_bits(fps), places[band])
+        fps = np.stack([group.column(f"w{k}").to_numpy()[first].view(np.uint64) for k in range(NEAR_WORDS)], axis=1)
+        words = group.column("word").to_numpy()[first].astype(np.uint64) << np.uint64(64 - BAND_BITS)
         meeting = _Meeting(len(ids), lambda a, b: np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1) <= radius)
         for owners, runs in _spelled(words, key, lead, half, BAND_BITS, masks, spelled):
             meeting.add(owners, runs)
@@ -470,7 +470,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Similarity is that of the sets of shingles, and every link is verified on them.
     Candidates come from fingerprints of 512 bits: bands of 24 are matched by meeting
     balls (radius 2, every band a key of its own), and texts that meet in a band
-    are candidates if all 512 bits differ in ``radius`` or fewer. Texts of few shingles are
+    are candidates if of 256 of the bits ``radius`` or fewer differ. Texts of few shingles are
     found by their leading shingles, without fail. The candidates' components are then
     taken apart by the sets: two of their texts are alike, joined by others, or were compared.
 
@@ -478,7 +478,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     What is joined already isn't compared again, so a group of copies costs about its
     size. Nulls, repeats and empty tables are as for :func:`near_duplicates`.
     """
-    names = [f"w{k}" for k in range(LONG_WORDS)]
+    names = [f"w{k}" for k in range(NEAR_WORDS)]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, node long, n int, shingles binary, " + ", ".join(f"{w} long" for w in names) + ", bands array<int>, leading array<long>"
     rows = bound_batches(docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text"))).mapInArrow(_long_fingerprints(shingle), schema)
@@ -490,10 +490,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lead += 2
     flips = F.array(*map(F.lit, [0, *(1 << k for k in range(lead))]))
     sent = nodes.where("n > 0").select("node", *names, F.posexplode("bands").alias("band", "word"))
-    sent = sent.select("node", *names, "band", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.shiftrightunsigned("word", BAND_BITS - lead) if lead else F.lit(0)))).alias("key"))
+    sent = sent.select("node", *names, "band", "word", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.shiftrightunsigned("word", BAND_BITS - lead) if lead else F.lit(0)))).alias("key"))
     loose = components(sent.groupBy("band", "key").applyInArrow(_similar(lead, radius, SPELLED), "a long, b long").distinct())
     loose = loose.withColumnRenamed("node", "member")
-    members = rows.select("node", "shingles").join(small_side(loose), F.col("node") == F.col("member")).select("node", "root", "shingles").dropDuplicates(["node"])
+    # shuffled at every size: at scale too many texts have candidates to send them around
+    members = rows.select("node", "shingles").join(loose.hint("merge"), F.col("node") == F.col("member")).select("node", "root", "shingles").dropDuplicates(["node"])
     parts = F.pmod(F.xxhash64("root"), F.lit(1 + (shingles >> 22)))
     edges = members.groupBy(parts.alias("part")).applyInArrow(_verified, "a long, b long")
     few = rows.where("leading IS NOT NULL").select("node", "n", "shingles", F.explode("leading").alias("key")).dropDuplicates(["node", "key"])
