@@ -30,7 +30,7 @@ def run(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = con.execute(ORACLE[name])
     columns = [d[0] for d in found.description]

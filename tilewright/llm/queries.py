@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import avi, langid, licences, mixing, pieces, pii, quality, sharding, simhash, warc
+from tilewright.llm import avi, filter_audit, fim, fingerprints, langid, licences, mixing, pieces, pii, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,6 +181,75 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTIT
 FROM cut
 """
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-permutation fingerprints of every document and of its half-edited text, and how alike they and the next document's are."""
+    found = fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+    shown = {c: fingerprints.shown(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")}
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", shown["fingerprint"], shown["edited_fingerprint"], "near_edited", "near_next")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from ``documents``, language by language, in each of their 120 orders."""
+    verdicts = filter_audit.text_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(verdicts, list("ABCDE")).drop("filter")
+
+
+OP12_SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM words GROUP BY text),
+said AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS f
+  FROM words w JOIN firsts USING (text) LEFT JOIN said USING (doc_id)),
+mask AS (SELECT *, list_sum(list_transform(range(5), lambda k: CASE WHEN f[k + 1] THEN (1 << k)::BIGINT ELSE 0 END))::BIGINT AS fails FROM flags),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM mask GROUP BY ALL),
+letters AS (SELECT k::INT AS k, chr((65 + k)::INT) AS name FROM range(5) r(k)),
+paths AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.k <> b.k AND len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (
+  SELECT filter_order, s::INT AS step, ks[s] AS k, list_sum([0::BIGINT] || list_transform(ks[1:s - 1], lambda x: (1 << x)::BIGINT))::BIGINT AS before
+  FROM paths, range(1, 6) r(s)),
+counted AS (
+  SELECT part, filter_order, step, k,
+         coalesce(sum(n) FILTER (fails & (before | (1 << k)) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails & before = 0 AND fails & (1 << k) <> 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails & before <> 0 AND fails & (1 << k) <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = (1 << k)), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fails & before = 0 AND fails & (1 << k) <> 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & (1 << k) <> 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley
+FROM counted
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a middle moved to its end, and whether the text comes back from that."""
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM units),
+ranked AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:low], '') AS p, array_to_string(u[low + 1:high], '') AS m, array_to_string(u[high + 1:], '') AS s FROM ranked)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -192,6 +261,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -200,4 +272,6 @@ ORACLE: dict[str, str] = {
     "op6_warc": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
     "op10_sharding": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
