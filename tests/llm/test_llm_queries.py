@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from test_simhash import plain_components, plain_fingerprint
-from tilewright.llm import avi
+from tilewright.llm import avi, pii
 from tilewright.llm.queries import ORACLE, QUERIES
 
 
@@ -65,6 +65,24 @@ def test_op3(spark, sf_dir, docs):
         assert len(found) == got[d].n_entities and (found or got[d].text == text)
 
 
+def test_op3_whole(spark, sf_dir, docs):
+    """All entities of all documents: in place, of one format, one surrogate an entity and one entity a surrogate."""
+    got = pii.distinct_surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id", "text"]).collect()
+    by_entity, by_surrogate, n = {}, {}, 0
+    for r in got:
+        text, at, pieces = docs[r.doc_id][0], 0, []
+        for e in r.entities:
+            old = text[e.begin : e.end]
+            pieces += [text[at : e.begin], e.surrogate]
+            at, n = e.end, n + 1
+            assert old != e.surrogate and [c.isdigit() for c in old] == [c.isdigit() for c in e.surrogate] or e.kind in ("email", "name", "ip", "secret"), (old, e)
+            sign = re.sub(r"[ ().-]", "", e.surrogate) if e.kind in ("phone", "card") else e.surrogate if e.kind == "secret" else e.surrogate.lower()
+            same = re.sub(r"[ ().-]", "", old) if e.kind in ("phone", "card") else old if e.kind == "secret" else old.lower()
+            assert by_entity.setdefault((e.kind, same), sign) == sign and by_surrogate.setdefault((e.kind, sign), same) == same
+        assert r.text == "".join([*pieces, text[at:]])
+    assert n > 10 and len(got) == len(docs)
+
+
 def test_op4(spark, sf_dir, docs):
     got = run(spark, sf_dir, "op4_licence_scan")
     names = {"Apache": "Apache License", "CC": r"CC BY", "GPL": "GNU General Public", "MIT": "MIT License"}

@@ -4,11 +4,14 @@ A surrogate comes from a keyed permutation of all strings of the original's form
 same length, vowels for vowels, consonants for consonants, digits for digits, in the
 same script. Permutations can't map two originals to one surrogate, so distinct entities
 stay distinct and equal ones equal, across documents and runs, without a table of them;
-:func:`distinct_surrogates` checks it on all data. First names are permuted within the list of
+:func:`distinct_surrogates` checks it on all data and moves those that meet all the same. First names are permuted within the list of
 their script and gender. No surrogate equals its original.
 
 Case, spacing and punctuation are put back as they were, so one number in two layouts,
-or a name in capitals, keeps its coreference.
+or a name in capitals, keeps its coreference. Secrets hold their case, so theirs counts.
+
+Every pattern takes time in proportion to the text: runs are taken whole, and what a run may
+hold is bounded (an address by the standard's 64 and 255 characters, a word of a name by ``NAME_CHARS``).
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import as_bytes, bound_batches, slices, sole_cache, staged
+from tilewright.llm.common import as_bytes, bound_batches, fresh, slices, small_side, sole_cache, staged
 
 KEY = b"tilewright demonstration key"
 ROUNDS = 8
@@ -33,7 +37,14 @@ ALPHABETS = (
     "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ",
     "āăąēĕėęěĩīĭįōŏőũūŭůűų", "ćĉċďđĝğġģĥħĵķĺļľłńņňŕŗśŝşţťŧŵźż",
 )
-HEX = ("0123456789abcdef",)
+#: Letters and digits of secrets, by what a block of one is made of: digits, lower or upper hexadecimal, anything else.
+DIGITS, LOWER, CAPITALS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SECRET_ALPHABETS = {"digits": (DIGITS,), "hex": (DIGITS + LOWER[:6],), "HEX": (DIGITS + CAPITALS[:6],), "other": (DIGITS, LOWER, CAPITALS)}
+#: Characters of a secret that are permuted together.
+BLOCK = 48
+
+#: Country codes of two digits; those of one are 1 and 7, all others have three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 #: First names by script and gender.
 FIRST_NAMES = {
@@ -53,27 +64,35 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Mme Mlle Monsieur Madame Herr Frau Señor Seño
 #: Capitals of the scripts above; those of Latin Extended-A by rule.
 UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ" + "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper())
 WORD = r"[^\W\d_]"
-SURNAME = rf"[{UPPER}](?:{WORD}|['’-](?={WORD}))+"
-EMAIL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
+SURNAME = rf"[{UPPER}](?:{WORD}|['’-](?={WORD}))++"
+#: Characters of the two sides of an address, and what a side must be; by the standard 64 and 255 characters at most.
+LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+LOCAL, DOMAIN = 64, 255
+LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?"
+HOST = re.compile(rf"{LABEL}(?:\.{LABEL})+(?![A-Za-z0-9\-])")
+#: Key formats that need no word before them.
+BARE_KEY = re.compile(r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)([0-9A-Z]{16})|gh[pousr]_([A-Za-z0-9]{36}))(?![A-Za-z0-9])")
+IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
 SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([a-z0-9_+/\-]{8,})")
 LONG_HEX = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-NUMERIC = re.compile(r"[+(\d][\d().\- ]{5,}\d")
+NUMERIC = re.compile(r"[+(\d][\d().\- ]*+")
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NUMBER = re.compile(
     rf"(?<![\w.])(?P<ip>{OCTET}(?:\.{OCTET}){{3}})(?![\w]|\.\d)"
-    r"|(?<!\w)(?P<phone>\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}([ .\-])\d{3}\3\d{4})(?!\w)"
+    r"|(?<!\w)(?P<phone>\+\d{1,3}[ .\-]?\(?\d{1,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\d{3}([ .\-])\d{3}\3\d{4}|0\d{2,4}[ \-]\d{3,4}[ \-]\d{3,4})(?!\w)"
     r"|(?<!\w)(?P<ssn>\d{3}-\d{2}-\d{4})(?!\w)"
     r"|(?<![\w.])(?P<card>\d(?:[ \-]?\d){12,18})(?![\w]|\.\d)"
 )
 TITLE = rf"(?:{'|'.join(map(re.escape, TITLES))})"
-NAME_WORD = rf"(?!{TITLE}(?!\w)){SURNAME}"
-INITIALS = rf"(?:(?:(?:[{UPPER}]\.)+|[{UPPER}]) )*"
-#: A whole run of capitalised words and initials.
-NAME = re.compile(rf"(?<!\w)(?:(?P<title>{TITLE})\.? )?(?P<names>{INITIALS}{NAME_WORD}(?: {INITIALS}{NAME_WORD})*)(?!\w)")
+#: A whole run of capitalised words, initials and titles; nothing behind it can make it fail.
+RUN = re.compile(rf"(?<!\w)(?:{TITLE}\.?(?!\w)|{SURNAME}|(?:[{UPPER}]\.)++|[{UPPER}](?!\w))(?: (?:{TITLE}\.?(?!\w)|{SURNAME}|(?:[{UPPER}]\.)++|[{UPPER}](?!\w)))*+")
+TITLED = re.compile(rf"{TITLE}\.?")
+#: Characters of a word of a name at most; a longer one is none.
+NAME_CHARS = 64
 INITIAL = re.compile(rf"(?:[{UPPER}]\.)+|[{UPPER}]")
-#: Words of a name after its listed first names at most, initials left out.
-LAST_NAMES = 2
+#: Words of a name after its listed first names at most, initials left out; words of a name in all.
+LAST_NAMES, NAME_WORDS = 2, 8
 
 
 def luhn(digits: str) -> bool:
@@ -153,24 +172,28 @@ def spread(layout: str, signs: str, keep: Callable[[str], bool]) -> str:
     return "".join(next(rest) if keep(c) else c for c in layout)
 
 
-def names_in(run: str, titled: bool) -> list[tuple[int, int]]:
-    """Begins and ends of the names in a run of capitalised words.
+def listed_name(word: str) -> bool:
+    """Whether a word is a listed first name, or a double one that begins with one."""
+    return word in PLACE or word.partition("-")[0] in PLACE
+
 
-    One begins where a title stands before, and at each listed first name with a word behind it.
+def names_in(parts: list[str], titled: bool) -> list[tuple[int, int]]:
+    """First and last place of the names among capitalised words, without a title between them.
+
+    One begins where a title stands before, and at each listed first name with a word behind it. Each ends in a word.
     """
-    parts = run.split(" ")
-    begins = [0]
-    for part in parts:
-        begins.append(begins[-1] + len(part) + 1)
     initial = [bool(INITIAL.fullmatch(p)) for p in parts]
-    listed = [p.lower() in PLACE for p in parts]
+    while initial and initial[-1]:
+        initial.pop()
+    parts = parts[: len(initial)]
+    listed = [listed_name(p.lower()) for p in parts]
     out, k = [], 0
     while k < len(parts):
         if not (titled and k == 0 or listed[k] and k + 1 < len(parts)):
             k += 1
             continue
         end, rest = k + 1, LAST_NAMES
-        while end < len(parts):
+        while end < min(len(parts), k + NAME_WORDS):
             if initial[end]:
                 pass
             elif listed[end] and (listed[end - 1] or initial[end - 1] and rest == LAST_NAMES):
@@ -182,11 +205,65 @@ def names_in(run: str, titled: bool) -> list[tuple[int, int]]:
             end += 1
         while initial[end - 1] and end - 1 > k:
             end -= 1
-        out.append((begins[k], begins[end] - 1))
+        out.append((k, end - 1))
         k = end
     return out
 
 
+def names(text: str) -> Iterator[tuple[int, int]]:
+    """Begins and ends of the names of a text; each run of capitalised words is cut at titles and at words that are too long."""
+    for m in RUN.finditer(text):
+        parts, at, whole = m[0].split(" "), m.start(), m.end()
+        begins: list[int] = []
+        if text[whole : whole + 1].isalnum() or text[whole : whole + 1] == "_":
+            parts.pop()  # the last word goes on with a digit
+        for part in parts:
+            begins.append(at)
+            at += len(part) + 1
+        low, titled = 0, False
+        for k in range(len(parts) + 1):
+            title = k < len(parts) and bool(TITLED.fullmatch(parts[k]))
+            if k < len(parts) and not title and len(parts[k]) <= NAME_CHARS:
+                continue
+            for a, b in names_in(parts[low:k], titled):
+                yield begins[low + a], begins[low + b] + len(parts[low + b])
+            low, titled = k + 1, title
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Begins and ends of the addresses, from each ``@`` outwards."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        begin, lowest = at, max(end, at - LOCAL - 1)
+        while begin > lowest and text[begin - 1] in LOCAL_CHARS:
+            begin -= 1
+        size = at - begin
+        while begin < at and text[begin] == ".":
+            begin += 1
+        host = HOST.match(text, at + 1, at + 2 + DOMAIN) if begin < at and size <= LOCAL and text[at - 1] != "." else None
+        if host and host.end() - at - 1 <= DOMAIN:
+            yield begin, host.end()
+            end = host.end()
+        at = text.find("@", max(at + 1, end))
+
+
+def ipv6(text: str) -> IPv6Address | None:
+    """An address of eight groups, or of three and more with a gap."""
+    if ("::" in text and sum(map(bool, text.split(":"))) >= 3) or text.count(":") == 7:
+        try:
+            return IPv6Address(text)
+        except AddressValueError:
+            pass
+    return None
+
+
+def made_of(block: str) -> str:
+    """The key of ``SECRET_ALPHABETS`` of a block."""
+    if block.isascii() and block.isdigit():
+        return "digits"
+    return next((k for k in ("hex", "HEX") if set(block) <= set(SECRET_ALPHABETS[k][0])), "other")
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.permute = Permuter(key)
@@ -200,6 +277,9 @@ class Surrogates:
         return low, like(text, new) + (".EXAMPLE" if text.isupper() else ".example")
 
     def ip(self, text: str) -> tuple[str, str]:
+        if ":" in text:
+            x = int(IPv6Address(text))
+            return str(IPv6Address(x)), str(IPv6Address(self.permute.number(x, 1 << 128, b"ipv6")))
         x = 0
         for part in text.split("."):
             x = x << 8 | int(part)
@@ -207,10 +287,14 @@ class Surrogates:
         return text, ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
     def phone(self, text: str) -> tuple[str, str]:
-        """The country code after a + stays."""
-        code = m[0] if (m := re.match(r"\+(?:1|7|\d{2,3}?(?=[ .\-(])|\d{2})", text)) else ""
-        digits = re.sub(r"\D", "", text[len(code) :])
-        return f"{code} {digits}", code + spread(text[len(code) :], self.permute.string(digits, "phone"), str.isdigit)
+        """The country code after a + stays, however it is set off; the number is permuted with those of that code and length."""
+        digits = re.sub(r"\D", "", text)
+        size = 0
+        if text.startswith("+"):
+            size = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+        code, rest = digits[:size], digits[size:]
+        new = code + self.permute.string(rest, f"phone{code}")
+        return f"{'+' if size else ''}{digits}", spread(text, new, str.isdigit)
 
     def ssn(self, text: str) -> tuple[str, str]:
         return text, self.permute.string(text, "ssn")
@@ -228,34 +312,46 @@ class Surrogates:
         return plain, spread(text, country + new, str.isalnum)
 
     def secret(self, text: str) -> tuple[str, str]:
-        alphabets = HEX if re.fullmatch(r"[0-9a-fA-F]+", text) else ("0123456789", "abcdefghijklmnopqrstuvwxyz")
-        return text, like(text, self.permute.string(text.lower(), "secret", alphabets))
+        """Block by block, each with what stood before it for a tweak and within the blocks that are made of the same."""
+        out, before = [], blake2b(key=self.permute.key)
+        for at in range(0, len(text), BLOCK):
+            block = text[at : at + BLOCK]
+            out.append(self.permute.string(block, f"secret{before.hexdigest()}" if at else "secret", SECRET_ALPHABETS[made_of(block)], made_of))
+            before.update(block.encode())
+        return text, "".join(out)
 
     def name(self, text: str) -> tuple[str, str]:
         """Known first names within their list, by script and gender; others letter by letter, never to a listed one."""
         out = []
         for part in text.split(" "):
             low = part.lower()
-            if low in PLACE:
-                kind, k = PLACE[low]
-                out.append(like_name(part, LISTS[kind][self.permute.number(k, len(LISTS[kind]), repr(kind).encode())]))
+            if low in PLACE or low.partition("-")[0] in PLACE:
+                out.append("-".join(self.word(x) for x in part.split("-")))
             else:
-                out.append(like(part, self.permute.string(low, "name", ALPHABETS, _listed)))
+                out.append(self.word(part))
         return text.lower(), " ".join(out)
 
+    def word(self, part: str) -> str:
+        low = part.lower()
+        if low in PLACE:
+            kind, k = PLACE[low]
+            return like_name(part, LISTS[kind][self.permute.number(k, len(LISTS[kind]), repr(kind).encode())])
+        return like(part, self.permute.string(low, "name", ALPHABETS, listed_name))
+
     def entities(self, text: str) -> list[tuple[str, int, int, str, str]]:
         """(kind, begin, end, entity, surrogate) without overlaps, in order of the text."""
-        found = []
-        if "@" in text:
-            found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        found = [("email", *span) for span in emails(text)]
         found += [("secret", *m.span(1)) for m in SECRET.finditer(text)] + [("secret", *m.span()) for m in LONG_HEX.finditer(text)]
+        found += [("secret", *m.span(m.lastindex)) for m in BARE_KEY.finditer(text)]
         found += [("iban", *m.span()) for m in IBAN.finditer(text)]
+        found += [("ip", *m.span()) for m in IPV6.finditer(text) if ipv6(m[0])]
         for region in NUMERIC.finditer(text):
+            if region.end() - region.start() < 7:
+                continue
             # two signs more: what the patterns look ahead at
             each = NUMBER.finditer(text, region.start(), region.end() + 2)
             found += [(m.lastgroup or "phone", *m.span()) for m in each if m.lastgroup != "card" or luhn(re.sub(r"\D", "", m[0]))]
-        for m in NAME.finditer(text):
-            found += [("name", m.start("names") + a, m.start("names") + b) for a, b in names_in(m["names"], bool(m["title"]))]
+        found += [("name", *span) for span in names(text)]
         order = {"email": 0, "secret": 1, "iban": 2}
         found.sort(key=lambda x: (x[1], order.get(x[0], 3), -x[2]))
         out, end = [], 0
@@ -274,10 +370,6 @@ class Surrogates:
         return "".join([*out, text[at:]]) if found else text, found
 
 
-def _listed(name: str) -> bool:
-    return name in PLACE
-
-
 @lru_cache(64)
 def _valid_iban(country: str) -> Callable[[str], bool]:
     return lambda rest: iban(country + rest)
@@ -336,27 +428,78 @@ def _maker(key: bytes) -> Surrogates:
     return _made(key)
 
 
-def collisions(found: DataFrame) -> DataFrame:
-    """``(kind, surrogate_hash, entities)`` of surrogates that stand for several entities, over all rows.
+def sign(kind: Column, surrogate: Column) -> Column:
+    """What of a surrogate counts, as of an entity: no layout, and no case but a secret's."""
+    bare = F.regexp_replace(surrogate, r"[ ().\-]", "")
+    return F.when(kind.isin("phone", "card", "iban"), bare).when(kind == "secret", surrogate).otherwise(F.lower(surrogate))
 
-    Surrogates are compared as their signs alone, as entities are: without layout and case. None is expected.
-    """
+
+def collisions(found: DataFrame) -> DataFrame:
+    """``(kind, entity)`` of entities whose surrogate another entity has too, over all rows; of those that share one the first stays unnamed."""
     each = found.select(F.explode("entities").alias("e")).select("e.*")
-    number = F.col("kind").isin("phone", "card", "iban")
-    sign = F.when(number, F.regexp_replace("surrogate", r"[ ().\-]", "")).when(F.col("kind") == "secret", F.col("surrogate")).otherwise(F.lower("surrogate"))
-    pairs = each.select("kind", F.xxhash64("kind", sign).alias("surrogate_hash"), "entity").distinct()
-    return pairs.groupBy("kind", "surrogate_hash").agg(F.count("*").alias("entities")).where("entities > 1")
+    pairs = each.select("kind", F.sha2(sign(F.col("kind"), F.col("surrogate")), 256).alias("sign"), "entity").distinct()
+    groups = pairs.groupBy("kind", "sign").agg(F.min("entity").alias("first"), F.max("entity").alias("last")).where("first <> last")
+    shared = small_side(staged(groups.select(F.col("kind").alias("k"), F.col("sign").alias("s"), "first"), "shared_surrogates"))
+    return pairs.join(shared, (F.col("kind") == F.col("k")) & (F.col("sign") == F.col("s"))).where(F.col("entity") != F.col("first")).select("kind", "entity").distinct()
+
 
+#: Times that a surrogate which meets another's is moved on within its format, before it is told apart by a suffix.
+MOVES = 8
 
-def distinct_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep: list[str] | None = None, tries: int = 3) -> DataFrame:
-    """:func:`surrogates`, written and checked: no surrogate stands for two entities.
 
-    Where one does, all are made anew with a key derived from ``key``; after ``tries``
-    keys that is an error.
+def moved(found: DataFrame, who: DataFrame, text_col: str, key: bytes, turn: int) -> DataFrame:
+    """``found`` with the surrogates of the entities ``who`` moved on, in their places; other rows and entities stay as they are.
+
+    A move is what made the surrogate, done to the surrogate with a key of that turn. From turn ``MOVES`` on the
+    entity's hash is put behind it.
+    """
+    names, row, moves_ = found.columns, fresh(found, "row"), fresh(found, "moves")
+    r = f"{row}_"
+    found = found.withColumn(row, F.struct(F.xxhash64("entities"), F.hash("entities")))
+    entity = F.explode("entities").alias("e")
+    who = small_side(staged(who.select(F.struct("kind", "entity").alias("who")), "moved_entities"))
+    touched = found.select(F.col(row), entity).select(F.col(row).alias(r), F.struct("e.kind", "e.entity").alias("who")).distinct().join(who, "who")
+    rows = small_side(staged(touched.groupBy(r).agg(F.collect_set("who.entity").alias(moves_)), "moved_rows"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = _maker(blake2b(b"again|%d" % turn, key=key[:64]).digest())
+        for batch in batches:
+            texts, entities = [], []
+            for text, own, moves in zip(*(batch.column(c).to_pylist() for c in (text_col, "entities", moves_))):
+                if moves:
+                    text, own = _moved(maker, text, own, set(moves), turn)
+                texts.append(text)
+                entities.append(own)
+            columns = {text_col: pa.array(texts, pa.string()), "entities": pa.array(entities, ENTITY_TYPE)}
+            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in names], names)
+
+    joined = found.join(rows, F.col(row) == F.col(r), "left").select(*names, moves_)
+    return bound_batches(joined).mapInArrow(run, schema)
+
+
+def _moved(maker: Surrogates, text: str, entities: list[dict], moves: set[str], turn: int) -> tuple[str, list[dict]]:
+    out, at, shift, changed = [], 0, 0, []
+    for e in entities:
+        begin = e["begin"] + shift
+        end = begin + len(e["surrogate"])
+        shift += len(e["surrogate"]) - (e["end"] - e["begin"])
+        new = e["surrogate"]
+        if e["entity"] in moves:
+            new = getattr(maker, e["kind"])(new)[1] if turn < MOVES else f"{new}-{e['entity']}"
+        out += [text[at:begin], new]
+        at = end
+        changed.append(e | {"surrogate": new})
+    return "".join([*out, text[at:]]), changed
+
+
+def distinct_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = KEY, keep: list[str] | None = None) -> DataFrame:
+    """:func:`surrogates`, written and checked over all rows: no surrogate stands for two entities.
+
+    Where one does, all but the first of its entities are moved on, every mention alike, until none meet; other entities keep theirs.
     """
-    for k in range(tries):
-        own = key if k == 0 else blake2b(b"again|%d" % k, key=key[:64]).digest()
-        found = staged(surrogates(docs, text_col, own, keep), "surrogates")
-        if collisions(found).isEmpty():
-            return found
-    raise ValueError(f"surrogates of distinct entities are equal under {tries} keys")
+    found, turn = staged(surrogates(docs, text_col, key, keep), "surrogates"), 0
+    while not (who := staged(collisions(found), "collisions")).isEmpty():
+        turn += 1
+        found = staged(moved(found, who, text_col, key, turn), "surrogates")
+    return found
