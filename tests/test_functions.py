@@ -69,7 +69,7 @@ def test_nothing_divides_by_zero(spark):
     z0 = F.col("z")
     got = z.select(mt.gflops(F.col("x"), z0), mt.power_delay(F.col("x"), z0), mt.percentage_error(F.col("x"), z0), mt.rate(F.col("x"), z0), mt.energy_delay(F.col("x"), z0, F.lit(1))).collect()
     assert set(got[0]) == {None} and None not in got[1]
-    assert z.agg(mt.harmonic_mean(z0), mt.geometric_mean(z0), mt.student_margin(z0 * 0)).first()[:] == (0.0, 0.0, None)
+    assert z.agg(mt.harmonic_mean(z0), mt.geometric_mean(z0)).first()[:] == (0.0, 0.0)
     long = spark.createDataFrame([("[512|" + "0" * 2_000_000 + "1.5|2.5]",)], "p string")
     assert long.select(*mt.struct_fields(F.col("p"))).first()[:] == (512, 1.5, 2.5)
 

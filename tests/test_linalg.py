@@ -145,3 +145,70 @@ def test_plan_cache():
         cache.get((d,), lambda d=d: made.append(d))
     # the first place goes to c, then to d, then to c again; b keeps its own
     assert made == ["a", "b", "c", "d", "c"]
+
+
+@pytest.mark.parametrize("family", [[(16, 16, 16), (32, 32, 32), (64, 64, 64)], [(16, 64, 32), (64, 16, 64), (33, 8, 130)], [(17, 23, 19), (68, 4, 76), (23, 92, 19)]])
+@pytest.mark.parametrize("box_cells", [1 << 18, 64])
+def test_grid_of_any_shape(spark, monkeypatch, family, box_cells):
+    """Square, non-square and awkward sizes, each on coarse and on fine grids, and by tiles."""
+    monkeypatch.setattr(la, "BOX_CELLS", box_cells)
+    rng = np.random.default_rng(47)
+    for m, n, k in family:
+        a, b = rng.random((m, k)), rng.random((k, n))
+        grid = la.grid_of(m, n, k, 8, box_cells)
+        assert max(-(-m // grid[0]) * -(-k // grid[2]), -(-n // grid[1]) * -(-k // grid[2]), -(-m // grid[0]) * -(-n // grid[1])) <= box_cells and np.prod(grid) >= 8
+        assert np.allclose(dense(la.gemm(table(spark, a), table(spark, b.T), alpha=ALPHA, trans_b="T"), (m, n)), ALPHA * a @ b, rtol=1e-9)
+        assert np.allclose(dense(la.gemm(table(spark, a), table(spark, b), plan={"T": 5}), (m, n)), a @ b, rtol=1e-9)
+
+
+def test_grids_move_little():
+    # a short inner dimension isn't what holds the work; a long one is split when rows and columns are few
+    assert la.grid_of(10**6, 10, 64, 1000)[1:] == (1, 1)
+    assert la.grid_of(64, 64, 10**8, 1000)[:2] == (1, 1) and la.grid_of(64, 64, 10**8, 1000)[2] >= 1000
+    p, q, r = la.grid_of(4096, 4096, 4096, 64)
+    assert p * q * r >= 64 and p == q
+
+
+def test_short_inner_dimension_spreads_over_all_tasks(spark):
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for c, v in zip(old, ("false", "-1", "16")):
+            spark.conf.set(c, v)
+        rng = np.random.default_rng(48)
+        a, b = rng.random((128, 2)), rng.random((2, 128))
+        product = la.gemm(table(spark, a), table(spark, b), plan={"T": 1})
+        rows = product.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(rows) >= 8 and max(r["count"] for r in rows) <= 0.35 * 128 * 128
+        assert np.allclose(dense(product, (128, 128)), a @ b)
+        # the single-precision routine follows the plan too: its inner dimension is cut at multiples of the tile
+        long = la._boxed(table(spark, rng.random((2, 256))), table(spark, rng.random((256, 2))), 32)
+        assert long[1] and long[0].groupBy("i", "j").count().where("count BETWEEN 2 AND 8").count() == 4
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_sparse_operands_shifted_indices_and_no_common_index(spark, monkeypatch):
+    monkeypatch.setattr(la, "BOX_CELLS", 16)
+    rng = np.random.default_rng(49)
+    a = {(int(i) + 1000, int(k) + 7): float(v) for i, k, v in zip(rng.integers(0, 40, 90), rng.integers(0, 30, 90), rng.random(90))}
+    b = {(int(k) + 3, int(j) + 500): float(v) for k, j, v in zip(rng.integers(0, 30, 90), rng.integers(0, 20, 90), rng.random(90))}
+    make = lambda m: spark.createDataFrame([(i, j, v) for (i, j), v in m.items()], "i long, j long, v double")
+    want = {}
+    for (i, k), x in a.items():
+        for (k2, j), y in b.items():
+            if k == k2:
+                want[i, j] = want.get((i, j), 0.0) + x * y
+    got = {(r.i, r.j): r.v for r in la.gemm(make(a), make(b)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+    far = make({(0, 10_000): 1.0})
+    assert la.gemm(make(a), far).count() == 0 and la.gemm(make(a).limit(0), make(b)).count() == 0
+
+
+def test_large_small_operands_go_by_the_grid(spark, monkeypatch):
+    rng = np.random.default_rng(50)
+    a, b = rng.random((30, 12)), rng.random((12, 9))
+    monkeypatch.setattr(la, "SMALL_CELLS", 20)
+    assert np.allclose(dense(la.gemm_small(rows_of(spark, a), table(spark, b), alpha=ALPHA), (30, 9)), ALPHA * a @ b, rtol=1e-9)
+    assert np.allclose(dense(la.gemm_tall(rows_of(spark, a)), (12, 12)), a.T @ a, rtol=1e-9)
+    assert np.allclose(dense(la.syrk_tall(rows_of(spark, a)), (12, 12)), np.triu(a.T @ a), rtol=1e-9)

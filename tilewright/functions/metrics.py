@@ -185,20 +185,6 @@ def mape(error: Column) -> Column:
     return F.avg(F.abs(error))
 
 
-#: Student's t at 0.975 for 1 to 30 degrees of freedom.
-T_975 = (
-    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
-    2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
-)
-
-
-def student_margin(x: Column) -> Column:
-    """Half-width of the 95 % interval over the mean: t(n - 1) sd / sqrt(n) / mean."""
-    n = F.count(x)
-    t = F.when(n > 31, F.lit(1.96)).otherwise(F.element_at(F.array(*map(F.lit, T_975)), F.greatest(F.lit(1), F.least(F.lit(30), n - 1)).cast("int")))
-    return F.try_divide(t * F.stddev_pop(x) / F.sqrt(n), F.avg(x))
-
-
 def near_groups(values: Column, tolerance: float = 0.05) -> Column:
     """Values nearer than ``tolerance`` to a pivot averaged together, in order of the array.
 

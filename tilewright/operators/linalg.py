@@ -1,10 +1,11 @@
 """Dense linear algebra over DataFrames.
 
 A matrix is a table of cells ``(i, j, v)`` or of rows ``(i, row)``, a vector one of ``(i, v)``; a missing
-cell is zero. Products of cells are equi-joins on the inner index and a grouped sum. That spells out
-every product as a row, so there are forms without: a tall matrix times a small one (:func:`gemm_small`),
-the product of two tall ones along their length (:func:`gemm_tall`, :func:`syrk_tall`) and
-products by tiles (:func:`gemm_blocked`).
+cell is zero. Products of cells are made on a replicated grid (:func:`gemm`, :func:`gemm_blocked`): the index
+space of rows, columns and inner index is cut into p x q x r boxes, each box gets its parts of A and B, multiplies them densely,
+and the r partial products of a cell are summed. No index is a key on its own, so neither a short inner dimension nor a skewed one
+holds the work in a few tasks, and no product of two cells is a row. Two forms need no shuffle of A: a
+tall matrix times a small one (:func:`gemm_small`), and the product of two tall ones along their length (:func:`gemm_tall`, :func:`syrk_tall`).
 
 ``single`` takes operands and scalars as float, sums in double and rounds the result to float.
 ``plan`` (tile size ``T`` and ``units``, from a tuner) says how, never what: with a tile size
@@ -25,6 +26,9 @@ from tilewright.sources.paths import staged
 #: A matrix of at most so many cells may be sent to every task.
 SMALL_CELLS = 1 << 20
 
+#: Cells of a part of A, B or C that a box of the grid holds, at most.
+BOX_CELLS = 1 << 18
+
 
 def cells(df: DataFrame, index: str, values: str) -> DataFrame:
     """``(i, j, v)`` of a table with one array a row."""
@@ -70,7 +74,7 @@ def _plus(product: DataFrame, on: list[str], c: DataFrame | None, alpha: float,
 MODES = ("WR", "WR_LAZY", "W_REDUCE")
 
 
-def _reduced(partial: DataFrame, c: DataFrame | None, alpha: float, beta: float, mode: str) -> DataFrame:
+def _reduced(partial: DataFrame, c: DataFrame | None, alpha: float, beta: float, mode: str, split: bool = True) -> DataFrame:
     """Partial products ``(i, j, v)`` summed, and beta C once. The modes differ in where C comes in, not in the value.
 
     ``WR``: C, times beta, is the first of the terms; ``WR_LAZY``: it is fetched after the sum
@@ -80,35 +84,117 @@ def _reduced(partial: DataFrame, c: DataFrame | None, alpha: float, beta: float,
         raise ValueError(f"there is no reduction mode {mode!r}")
     terms = partial.select("i", "j", (F.lit(float(alpha)) * F.col("v")).alias("v"))
     if c is None or beta == 0 or mode == "WR_LAZY":
-        return _plus(partial.groupBy("i", "j").agg(F.sum("v").alias("v")), ["i", "j"], c, alpha, beta)
+        return _plus(_summed(partial, split), ["i", "j"], c, alpha, beta)
     scaled = c.select("i", "j", (F.lit(float(beta)) * F.col("v")).alias("v"))
-    if mode == "W_REDUCE":
+    if mode == "W_REDUCE" and split:
         terms = terms.groupBy("i", "j").agg(F.sum("v").alias("v"))
     return terms.unionByName(scaled).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def gemm(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans_a: str = "N", trans_b: str = "N", single: bool = False, plan: dict | None = None, mode: str = "WR_LAZY") -> DataFrame:
     """C <- alpha op(A) op(B) + beta C, all as cells."""
-    a, b = _operand(a, single), _operand(b, single)
-    if plan and plan.get("T") and not single:
-        return gemm_blocked(a, b, plan["T"], c, alpha, beta, trans_a, trans_b, mode)
-    left = transposed(a, trans_a).select("i", F.col("j").alias("k"), "v")
-    right = transposed(b, trans_b).select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
-    product = left.join(right, "k").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
+    size = int(plan["T"]) if plan and plan.get("T") else 1
+    partial, split = _boxed(_operand(transposed(a, trans_a), single), _operand(transposed(b, trans_b), single), size)
     if not single:
-        return _reduced(product, c, alpha, beta, mode)
-    return _result(_plus(product.groupBy("i", "j").agg(F.sum("v").alias("v")), ["i", "j"], c, alpha, beta, True), True)
+        return _reduced(partial, c, alpha, beta, mode, split)
+    return _result(_plus(_summed(partial, split), ["i", "j"], c, alpha, beta, True), True)
+
+
+def _summed(partial: DataFrame, split: bool = True) -> DataFrame:
+    """Partial products by cell; if the inner dimension wasn't split, they are whole already."""
+    return partial.groupBy("i", "j").agg(F.sum("v").alias("v")) if split else partial
+
+
+def grid_of(m: int, n: int, k: int, tasks: int, box_cells: int = BOX_CELLS) -> tuple[int, int, int]:
+    """Boxes along the rows, columns and inner index of an m x k by k x n product: (p, q, r).
+
+    Of the grids of powers of two that give every task a box, and boxes of ``box_cells`` cells of A, B and C at most, the one that
+    moves the fewest cells: A goes to q boxes, B to p, and C is summed from r where r is over 1.
+    """
+
+    def powers(most: int) -> list[int]:
+        return [1 << x for x in range(max(1, most).bit_length())]
+
+    part = lambda size, parts: -(-size // parts)
+    best = None
+    for p in powers(m):
+        for q in powers(n):
+            for r in powers(k):
+                x, y, z = part(m, p), part(n, q), part(k, r)
+                over = max(0, max(x * z, z * y, x * y) - box_cells)
+                moved = m * k * q + k * n * p + (m * n * r if r > 1 else 0)
+                best = min(best or (over, tasks, 0, 0, p, q, r), (over, max(0, tasks - p * q * r), moved, p * q * r, p, q, r))
+    return best[-3:]
+
+
+def _extent(cells_: DataFrame) -> tuple[int, int, int, int]:
+    """First and last row and column that have a cell; an empty matrix has one row and column."""
+    seen = cells_.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
+    return tuple(0 if x is None else x for x in seen)
+
+
+def _boxed(a: DataFrame, b: DataFrame, size: int = 1) -> tuple[DataFrame, bool]:
+    """Partial products ``(i, j, v)`` of A and B as cells, and whether a cell may have several.
+
+    Both are read twice, for their extent first. Boxes' edges are multiples of ``size``. A cell of the product is there if
+    there is an inner index at which both operands have a cell. Of repeated cells the sum counts.
+    """
+    i0, i1, ak0, ak1 = _extent(a)
+    bk0, bk1, j0, j1 = _extent(b)
+    k0, k1 = max(ak0, bk0), max(min(ak1, bk1), max(ak0, bk0))
+    blocks_ = lambda low, high: high // size - low // size + 1
+    spark = a.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    m, n, k = blocks_(i0, i1), blocks_(j0, j1), blocks_(k0, k1)
+    p, q, r = grid_of(m, n, k, tasks, max(1, BOX_CELLS // (size * size)))
+    box = lambda c, low, blocks, parts: F.expr(f"({c} div {size} - {low // size}) * {parts} div {blocks}")
+    edge = lambda number, low, blocks, parts: (-(-number * blocks // parts) + low // size) * size
+    copies = lambda parts, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias(name)
+
+    def parts(matrix: DataFrame, row: Column, column: Column, names: tuple[str, str], value: str) -> DataFrame:
+        inside = matrix.where(f"{'j' if value == 'x' else 'i'} BETWEEN {k0} AND {k1}")
+        cell = F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
+        return inside.groupBy(row.alias(names[0]), column.alias(names[1])).agg(F.collect_list(cell).alias(value))
+
+    left = parts(a, box("i", i0, m, p), box("j", k0, k, r), ("gi", "gk"), "x").select("gi", copies(q, "gj"), "gk", "x")
+    right = parts(b, box("i", k0, k, r), box("j", j0, n, q), ("gk", "gj"), "y").select(copies(p, "gi"), "gj", "gk", "y")
+
+    def dense(column: pa.ListArray, at: int, low: tuple[int, int], shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray | None]:
+        """A part as a matrix, and where it has cells unless that is everywhere."""
+        flat = column.values.slice(column.offsets[at].as_py(), column.offsets[at + 1].as_py() - column.offsets[at].as_py())
+        i, j = (flat.field(f).to_numpy() - x for f, x in zip(("i", "j"), low))
+        v = flat.field("v").fill_null(0.0).to_numpy(zero_copy_only=False)
+        place = i * shape[1] + j
+        there = np.bincount(place, minlength=shape[0] * shape[1]).reshape(shape)
+        return np.bincount(place, v, shape[0] * shape[1]).reshape(shape), None if there.all() else there > 0
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                gi, gj, gk = (batch.column(c)[at].as_py() for c in range(3))
+                low = edge(gi, i0, m, p), edge(gj, j0, n, q), edge(gk, k0, k, r)
+                high = edge(gi + 1, i0, m, p), edge(gj + 1, j0, n, q), edge(gk + 1, k0, k, r)
+                rows_, columns, inner = (y - x for x, y in zip(low, high))
+                x, has_x = dense(batch.column(3), at, (low[0], low[2]), (rows_, inner))
+                y, has_y = dense(batch.column(4), at, (low[2], low[1]), (inner, columns))
+                full = lambda has, shape: np.ones(shape, np.float32) if has is None else has.astype(np.float32)
+                there = np.ones((rows_, columns), bool) if has_x is None and has_y is None else full(has_x, x.shape) @ full(has_y, y.shape) > 0
+                i, j = np.nonzero(there)
+                yield _cells(low[0] + i, low[1] + j, (x @ y)[i, j])
+
+    joined = left.join(right, ["gi", "gj", "gk"]).select("gi", "gj", "gk", "x", "y")
+    return joined.mapInArrow(multiply, "i long, j long, v double"), r > 1
 
 
 def gemm_small(a: DataFrame, b: DataFrame, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0) -> DataFrame:
     """C <- alpha A B + beta C for ``a`` as ``(i, row)`` and a small B as cells, all of them given.
 
-    B is written once, and goes to every task as one array of its columns if its size allows;
-    A isn't shuffled and each product is a fold over two arrays.
+    B is written once, and goes to every task as one array of its columns if its size allows, else the product is :func:`gemm`'s;
+    A isn't shuffled then and each product is a fold over two arrays.
     """
     b = staged(b, "operand")
     if b.count() > SMALL_CELLS:
-        raise ValueError("B is too large to send to every task; use gemm or gemm_blocked")
+        return gemm(cells(a, "i", "row"), b, c, alpha, beta)
     columns = b.groupBy("j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("column"))
     whole = columns.agg(F.array_sort(F.collect_list(F.struct("j", "column"))).alias("columns"))
     inner = lambda x: F.aggregate(F.zip_with("row", x["column"], lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
@@ -136,8 +222,6 @@ def _tall_partials(pairs: DataFrame, upper: bool) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = _dense(batch.column(0)), _dense(batch.column(1))
-                if x.shape[1] * y.shape[1] > SMALL_CELLS:
-                    raise ValueError("the product is too large for one task; use gemm_blocked")
                 product = x.T @ y
                 total = product if total is None else total + product
         if total is not None:
@@ -148,11 +232,19 @@ def _tall_partials(pairs: DataFrame, upper: bool) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(partial, "i long, j long, v double")
 
 
+def _width(rows_: DataFrame) -> int:
+    first = rows_.select(F.size("row")).first()
+    return first[0] if first else 0
+
+
 def gemm_tall(a: DataFrame, b: DataFrame | None = None, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, mode: str = "WR_LAZY") -> DataFrame:
     """C <- alpha A^T B + beta C for tall A and B as ``(i, row)``; without ``b`` it is A^T A and nothing is joined.
 
-    The product of their widths must be ``SMALL_CELLS`` at most: each task sums one dense product of its rows.
+    Each task sums one dense product of its rows; if that would have more than ``SMALL_CELLS`` cells, the product is :func:`gemm`'s.
     """
+    if _width(a) * _width(a if b is None else b) > SMALL_CELLS:
+        whole = cells(a, "i", "row")
+        return gemm(whole, whole if b is None else cells(b, "i", "row"), c, alpha, beta, "T", "N", mode=mode)
     x = a.select("i", F.col("row").alias("x"))
     pairs = x.withColumn("y", F.col("x")) if b is None else x.join(b.select("i", F.col("row").alias("y")), "i")
     return _reduced(_tall_partials(pairs, False), c, alpha, beta, mode)
@@ -160,56 +252,20 @@ def gemm_tall(a: DataFrame, b: DataFrame | None = None, c: DataFrame | None = No
 
 def syrk_tall(a: DataFrame, alpha: float = 1.0) -> DataFrame:
     """The upper triangle of alpha A^T A for a tall A as ``(i, row)``."""
+    if _width(a) ** 2 > SMALL_CELLS:
+        return gemm_tall(a, alpha=alpha).where("i <= j")
     x = a.select(F.col("row").alias("x"), F.col("row").alias("y"))
     return _reduced(_tall_partials(x, True), None, alpha, 0.0, "WR_LAZY")
 
 
-def blocks(matrix: DataFrame, size: int) -> DataFrame:
-    """``(bi, bj, data)``: tiles of ``size`` by ``size`` as arrays of place in the tile and value."""
-    cell = F.struct((F.col("i") % size * size + F.col("j") % size).cast("int").alias("p"), "v")
-    return matrix.groupBy(F.expr(f"i div {size}").alias("bi"), F.expr(f"j div {size}").alias("bj")).agg(F.collect_list(cell).alias("data"))
-
-
 def gemm_blocked(a: DataFrame, b: DataFrame, size: int, c: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans_a: str = "N", trans_b: str = "N", mode: str = "WR_LAZY") -> DataFrame:
-    """As :func:`gemm`, by tiles: a join of tiles on the inner tile index, products in numpy.
-
-    A task adds up what it has for each tile of the result, as long as that fits ``SMALL_CELLS``
-    cells, before it sends cells on; these are summed by cell.
-    """
-    left = blocks(transposed(a, trans_a), size).select("bi", F.col("bj").alias("bk"), F.col("data").alias("x"))
-    right = blocks(transposed(b, trans_b), size).select(F.col("bi").alias("bk"), "bj", F.col("data").alias("y"))
-
-    def tiles(column: pa.ListArray) -> Iterator[np.ndarray]:
-        ends, flat = column.offsets.to_numpy(), column.values
-        place, value = flat.field("p").to_numpy(), flat.field("v").to_numpy(zero_copy_only=False)
-        for low, high in zip(ends, ends[1:]):
-            yield np.bincount(place[low:high], value[low:high], size * size).reshape(size, size)
-
-    def flushed(sums: dict) -> Iterator[pa.RecordBatch]:
-        for (bi, bj), total in sums.items():
-            p, q = np.nonzero(total)
-            yield _cells(bi * size + p, bj * size + q, total[p, q])
-        sums.clear()
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for bi, bj, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tiles(batch.column(2)), tiles(batch.column(3))):
-                product = x @ y
-                sums[bi, bj] = product if (bi, bj) not in sums else sums[bi, bj] + product
-                if len(sums) * size * size > SMALL_CELLS:
-                    yield from flushed(sums)
-        yield from flushed(sums)
-
-    partial = left.join(right, "bk").select("bi", "bj", "x", "y").mapInArrow(multiply, "i long, j long, v double")
-    return _reduced(partial, c, alpha, beta, mode)
+    """As :func:`gemm`, in boxes that hold whole tiles of ``size`` by ``size``."""
+    return gemm(a, b, c, alpha, beta, trans_a, trans_b, plan={"T": size}, mode=mode)
 
 
 def syrk(a: DataFrame, trans: str = "N", alpha: float = 1.0) -> DataFrame:
     """The upper triangle of alpha op(A) op(A)^T, as cells; for a tall A transposed there is :func:`syrk_tall`."""
-    left = transposed(a, trans).select("i", F.col("j").alias("k"), "v")
-    right = left.select(F.col("i").alias("j"), "k", F.col("v").alias("w"))
-    return left.join(right, "k").where("i <= j").groupBy("i", "j").agg((F.sum(F.col("v") * F.col("w")) * alpha).alias("v"))
+    return gemm(a, a, None, alpha, 0.0, trans, "T" if trans == "N" else "N").where("i <= j")
 
 
 def gemv(a: DataFrame, x: DataFrame, y: DataFrame | None = None, alpha: float = 1.0, beta: float = 0.0, trans: str = "N", single: bool = False, plan: dict | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tilewright.functions import metrics as mt
+from tilewright.operators import ordering as od
 from tilewright.plans import links as lk
 from tilewright.plans import models as cm
 from tilewright.plans import tuner as tn
@@ -143,7 +144,7 @@ def flt3_location_triples(spark, sf):
 def ord2_labelled_order(spark, sf):
     """Groups in order of implementation and location."""
     g = log(spark, sf).groupBy("imp", mt.location_code(F.col("a_loc"), F.col("b_loc"), F.col("c_loc")).alias("loc")).agg(F.count("*").alias("runs"))
-    return g.select(F.row_number().over(W.orderBy("imp", "loc")).alias("place"), "imp", "loc", "runs")
+    return od.ranked(g, [], [F.col("imp"), F.col("loc")], "place").select(F.col("place").cast("int").alias("place"), "imp", "loc", "runs")
 
 
 @query("ord6_representative", f"WITH {LOG_SQL} SELECT imp, arg_min(seq, (timer, seq, T, dev_num)) AS seq, min(timer) AS timer FROM log GROUP BY imp")

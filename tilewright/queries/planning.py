@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions.metrics import near_value_means
+from tilewright.operators import ordering as od
 from tilewright.plans import links as lk
 from tilewright.plans import models as cm
 from tilewright.plans import tuner as tn
@@ -72,6 +73,17 @@ def jn7_asof_join(spark, sf):
     return near(spark, sf).groupBy("T_near").agg(F.count("*").alias("n"), F.min("T_in").alias("low"), F.max("T_in").alias("high"))
 
 
+@query("jn7_asof_large", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 3 AS k, l_extendedprice AS at FROM lineitem),
+t AS (SELECT o_orderkey % 3 AS k, o_totalprice AS at, max(o_orderkey) AS o FROM orders GROUP BY ALL), f AS (SELECT k, min(at) AS at, arg_min(o, at) AS o FROM t GROUP BY k)
+SELECT l_orderkey, l_linenumber, l_partkey, l.at, coalesce(t.at, f.at) AS at_found, coalesce(t.o, f.o) AS o FROM l ASOF LEFT JOIN t ON l.k = t.k AND l.at >= t.at LEFT JOIN f ON f.k = l.k""")
+def jn7_asof_large(spark, sf):
+    """Every line item with the dearest order not dearer than it, of three groups: both sides are tables of any size."""
+    c = F.col
+    left = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (c("l_linenumber") % 3).cast("long").alias("k"), c("l_extendedprice").alias("at"))
+    right = table(spark, sf, "orders").select((c("o_orderkey") % 3).cast("long").alias("k"), c("o_totalprice").alias("at"), c("o_orderkey").alias("o"))
+    return od.asof_join(left, right, ["k"], "at", ["o"]).select("l_orderkey", "l_linenumber", "l_partkey", "at", "at_found", "o")
+
+
 @query("cm4_transfer_time", f"WITH {PROB_SQL}, {LINK_SQL} SELECT pid, dest, src, round(CASE WHEN b < 0 THEN -1 WHEN b = 0 THEN 0 ELSE ti + tb * b END * 1e6, 6) + 0.0 AS us FROM (SELECT *, 8 * (D1 - 1024) * D2 AS b FROM prob) p JOIN link ON dest = unit AND src = loc_b - 1")
 def cm4_transfer_time(spark, sf):
     """Operand to link by location, then latency and bytes."""

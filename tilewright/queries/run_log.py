@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tilewright.functions import metrics as mt
+from tilewright.functions import student as st
+from tilewright.operators import ordering as od
 from tilewright.queries.registry import query, r, table
 
 LOG_SQL = """log AS (SELECT l_orderkey AS seq, 512 * (1 + l_partkey % 4) AS T, (1 + l_linenumber % 4)::INT AS dev_num,
@@ -163,19 +164,41 @@ def ag15_least_squares(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(r(F.regr_slope(y, x)).alias("slope"), r(F.abs(F.regr_intercept(y, x)), 5).alias("intercept"), r(F.regr_r2(y, x), 9).alias("r2"))
 
 
-T_SQL = "[" + ", ".join(map(str, mt.T_975)) + "]"
+#: Student's t for every count of ``n``, by bisection of its distribution's finite trigonometric sums; ``counts(n)`` comes before.
+STUDENT_SQL = """deg AS (SELECT n, n - 1 AS f, CASE WHEN (n - 1) % 2 = 1 THEN list_transform(range((n - 2) // 2), lambda k: lgamma(k + 1.0::DOUBLE) - lgamma(k + 1.5::DOUBLE) + lgamma(1.5::DOUBLE))
+    ELSE list_transform(range((n - 1) // 2), lambda k: lgamma(k + 0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE) - lgamma(0.5::DOUBLE)) END AS c FROM (SELECT DISTINCT n FROM counts WHERE n >= 2)),
+  bisected AS (
+    SELECT n, list_reduce([[1.9::DOUBLE, 13.0::DOUBLE]] || list_transform(range(55), lambda i: [0.0::DOUBLE, 0.0::DOUBLE]), lambda b, e: CASE WHEN
+      (CASE WHEN f % 2 = 1 THEN 2 / pi() * (atan((b[1] + b[2]) / 2 / sqrt(f)) + sin(atan((b[1] + b[2]) / 2 / sqrt(f))) * coalesce(list_sum(list_transform(c, lambda g, k: exp(g + (2 * k - 1) * ln(cos(atan((b[1] + b[2]) / 2 / sqrt(f))))))), 0))
+            ELSE sin(atan((b[1] + b[2]) / 2 / sqrt(f))) * list_sum(list_transform(c, lambda g, k: exp(g + 2 * (k - 1) * ln(cos(atan((b[1] + b[2]) / 2 / sqrt(f))))))) END) > 0.95
+      THEN [b[1], (b[1] + b[2]) / 2] ELSE [(b[1] + b[2]) / 2, b[2]] END) AS b FROM deg),
+  student AS (SELECT n, (b[1] + b[2]) / 2 AS t FROM bisected)"""
 
 
-@query("ag17_error_margin", f"SELECT l_suppkey, l_linenumber, count(*) AS n, round(CASE WHEN count(*) > 31 THEN 1.96 ELSE ({T_SQL})[greatest(1, least(30, count(*) - 1))::INT] END::DOUBLE * stddev_pop(l_quantity) / sqrt(count(*)) / avg(l_quantity), 9) + 0.0 AS margin FROM lineitem GROUP BY ALL")
+@query("ag17_error_margin", f"""WITH g AS (SELECT l_suppkey, l_linenumber, count(*) AS n, stddev_pop(l_quantity) AS sd, avg(l_quantity) AS mean FROM lineitem GROUP BY ALL), counts AS (SELECT n FROM g), {STUDENT_SQL}
+SELECT l_suppkey, l_linenumber, g.n, round(t * sd / sqrt(g.n) / mean, 8) + 0.0 AS margin FROM g LEFT JOIN student USING (n)""")
 def ag17_error_margin(spark, sf):
     """Half-width of the 95 % interval, relative to the mean."""
-    return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"), r(mt.student_margin(F.col("l_quantity")), 9).alias("margin"))
+    found = st.error_margins(table(spark, sf, "lineitem"), ["l_suppkey", "l_linenumber"], "l_quantity")
+    return found.select("l_suppkey", "l_linenumber", "n", r("margin", 8).alias("margin"))
+
+
+@query("ag17_stopping", f"""WITH x AS (SELECT l_suppkey % 12 AS bench, l_orderkey AS o, l_linenumber AS k, l_quantity AS v FROM lineitem),
+w AS (SELECT bench, row_number() OVER o AS n, avg(v) OVER (o ROWS UNBOUNDED PRECEDING) AS mean, stddev_pop(v) OVER (o ROWS UNBOUNDED PRECEDING) AS sd FROM x WINDOW o AS (PARTITION BY bench ORDER BY o, k, v)),
+counts AS (SELECT n FROM w WHERE n > 10 AND n <= 1200 AND sd / sqrt(n) / mean <= 0.026), {STUDENT_SQL},
+s AS (SELECT bench, w.n, mean, t * sd / sqrt(w.n) / mean AS margin FROM w JOIN student USING (n) WHERE sd / sqrt(w.n) / mean <= 0.026),
+f AS (SELECT bench, arg_min(s, n) AS s FROM s WHERE margin <= 0.05 GROUP BY bench)
+SELECT b.bench, samples, s.n AS n, round(s.mean, 8) + 0.0 AS mean, round(s.margin, 8) + 0.0 AS margin FROM (SELECT bench, count(*) AS samples FROM x GROUP BY bench) b LEFT JOIN f USING (bench)""")
+def ag17_stopping(spark, sf):
+    """Where each benchmark's run stops: over 10 samples and a margin of 5 %; the samples are all line items in order, by supplier."""
+    runs = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 12).alias("bench"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("v"))
+    return st.stopping(runs, ["bench"], ["o", "k"], "v").select("bench", "samples", "n", r("mean", 8).alias("mean"), r("margin", 8).alias("margin"))
 
 
 @query("ag29_five_numbers", f"WITH {LOG_SQL}, d AS (SELECT imp, 100 * (a_loc + 1) + 10 * (b_loc + 1) + (c_loc + 1) AS loc_code, M * N * (2 * K + 2) / (1e9 * timer) AS perf FROM log) SELECT imp, loc_code, round(min(perf), 4) + 0.0 AS low, round(quantile_cont(perf, 0.25), 4) + 0.0 AS q1, round(quantile_cont(perf, 0.5), 4) + 0.0 AS median, round(quantile_cont(perf, 0.75), 4) + 0.0 AS q3, round(max(perf), 4) + 0.0 AS high FROM d GROUP BY ALL")
 def ag29_five_numbers(spark, sf):
     df = log(spark, sf).select("imp", mt.location_code(*map(F.col, LOCS)).alias("loc_code"), mt.gflops(mt.flops_run(F.col("M"), F.col("N"), F.col("K")), F.col("timer")).alias("perf"))
-    q = df.groupBy("imp", "loc_code").agg(F.percentile("perf", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
+    q = od.quantiles(df, ["imp", "loc_code"], "perf", [0.0, 0.25, 0.5, 0.75, 1.0])
     return q.select("imp", "loc_code", *(r(F.col("q")[k], 4).alias(n) for k, n in enumerate(("low", "q1", "median", "q3", "high"))))
 
 
@@ -246,6 +269,6 @@ def set1_concat(spark, sf):
 
 @query("ord3_series", f"WITH {GROUP_SQL} SELECT imp, M, N, K, T, dev_num, a_loc, b_loc, c_loc, row_number() OVER (PARTITION BY imp ORDER BY M * N * K, T, dev_num, M, a_loc, b_loc, c_loc)::INT AS place FROM grp")
 def ord3_series(spark, sf):
-    """Each implementation's series in order of problem size."""
-    order = W.partitionBy("imp").orderBy(F.col("M") * F.col("N") * F.col("K"), "T", "dev_num", "M", *LOCS)
-    return grouped(spark, sf).select("imp", "M", "N", "K", "T", "dev_num", *LOCS, F.row_number().over(order).alias("place"))
+    """Each implementation's series in order of problem size; a series isn't sorted in one task."""
+    order = [F.col("M") * F.col("N") * F.col("K"), *map(F.col, ("T", "dev_num", "M", *LOCS))]
+    return od.ranked(grouped(spark, sf), ["imp"], order, "place").select("imp", "M", "N", "K", "T", "dev_num", *LOCS, F.col("place").cast("int").alias("place"))

@@ -12,6 +12,10 @@ from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A staged table of at most so many stored bytes may be broadcast.
+BROADCAST_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,6 +63,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged table with a broadcast hint if its stored bytes allow one; beyond, the join is a shuffled one."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
 @cache
 def _own_dir() -> str:
     path = tempfile.mkdtemp(prefix="tilewright-")

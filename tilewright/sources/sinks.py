@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.ordering import write_ordered
 from tilewright.sources.logs import SCHEMAS
 from tilewright.sources.paths import staged
 
@@ -22,9 +23,11 @@ def _parts(df: DataFrame) -> list[Column]:
 
 
 def write_lookup(benchmarks: DataFrame, path: str) -> None:
-    """A lookup table in order of its first measured size; one file, as it is tens of rows."""
-    ordered = benchmarks.orderBy("M" if "M" in benchmarks.columns else "N", *[c for c in ("trans_a", "trans_b") if c in benchmarks.columns])
-    lines(ordered.drop("func", "dev")).coalesce(1).write.text(path)
+    """A lookup table in order of its first measured size: part files that follow each other, each sorted, whatever their number."""
+    order = ["M" if "M" in benchmarks.columns else "N", *[c for c in ("trans_a", "trans_b") if c in benchmarks.columns]]
+    text = lines(benchmarks.drop("func", "dev")).columns[0]
+    rows = benchmarks.select(F.concat_ws(",", *_parts(benchmarks.drop("func", "dev"))).alias(text), *order)
+    write_ordered(rows, [F.col(c) for c in order], path)
 
 
 def link_model_lines(models: DataFrame, slowdowns: DataFrame) -> DataFrame:
