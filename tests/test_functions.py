@@ -26,19 +26,6 @@ def test_near_groups(spark):
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[k], plain_near(v))) and len(got[k]) == len(v)
 
 
-def test_pipeline_is_the_recurrence(spark):
-    rng = random.Random(3)
-    steps = [(rng.randrange(0, 4), rng.random() < 0.3) for _ in range(50)]
-    link = work = out = 0.0
-    for fetch, last in steps:
-        link += fetch * 2.0
-        work = max(link, work) + 1.5
-        if last:
-            out = max(work, out) + 0.5
-    col = F.array(*(F.struct(F.lit(f).alias("fetch"), F.lit(b).alias("last")) for f, b in steps))
-    assert abs(spark.range(1).select(cm.pipeline(col, F.lit(1.5), F.lit(2.0), F.lit(0.5)).alias("t")).first().t - max(work, out)) < 1e-9
-
-
 def test_means_and_errors(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 4.0)], "x double")
     h, g, m = df.agg(mt.harmonic_mean(F.col("x")), mt.geometric_mean(F.col("x")), mt.mape(-F.col("x"))).first()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tilewright.functions import metrics as mt
 from tilewright.plans import links as lk
+from tilewright.plans import models as cm
 from tilewright.plans import predict as pr
 from tilewright.plans import search as se
 from tilewright.plans import tuner as tn
@@ -310,3 +311,58 @@ def test_routes_end_and_maps_reset(spark):
 def test_plan_differences():
     assert tn.plan_difference({"T": 1, "units": [0], "cache_limit": 5}, {"T": -1, "units": [0, 1], "cache_limit": 0}) == 1
     assert tn.plan_difference({"T": 1}, {"T": 2, "cache_limit": 3}) == 2
+
+
+def test_peer_bandwidths_by_the_loop(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for case in range(12):
+        n = case % 5
+        peers = [(rng.uniform(1e-6, 1e-4), rng.choice([0.0, rng.uniform(1, 50)]) if case == 3 else rng.uniform(1, 50)) for _ in range(n)]
+        size = rng.randrange(1, 10**9)
+        total = sum(bw for _, bw in peers)
+        for _ in peers:
+            total *= 1 - 0.2
+        mean = 0.0
+        for ti, bw in peers:
+            mean += ti + (size // len(peers)) / (1e9 * bw) if bw else 0.0
+        rows.append((case, size, peers))
+        want[case] = (size / (total * 1e9) if total else 0.0, mean)
+    df = spark.createDataFrame([r for r in rows if r[0] != 3], "case int, size long, l array<struct<ti: double, bw: double>>")
+    got = df.select("case", cm.sum_bandwidth_time(F.col("size"), F.transform("l", lambda x: x["bw"])).alias("s"), cm.mean_bandwidth_time(F.col("size"), F.col("l")).alias("m")).collect()
+    assert all(abs(r.s - want[r.case][0]) < 1e-12 + 1e-9 * r.s and abs(r.m - want[r.case][1]) < 1e-12 + 1e-9 * r.m for r in got) and len(got) == 11
+
+
+def test_benchmarked_tile_is_the_first_of_the_best(spark):
+    rows = [(1, 256, 3.0), (1, 512, 2.0), (1, 768, 2.0), (2, 256, -1.0), (2, 512, 5.0), (3, 256, 1.0), (3, 512, -1.0), (3, 1024, 1.0), (4, 256, -1.0)]
+    want = {}
+    for pid in (1, 2, 3, 4):
+        for p, tile, sec in rows:
+            if p == pid and sec >= 0 and (pid not in want or sec < want[pid][1]):
+                want[pid] = (tile, sec)
+    got = {r.pid: (r.T, r.sec) for r in tn.best_benchmarked_tile(spark.createDataFrame(rows, "pid int, T int, sec double")).collect()}
+    assert got == want and 4 not in got
+
+
+def test_residual_slowdown_by_the_loop(spark):
+    rng = random.Random(22)
+    units = [-1, 0, 1, 2, 3]
+    for workers, holders in (([0, 1, 2], [-1, 0]), ([1, 3], [-1]), ([0, 1, 2, 3], [-1, 2, 3])):
+        bw = {(i, j): rng.uniform(5, 40) for i in units for j in units if i != j}
+        partner = {(i, j): ((i ^ 1 if i >= 0 else i), (j ^ 1 if j >= 0 else j)) for i, j in bw}
+        hopped = {k for k in bw if rng.random() < 0.2}
+        sl = {(a, b): rng.choice([0.9, 1.0, rng.uniform(1, 3)]) for a in bw for b in bw if a != b}
+        edges = spark.createDataFrame([(i, j, b, 0.0, *partner[i, j]) for (i, j), b in bw.items()], "dest int, src int, bw double, bw_shared double, p_dest int, p_src int")
+        slow = spark.createDataFrame([(*a, *b, x) for (a, b), x in sl.items()], "dest int, src int, odest int, osrc int, sl double")
+        hops = spark.createDataFrame([*hopped] or [(9, 9)], "dest int, src int")
+        got = {(r.dest, r.src): r.sl for r in lk.residual_slowdown(lk.activated(edges, workers, holders), slow, workers, holders, hops).collect()}
+        want = {}
+        for i, j in bw:
+            used = (i in workers and j in workers + holders) or (j in workers and i in holders)
+            if used and (i, j) not in hopped:
+                worst = 1.0
+                for k, m in bw:
+                    if (k, m) != (i, j) and m in holders and k in workers and partner[i, j] != (k, m) and (k, m) not in hopped:
+                        worst = max(worst, sl[(i, j), (k, m)])
+                want[i, j] = min(worst, 2.0)
+        assert got == want

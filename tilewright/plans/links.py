@@ -16,10 +16,10 @@ def bandwidth(ti: Column, tb: Column, tile: int = 2048) -> Column:
 
 
 def resolved(edges: DataFrame) -> DataFrame:
-    """``bw_shared`` of -1 is the partner link's (``p_dest``, ``p_src``)."""
-    p = edges.select(F.col("dest").alias("_d"), F.col("src").alias("_s"), F.col("bw_shared").alias("_b"))
+    """``bw_shared`` of -1 is the partner link's (``p_dest``, ``p_src``); where that has none either, the link's own bandwidth."""
+    p = edges.select(F.col("dest").alias("_d"), F.col("src").alias("_s"), F.nullif(F.col("bw_shared"), F.lit(-1.0)).alias("_b"))
     joined = edges.join(p, (F.col("p_dest") == F.col("_d")) & (F.col("p_src") == F.col("_s")), "left")
-    return joined.select("dest", "src", "bw", F.when(F.col("bw_shared") == -1, F.col("_b")).otherwise(F.col("bw_shared")).alias("bw_shared"))
+    return joined.select("dest", "src", "bw", F.when(F.col("bw_shared") == -1, F.coalesce("_b", "bw")).otherwise(F.col("bw_shared")).alias("bw_shared"))
 
 
 def weighted(links: DataFrame, tile: int = 2048, tolerance: float = 0.05) -> DataFrame:
@@ -96,12 +96,21 @@ def one_hop_routes(edges: DataFrame, penalty: float = 0.2) -> DataFrame:
     return e.join(routed, ["dest", "src"], "left").select("dest", "src", F.coalesce("top", "bw").alias("bw"), F.coalesce("routes", F.array().cast("array<int>")).alias("routes"))
 
 
-def residual_slowdown(active: DataFrame, slowdowns: DataFrame, cap: float = 2.0) -> DataFrame:
-    """Greatest slowdown of each active link by other active links, up to ``cap``; 1 without any."""
-    live = active.where("active > 0").select("dest", "src")
-    others = live.select(F.col("dest").alias("odest"), F.col("src").alias("osrc"))
-    hit = slowdowns.join(others, ["odest", "osrc"]).groupBy("dest", "src").agg(F.max("sl").alias("_sl"))
-    return live.join(hit, ["dest", "src"], "left").select("dest", "src", F.least(F.lit(cap), F.greatest(F.lit(1.0), F.coalesce("_sl", F.lit(1.0)))).alias("sl"))
+def residual_slowdown(active: DataFrame, slowdowns: DataFrame, workers: list[int], holders: list[int], hopped: DataFrame | None = None, cap: float = 2.0) -> DataFrame:
+    """``(dest, src, sl)``: what other links cost each active one that isn't replaced by a route, up to ``cap``; 1 without any.
+
+    What counts are links that bring operands: from a holder of data to a worker, neither the link itself nor its partner
+    (``p_dest``, ``p_src``), nor one that is ``hopped`` (``(dest, src)``), as nothing flows over that.
+    """
+    none = active.select("dest", "src").limit(0) if hopped is None else hopped.select("dest", "src")
+    live = active.where("active > 0").join(none, ["dest", "src"], "left_anti")
+    bringing = active.where((F.col("dest") != F.col("src")) & F.col("dest").isin(workers) & F.col("src").isin(holders)).join(none, ["dest", "src"], "left_anti")
+    others = bringing.select(F.col("dest").alias("odest"), F.col("src").alias("osrc"))
+    ends = live.select("dest", "src", "p_dest", "p_src")
+    partner_ = (F.col("odest") == F.col("p_dest")) & (F.col("osrc") == F.col("p_src"))
+    own = (F.col("odest") == F.col("dest")) & (F.col("osrc") == F.col("src"))
+    hit = slowdowns.join(others, ["odest", "osrc"]).join(ends, ["dest", "src"]).where(~F.coalesce(partner_, F.lit(False)) & ~own).groupBy("dest", "src").agg(F.max("sl").alias("_sl"))
+    return live.select("dest", "src").join(hit, ["dest", "src"], "left").select("dest", "src", F.least(F.lit(cap), F.greatest(F.lit(1.0), F.coalesce("_sl", F.lit(1.0)))).alias("sl"))
 
 
 def causes_slowdown(active: DataFrame, slowdowns: DataFrame, least: float = 1.05) -> DataFrame:

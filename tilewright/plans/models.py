@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOST_SLOW = 2.0
-
-
 def nearest(wanted: DataFrame, lookup: DataFrame, on: list[str] | None = None, tile: str = "T_in") -> DataFrame:
     """As-of join: each row of ``wanted`` with the largest benchmarked T not over ``tile``.
 
@@ -79,11 +76,6 @@ def zero_overlap(full: Column, receive: Column, send: Column) -> Column:
     return full + receive + send
 
 
-def steady(tile_t: Column, receive: Column, send: Column, count: Column) -> Column:
-    """Pipeline of ``count`` tasks: the dominant part each time but the last, then one whole turn."""
-    return F.greatest(tile_t, receive, send) * (count - 1) + tile_t + receive + send
-
-
 def task_count(tile: Column, *dims: Column) -> Column:
     out = F.lit(1).cast("long")
     for d in dims:
@@ -96,67 +88,16 @@ def reuse(t: Column, r: Column, s: Column, nin: Column, nout: Column, zero: Colu
     return t * (1 + zero) + F.greatest(t, r) * one + F.greatest(t, 2 * r) * two + nin * r + nout * s
 
 
-def ragged_factor(tile: Column, uneven: Column, *dims: Column) -> Column:
-    """1 + 0.05 for each dimension that the tile doesn't divide, + 0.1 if work is uneven."""
-    out = F.lit(1.0)
-    for d in dims:
-        out = out + F.when(d % tile != 0, 0.05).otherwise(0.0)
-    return out + F.when(uneven, 0.1).otherwise(0.0)
-
-
-def streams(t_exec: Column, t_in: Column, t_out: Column, n: Column) -> Column:
-    """Streams model: the largest of three dominances with ``n`` streams."""
-    return F.greatest(t_in + t_exec / n + t_out / n, t_in / n + t_exec + t_out / n, t_in / n + t_exec / n + t_out)
-
-
-def sum_bandwidth(size: Column, bandwidths: Column, hop_penalty: float = 0.2, hops: Column | None = None) -> Column:
-    """Seconds over all peers' links at once, each slowed by its hops; 0 without peers."""
-    eff = bandwidths if hops is None else F.zip_with(bandwidths, hops, lambda b, h: b * F.pow(F.lit(1 - hop_penalty), h))
-    total = F.aggregate(eff, F.lit(0.0), lambda a, b: a + b)
-    return F.when(F.size(bandwidths) == 0, F.lit(0.0)).otherwise(size / (total * 1e9))
-
-
-def pipeline(flags: Column, t: Column, r: Column, s: Column) -> Column:
-    """Emulated pipeline over an ordered array of ``(fetch, last)`` steps.
-
-    A task starts when its fetches are done and the task before it is; fetches queue up
-    on one link, and results go out on another after tasks flagged ``last``. Returns the
-    end of it all. A recurrence with state: a fold, not a window sum.
-    """
-    start = F.struct(F.lit(0.0).alias("link"), F.lit(0.0).alias("work"), F.lit(0.0).alias("out"))
-
-    def step(x: Column, f: Column) -> Column:
-        link = x["link"] + f["fetch"] * r
-        work = F.greatest(link, x["work"]) + t
-        sent = F.when(f["last"], F.greatest(work, x["out"]) + s).otherwise(x["out"])
-        return F.struct(link.alias("link"), work.alias("work"), sent.alias("out"))
-
-    return F.aggregate(flags, start, step, lambda x: F.greatest(x["work"], x["out"]))
-
-
-def location_aware(t: Column, r: Column, s: Column, remote_in: Column, remote_out: Column, count: Column) -> Column:
-    """As :func:`steady`, fetching and sending remote operands only."""
-    return steady(t, remote_in * r, remote_out * s, count)
-
-
-def bidirectional(t: Column, overlap: Column, r: Column, s: Column, count: Column) -> Column:
-    """Steady state whose transfers overlap as :func:`both_ways` says."""
-    return F.greatest(t, overlap) * (count - 1) + t + r + s
-
-
-def hetero_reuse(value: Column, factor: Column, share: Column) -> Column:
-    """Reuse time with its raggedness factor, for a unit's share of the work."""
-    return value * factor * share
-
-
-def tile_time(t_tile: Column, tile: Column, level: int, *dims: Column) -> Column:
-    """Whole-problem time by level: linear, quadratic or cubic in the tile."""
-    return full_time(t_tile, tile, *dims[:level])
+def sum_bandwidth_time(size: Column, bandwidths: Column, hop_penalty: float = 0.2) -> Column:
+    """Seconds over all peers' links at once, their sum less by ``hop_penalty`` once for each peer; 0 without peers."""
+    total = F.aggregate(bandwidths, F.lit(0.0), lambda a, b: a + b) * F.pow(F.lit(1 - hop_penalty), F.size(bandwidths))
+    return F.when(total == 0, F.lit(0.0)).otherwise(F.try_divide(size, total * 1e9))
 
 
-def model_tile_level1(min_t: Column, max_t: Column, n: Column, compat: bool = True) -> Column:
-    """Tile that level 1 is modelled from: the smallest with ``compat``, else as at the other levels."""
-    return F.least(max_t, min_t, n) if compat else F.least(max_t, n)
+def mean_bandwidth_time(size: Column, links: Column) -> Column:
+    """Seconds for equal parts, whole bytes each, one peer after the other; ``links`` are the peers' ``(ti, bw)``. 0 without peers."""
+    part = F.floor(F.try_divide(size, F.size(links)))
+    return F.coalesce(F.aggregate(links, F.lit(0.0), lambda t, x: t + x["ti"] + part / (1e9 * x["bw"])), F.lit(0.0))
 
 
 def allowed_tiles(level: int, min_t: Column, *dims: Column) -> tuple[Column, Column]:
@@ -164,13 +105,11 @@ def allowed_tiles(level: int, min_t: Column, *dims: Column) -> tuple[Column, Col
     return (min_t if level == 1 else F.greatest(min_t, F.lit(1024))), F.least(*dims) if len(dims) > 1 else dims[0]
 
 
-def stream_bytes(policy: str, sizes: Column, remote: Column, tile_bytes: Column) -> Column:
-    """Bytes that the streams model counts: ``all`` operands, only ``remote`` ones, or ``tile`` by tile."""
+def stream_bytes(policy: str, sizes: Column, remote: Column) -> Column:
+    """Bytes that the streams model counts: ``all`` operands or only ``remote`` ones."""
     add = lambda a, x: a + x
     if policy == "all":
         return F.aggregate(sizes, F.lit(0).cast("long"), add)
     if policy == "remote":
         return F.aggregate(F.zip_with(sizes, remote, lambda s, f: F.when(f, s).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), add)
-    if policy == "tile":
-        return F.aggregate(F.transform(sizes, lambda s: F.ceil(s / tile_bytes).cast("long") * tile_bytes), F.lit(0).cast("long"), add)
     raise ValueError(f"there is no byte policy {policy!r}")

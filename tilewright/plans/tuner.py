@@ -70,10 +70,13 @@ def best_tile(problems: DataFrame, digits: int = 9) -> DataFrame:
     return each.withColumn("sl", sl).groupBy("pid").agg(F.min(F.struct("sl", (-F.col("T")).alias("neg"))).alias("m")).select("pid", (-F.col("m.neg")).alias("T"), F.col("m.sl").alias("slowdown"))
 
 
-def best_benchmarked_tile(predictions: DataFrame) -> DataFrame:
-    """``(pid, T, sec)`` of least predicted time over benchmarked tiles; ties keep the larger."""
-    m = predictions.groupBy("pid").agg(F.min(F.struct("sec", (-F.col("T")).alias("neg"))).alias("m"))
-    return m.select("pid", (-F.col("m.neg")).alias("T"), F.col("m.sec").alias("sec"))
+def best_benchmarked_tile(predictions: DataFrame, digits: int = 12) -> DataFrame:
+    """``(pid, T, sec)`` of least predicted time over the benchmarked tiles that a problem allows; of equal ones the first, that is the smallest.
+
+    A prediction below zero has failed and isn't taken. Times are equal if they are so to ``digits`` places.
+    """
+    m = predictions.where("sec >= 0").groupBy("pid").agg(F.min(F.struct(F.round("sec", digits).alias("sec"), "T")).alias("m"))
+    return m.select("pid", "m.T", "m.sec")
 
 
 def device_subsets(spark, units: int, most: int | None = None) -> DataFrame:

@@ -73,15 +73,15 @@ def jn7_asof_join(spark, sf):
     return near(spark, sf).groupBy("T_near").agg(F.count("*").alias("n"), F.min("T_in").alias("low"), F.max("T_in").alias("high"))
 
 
-@query("jn7_asof_large", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 3 AS k, l_extendedprice AS at FROM lineitem),
-t AS (SELECT o_orderkey % 3 AS k, o_totalprice AS at, max(o_orderkey) AS o FROM orders GROUP BY ALL), f AS (SELECT k, min(at) AS at, arg_min(o, at) AS o FROM t GROUP BY k)
-SELECT l_orderkey, l_linenumber, l_partkey, l.at, coalesce(t.at, f.at) AS at_found, coalesce(t.o, f.o) AS o FROM l ASOF LEFT JOIN t ON l.k = t.k AND l.at >= t.at LEFT JOIN f ON f.k = l.k""")
+@query("jn7_asof_large", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_linenumber % 3 AS k, l_extendedprice AS price FROM lineitem),
+t AS (SELECT o_orderkey % 3 AS k, o_totalprice AS price, max(o_orderkey) AS o FROM orders GROUP BY ALL), f AS (SELECT k, min(price) AS price, arg_min(o, price) AS o FROM t GROUP BY k)
+SELECT l_orderkey, l_linenumber, l_partkey, l.price, coalesce(t.price, f.price) AS price_found, coalesce(t.o, f.o) AS o FROM l ASOF LEFT JOIN t ON l.k = t.k AND l.price >= t.price LEFT JOIN f ON f.k = l.k""")
 def jn7_asof_large(spark, sf):
     """Every line item with the dearest order not dearer than it, of three groups: both sides are tables of any size."""
     c = F.col
-    left = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (c("l_linenumber") % 3).cast("long").alias("k"), c("l_extendedprice").alias("at"))
-    right = table(spark, sf, "orders").select((c("o_orderkey") % 3).cast("long").alias("k"), c("o_totalprice").alias("at"), c("o_orderkey").alias("o"))
-    return od.asof_join(left, right, ["k"], "at", ["o"]).select("l_orderkey", "l_linenumber", "l_partkey", "at", "at_found", "o")
+    left = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (c("l_linenumber") % 3).cast("long").alias("k"), c("l_extendedprice").alias("price"))
+    right = table(spark, sf, "orders").select((c("o_orderkey") % 3).cast("long").alias("k"), c("o_totalprice").alias("price"), c("o_orderkey").alias("o"))
+    return od.asof_join(left, right, ["k"], "price", ["o"]).select("l_orderkey", "l_linenumber", "l_partkey", "price", F.col("at_found").alias("price_found"), "o")
 
 
 @query("cm4_transfer_time", f"WITH {PROB_SQL}, {LINK_SQL} SELECT pid, dest, src, round(CASE WHEN b < 0 THEN -1 WHEN b = 0 THEN 0 ELSE ti + tb * b END * 1e6, 6) + 0.0 AS us FROM (SELECT *, 8 * (D1 - 1024) * D2 AS b FROM prob) p JOIN link ON dest = unit AND src = loc_b - 1")
@@ -142,13 +142,19 @@ def cm9_overlap_models(spark, sf):
     return p.select("pid", r(f * 1e6, 4).alias("full_us"), r(cm.full_overlap(f, rc, s) * 1e6, 4).alias("overlap_us"), r(cm.zero_overlap(f, rc, s) * 1e6, 4).alias("no_overlap_us"), "far")
 
 
-@query("cm24_peer_bandwidth", f"WITH {LINK_SQL} SELECT dest, round(33554432 / (sum(bw * 0.8 ** (src % 2 + 1)) * 1e9) * 1e6, 6) + 0.0 AS sum_us, round(sum(33554432 / 4.0::DOUBLE / (bw * 1e9)) * 1e6, 6) + 0.0 AS mean_us, count(*) AS peers FROM edge WHERE dest <> src GROUP BY dest")
+#: Bytes that peers bring together; not a multiple of their number, so parts are cut down to whole bytes.
+PEER_BYTES = 33554433
+
+
+@query("cm24_peer_bandwidth", f"""WITH {LINK_SQL}, shared AS (SELECT e.dest, e.src, l.ti, CASE WHEN e.bw_shared = -1 THEN coalesce(nullif(p.bw_shared, -1), e.bw) ELSE e.bw_shared END AS bw FROM edge e JOIN link l USING (dest, src) LEFT JOIN edge p ON p.dest = e.p_dest AND p.src = e.p_src),
+peers AS (SELECT *, count(*) OVER (PARTITION BY dest) AS n FROM shared WHERE dest <> src)
+SELECT dest, round({PEER_BYTES} / (sum(bw) * 0.8::DOUBLE ** any_value(n) * 1e9) * 1e6, 6) + 0.0 AS sum_us, round(sum(ti + ({PEER_BYTES} // n) / (1e9 * bw)) * 1e6, 6) + 0.0 AS mean_us, count(*) AS peers FROM peers GROUP BY dest""")
 def cm24_peer_bandwidth(spark, sf):
-    """Bytes over all peers' links at once, and in equal parts."""
-    e = edge(spark, sf).where("dest <> src").groupBy("dest").agg(F.collect_list(F.struct("src", "bw")).alias("l"), F.count("*").alias("peers"))
-    bws, hops = F.transform("l", lambda x: x["bw"]), F.transform("l", lambda x: (x["src"] % 2 + 1).cast("double"))
-    mean = F.aggregate(bws, F.lit(0.0), lambda a, b: a + 33554432 / 4.0 / (b * 1e9))
-    return e.select("dest", r(cm.sum_bandwidth(F.lit(33554432), bws, 0.2, hops) * 1e6).alias("sum_us"), r(mean * 1e6).alias("mean_us"), "peers")
+    """Bytes over all peers' shared links at once, and in equal parts one after the other."""
+    shared = lk.resolved(edge(spark, sf)).join(link(spark, sf), ["dest", "src"]).where("dest <> src")
+    e = shared.groupBy("dest").agg(F.sort_array(F.collect_list(F.struct("src", "ti", F.col("bw_shared").alias("bw")))).alias("l"))
+    sums = cm.sum_bandwidth_time(F.lit(PEER_BYTES), F.transform("l", lambda x: x["bw"]))
+    return e.select("dest", r(sums * 1e6).alias("sum_us"), r(cm.mean_bandwidth_time(F.lit(PEER_BYTES), F.col("l")) * 1e6).alias("mean_us"), F.size("l").cast("long").alias("peers"))
 
 
 @query("cm28_watts_and_limits", f"WITH {LOOKUP_SQL}, {PROB_SQL} SELECT pid, (SELECT arg_max(w, T) FROM lookup) AS watts, greatest((SELECT min(T) FROM lookup), 1024) AS min_t, least(D1, D2, D3) AS max_t, (SELECT max(T) FROM lookup) AS top FROM prob")
@@ -165,7 +171,13 @@ def lm5_one_hop_routes(spark, sf):
     return lk.one_hop_routes(edge(spark, sf)).select("dest", "src", "bw", F.array_join(F.col("routes").cast("array<string>"), ",").alias("routes"))
 
 
-SLOW_SQL = "slow AS (SELECT a.dest, a.src, b.dest AS odest, b.src AS osrc, 0.9::DOUBLE + ((a.dest * 7 + a.src * 3 + b.dest * 2 + b.src + 20) % 13) / 8.0::DOUBLE AS sl FROM link a, link b WHERE a.dest <> a.src AND b.dest <> b.src AND (a.dest <> b.dest OR a.src <> b.src)), live AS (SELECT dest, src FROM link WHERE dest <> src AND dest < 3 AND src < 3)"
+SLOW_SQL = """slow AS (SELECT a.dest, a.src, b.dest AS odest, b.src AS osrc, 0.9::DOUBLE + ((a.dest * 7 + a.src * 3 + b.dest * 2 + b.src + 20) % 13) / 8.0::DOUBLE AS sl FROM link a, link b WHERE a.dest <> a.src AND b.dest <> b.src AND (a.dest <> b.dest OR a.src <> b.src)),
+hopped AS (SELECT DISTINCT a.src, b.dest FROM edge a JOIN edge b ON b.src = a.dest AND b.dest <> a.src JOIN edge e ON e.dest = b.dest AND e.src = a.src WHERE a.dest <> a.src AND b.dest <> b.src AND 0.8::DOUBLE * least(a.bw, b.bw) > e.bw),
+act AS (SELECT dest, src, p_dest, p_src FROM edge WHERE dest <> src AND ((dest IN (0, 1, 2) AND src IN (-1, 0, 1, 2)) OR (src IN (0, 1, 2) AND dest IN (-1, 0)))),
+live AS (SELECT * FROM act ANTI JOIN hopped USING (dest, src)),
+bringing AS (SELECT dest, src FROM edge e WHERE dest <> src AND dest IN (0, 1, 2) AND src IN (-1, 0) AND NOT EXISTS (SELECT 1 FROM hopped h WHERE h.dest = e.dest AND h.src = e.src)),
+hit AS (SELECT l.dest, l.src, max(s.sl) AS sl FROM live l JOIN slow s ON s.dest = l.dest AND s.src = l.src JOIN bringing o ON o.dest = s.odest AND o.src = s.osrc WHERE NOT (s.odest = l.p_dest AND s.osrc = l.p_src) GROUP BY ALL),
+causes AS (SELECT DISTINCT s.odest AS dest, s.osrc AS src FROM slow s JOIN act v ON v.dest = s.dest AND v.src = s.src WHERE s.sl > 1.05)"""
 
 
 def slowdowns(spark, sf):
@@ -175,21 +187,13 @@ def slowdowns(spark, sf):
     return a.join(b, (c("dest") != c("odest")) | (c("src") != c("osrc"))).withColumn("sl", 0.9 + (c("dest") * 7 + c("src") * 3 + c("odest") * 2 + c("osrc") + 20) % 13 / 8.0)
 
 
-@query("lm6_residual_slowdown", f"WITH {LINK_SQL}, {SLOW_SQL} SELECT l.dest, l.src, least(2.0, greatest(1.0, coalesce(max(s.sl), 1.0)))::DOUBLE AS sl, (any_value(c.n) IS NOT NULL) AS causes FROM live l LEFT JOIN (SELECT s.* FROM slow s JOIN live o ON o.dest = s.odest AND o.src = s.osrc) s ON s.dest = l.dest AND s.src = l.src LEFT JOIN (SELECT odest, osrc, count(*) AS n FROM slow s JOIN live v ON v.dest = s.dest AND v.src = s.src WHERE sl > 1.05 GROUP BY ALL) c ON c.odest = l.dest AND c.osrc = l.src GROUP BY ALL")
+@query("lm6_residual_slowdown", f"WITH {LINK_SQL}, {SLOW_SQL} SELECT l.dest, l.src, least(2.0, greatest(1.0, coalesce(hit.sl, 1.0)))::DOUBLE AS sl, c.dest IS NOT NULL AS causes FROM live l LEFT JOIN hit ON hit.dest = l.dest AND hit.src = l.src LEFT JOIN causes c ON c.dest = l.dest AND c.src = l.src")
 def lm6_residual_slowdown(spark, sf):
-    """What other active links cost each one, and whether it slows any itself."""
-    act, slow = lk.activated(edge(spark, sf), [0, 1, 2], [-1]), slowdowns(spark, sf)
+    """What links that bring operands cost each active one after rerouting, and whether it slows any itself."""
+    e, slow = edge(spark, sf), slowdowns(spark, sf)
+    act, hopped = lk.activated(e, [0, 1, 2], [-1, 0]), lk.one_hop_routes(e).where(F.size("routes") > 0)
     causes = lk.causes_slowdown(act, slow).withColumn("c", F.lit(True))
-    return lk.residual_slowdown(act, slow).join(causes, ["dest", "src"], "left").select("dest", "src", "sl", F.coalesce("c", F.lit(False)).alias("causes"))
-
-
-@query("tn3_best_benchmarked", f"WITH {LOOKUP_SQL}, {PROB_SQL}, c AS (SELECT pid, T, round((t_s * ceil(D1::DOUBLE / T) * ceil(D2::DOUBLE / T) * ceil(D3::DOUBLE / T) + t_s) * 1e6, 3) AS us FROM prob, lookup WHERE T <= least(D1, D2, D3)) SELECT pid, arg_min(T, (us, -T)) AS T, min(us) + 0.0 AS us FROM c GROUP BY pid")
-def tn3_best_benchmarked(spark, sf):
-    """Least predicted time over the benchmarked tiles."""
-    c = problems(spark, sf).join(F.broadcast(lookup(spark)), F.col("T") <= F.least("D1", "D2", "D3"))
-    us = (F.col("sec") * F.ceil(F.col("D1") / F.col("T")) * F.ceil(F.col("D2") / F.col("T")) * F.ceil(F.col("D3") / F.col("T")) + F.col("sec")) * 1e6
-    best = tn.best_benchmarked_tile(c.select("pid", "T", F.round(us, 3).alias("sec")))
-    return best.select("pid", "T", (F.col("sec") + 0.0).alias("us"))
+    return lk.residual_slowdown(act, slow, [0, 1, 2], [-1, 0], hopped).join(causes, ["dest", "src"], "left").select("dest", "src", "sl", F.coalesce("c", F.lit(False)).alias("causes"))
 
 
 @query("tf2_device_subsets", "SELECT c AS \"case\", list_filter(range(5), lambda k: (c >> k::INT) & 1 = 1)::INT[]::VARCHAR AS units FROM range(1, 32) x(c) WHERE bit_count(c) <= 3")

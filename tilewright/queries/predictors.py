@@ -330,3 +330,23 @@ def ds5_block_uneven(spark, sf):
     s = F.array(0.1 + F.col("p_size") % 3 * 0.1, F.lit(0.25), F.lit(0.2), 0.45 - F.col("p_size") % 3 * 0.1)
     p = table(spark, sf, "part").select((2 + F.col("p_size") % 9).cast("long").alias("g1"), (2 + k % 11).cast("long").alias("g2"), F.lit(2).cast("long").alias("g3"), s.alias("scores")).distinct()
     return tn.block_units(p.withColumn("pid", F.xxhash64("g1", "g2", "scores"))).select("pid", "mi", "ni", "unit")
+
+
+#: As ``model_sql``, with a row for each benchmarked tile that a problem allows.
+BENCHED_SQL = model_sql(3, "la,lb,lc").replace("SELECT pid, unit, D1, D2, D3, least(T_in, least(D1, D2, D3))::BIGINT AS T", "SELECT pid * 100 + b.T // 256 AS pid, unit, D1, D2, D3, b.T AS T").replace("FROM prob), \nq1", "FROM prob), q1").replace("loc_c - 1 AS lc FROM prob)", "loc_c - 1 AS lc FROM prob JOIN lookup b ON b.T <= least(D1, D2, D3))")
+
+
+@query("tn3_best_benchmarked", f"""WITH {BENCHED_SQL}, {REUSE_SQL}, timed AS (SELECT pid // 100 AS pid, T, round(greatest(tt, greatest(i * r, o * s)) * ({V} - 1) + tt + i * r + o * s, 10) AS aware, round(total, 10) AS reuse FROM reuse)
+SELECT pid, arg_min(T, (aware, T)) FILTER (aware >= 0) AS T_aware, round(min(aware) FILTER (aware >= 0) * 1e6, 3) + 0.0 AS aware_us, arg_min(T, (reuse, T)) FILTER (reuse >= 0) AS T_reuse, round(min(reuse) FILTER (reuse >= 0) * 1e6, 3) + 0.0 AS reuse_us FROM timed GROUP BY pid""")
+def tn3_best_benchmarked(spark, sf):
+    """The benchmarked tile of least predicted time, by the location-aware and by the reuse model; of equal ones the first."""
+    locs = [(F.col(f"loc_{x}") - 1).alias(f"loc_{x}") for x in "abc"]
+    tiles = F.broadcast(lookup(spark).select(F.col("T").alias("bench")))
+    each = problems(spark, sf).join(tiles, F.col("bench") <= F.least("D1", "D2", "D3"))
+    each = each.select((F.col("pid") * 100 + F.expr("bench div 256")).alias("pid"), "unit", "D1", "D2", "D3", F.col("bench").alias("T"), *locs)
+    at = pr.with_tile_transfers(pr.prepared(each, unit_lookup(spark), links(spark, sf)), "gemm", UNITS)
+    timed = at.select(F.expr("pid div 100").alias("pid"), "T", F.explode(F.array(F.struct(F.lit("aware").alias("model"), pr.steady("gemm", True).alias("sec")), F.struct(F.lit("reuse").alias("model"), pr.reuse().alias("sec")))).alias("m")).select("T", F.struct("pid", "m.model").alias("pid"), "m.sec")
+    best = tn.best_benchmarked_tile(timed, 10)
+    one = lambda model: F.when(F.col("pid.model") == model, F.struct("T", "sec"))
+    both = best.groupBy(F.col("pid.pid").alias("pid")).agg(F.max(one("aware")).alias("a"), F.max(one("reuse")).alias("b"))
+    return both.select("pid", F.col("a.T").alias("T_aware"), us(F.col("a.sec"), 3).alias("aware_us"), F.col("b.T").alias("T_reuse"), us(F.col("b.sec"), 3).alias("reuse_us"))
