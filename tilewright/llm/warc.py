@@ -17,6 +17,7 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,15 +91,19 @@ class Found:
 
 
 class Damaged(ValueError):
-    """A check failed; ``found`` are the records that are whole all the same."""
+    """A check failed; ``found`` are the records that are whole all the same, ``end`` is where to go on, if that is known."""
 
-    def __init__(self, reason: str, found: list[Found] | None = None):
+    def __init__(self, reason: str, found: list[Found] | None = None, end: int | None = None):
         super().__init__(reason)
-        self.found = found or []
+        self.found, self.end = found or [], end
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and end of the record at a place; Damaged if a check fails."""
+    """Headers, block and end of the record at a place; Damaged if a check fails.
+
+    Where the record ends as its length says and only a digest differs, what it holds isn't searched: a record
+    inside its payload is its payload.
+    """
     if not VERSION_LINE.match(data, at):
         raise Damaged("no version line")
     stop = data.find(b"\r\n\r\n", at)
@@ -118,11 +123,11 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("the record doesn't end where its length says")
     block, digest = data[begin:end], headers.get("warc-block-digest")
     if digest and digest.startswith("sha1:") and digest[5:] != base32_sha1(block):
-        raise Damaged("the block digest differs")
+        raise Damaged("the block digest differs", end=end + 4)
     payload = payload_of(headers, block)
     digest = headers.get("warc-payload-digest")
     if payload is not None and digest and digest.startswith("sha1:") and digest[5:] != base32_sha1(payload):
-        raise Damaged("the payload digest differs")
+        raise Damaged("the payload digest differs", end=end + 4)
     return headers, block, end + 4
 
 
@@ -149,57 +154,87 @@ def unpack(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at - len(pack.unused_data)
 
 
-def inflated(data: bytes, at: int) -> bytes:
-    """What a damaged gzip member gives up to the place where it can't be read on."""
+def inflated(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """What a damaged gzip member gives up to the place where it can't be read on.
+
+    Also places in ``data`` and how much was unpacked until each, in order, ``STEP`` bytes apart but for the last ones.
+    """
     pack, parts, view = zlib.decompressobj(31), [], memoryview(data)
-    step = STEP
+    step, size, marks = STEP, 0, [(at, 0)]
     while at < len(data) and not pack.eof:
+        before = pack.copy()
         try:
             parts.append(pack.decompress(view[at : at + step]))
-            at += step
         except zlib.error:
             if step == 1:
                 break
             # what came of the failing piece is lost: once more, this piece byte by byte
-            pack, step = zlib.decompressobj(31), 1
-            for k in range(at - STEP * len(parts), at, STEP):
-                pack.decompress(view[k : k + STEP])
-    return b"".join(parts)
-
-
-def _in_member(plain: bytes, begin: int, end: int, sound: bool = True) -> list[Found]:
-    """Records of a member's bytes, and the gaps between them; of a damaged one, those that a digest confirms."""
-    found, k, gap, reason = [], 0, None, ""
+            pack, step = before, 1
+            continue
+        at, size = min(at + step, len(data)), size + len(parts[-1])
+        marks.append((at, size))
+    return b"".join(parts), marks
+
+
+def covered(data: bytes, marks: list[tuple[int, int]], size: int) -> int:
+    """The place in ``data`` up to which a member was read when ``size`` bytes were unpacked of it."""
+    k = bisect_left(marks, size, key=lambda m: m[1])
+    if k == 0:
+        return marks[0][0]
+    at, done = marks[k - 1]
+    if marks[k][0] - at == 1:
+        return marks[k][0]
+    pack, view = zlib.decompressobj(31), memoryview(data)
+    for (a, _), (b, _) in zip(marks[: k - 1], marks[1:k]):
+        pack.decompress(view[a:b])
+    while done < size and at < marks[k][0]:
+        done += len(pack.decompress(view[at : at + 1]))
+        at += 1
+    return at
+
+
+def _in_member(plain: bytes, begin: int, end: int, sound: bool = True) -> tuple[list[Found], int]:
+    """Records of a member's bytes and the gaps between them, and where the last record ends; of a damaged member, those that a digest confirms."""
+    found, k, gap, reason, last = [], 0, None, "", 0
     while k < len(plain):
         try:
             headers, block, stop = parse_record(plain, k)
             if not sound and not headers.get("warc-block-digest", "").startswith("sha1:"):
-                raise Damaged("no digest in a damaged member")
+                raise Damaged("no digest in a damaged member", end=stop)
         except Damaged as error:
             if gap is None:
                 gap, reason = k, str(error)
             line = VERSION_LINE.search(plain, k + 1)
-            k = line.start() if line else len(plain)
+            k = error.end or (line.start() if line else len(plain))
             continue
         if gap is not None:
             found.append(Found(begin, end, reason=f"{reason}; bytes {gap} to {k} of the member"))
             gap = None
         found.append(Found(begin, end, headers, block))
-        k = stop
-    if gap is not None:
+        k = last = stop
+    if gap is not None and sound:
         found.append(Found(begin, end, reason=f"{reason}; bytes {gap} to {len(plain)} of the member"))
-    return found
+    return found, last
 
 
 def _at(data: bytes, at: int) -> tuple[list[Found], int]:
-    """The records of the gzip member, or the plain record, at a place; gaps are those inside a sound member."""
+    """The records of the gzip member, or the plain record, at a place; gaps are those inside a sound member.
+
+    Of a damaged member what its records cover is done with; the search goes on behind that.
+    """
     if data.startswith(MAGIC, at):
         try:
             plain, end = unpack(data, at)
         except Damaged as error:
-            found = _in_member(inflated(data, at), at, len(data), False)
-            raise Damaged(str(error), found if any(x.headers for x in found) else None) from None
-        return _in_member(plain, at, end), end
+            plain, marks = inflated(data, at)
+            found, last = _in_member(plain, at, at, False)
+            if not last:
+                raise
+            end = covered(data, marks, last)
+            for x in found:
+                x.end = end
+            raise Damaged(str(error), found, end) from None
+        return _in_member(plain, at, end)[0], end
     headers, block, end = parse_record(data, at)
     return [Found(at, end, headers, block)], end
 
@@ -217,12 +252,16 @@ def salvage(data: bytes) -> Iterator[Found]:
                 gap = None
             yield from error.found
             if gap is None:
-                gap, reason = at, str(error)
-            if line <= at:
-                line = m.start() if (m := VERSION_LINE.search(data, at + 1)) else len(data)
-            if packed <= at:
-                packed = p if (p := data.find(MAGIC, at + 1)) >= 0 else len(data)
+                gap, reason = (error.end if error.found else at), str(error)
+            # from where the failed check says, that place included, or else from the next byte
+            start = error.end or at + 1
+            if line < start:
+                line = m.start() if (m := VERSION_LINE.search(data, start)) else len(data)
+            if packed < start:
+                packed = p if (p := data.find(MAGIC, start)) >= 0 else len(data)
             at = min(packed, line)
+            if gap == at:
+                gap = None
             continue
         if gap is not None:
             yield Found(gap, at, reason=reason)
