@@ -77,6 +77,17 @@ def test_shots_by_histogram():
     flat = lambda v, n: np.full((n, 16, 64), v, np.uint8)
     assert avi.shots(np.concatenate([flat(10, 5), flat(200, 4), flat(90, 1)])) == [0, 5, 9]
     assert avi.shots(flat(7, 9)) == [0]
+    # cuts every four frames; a fade of steady change, one of uneven change, and flickers of one and of two frames
+    assert avi.shots(np.concatenate([flat(20 + 50 * (k % 4), 4) for k in range(10)])) == list(range(0, 40, 4))
+    assert avi.shots(np.stack([flat(6 * k, 1)[0] for k in range(40)])) == [0]
+    rng = np.random.default_rng(3)
+    fade = np.stack([np.where(rng.random(flat(0, 1)[0].shape) < k / 40, 200, 10).astype(np.uint8) for k in range(40)])
+    assert avi.shots(fade) == [0]
+    assert avi.shots(np.concatenate([flat(10 if k % 2 else 220, 1) for k in range(40)])) == [0]
+    assert avi.shots(np.concatenate([flat(10 if k % 2 else 220, 2) for k in range(20)])) == [0]
+    # a cut after a flicker, and one out of a fade
+    assert avi.shots(np.concatenate([*[flat(100 if k % 2 else 130, 1) for k in range(30)], flat(250, 20)])) in ([0], [0, 30])
+    assert avi.shots(np.concatenate([fade, flat(90, 30)])) == [0, 40]
 
 
 def test_rows(spark):

@@ -34,12 +34,13 @@ from tilewright.llm.jpeg import BadMedia
 WIDTH, ROWS = 64, 16
 FPS = 25
 #: Levels of a frame's histogram.
-BINS = 16
-#: A cut is a difference over this share of the pixels at least ...
+BINS = 64
+#: A cut is a difference over this share of the range at least ...
 LEAST_CHANGE = 0.10
-#: ... and over the mean of the differences before it by so many deviations.
-DEVIATIONS = 2.0
-WINDOW = 12
+#: ... and over so many times the median of those up to so many frames before and after ...
+TIMES, WINDOW = 3.0, 12
+#: ... and larger than any within so many frames of it, else it is part of a flicker or fade.
+ALONE = 2
 
 _diffs = np.arange(-255, 256)
 _sizes = np.array([int(abs(d)).bit_length() for d in _diffs])
@@ -245,24 +246,29 @@ def read_avi(data: bytes) -> Movie:
 
 
 def changes(samples: np.ndarray) -> np.ndarray:
-    """For each frame but the first, the share of its pixels that changed level."""
+    """For each frame but the first, how far its pixels' levels moved: the distance that turns one histogram into the other, of the whole range.
+
+    A small shift of all pixels is a small change, so a fade isn't a row of jumps from level to level.
+    """
     if len(samples) < 2:
         return np.zeros(0)
     frames = np.arange(len(samples))[:, None] * BINS
-    levels = (samples.reshape(len(samples), -1) >> 4).astype(np.int64)
+    levels = (samples.reshape(len(samples), -1) // (256 // BINS)).astype(np.int64)
     counts = np.bincount((frames + levels).ravel(), minlength=len(samples) * BINS).reshape(-1, BINS)
-    return np.abs(np.diff(counts, axis=0)).sum(axis=1) / (2 * levels.shape[1])
+    return np.abs(np.cumsum(np.diff(counts, axis=0), axis=1)).sum(axis=1) / (levels.shape[1] * (BINS - 1))
 
 
 def shots(samples: np.ndarray) -> list[int]:
-    """First frames of the shots: where the histogram changes by more than the frames before let expect."""
-    change, found, last = changes(samples), [0], 0
-    for k, x in enumerate(change.tolist()):
-        if x >= LEAST_CHANGE:
-            seen = change[max(last, k - WINDOW) : k]
-            if not len(seen) or x > seen.mean() + DEVIATIONS * seen.std():
-                found.append(k + 1)
-                last = k + 1
+    """First frames of the shots: where the histogram changes by more than the frames before and after let expect.
+
+    Every difference counts for the ones around it, cuts too; so steady change, like a fade's or a flicker's, is no cut.
+    """
+    change, found = changes(samples), [0]
+    for k in np.flatnonzero(change >= LEAST_CHANGE).tolist():
+        around = np.concatenate([change[max(0, k - WINDOW) : k], change[k + 1 : k + 1 + WINDOW]])
+        near = np.concatenate([change[max(0, k - ALONE) : k], change[k + 1 : k + 1 + ALONE]])
+        if not len(around) or change[k] > TIMES * np.median(around) and change[k] > near.max():
+            found.append(k + 1)
     return found
 
 
@@ -326,8 +332,8 @@ def decode_media(media: DataFrame) -> DataFrame:
     """One row for each of :func:`encode_media`'s: digests of what was read back, and its clips.
 
     A damaged file gives nulls and its ``error``; null media give nulls. Of a movie by another writer the
-    luminance counts as what was read back. Repeated rows come back repeated; equal media give equal values. Of
-    equal changes in a row only the first can be a cut: the next doesn't stand out from it.
+    luminance counts as what was read back. Repeated rows come back repeated; equal media give equal values. Equal
+    changes in a row are no cut: none stands out from the others.
     """
     kind = media.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, clips {CLIPS}, error string"
