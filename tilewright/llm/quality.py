@@ -1,9 +1,9 @@
 """Quality rules with host verdicts.
 
 Rules judge each document. Their failures are counted by host, each rule's on its own; a host's
-failure rate is shrunk towards those of all hosts with a beta prior fitted to that rule (method of
-moments), so that a host of few documents isn't judged by chance. Documents of
-a host that has a rule's shrunk rate over its limit go with it.
+failure rate is shrunk towards those of all hosts with a beta prior fitted to that rule (beta-binomial moments:
+what hosts differ beyond chance), so that a host of few documents isn't judged by chance. Documents of
+a host that has a rule's shrunk rate over its limit go with it; the limit is where the fitted prior ends.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from tilewright.llm.common import as_bytes, bound_batches, slices, small_side, s
 
 BLANK = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
-#: A host goes if its shrunk failure rate of a rule is over this.
+#: A host goes if its shrunk failure rate of a rule stands out from the prior: over the mean by so many deviations,
+#: twice the mean and so much more than the mean ...
+DEVIATIONS, TIMES, MORE = 3.0, 2.0, 0.05
+#: ... or is over this, whatever other hosts do.
 HOST_LIMITS = {"lines": 0.3, "repeats": 0.5, "short": 0.5, "symbols": 0.3}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -69,40 +72,53 @@ def failures() -> dict[str, Column]:
     return {"lines": 20 * F.col("n_dup_lines") > n, "repeats": 100 * F.col("n_repeat_words") > 50 * n, "short": n < 50, "symbols": 10 * F.col("n_symbols") > n}
 
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """``(host, n_docs, rates)`` from rows of :func:`base_rules`; ``rates`` has each rule's ``rule, n_failed, shrunk_rate``.
+#: The least share of variance that is taken to be the hosts' own: with less, rates are pooled all but wholly.
+LEAST_SHARE = 1e-6
 
-    A rule's prior has the mean of the hosts' rates, and its strength a + b is
-    m (1 - m) / v - 1 for their variance v over the hosts, but at least 1; where the
-    variance is 0 (also with one host) it is the mean number of documents a host.
+
+def prior(n_docs: float, squares: float, hosts: int, failed: float, weighed: float) -> tuple[float, float]:
+    """Mean and intra-host correlation 1 / (a + b + 1) of a beta prior, by moments of a beta-binomial.
+
+    From sums over the hosts: documents n, n^2, hosts, failures f, f^2 / n. The sampling noise of the rates, m (1 - m) / n each, is taken off
+    what they differ, each host weighing its documents.
     """
+    m = failed / n_docs if n_docs else 0.0
+    own = n_docs - squares / n_docs - (hosts - 1) if n_docs else 0.0
+    chance = m * (1 - m)
+    share = (weighed - n_docs * m * m - chance * (hosts - 1)) / (chance * own) if chance > 1e-12 and own > 1e-9 else 0.0
+    return m, min(1.0 - LEAST_SHARE, max(LEAST_SHARE, share))
+
+
+def host_rates(rows: DataFrame, host_limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
+    """``(host, n_docs, rates)`` from rows of :func:`base_rules`; ``rates`` has each rule's ``rule, n_failed, shrunk_rate, limit``."""
     failed = [F.count_if(c).alias(f"n_{rule}") for rule, c in failures().items()]
     own = staged(rows.groupBy("host").agg(F.count("*").alias("n_docs"), *failed), "hosts")
-    rate = {rule: F.col(f"n_{rule}") / F.col("n_docs") for rule in HOST_LIMITS}
-    # a mean and a variance for each rule, over all hosts
-    seen = own.agg(F.avg("n_docs").alias("size"), *(f(rate[r]).alias(f"{k}_{r}") for r in rate for k, f in (("m", F.avg), ("v", F.var_pop)))).first()
+    # sums for each rule, over all hosts
+    n = F.col("n_docs").cast("double")
+    sums = [F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count("*").alias("hosts")]
+    seen = own.agg(*sums, *(f for r in host_limits for f in (F.sum(f"n_{r}").alias(f"f_{r}"), F.sum(F.col(f"n_{r}") * F.col(f"n_{r}") / n).alias(f"w_{r}")))).first()
 
-    def shrunk(rule: str) -> Column:
-        m, v = seen[f"m_{rule}"] or 0.0, seen[f"v_{rule}"] or 0.0
-        strength = max(1.0, m * (1 - m) / v - 1) if v > 1e-12 else seen["size"] or 1.0
-        return (F.col(f"n_{rule}") + m * strength) / (F.col("n_docs") + strength)
+    def judged(rule: str) -> Column:
+        m, share = prior(seen["n"] or 0.0, seen["nn"] or 0.0, seen["hosts"], seen[f"f_{rule}"] or 0, seen[f"w_{rule}"] or 0.0)
+        strength = 1 / share - 1
+        limit = min(host_limits[rule], max(m + DEVIATIONS * (m * (1 - m) * share) ** 0.5, TIMES * m, m + MORE))
+        rate = (F.col(f"n_{rule}") + m * strength) / (F.col("n_docs") + strength)
+        return F.struct(F.lit(rule).alias("rule"), F.col(f"n_{rule}").alias("n_failed"), rate.alias("shrunk_rate"), F.lit(limit).alias("limit"))
 
-    each = [F.struct(F.lit(rule).alias("rule"), F.col(f"n_{rule}").alias("n_failed"), shrunk(rule).alias("shrunk_rate")) for rule in rate]
-    return own.select("host", "n_docs", F.array(*each).alias("rates"))
+    return own.select("host", "n_docs", F.array(*map(judged, host_limits)).alias("rates"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
     """``(id, COUNTS, base_failed, host_rule, host_rate, kept)`` for every row.
 
-    Kept: passed the base rules, of a host whose shrunk failure rates are at most ``host_limits``.
+    Kept: passed the base rules, of a host whose shrunk failure rates are at most their limits: those of the fitted prior, ``host_limits`` at most.
     ``host_rule`` is the rule that the host's rate is nearest to, or farthest over, the limit of; ``host_rate`` that
     rate; ties go to the first in order of the names. Null texts have no words and fail; null hosts are one host. Repeated rows
     count each. Other columns don't matter. Empty in, empty out.
     """
     rows = staged(base_rules(docs, id_col, text_col, host_col), "base_rules")
-    limit = F.create_map(*[F.lit(x) for pair in sorted(host_limits.items()) for x in pair])
     # to nine places: rates are sums, and ties are to be ties
-    over = F.transform("rates", lambda x: F.struct((-F.round(x["shrunk_rate"] / F.element_at(limit, x["rule"]), 9)).alias("near"), x["rule"].alias("rule"), x["shrunk_rate"].alias("rate")))
-    rates = staged(host_rates(rows).select(F.col("host").alias("_host"), F.array_min(over).alias("_x")), "host_rates")
+    over = F.transform("rates", lambda x: F.struct((-F.round(x["shrunk_rate"] / x["limit"], 9)).alias("near"), x["rule"].alias("rule"), x["shrunk_rate"].alias("rate")))
+    rates = staged(host_rates(rows, host_limits).select(F.col("host").alias("_host"), F.array_min(over).alias("_x")), "host_rates")
     joined = rows.join(small_side(rates), F.col("host").eqNullSafe(F.col("_host")))
     return joined.select("id", *COUNTS, "base_failed", F.col("_x.rule").alias("host_rule"), F.col("_x.rate").alias("host_rate"), (~F.col("base_failed") & (F.col("_x.near") >= -1)).alias("kept"))

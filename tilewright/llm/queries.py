@@ -89,9 +89,10 @@ ruled AS (
   SELECT source, rule, limit_, CASE rule WHEN 'lines' THEN 20 * n_dup_lines > n_words WHEN 'repeats' THEN 100 * n_repeat_words > 50 * n_words WHEN 'short' THEN n_words < 50 ELSE 10 * n_symbols > n_words END AS bad
   FROM failed, (VALUES ('lines', 0.3::DOUBLE), ('repeats', 0.5), ('short', 0.5), ('symbols', 0.3)) r(rule, limit_)),
 hosts AS (SELECT source, rule, limit_, count(*) AS n_docs, sum(bad::INT) AS n_failed FROM ruled GROUP BY source, rule, limit_),
-moments AS (SELECT rule, avg(n_failed / n_docs) AS m, var_pop(n_failed / n_docs) AS v, avg(n_docs) AS size FROM hosts GROUP BY rule),
-prior AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE size END AS strength FROM moments),
-rates AS (SELECT source, rule, limit_, (n_failed + m * strength) / (n_docs + strength) AS rate FROM hosts JOIN prior USING (rule)),
+sums AS (SELECT rule, sum(n_docs)::DOUBLE AS n, sum(n_docs::DOUBLE * n_docs) AS nn, count(*) AS hosts, sum(n_failed)::DOUBLE / sum(n_docs) AS m, sum(n_failed::DOUBLE * n_failed / n_docs) AS w FROM hosts GROUP BY rule),
+chance AS (SELECT *, m * (1 - m) AS mm, n - nn / n - (hosts - 1) AS own FROM sums),
+prior AS (SELECT rule, m, mm, least(1 - 1e-6::DOUBLE, greatest(1e-6::DOUBLE, CASE WHEN mm > 1e-12 AND own > 1e-9 THEN (w - n * m * m - mm * (hosts - 1)) / (mm * own) ELSE 0 END)) AS share FROM chance),
+rates AS (SELECT source, rule, least(limit_, greatest(m + 3 * sqrt(mm * share), 2 * m, m + 0.05::DOUBLE)) AS limit_, (n_failed + m * (1 / share - 1)) / (n_docs + (1 / share - 1)) AS rate FROM hosts JOIN prior USING (rule)),
 near AS (SELECT *, round(rate / limit_, 9) AS near FROM rates),
 verdict AS (SELECT source, arg_min(rule, (-near, rule)) AS host_rule, arg_min(rate, (-near, rule)) AS host_rate, max(near) AS worst FROM near GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND worst <= 1 AS kept, host_rule, round(host_rate, 6) AS host_rate
