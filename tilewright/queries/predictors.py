@@ -337,7 +337,7 @@ BENCHED_SQL = model_sql(3, "la,lb,lc").replace("SELECT pid, unit, D1, D2, D3, le
 
 
 @query("tn3_best_benchmarked", f"""WITH {BENCHED_SQL}, {REUSE_SQL}, timed AS (SELECT pid // 100 AS pid, T, round(greatest(tt, greatest(i * r, o * s)) * ({V} - 1) + tt + i * r + o * s, 10) AS aware, round(total, 10) AS reuse FROM reuse)
-SELECT pid, arg_min(T, (aware, T)) FILTER (aware >= 0) AS T_aware, round(min(aware) FILTER (aware >= 0) * 1e6, 3) + 0.0 AS aware_us, arg_min(T, (reuse, T)) FILTER (reuse >= 0) AS T_reuse, round(min(reuse) FILTER (reuse >= 0) * 1e6, 3) + 0.0 AS reuse_us FROM timed GROUP BY pid""")
+SELECT pid, arg_min(T, (aware, T)) FILTER (aware >= 0) AS T_aware, round(min(aware) FILTER (aware >= 0) * 1e6, 4) + 0.0 AS aware_us, arg_min(T, (reuse, T)) FILTER (reuse >= 0) AS T_reuse, round(min(reuse) FILTER (reuse >= 0) * 1e6, 4) + 0.0 AS reuse_us FROM timed GROUP BY pid""")
 def tn3_best_benchmarked(spark, sf):
     """The benchmarked tile of least predicted time, by the location-aware and by the reuse model; of equal ones the first."""
     locs = [(F.col(f"loc_{x}") - 1).alias(f"loc_{x}") for x in "abc"]
@@ -349,4 +349,4 @@ def tn3_best_benchmarked(spark, sf):
     best = tn.best_benchmarked_tile(timed, 10)
     one = lambda model: F.when(F.col("pid.model") == model, F.struct("T", "sec"))
     both = best.groupBy(F.col("pid.pid").alias("pid")).agg(F.max(one("aware")).alias("a"), F.max(one("reuse")).alias("b"))
-    return both.select("pid", F.col("a.T").alias("T_aware"), us(F.col("a.sec"), 3).alias("aware_us"), F.col("b.T").alias("T_reuse"), us(F.col("b.sec"), 3).alias("reuse_us"))
+    return both.select("pid", F.col("a.T").alias("T_aware"), us(F.col("a.sec")).alias("aware_us"), F.col("b.T").alias("T_reuse"), us(F.col("b.sec")).alias("reuse_us"))
