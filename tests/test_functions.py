@@ -72,3 +72,21 @@ def test_distributions_give_all_tasks_once(spark):
         assert all(sum((r.pid, r.unit) == k for r in got) == q for k, q in want.items())
     with pytest.raises(ValueError):
         tn.distribute(quota, "other")
+
+
+def test_windows_by_buckets_are_the_nested_loop(spark):
+    rng = random.Random(31)
+    shapes = [(n, n, k) for n in (1, 2, 3, 7, 64, 100, 256, 1000) for k in (1, 2, 3, 5, 50, 64, 500, 2000)] + [(5, 6, 7), (0, 0, 4), (4, 4, 0)]
+    runs = [(k, *rng.choice(shapes), *(rng.randrange(2) for _ in range(3))) for k in range(900)]
+    windows = [(*(rng.randrange(2) for _ in range(3)), rng.choice([1.0, 2.0, 8.0, 64.0, 100.0, rng.uniform(1, 1500)]), rng.choice([1.0, 0.125, 8.0, 27 / 8, rng.uniform(0.01, 50)])) for _ in range(1500)]
+    windows += windows[:100] + [(0, 0, 0, 0.0, 1.0), (0, 0, 0, 1.0, -1.0)]
+    want = set()
+    for i, m, n, k, *at in runs:
+        for *where, size, ratio in windows:
+            if at == where and m == n > 0 < k and size > 0 < ratio and m * n * k <= size**3 and (m + 1) * (n + 1) * (k + 1) >= (size - 1) ** 3 and k * ratio <= n <= (k + 1) * ratio:
+                want.add(i)
+    df = spark.createDataFrame(runs, "i int, M long, N long, K long, a_loc int, b_loc int, c_loc int")
+    found = mt.in_windows(df, spark.createDataFrame(windows, "a_loc int, b_loc int, c_loc int, size double, ratio double"))
+    got = [r.i for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 20 < len(want) < 900
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()

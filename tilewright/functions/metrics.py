@@ -151,17 +151,40 @@ def admissible(level: int, tile: Column, *dims: Column) -> Column:
 def in_shape_windows(runs: DataFrame, locations: DataFrame, sizes: list[int], fat: list[int], thin: list[int]) -> DataFrame:
     """Runs ``(M, N, K, a_loc, b_loc, c_loc)`` at one of the locations whose volume is that of a cube of one of ``sizes`` and whose
     shape is one of the ratios, with room for dimensions that were rounded down.
-
-    A semi-join with the grid of parameters, whose size the arguments fix.
     """
     each = lambda xs: F.explode(F.array(*map(F.lit, xs)))
     ratios = [float(x) ** 3 / 8 for x in fat] + [8 / float(x) ** 3 for x in thin]
-    grid = locations.select(*(F.col(c).alias(f"_{c}") for c in ("a_loc", "b_loc", "c_loc")), each(ratios).alias("_ratio")).select("*", each([float(x) for x in sizes]).alias("_size"))
+    grid = locations.select("a_loc", "b_loc", "c_loc", each(ratios).alias("ratio")).select("*", each([float(x) for x in sizes]).alias("size"))
+    return in_windows(runs, grid)
+
+
+#: Buckets of a window join for each doubling.
+PER_OCTAVE = 2
+
+
+def _bucket(x: Column, slack: float = 0.0) -> Column:
+    return F.floor(F.log2(x) * PER_OCTAVE + slack).cast("int")
+
+
+def in_windows(runs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Runs ``(M, N, K, a_loc, b_loc, c_loc)`` that fit one of ``windows`` ``(a_loc, b_loc, c_loc, size, ratio)``, each once.
+
+    A run fits if it is at the location, its volume is the cube of ``size`` and N over K is ``ratio``, with room for
+    dimensions that were rounded down, and M is N. Volumes and ratios fall into logarithmic buckets. Rounding down
+    moves a volume by a factor of 8 at most and a ratio by 2, so a run has one bucket and a window the few that it can reach:
+    an equi-join, whatever the number of windows, with the exact test behind it. Dimensions are 1 and more; others fit nothing.
+    """
     m, n, k = F.col("M"), F.col("N"), F.col("K")
+    names = ["a_loc", "b_loc", "c_loc"]
+    reach = lambda low, high: F.explode(F.sequence(_bucket(low, -1e-6), _bucket(high, 1e-6)))
+    some = windows.where("size > 0 AND ratio > 0").select(*(F.col(c).alias(f"_{c}") for c in names), F.col("size").cast("double").alias("_size"), F.col("ratio").cast("double").alias("_ratio")).distinct()
+    some = some.select("*", reach(F.greatest(F.pow(F.col("_size") - 1, F.lit(3.0)) / 8, F.lit(1.0)), F.greatest(F.pow("_size", F.lit(3.0)), F.lit(1.0))).alias("_volume"))
+    some = some.select("*", reach(F.col("_ratio"), 2 * F.col("_ratio")).alias("_shape"))
     volume = (k.cast("double") * m * n <= F.pow("_size", F.lit(3.0))) & ((k + 1).cast("double") * (m + 1) * (n + 1) >= F.pow(F.col("_size") - 1, F.lit(3.0)))
-    shape = (m == n) & (n >= k * F.col("_ratio")) & (n <= (k + 1) * F.col("_ratio"))
-    where = (F.col("a_loc") == F.col("_a_loc")) & (F.col("b_loc") == F.col("_b_loc")) & (F.col("c_loc") == F.col("_c_loc"))
-    return runs.join(F.broadcast(grid), where & volume & shape, "left_semi")
+    shape = (n >= k * F.col("_ratio")) & (n <= (k + 1) * F.col("_ratio"))
+    where = [F.col(c) == F.col(f"_{c}") for c in names]
+    keys = (_bucket(k.cast("double") * m * n) == F.col("_volume")) & (_bucket(n / k) == F.col("_shape"))
+    return runs.where((m == n) & (m > 0) & (k > 0)).join(some, reduce(lambda a, b: a & b, where) & keys & volume & shape, "left_semi")
 
 
 def offload_class(*locations: Column) -> Column:

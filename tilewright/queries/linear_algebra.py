@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.operators import exact as ex
 from tilewright.operators import linalg as la
 from tilewright.queries.registry import query, r, sql_values, table, values
 
@@ -106,6 +107,13 @@ def la5_ddot(spark, sf):
     return la.dot(x, y, 7.5).select(r(F.col("v") / 1e6, 4).alias("v"))
 
 
+@query("la5_ddot_exact", "WITH t AS (SELECT o_custkey % 7 AS k, round(o_totalprice * 100)::BIGINT::HUGEINT * (o_orderkey * 7919 + 13)::HUGEINT AS p FROM orders) SELECT k, sum(p)::DOUBLE AS v FROM t GROUP BY k")
+def la5_ddot_exact(spark, sf):
+    """Inner products by customer group of cents and keys, beyond a double's digits: the exact sum, rounded once, in any partitioning."""
+    rows = table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("k"), F.round(F.col("o_totalprice") * 100).alias("v"), (F.col("o_orderkey") * 7919 + 13).cast("double").alias("w"))
+    return ex.exact_sum(rows, ["k"], "v", "w")
+
+
 @query("la6_controlled_gemm", f"WITH {E_SQL}, {P_SQL} SELECT p.i, e.i AS j, round(sum(e.v * p.v), 6) + 0.0 AS v FROM e JOIN p ON e.j = p.j GROUP BY e.i, p.i")
 def la6_controlled_gemm(spark, sf):
     """A caller-fixed plan (tiles of 32) leaves the value as it is."""
