@@ -293,7 +293,7 @@ def _band_words(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _long_fingerprints(shingle: int):
-    names = ["id", "node", "n", "shingles", *(f"w{k}" for k in range(NEAR_WORDS)), "bands", "leading"]
+    names = ["id", "hash", "node", "n", "shingles", *(f"w{k}" for k in range(NEAR_WORDS)), "bands", "leading"]
     places = band_places()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +305,8 @@ def _long_fingerprints(shingle: int):
             data = [x.tobytes() for x in sets]
             node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in data], np.uint64).view(np.int64)
             leading = [leading_hashes(x).view(np.int64).tolist() if 0 < len(x) <= FEW else None for x in sets]
-            columns = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(data, pa.binary()), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(NEAR_WORDS))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns, pa.array(leads.tolist(), pa.list_(pa.int32())), pa.array(leading, pa.list_(pa.int64()))], names)
+            columns = [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array([x if len(x) <= 8 * FEW else None for x in data], pa.binary()), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(NEAR_WORDS))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), *columns, pa.array(leads.tolist(), pa.list_(pa.int32())), pa.array(leading, pa.list_(pa.int64()))], names)
 
     return run
 
@@ -451,17 +451,20 @@ def _exact_hits(sets: list[np.ndarray]):
     return hits
 
 
-def _verified(group: pa.Table) -> pa.Table:
-    """Links by the sets among the texts that candidate links join."""
-    ids, first = np.unique(group.column("node").to_numpy(), return_index=True)
-    roots, shingles, found = group.column("root").to_numpy()[first], group.column("shingles").take(pa.array(first)), []
-    order = np.argsort(roots, kind="stable")
-    for places in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
-        sets = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in places.tolist()]
-        links = list(_reached(np.arange(len(places)), _exact_hits(sets)))
-        if links:
-            found.append(tuple(places[np.array(x)] for x in zip(*links)))
-    return _forest_rows(ids, found)
+def _verified(shingle: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links by the sets among the texts that candidate links join."""
+        ids, first = np.unique(group.column("node").to_numpy(), return_index=True)
+        roots, texts, found = group.column("root").to_numpy()[first], group.column("text"), []
+        order = np.argsort(roots, kind="stable")
+        for places in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            sets = [shingle_hashes(texts[int(first[k])].as_py(), shingle) for k in places.tolist()]
+            links = list(_reached(np.arange(len(places)), _exact_hits(sets)))
+            if links:
+                found.append(tuple(places[np.array(x)] for x in zip(*links)))
+        return _forest_rows(ids, found)
+
+    return run
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = LONG_RADIUS) -> DataFrame:
@@ -476,15 +479,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Of two texts with 15 % of the bits apart, the bands miss 1 in 30,000, with 20 % 1 in 50.
     What is joined already isn't compared again, so a group of copies costs about its
-    size. Nulls, repeats and empty tables are as for :func:`near_duplicates`.
+    size. ``docs`` is read twice: shingles aren't stored, but made again from one text of each candidate set. Nulls, repeats and empty tables are as for :func:`near_duplicates`.
     """
     names = [f"w{k}" for k in range(NEAR_WORDS)]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, node long, n int, shingles binary, " + ", ".join(f"{w} long" for w in names) + ", bands array<int>, leading array<long>"
-    rows = bound_batches(docs.select(F.col(id_col).alias("id"), as_bytes(text_col, "text"))).mapInArrow(_long_fingerprints(shingle), schema)
+    schema = f"id {kind}, hash long, node long, n int, shingles binary, " + ", ".join(f"{w} long" for w in names) + ", bands array<int>, leading array<long>"
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), as_bytes(text_col, "text"))
+    rows = bound_batches(texts).mapInArrow(_long_fingerprints(shingle), schema)
     rows = staged(rows, "long_fingerprints")
     # equal sets have equal values
-    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", *names, "bands"))), "long_nodes")
+    own = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("own")
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("least"), own, *(F.first(c).alias(c) for c in ("n", *names, "bands"))), "long_nodes")
     lead, (count, shingles) = 0, nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     while lead < BAND_BITS - 4 and count * (1 + lead) >> lead > BAND_GROUP:
         lead += 2
@@ -493,10 +498,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sent = sent.select("node", *names, "band", "word", F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.shiftrightunsigned("word", BAND_BITS - lead) if lead else F.lit(0)))).alias("key"))
     loose = components(sent.groupBy("band", "key").applyInArrow(_similar(lead, radius, SPELLED), "a long, b long").distinct())
     loose = loose.withColumnRenamed("node", "member")
-    # shuffled at every size: at scale too many texts have candidates to send them around
-    members = rows.select("node", "shingles").join(loose.hint("merge"), F.col("node") == F.col("member")).select("node", "root", "shingles").dropDuplicates(["node"])
+    # one row's text for each candidate set; shuffled at every size: at scale too many texts have candidates to send them around
+    wanted = nodes.select("node", F.col("own.id").alias("own_id"), F.col("own.hash").alias("own_hash")).join(loose, F.col("node") == F.col("member")).select("node", "root", "own_id", "own_hash")
+    members = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash"))).select("node", "root", "text")
     parts = F.pmod(F.xxhash64("root"), F.lit(1 + (shingles >> 22)))
-    edges = members.groupBy(parts.alias("part")).applyInArrow(_verified, "a long, b long")
+    edges = members.groupBy(parts.alias("part")).applyInArrow(_verified(shingle), "a long, b long")
     few = rows.where("leading IS NOT NULL").select("node", "n", "shingles", F.explode("leading").alias("key")).dropDuplicates(["node", "key"])
     shared = staged(few.groupBy("key").count().where("count > 1").select(F.col("key").alias("shared")), "shared_shingles")
     few = few.join(small_side(shared), F.col("key") == F.col("shared"), "left_semi")
