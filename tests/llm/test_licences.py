@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from tilewright.llm import licences
 
 TEXTS = {
@@ -80,3 +81,24 @@ def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", "x"), (None, "MIT licensed", "y"), (3, "\n\n\n", None), (4, ("word " * 30_000) + "\n\nThe MIT License (MIT)\n\n" + "word " * 30_000, None), (4, "Apache-2.0 licensed", None), (5, " \n", "")]
     got = sorted((str(r.id), r.licences) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, licences string")).collect())
     assert got == sorted([("1", []), ("2", []), ("None", ["MIT"]), ("3", []), ("4", ["Apache", "MIT"]), ("4", ["Apache", "MIT"]), ("5", [])])
+
+
+def test_dashes_dots_and_blanks_take_linear_time(spark):
+    """Runs that no word ends: megabytes of them in seconds."""
+    import time
+
+    docs = spark.createDataFrame([(k, x * 1_000_000 + " licensed") for k, x in enumerate(("-", ".", "-.", " ", "a-", "a."))], "doc_id long, text string")
+    began = time.time()
+    assert docs.select(F.size(licences.tokens(F.col("text"))).alias("n")).where("n > 0").count() == 6
+    assert time.time() - began < 60
+
+
+def test_unknown_is_calibrated(spark):
+    """Cuts are over a uniform guess; prose with licences' words is none, most notices never seen are found."""
+    scanner = licences.Scanner(spark)
+    assert all(licences.LEAST_CUT <= c < 1 for c in [*scanner.cuts.values(), scanner.licence_cut]) and scanner.temperature in licences.TEMPERATURES
+    held = [(f, t) for f in licences.HELD_OUT for t in licences.HELD_OUT[f]]
+    rows = [(k, t) for k, (_, t) in enumerate(held)] + [(100 + k, t) for k, t in enumerate(licences.HELD_OUT_PROSE)]
+    got = {r.id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner=scanner).collect()}
+    assert sum(got[k] == [f] for k, (f, _) in enumerate(held)) >= 13
+    assert sum(bool(got[100 + k]) for k in range(len(licences.HELD_OUT_PROSE))) <= 1
