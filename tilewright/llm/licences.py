@@ -260,8 +260,8 @@ class Scanner:
             fragment = (F.size("words") > 3) & (held_share(known, F.col("grams")) >= FRAGMENT)
             prose = cut.where((resemblance(known, F.col("grams"), F.col("text").contains("\n")) < CONFIRM) & ~fragment)
             rows = rows.unionByName(prose.select("text", F.lit(none).alias("label"), F.lit(False).alias("own"), "held"))
-        # a few thousand rows by the sample's bound: one partition, read in every iteration
-        data = self._vectors(rows.withColumn("words", tokens(F.col("text")))).select("features", "label", "own", "held").coalesce(1).persist()
+        # a few thousand rows by the sample's bound: one partition, read in every iteration; what comes before it is spread
+        data = self._vectors(rows.withColumn("words", tokens(F.col("text")))).select("features", "label", "own", "held").repartition(1).persist()
         sizes = {r["label"]: r["count"] for r in data.where("NOT held").groupBy("label").count().collect()}
         weight = F.element_at(F.array(*(F.lit((NONE_WEIGHT if k == none else CLASS_WEIGHT) / sizes.get(k, 1)) for k in range(len(self.labels)))), F.col("label") + 1)
         self.model = LogisticRegression(maxIter=60, regParam=0.0003, family="multinomial", featuresCol="features", labelCol="label", weightCol="weight").fit(data.where("NOT held").withColumn("weight", weight))
