@@ -206,17 +206,27 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
+def anchored(words: Column, anchors: list[str]) -> Column:
+    """The 1- to 3-grams with one of ``anchors`` in them, once for each; empty ones where the row ends. No other gram is a feature."""
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.get(words, i).isin(anchors))
+    spans = [(d, n) for n in (1, 2, 3) for d in range(1 - n, 1)]
+    joined = lambda i, d, n: F.coalesce(F.concat(*(x for k in range(n) for x in ([F.lit(" ")] if k else []) + [F.get(words, i + (d + k))])), F.lit(""))
+    return F.flatten(F.transform(at, lambda i: F.array(*(joined(i, d, n) for d, n in spans))))
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str, words: list[str]) -> DataFrame:
-    """``(id, para, part, words)`` of each paragraph and line that has one of ``words`` among its own.
+    """``(id, para, part, wrapped, words)`` of each paragraph and line that has one of ``words`` among its own.
 
-    ``part`` is 0 for a whole paragraph, and the line's number from 1 in one of several lines.
+    ``part`` is 0 for a whole paragraph, ``wrapped`` if it has several lines; those have their number from 1.
+    No word goes over a line's end, so lines are cut into words once and a paragraph has theirs.
     """
     blocks = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), BLANK)).alias("para", "text"))
-    whole = F.array("text")
-    parts = F.when(F.col("text").contains("\n"), F.concat(whole, F.split("text", "\n"))).otherwise(whole)
-    each = blocks.select("id", "para", F.posexplode(parts).alias("part", "text"))
-    cut = once(each, "words", tokens(F.col("text"))).select("id", "para", "part", F.col("text").contains("\n").alias("wrapped"), "words")
-    return cut.where(F.arrays_overlap("words", F.array(*map(F.lit, words))))
+    known = lambda l: F.exists(l, lambda w: w.isin(words))
+    cut = once(blocks, "lines", F.transform(F.split("text", "\n"), tokens)).where(F.exists("lines", known))
+    several = F.size("lines") > 1
+    parts = F.when(several, F.concat(F.array(F.flatten("lines")), F.col("lines"))).otherwise(F.col("lines"))
+    each = cut.select("id", "para", several.alias("several"), F.posexplode(parts).alias("part", "words"))
+    return each.where(known(F.col("words"))).select("id", "para", "part", (F.col("several") & (F.col("part") == 0)).alias("wrapped"), "words")
 
 
 def _pairs(text: str) -> set[str]:
@@ -290,19 +300,21 @@ class Scanner:
         self.licence_cut = _least_cut(licence[best != none], (label != none)[best != none], weight[best != none])
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="grams", outputCol="features")
+        counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="features_of", outputCol="features")
         counter = counter.setBinary(True) if hasattr(counter, "setBinary") else counter
-        return counter.transform(once(rows, "grams", grams(F.col("words"))))
+        return counter.transform(once(rows, "features_of", anchored(F.col("words"), self.anchors)))
 
     def scan(self, rows: DataFrame) -> DataFrame:
         """``(id, para, part, family, probability, overlap)`` for those of :func:`candidates` that are licences."""
         tempered = F.transform(vector_to_array("rawPrediction"), lambda z: z / self.temperature)
         top = lambda zs: let(F.array_max(zs), lambda m: F.transform(zs, lambda z: F.exp(z - m)))
         whole = lambda es: F.transform(es, lambda e: e / F.aggregate(es, F.lit(0.0), lambda a, x: a + x))
-        scored = self.model.transform(self._vectors(rows)).withColumn("p", let(tempered, lambda zs: let(top(zs), whole)))
-        label = F.element_at(F.array(*map(F.lit, self.labels)), F.col("prediction").cast("int") + 1)
+        # worked out once a row: the filter on it would have features and model anew for each mention
+        scored = once(self.model.transform(self._vectors(rows)), "p", let(tempered, lambda zs: let(top(zs), whole)))
+        best = F.element_at(F.array(*map(F.lit, self.labels)), F.array_position("p", F.array_max("p")).cast("int"))
         licence = 1 - F.element_at("p", self.labels.index(NONE) + 1)
-        found = scored.select("id", "para", "part", "wrapped", "grams", label.alias("best"), F.array_max("p").alias("probability"), licence.alias("licence")).where((F.col("best") != NONE) & (F.col("licence") >= self.licence_cut))
+        found = scored.where((best != NONE) & (licence >= self.licence_cut)).select("id", "para", "part", "wrapped", "words", best.alias("best"), F.array_max("p").alias("probability"))
+        found = once(found, "grams", grams(F.col("words")))
         overlap, sure = F.lit(0.0), F.lit(False)
         for f in self.families:
             overlap = F.when(F.col("best") == f, resemblance(templates()[f], F.col("grams"), F.col("wrapped"))).otherwise(overlap)
