@@ -234,20 +234,26 @@ def _pairs(text: str) -> set[str]:
     return {" ".join(x) for x in zip(words, words[1:])}
 
 
+def _literal(sets: list[set[str]]) -> Column:
+    """Sets of strings as one literal, not one for each word."""
+    return F.from_json(F.lit(dumps([sorted(x) for x in sets])), "array<array<string>>")
+
+
+def shared(templates: list[str], grams_: Column) -> Column:
+    """Those of the grams that any template has: all that :func:`resemblance` and :func:`held_share` look at, and few."""
+    return F.array_intersect(grams_, F.element_at(_literal([set().union(*({*_words(t), *_pairs(t), *_grams(_words(t))} for t in templates))]), 1))
+
+
 def resemblance(templates: list[str], grams_: Column, wrapped: Column) -> Column:
     """The largest share of a template that is there: of its words, or of its word pairs where ``wrapped``; templates of one word count by that."""
-    # one literal, not one for each word
-    literal = lambda sets: F.from_json(F.lit(dumps([sorted(x) for x in sets])), "array<array<string>>")
     share = lambda t: F.size(F.array_intersect(grams_, t)) / F.size(t)
-    best = lambda sets: F.array_max(F.transform(literal(sets), share))
+    best = lambda sets: F.array_max(F.transform(_literal(sets), share))
     return F.when(wrapped, best([_pairs(t) or set(_words(t)) for t in templates])).otherwise(best([set(_words(t)) - STOP for t in templates]))
 
 
-def held_share(templates: list[str], grams_: Column) -> Column:
-    """The largest share of the grams that one template holds: near 1 for a piece of it."""
-    sets = F.from_json(F.lit(dumps([sorted(_grams(_words(t))) for t in templates])), "array<array<string>>")
-    own = F.size(F.array_distinct(grams_))
-    return F.array_max(F.transform(sets, lambda t: F.size(F.array_intersect(grams_, t)))) / own
+def held_share(templates: list[str], grams_: Column, own: Column) -> Column:
+    """The largest share of a row's ``own`` different grams that one template holds: near 1 for a piece of it."""
+    return F.array_max(F.transform(_literal([_grams(_words(t)) for t in templates]), lambda t: F.size(F.array_intersect(grams_, t)))) / own
 
 
 class Scanner:
@@ -267,8 +273,9 @@ class Scanner:
         if sample is not None:
             known = [t for f in self.families for t in templates()[f]] + OTHER
             cut = once(once(sample, "words", tokens(F.col("text"))), "grams", grams(F.col("words")))
-            fragment = (F.size("words") > 3) & (held_share(known, F.col("grams")) >= FRAGMENT)
-            prose = cut.where((resemblance(known, F.col("grams"), F.col("text").contains("\n")) < CONFIRM) & ~fragment)
+            cut = once(cut, "met", shared(known, F.col("grams")))
+            fragment = (F.size("words") > 3) & (held_share(known, F.col("met"), F.size(F.array_distinct("grams"))) >= FRAGMENT)
+            prose = cut.where((resemblance(known, F.col("met"), F.col("text").contains("\n")) < CONFIRM) & ~fragment)
             rows = rows.unionByName(prose.select("text", F.lit(none).alias("label"), F.lit(False).alias("own"), "held"))
         # a few thousand rows by the sample's bound: one partition, read in every iteration; what comes before it is spread
         data = self._vectors(rows.withColumn("words", tokens(F.col("text")))).select("features", "label", "own", "held").repartition(1).persist()
@@ -314,7 +321,7 @@ class Scanner:
         best = F.element_at(F.array(*map(F.lit, self.labels)), F.array_position("p", F.array_max("p")).cast("int"))
         licence = 1 - F.element_at("p", self.labels.index(NONE) + 1)
         found = scored.where((best != NONE) & (licence >= self.licence_cut)).select("id", "para", "part", "wrapped", "words", best.alias("best"), F.array_max("p").alias("probability"))
-        found = once(found, "grams", grams(F.col("words")))
+        found = once(found, "grams", shared([t for ts in templates().values() for t in ts], grams(F.col("words"))))
         overlap, sure = F.lit(0.0), F.lit(False)
         for f in self.families:
             overlap = F.when(F.col("best") == f, resemblance(templates()[f], F.col("grams"), F.col("wrapped"))).otherwise(overlap)
