@@ -92,6 +92,70 @@ def test_rebalanced_is_the_loop(spark):
     assert got == via and via[0, 1] == 2
 
 
+def plainly_balanced(moves, bw, rounds, tolerance, weight):
+    """The same descent over dictionaries."""
+    pairs = {}
+    for d, s, b in moves:
+        if d != s and b is not None:
+            pairs[d, s] = pairs.get((d, s), 0) + b
+    units = sorted({u for l in bw for u in l})
+    ways = {p: [(v, [p] if v is None else [(v, p[1]), (p[0], v)]) for v in [None, *units]] for p in pairs}
+    ways = {p: [w for w in ws if all(l in bw for l in w[1])] for p, ws in ways.items()}
+
+    def etas(choice):
+        load = dict.fromkeys(bw, 0.0)
+        for p, (_, links) in choice.items():
+            for l in links:
+                load[l] += pairs[p]
+        return {l: load[l] / (bw[l] * 1e9) for l in bw}
+
+    n, mean = len(bw), lambda x: sum(x.values()) / len(bw)
+    inner = lambda x, y: sum(x[l] * y[l] for l in bw) / n - mean(x) * mean(y) + weight * mean(x) * mean(y)
+    choice = {p: ws[0] for p, ws in ways.items() if ws}
+    share, eta = {(p, w[0]): 1.0 for p, w in choice.items()}, etas(choice)
+    values = [inner(eta, eta)]
+    for _ in range(rounds):
+        cost = {l: (eta[l] - (1 - weight) * mean(eta)) / bw[l] for l in bw}
+        choice = {p: min(ws, key=lambda w: sum(cost[l] for l in w[1])) for p, ws in ways.items() if ws}
+        to = etas(choice)
+        way = {l: to[l] - eta[l] for l in bw}
+        slope, bend = inner(eta, way), inner(way, way)
+        if bend <= 0 or -2 * slope <= tolerance * values[-1]:
+            break
+        step = min(1.0, -slope / bend)
+        share = {k: v * (1 - step) for k, v in share.items()}
+        for p, w in choice.items():
+            share[p, w[0]] = share.get((p, w[0]), 0.0) + step
+        eta = {l: eta[l] + step * way[l] for l in bw}
+        values.append(inner(eta, eta))
+    return pairs, share, values
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.25])
+def test_balanced_is_the_plain_descent(spark, weight):
+    bw = {(d, s): 3.0 + (7 * d + 5 * s) % 11 + 0.125 * d for d in range(4) for s in range(4) if d != s and (d, s) != (3, 0)}
+    moves = [(0, 1, 4_000_000_000), (0, 1, 3_500_000_000), (2, 1, 900_000_000), (1, 3, 70_000), (3, 0, 2_000_000_000), (2, 2, 5), (1, 2, None), (9, 0, 8)]
+    e = spark.createDataFrame([(*k, v) for k, v in bw.items()] + [(1, 1, 0.0), (3, 0, 0.0)], "dest int, src int, bw double")
+    flows, objective = lk.balanced(spark.createDataFrame(moves, "dest int, src int, bytes long"), e, 5, 1e-6, weight)
+    pairs, share, values = plainly_balanced(moves, bw, 5, 1e-6, weight)
+    assert len(values) > 2 and objective == pytest.approx(values, rel=1e-9)
+    assert all(b <= a for a, b in zip(objective, objective[1:])) and objective[-1] < 0.7 * objective[0]
+    rows = flows.collect()
+    assert {(r.dest, r.src): r.bytes for r in rows} == pairs
+    got = {((r.dest, r.src), r.via): r.share for r in rows if r.share is not None}
+    assert got == pytest.approx({k: v for k, v in share.items() if v > 0}, abs=1e-9)
+    # no path: told so, not lost; (3, 0) has no link of its own
+    assert [r.share for r in rows if r.dest == 9] == [None] and None not in {r.via for r in rows if (r.dest, r.src) == (3, 0)}
+
+
+def test_nothing_to_balance(spark):
+    none = spark.createDataFrame([], "dest int, src int, bytes long")
+    e = spark.createDataFrame([(0, 1, 2.0)], "dest int, src int, bw double")
+    flows, objective = lk.balanced(none, e)
+    assert flows.count() == 0 and objective == [0.0]
+    assert lk.balanced(none, e.limit(0))[1] == [0.0]
+
+
 def test_what_passes_is_deleted(spark):
     with paths.passing(spark) as made:
         first = paths.staged(spark.range(3), "first")

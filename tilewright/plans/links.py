@@ -175,3 +175,66 @@ def rebalanced(transfers: DataFrame, edges: DataFrame, rounds: int = 4, penalty:
         moved = pairs.join(direct, ["dest", "src"]).join(best, ["dest", "src"], "left")
         pairs = staged(moved.select("dest", "src", "bytes", F.when(F.col("via").isNull() & (F.col("b.e") < (1 - penalty) * F.col("eta")), F.col("b.u").cast("int")).otherwise(F.col("via")).alias("via")), "pairs")
     return pairs
+
+
+def one_hop_paths(edges: DataFrame) -> DataFrame:
+    """``(dest, src, via, links)``: each link as a path with a null ``via``, and each way over one unit between; ``links`` are its ``(dest, src)``."""
+    e = edges.where("dest <> src AND bw > 0").select("dest", "src")
+    direct = e.select("dest", "src", F.lit(None).cast("int").alias("via"), F.array(F.struct("dest", "src")).alias("links"))
+    first, second = e.select(F.col("dest").alias("u"), "src"), e.select("dest", F.col("src").alias("u"))
+    hops = F.array(F.struct(F.col("u").alias("dest"), "src"), F.struct("dest", F.col("u").alias("src")))
+    return direct.unionByName(first.join(second, "u").where("src <> dest").select("dest", "src", F.col("u").cast("int").alias("via"), hops.alias("links")))
+
+
+def balanced(transfers: DataFrame, edges: DataFrame, rounds: int = 12, tolerance: float = 1e-3, mean_weight: float = 1.0) -> tuple[DataFrame, list[float]]:
+    """``(dest, src, bytes, via, share)``: how each pair's bytes are best split over its own link and detours; and the objective by round.
+
+    The objective is the variance of the links' times to completion plus ``mean_weight`` times their squared mean, a convex
+    quadratic of the flows. Each round sends every pair over the path of least marginal cost (of equal ones its own link, then the
+    smallest ``via``) and goes as far towards that as the quadratic falls: it never rises. It ends when what a round could still win
+    is under ``tolerance`` of it, or after ``rounds``. ``edges``: ``(dest, src, bw)``, those with a positive ``bw`` carry; a pair that
+    no path joins has a null ``share``. Rows within a unit are left out. Transfers are added up once; what each round writes is a row
+    a pair and a row a link, and one row of sums comes to the driver.
+    """
+    pairs = transfers.where("dest <> src AND bytes IS NOT NULL").groupBy("dest", "src").agg(F.sum("bytes").alias("bytes"))
+    pairs, paths = staged(pairs, "pairs"), staged(one_hop_paths(edges), "paths")
+    bw = staged(edges.where("dest <> src AND bw > 0").select("dest", "src", "bw"), "edges")
+    first = F.min(F.struct(F.col("cost"), F.coalesce("via", F.lit(-(1 << 30))).alias("o"), "via", "links")).alias("b")
+    own_first = F.when(F.col("via").isNull(), 0.0).otherwise(1.0)
+    taken = lambda costs: staged(pairs.join(costs.groupBy("dest", "src").agg(first), ["dest", "src"]).select("dest", "src", "bytes", "b.via", "b.links"), "choice")
+
+    def etas(choice: DataFrame) -> DataFrame:
+        flow = choice.select("bytes", F.explode("links").alias("l")).groupBy("l.dest", "l.src").agg(F.sum("bytes").alias("f"))
+        return bw.join(flow, ["dest", "src"], "left").select("dest", "src", "bw", (F.coalesce("f", F.lit(0)) / (F.col("bw") * 1e9)).alias("to"))
+
+    choices = [taken(paths.withColumn("cost", own_first))]
+    state = staged(etas(choices[0]).withColumnRenamed("to", "eta"), "etas")
+    value = lambda var, mean: var + mean_weight * mean * mean
+    now = state.agg(F.var_pop("eta").alias("v"), F.avg("eta").alias("m")).first()
+    steps, objective = [], [value(now.v or 0.0, now.m or 0.0)]
+    for _ in range(rounds if now.m else 0):
+        marginal = state.select("dest", "src", ((F.col("eta") - (1 - mean_weight) * now.m) / F.col("bw")).alias("c"))
+        each = paths.select("dest", "src", "via", "links", F.explode("links").alias("l"))
+        met = each.join(marginal.select(F.col("dest").alias("_d"), F.col("src").alias("_s"), "c"), (F.col("l.dest") == F.col("_d")) & (F.col("l.src") == F.col("_s")))
+        choice = taken(met.groupBy("dest", "src", "via", "links").agg(F.sum("c").alias("cost")))
+        toward = staged(state.join(etas(choice).drop("bw"), ["dest", "src"]).withColumn("way", F.col("to") - F.col("eta")), "toward")
+        x = toward.agg(F.covar_pop("eta", "way").alias("c"), F.var_pop("way").alias("v"), F.avg("way").alias("w")).first()
+        slope, bend = x.c + mean_weight * now.m * x.w, value(x.v, x.w)
+        if bend <= 0 or -2 * slope <= tolerance * objective[-1]:
+            break
+        step = min(1.0, -slope / bend)
+        steps.append(step)
+        choices.append(choice)
+        state = toward.select("dest", "src", "bw", (F.col("eta") + step * F.col("way")).alias("eta"))
+        now = state.agg(F.var_pop("eta").alias("v"), F.avg("eta").alias("m")).first()
+        objective.append(value(now.v, now.m))
+    weights, left = [], 1.0
+    for step in reversed(steps):
+        weights.insert(0, left * step)
+        left *= 1 - step
+    shares = None
+    for w, choice in zip([left, *weights], choices):
+        part = choice.select("dest", "src", "via", F.lit(w).alias("share"))
+        shares = part if shares is None else shares.unionByName(part)
+    shares = shares.groupBy("dest", "src", "via").agg(F.sum("share").alias("share")).where("share > 0")
+    return pairs.join(shares, ["dest", "src"], "left").select("dest", "src", "bytes", "via", "share"), objective

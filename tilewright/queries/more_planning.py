@@ -79,6 +79,19 @@ def lm8_rebalanced(spark, sf):
     return lk.rebalanced(t, pl.edge(spark, sf))
 
 
+@query("lm8_balanced_flows", f"WITH {pl.LINK_SQL}, {TRACE_SQL}, e AS (SELECT dest, src FROM edge WHERE dest <> src AND bw > 0) SELECT t.dest, t.src, sum(t.bytes)::BIGINT AS bytes, TRUE AS kept, TRUE AS on_links, TRUE AS fell FROM trace t WHERE t.dest <> t.src AND EXISTS (SELECT 1 FROM e WHERE e.dest = t.dest AND e.src = t.src) GROUP BY ALL")
+def lm8_balanced_flows(spark, sf):
+    """Each pair of the trace that a link joins, balanced over all links: whether its flows add up, go over links, and the objective fell in every round."""
+    links = pl.edge(spark, sf).select("dest", "src", "bw")
+    moved = trace(spark, sf).select("dest", "src", "bytes").join(links.select("dest", "src"), ["dest", "src"], "left_semi")
+    flows, objective = lk.balanced(moved, links, rounds=6)
+    known = lk.one_hop_paths(links).select("dest", "src", F.coalesce("via", F.lit(-9)).alias("over"), F.lit(True).alias("known"))
+    met = flows.withColumn("over", F.coalesce("via", F.lit(-9))).join(known, ["dest", "src", "over"], "left")
+    whole = F.abs(F.sum("share") - 1) < 1e-9
+    fell = all(b <= a * (1 + 1e-12) for a, b in zip(objective, objective[1:]))
+    return met.groupBy("dest", "src", "bytes").agg(whole.alias("kept"), F.every(F.coalesce("known", F.lit(False))).alias("on_links"), F.lit(fell).alias("fell"))
+
+
 @query("jn2_reuse_join", f"""WITH {LOG_SQL}, p AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, imp, round((2.0::DOUBLE * M * N * K / 7e12 + 8.0::DOUBLE * M * K / 13e9) / dev_num + CASE imp WHEN 'N' THEN seq % 2 * 1e-3::DOUBLE ELSE 0 END, 9) AS streams, timer FROM log),
 a AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams, min(timer) AS reuse FROM p WHERE imp = 'A' GROUP BY ALL), b AS (SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams, min(timer) AS no_reuse FROM p WHERE imp = 'N' GROUP BY ALL)
 SELECT M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams, reuse, no_reuse FROM a JOIN b USING (M, N, K, T, a_loc, b_loc, c_loc, dev_num, streams)""")
