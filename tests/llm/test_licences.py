@@ -102,3 +102,42 @@ def test_unknown_is_calibrated(spark):
     got = {r.id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner=scanner).collect()}
     assert sum(got[k] == [f] for k, (f, _) in enumerate(held)) >= 13
     assert sum(bool(got[100 + k]) for k in range(len(licences.HELD_OUT_PROSE))) <= 1
+
+
+def test_features_only_around_anchors_are_all_features(spark):
+    """Grams around a template's words hold every feature that all grams hold; comparison with templates sees the same in those that are shared."""
+    import random
+
+    rng = random.Random(11)
+    known = sorted({w for g in licences.vocabulary() for w in g.split()})
+    texts = ["", " ", "license", "of the", "the license", "MIT", "a.b. mit. ..x"] + [" ".join(rng.choice(known if rng.random() < 0.8 else ["dog", "haus", "z"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    texts += [t for ts in licences.templates().values() for t in ts][::7]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("words", licences.tokens(F.col("text")))
+    all_templates = [t for ts in licences.templates().values() for t in ts]
+    each = df.select("words", licences.grams(F.col("words")).alias("g"), licences.anchored(F.col("words"), licences.anchors()).alias("a"))
+    compared = lambda c, wrapped: licences.resemblance(all_templates, c, F.lit(wrapped))
+    each = each.withColumn("met", licences.shared(all_templates, F.col("g"))).select("*", *(compared(F.col(c), w).alias(f"{c}{w}") for c in ("g", "met") for w in (True, False)))
+    features = set(licences.vocabulary())
+    for r in each.collect():
+        assert set(r.g) & features == set(r.a) & features, r.words
+        assert (r["gTrue"], r["gFalse"]) == (r["metTrue"], r["metFalse"])
+
+
+def test_paragraphs_have_their_lines_words(spark):
+    """A paragraph's words are those of its text as a whole: nothing goes over a line's end."""
+    texts = ["one. two..\n.three MIT-\nlicence v2.0.\n2.", "Σας\nMIT ΣΑΣ\n'x' Σ.\nΣ mit", "mit\r\nx\ty\n\x0b\nmit", "mit"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = docs.select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", licences.BLANK)).alias("para", "text")).select("id", "para", licences.tokens(F.col("text")).alias("w"))
+    want = {(r.id, r.para): r.w for r in whole.collect() if "mit" in r.w}
+    got = {(r.id, r.para): r.words for r in licences.candidates(docs, "doc_id", "text", ["mit"]).where("part = 0").collect()}
+    assert got == want and len(want) >= 4
+
+
+def test_every_held_out_notice_is_found(spark):
+    """Wordings that the classifier isn't fitted on, and sentences of licence words that are none."""
+    notices = [(f, x) for f, xs in licences.HELD_OUT.items() for x in xs]
+    rows = [(i, x) for i, (_, x) in enumerate(notices)] + [(100 + i, x) for i, x in enumerate(licences.HELD_OUT_PROSE)]
+    plain = spark.createDataFrame([(i, f"On day {i} nothing of note was seen near the river, and the boats lay still.\nLine {i * 7}.") for i in range(200)], "doc_id long, text string")
+    got = {r.id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner=licences.train(plain)).collect()}
+    assert sum(got[i] == [f] for i, (f, _) in enumerate(notices)) >= 16
+    assert sum(bool(got[100 + i]) for i in range(len(licences.HELD_OUT_PROSE))) <= 1

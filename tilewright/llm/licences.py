@@ -225,7 +225,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, words: list[str]) ->
     cut = once(blocks, "lines", F.transform(F.split("text", "\n"), tokens)).where(F.exists("lines", known))
     several = F.size("lines") > 1
     parts = F.when(several, F.concat(F.array(F.flatten("lines")), F.col("lines"))).otherwise(F.col("lines"))
-    each = cut.select("id", "para", several.alias("several"), F.posexplode(parts).alias("part", "words"))
+    # both made before the rows: a row for each line must not hold all lines
+    each = cut.select("id", "para", several.alias("several"), parts.alias("parts")).select("id", "para", "several", F.posexplode("parts").alias("part", "words"))
     return each.where(known(F.col("words"))).select("id", "para", "part", (F.col("several") & (F.col("part") == 0)).alias("wrapped"), "words")
 
 
