@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def case_sensitive(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which ``T`` and ``t`` are two columns, also where a result is written; ``spark`` stays as it is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.caseSensitive", "true")
+    return own
+
+
 def r(column: Column | str, digits: int = 6) -> Column:
     """Rounded, so that sums in any order agree; no negative zero."""
     return F.round(column, digits) + F.lit(0.0)

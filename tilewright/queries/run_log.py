@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import metrics as mt
 from tilewright.functions import student as st
 from tilewright.operators import ordering as od
-from tilewright.queries.registry import query, r, table
+from tilewright.queries.registry import case_sensitive, query, r, table
 
 LOG_SQL = """log AS (SELECT l_orderkey AS seq, 512 * (1 + l_partkey % 4) AS T, (1 + l_linenumber % 4)::INT AS dev_num,
   2048 * (1 + l_suppkey % 5) AS M, 2048 * (1 + l_suppkey % 5) AS N, 2048 * (1 + l_partkey % 5) AS K,
@@ -260,8 +260,8 @@ def jn5_ratio_to_baseline(spark, sf):
 
 @query("set1_concat", f"WITH {LOG_SQL}, x AS (SELECT 'mine' AS imp, T, timer, pred_t FROM log WHERE imp = 'A'), y AS (SELECT 'other' AS imp, T, timer FROM log WHERE imp <> 'A'), u AS (SELECT * FROM x UNION ALL BY NAME SELECT * FROM y) SELECT imp, T, count(*) AS n, count(pred_t) AS n_pred, round(sum(timer), 4) + 0.0 AS t FROM u GROUP BY ALL")
 def set1_concat(spark, sf):
-    """A bag union of implementations with different columns."""
-    df = log(spark, sf)
+    """A bag union of implementations with different columns. The SQL's columns ``T`` and ``t`` differ by case only."""
+    df = log(case_sensitive(spark), sf)
     x = df.where("imp = 'A'").select(F.lit("mine").alias("imp"), "T", "timer", "pred_t")
     y = df.where("imp <> 'A'").select(F.lit("other").alias("imp"), "T", "timer")
     return x.unionByName(y, allowMissingColumns=True).groupBy("imp", "T").agg(F.count("*").alias("n"), F.count("pred_t").alias("n_pred"), r(F.sum("timer"), 4).alias("t"))
