@@ -105,11 +105,13 @@ def allowed_tiles(level: int, min_t: Column, *dims: Column) -> tuple[Column, Col
     return (min_t if level == 1 else F.greatest(min_t, F.lit(1024))), F.least(*dims) if len(dims) > 1 else dims[0]
 
 
-def stream_bytes(policy: str, sizes: Column, remote: Column) -> Column:
-    """Bytes that the streams model counts: ``all`` operands or only ``remote`` ones."""
+def stream_bytes(policy: str, sizes: Column, remote: Column, tile_bytes: Column) -> Column:
+    """Bytes that the streams model counts: ``all`` operands, only ``remote`` ones, or all in whole ``tile`` s of ``tile_bytes``."""
     add = lambda a, x: a + x
     if policy == "all":
         return F.aggregate(sizes, F.lit(0).cast("long"), add)
     if policy == "remote":
         return F.aggregate(F.zip_with(sizes, remote, lambda s, f: F.when(f, s).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), add)
+    if policy == "tile":
+        return F.aggregate(F.transform(sizes, lambda s: F.ceil(s / tile_bytes).cast("long") * tile_bytes), F.lit(0).cast("long"), add)
     raise ValueError(f"there is no byte policy {policy!r}")

@@ -20,13 +20,13 @@ from tilewright.sources.paths import scratch
 
 
 
-@query("cm22_stream_bytes", f"WITH {pl.PROB_SQL}, s AS (SELECT pid, [8 * D1 * D3, 8 * D3 * D2, 8 * D1 * D2] AS s, [loc_a > 0, loc_b > 0, loc_c > 0] AS f FROM prob) SELECT pid, list_sum(s)::BIGINT AS all_, list_sum([CASE WHEN f[1] THEN s[1] ELSE 0 END, CASE WHEN f[2] THEN s[2] ELSE 0 END, CASE WHEN f[3] THEN s[3] ELSE 0 END])::BIGINT AS remote FROM s")
+@query("cm22_stream_bytes", f"WITH {pl.PROB_SQL}, s AS (SELECT pid, [8 * D1 * D3, 8 * D3 * D2, 8 * D1 * D2] AS s, [loc_a > 0, loc_b > 0, loc_c > 0] AS f FROM prob) SELECT pid, list_sum(s)::BIGINT AS all_, list_sum([CASE WHEN f[1] THEN s[1] ELSE 0 END, CASE WHEN f[2] THEN s[2] ELSE 0 END, CASE WHEN f[3] THEN s[3] ELSE 0 END])::BIGINT AS remote, list_sum(list_transform(s, lambda x: ceil(x / 1000000.0)::BIGINT * 1000000))::BIGINT AS tiles FROM s")
 def cm22_stream_bytes(spark, sf):
-    """Bytes of the streams model under its two policies of bytes; its third looks tiles up (``cm21_streams``)."""
+    """Bytes of the streams model: all operands, remote ones, all in tiles of a megabyte. With the times of its tile lookup: ``cm21_streams``."""
     sizes = F.array(8 * F.col("D1") * F.col("D3"), 8 * F.col("D3") * F.col("D2"), 8 * F.col("D1") * F.col("D2"))
     remote = F.array(F.col("loc_a") > 0, F.col("loc_b") > 0, F.col("loc_c") > 0)
-    one = lambda policy: cm.stream_bytes(policy, sizes, remote)
-    return pl.problems(spark, sf).select("pid", one("all").alias("all_"), one("remote").alias("remote"))
+    one = lambda policy: cm.stream_bytes(policy, sizes, remote, F.lit(1000000))
+    return pl.problems(spark, sf).select("pid", one("all").alias("all_"), one("remote").alias("remote"), one("tile").alias("tiles"))
 
 
 @query("cm29_task_counts", f"WITH {pl.PROB_SQL} SELECT pid, ceil(D1::DOUBLE / T_in)::BIGINT AS level1, ceil(D1::DOUBLE / T_in)::BIGINT * ceil(D2::DOUBLE / T_in)::BIGINT AS level2, ceil(D1::DOUBLE / T_in)::BIGINT * ceil(D2::DOUBLE / T_in)::BIGINT * ceil(D3::DOUBLE / T_in)::BIGINT AS level3, 256 AS low1, 1024 AS low3, least(D1, D2, D3) AS high FROM prob")
