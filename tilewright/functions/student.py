@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.ordering import running
+from tilewright.sources.paths import small_side, staged
 
 #: A run stops after more than so many samples, once the interval's half-width is so much of the mean.
 LEAST_SAMPLES, SHARE, ALPHA = 10, 0.05, 0.05
@@ -79,23 +80,41 @@ def error_margins(df: DataFrame, by: list[str], value: str, alpha: float = ALPHA
     return seen.select(*by, "n", F.try_divide(student(F.col("n") - 1, alpha) * F.col("_sd") / F.sqrt("n"), F.col("_mean")).alias("margin"))
 
 
+def bounds(freedom: Column, alpha: float = ALPHA) -> tuple[Column, Column]:
+    """Columns of a value below each degree's quantile and of one above, those of the powers of two around it; null below 1."""
+    powers = F.array(*(F.lit(quantile(1 << k, alpha)) for k in range(53)))
+    place = F.floor(F.log2(freedom.cast("double"))).cast("int") + 1
+    # a rounded logarithm may be one off where the two powers' quantiles are equal to all digits but the last ones
+    at = lambda k: F.when(freedom >= 1, F.element_at(powers, k))
+    return at(place + 1) * (1 - 1e-12), at(place) * (1 + 1e-12)
+
+
 def stopping(df: DataFrame, by: list[str], order: list[str], value: str, share: float = SHARE, least: int = LEAST_SAMPLES, alpha: float = ALPHA, ranges: int | None = None) -> DataFrame:
     """``(*by, samples, n, mean, margin)``: where a run over each group's samples in ``order`` stops.
 
     ``n`` is the first number of samples over ``least`` whose margin is at most ``share``, with the mean and margin that these have;
     null where none is. Null samples aren't taken; samples equal in ``order`` come by value. Moments run over ranges of the order, so
     one group may have all samples; they are taken about the group's mean, which keeps their digits.
+
+    A range at whose end a margin is surely small enough is a group's last one that matters. Up to there only samples whose margin two
+    simple bounds leave open, before the first that both allow, need a quantile.
     """
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull()).select(*by, *order, x.alias("_x"))
-    centre = rows.groupBy(*by).agg(F.avg("_x").alias("_c"), F.count("*").alias("samples"))
-    centred = rows.alias("r").join(centre.alias("c"), [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]).select("r.*", "_c", "samples", (F.col("_x") - F.col("_c")).alias("_d"))
-    run = running(centred, by, [*map(F.col, order), F.col("_x")], {"n": F.lit(1).cast("long"), "s": F.col("_d"), "q": F.col("_d") * F.col("_d")}, ranges)
+    centre = staged(rows.groupBy(*by).agg(F.avg("_x").alias("_c"), F.count("*").alias("samples")), "centre")
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
+    centred = rows.alias("r").join(small_side(centre).alias("c"), same("r", "c")).select("r.*", "_c")
     mean = F.col("_c") + F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2.0))))
-    half = run.select(*by, "samples", "n", mean.alias("mean"), F.try_divide(sd / F.sqrt("n"), mean).alias("_m"))
-    # no quantile is below the normal one, so most samples don't need theirs
-    normal = NormalDist().inv_cdf(1 - alpha / 2)
-    near = half.where((F.col("n") > least) & (F.col("_m") * normal <= share)).withColumn("margin", student(F.col("n") - 1, alpha) * F.col("_m"))
-    first = near.where(F.col("margin") <= share).groupBy(*by).agg(F.min(F.struct("n", "mean", "margin")).alias("f"))
-    return centre.alias("c").join(first.alias("f"), [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in by], "left").select(*(F.col(f"c.{k}") for k in by), "samples", "f.f.*")
+    half = F.try_divide(sd / F.sqrt("n"), mean)
+    low, high = bounds(F.col("n") - 1, alpha)
+    stops = lambda t: (F.col("n") > least) & (half * t <= share)
+    d = F.col("_x") - F.col("_c")
+    run = running(centred, [*by, "_c"], [*map(F.col, order), F.col("_x")], {"n": F.lit(1).cast("long"), "s": d, "q": d * d}, ranges, until=stops(high))
+    near = run.where(stops(low)).select(*by, "n", mean.alias("mean"), half.alias("_m"), stops(high).alias("_sure"))
+    sure = staged(near.where("_sure").groupBy(*by).agg(F.min("n").alias("_first")), "sure")
+    tried = near.alias("h").join(small_side(sure).alias("s"), same("h", "s"), "left").where(F.col("_first").isNull() | (F.col("n") <= F.col("_first"))).select("h.*")
+    # written, or the quantile would be asked for before the join leaves samples out
+    tried = staged(tried, "tried").withColumn("margin", student(F.col("n") - 1, alpha) * F.col("_m"))
+    first = tried.where(F.col("margin") <= share).groupBy(*by).agg(F.min(F.struct("n", "mean", "margin")).alias("f"))
+    return centre.alias("c").join(first.alias("f"), same("c", "f"), "left").select(*(F.col(f"c.{k}") for k in by), "samples", "f.f.*")

@@ -57,14 +57,22 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     return met.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before", RANGE)
 
 
-def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
-    """``df`` with running sums, each row's own value included, in ``order`` within its group; values are doubles or longs, null counts nothing."""
-    _free(df, RANGE, "_r", *(f"_{c}" for c in by), *(f"_{n}" for n in sums), *sums)
+def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], ranges: int | None = None, until: Column | None = None) -> DataFrame:
+    """``df`` with running sums, each row's own value included, in ``order`` within its group; values are doubles or longs, null counts nothing.
+
+    ``until``, a condition on the sums and ``by``, leaves a group's rows out that come in ranges after the first at whose end it holds.
+    """
+    _free(df, RANGE, "_r", "_done", *(f"_{c}" for c in by), *(f"_{n}" for n in sums), *sums)
     rows = ranged(df, by, order, ranges)
-    totals = rows.groupBy(RANGE, *by).agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
-    carried = totals.select(*_keys(by), *(F.sum(f"_{n}").over(_earlier(by)).alias(f"_{n}") for n in sums))
+    totals = rows.groupBy(RANGE, *by).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    before = totals.select(*by, RANGE, *(F.sum(n).over(_earlier(by)).alias(n) for n in sums))
+    if until is not None:
+        so_far = W.partitionBy(*by).orderBy(RANGE).rowsBetween(W.unboundedPreceding, 0)
+        before = before.withColumn("_done", F.max(F.coalesce(until, F.lit(False))).over(so_far)).where("NOT _done")
+    carried = before.select(*_keys(by), *(F.col(n).alias(f"_{n}") for n in sums))
     own = W.partitionBy(RANGE, *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    met = _met(rows.withColumns({n: F.sum(c).over(own) for n, c in sums.items()}), carried, by)
+    # joined before the window, so that what is left out isn't sorted
+    met = _met(rows, carried, by).withColumns({n: F.sum(c).over(own) for n, c in sums.items()})
     return met.withColumns({n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_{n}"), F.lit(0)) for n in sums}).drop(*(f"_{n}" for n in sums), RANGE)
 
 
