@@ -12,3 +12,12 @@ def test_stream_bytes_have_three_policies(spark, sf_dir):
         sizes = [8 * p.D1 * p.D3, 8 * p.D3 * p.D2, 8 * p.D1 * p.D2]
         far = [loc > 0 for loc in (p.loc_a, p.loc_b, p.loc_c)]
         assert got[p.pid] == (sum(sizes), sum(s for s, f in zip(sizes, far) if f), sum(-(-s // 10**6) * 10**6 for s in sizes))
+
+
+def exchanges_by_pid(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and "pid" in line]
+
+
+def test_orders_of_a_problem_stay_in_its_row(spark, sf_dir):
+    (one,) = exchanges_by_pid(QUERIES["cm23_best_reuse_transfer"](spark, sf_dir))
+    assert "REPARTITION_BY_NUM" in one
