@@ -21,3 +21,8 @@ def exchanges_by_pid(df):
 def test_orders_of_a_problem_stay_in_its_row(spark, sf_dir):
     (one,) = exchanges_by_pid(QUERIES["cm23_best_reuse_transfer"](spark, sf_dir))
     assert "REPARTITION_BY_NUM" in one
+
+
+def test_tiles_of_a_problem_meet_in_its_task(spark, sf_dir):
+    (one,) = exchanges_by_pid(QUERIES["tn3_best_benchmarked"](spark, sf_dir))
+    assert "REPARTITION_BY_NUM" in one

@@ -75,10 +75,15 @@ def best_benchmarked_tile(predictions: DataFrame, digits: int = 12) -> DataFrame
 
     A prediction below zero has failed and isn't taken. Times are equal if they are so to ``digits`` places.
     """
-    m = predictions.where("sec >= 0").groupBy("pid").agg(F.min(F.struct(F.round("sec", digits).alias("sec"), "T")).alias("m"))
+    m = predictions.where("sec >= 0").groupBy("pid").agg(first_of_best("sec", digits).alias("m"))
     return m.select("pid", "m.T", "m.sec")
 
 
+def first_of_best(sec: str, digits: int = 12) -> Column:
+    """An aggregate ``(sec, T)``: the least of the times in column ``sec`` that aren't below zero, to ``digits`` places, and the smallest T that has it."""
+    return F.min(F.when(F.col(sec) >= 0, F.struct(F.round(sec, digits).alias("sec"), "T")))
+
+
 def device_subsets(spark, units: int, most: int | None = None) -> DataFrame:
     """``(case, units)``: every non-empty subset, as the bits of its number."""
     cases = spark.range(1, 1 << units).select(F.col("id").alias("case"))

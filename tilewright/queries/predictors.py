@@ -354,11 +354,8 @@ def tn3_best_benchmarked(spark, sf):
     """The benchmarked tile of least predicted time, by the location-aware and by the reuse model; of equal ones the first."""
     locs = [(F.col(f"loc_{x}") - 1).alias(f"loc_{x}") for x in "abc"]
     tiles = F.broadcast(lookup(spark).select(F.col("T").alias("bench")))
-    each = problems(spark, sf).join(tiles, F.col("bench") <= F.least("D1", "D2", "D3"))
-    each = each.select((F.col("pid") * 100 + F.expr("bench div 256")).alias("pid"), "unit", "D1", "D2", "D3", F.col("bench").alias("T"), *locs)
+    each = by_problem(problems(spark, sf)).join(tiles, F.col("bench") <= F.least("D1", "D2", "D3")).select("pid", "unit", "D1", "D2", "D3", F.col("bench").alias("T"), *locs)
     at = pr.with_tile_transfers(pr.prepared(each, unit_lookup(spark), links(spark, sf)), "gemm", UNITS)
-    timed = at.select(F.expr("pid div 100").alias("pid"), "T", F.explode(F.array(F.struct(F.lit("aware").alias("model"), pr.steady("gemm", True).alias("sec")), F.struct(F.lit("reuse").alias("model"), pr.reuse().alias("sec")))).alias("m")).select("T", F.struct("pid", "m.model").alias("pid"), "m.sec")
-    best = tn.best_benchmarked_tile(timed, 10)
-    one = lambda model: F.when(F.col("pid.model") == model, F.struct("T", "sec"))
-    both = best.groupBy(F.col("pid.pid").alias("pid")).agg(F.max(one("aware")).alias("a"), F.max(one("reuse")).alias("b"))
+    timed = at.select("pid", "T", pr.steady("gemm", True).alias("aware"), pr.reuse().alias("reuse"))
+    both = timed.groupBy("pid").agg(tn.first_of_best("aware", 10).alias("a"), tn.first_of_best("reuse", 10).alias("b"))
     return both.select("pid", F.col("a.T").alias("T_aware"), us(F.col("a.sec")).alias("aware_us"), F.col("b.T").alias("T_reuse"), us(F.col("b.sec")).alias("reuse_us"))
