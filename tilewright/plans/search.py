@@ -2,8 +2,8 @@
 
 Every problem is a row, and every subset of units a case with its own link map. A case's split is a fixed point
 of a few rounds; the cases are then taken in order, each against the best so far: state that SQL operators
-don't carry. So batches of problems go through NumPy, all problems of a batch at a time, and nothing is
-shuffled after the tile sizes are joined. What the tasks get of cases and lookups is bounded by the number of units.
+don't carry. So batches of problems go through NumPy, all problems of a batch at a time. Problems that are equal in
+dimensions, locations and target are searched for once; the answers are joined to all of them. What the tasks get of cases and lookups is bounded by the number of units.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tilewright.plans import tuner as tn
 from tilewright.plans.links import shared_links
+from tilewright.sources.paths import small_side, staged
 
 TARGETS = ("PERF", "ENERGY", "POWER-DELAY", "ENERGY-DELAY", "PERF-PER-J")
 #: Subsets of at most so many units are listed.
@@ -191,13 +192,16 @@ _FOUND = "case long, T long, n int, scores array<double>, sec double, joules dou
 
 def _searched(problems: DataFrame, listed: list[Case], most: int, rounds: int, even: bool) -> DataFrame:
     """The accepted case of each problem, cases taken in order; those whose split drops a unit count only if there is no choice."""
+    columns = ["D1", "D2", "D3", "loc_a", "loc_b", "loc_c"]
+    # equal problems have equal answers: each is searched for once, and by many tasks however few bytes they are
+    kinds = staged(problems.select(*columns, "target").distinct(), "problem_kinds")
     numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(most).cast("long"))).alias("units")
-    shapes = problems.select("D1", "D2", "D3").distinct().select("*", numbers)
+    shapes = kinds.select("D1", "D2", "D3").distinct().select("*", numbers)
     tiles = tn.best_tile(shapes.withColumn("pid", F.struct("D1", "D2", "D3", "units")))
     ordered = F.array_sort(F.collect_list(F.struct("pid.units", "T", "slowdown")))
     by_shape = tiles.groupBy("pid.D1", "pid.D2", "pid.D3").agg(ordered.alias("l")).select("D1", "D2", "D3", F.transform("l", lambda x: x["T"]).alias("tile"), F.transform("l", lambda x: x["slowdown"]).alias("slow"))
-    columns = ["D1", "D2", "D3", "loc_a", "loc_b", "loc_c"]
-    df = problems.join(by_shape, ["D1", "D2", "D3"]).select("pid", *columns, "target", "tile", "slow")
+    tasks = int(problems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = kinds.join(by_shape, ["D1", "D2", "D3"]).repartition(tasks, *columns, "target").select(F.struct(*columns, "target").alias("kind"), *columns, "target", "tile", "slow")
     alone = len(listed) == 1
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +229,12 @@ def _searched(problems: DataFrame, listed: list[Case], most: int, rounds: int, e
                     scores[k] = x["scores"][k]
                 case[takes], kept_tile[takes] = c.number, tile[takes, n - 1]
                 found |= takes
-            out = [batch.column("pid"), case, kept_tile, best["n"].astype(np.int32), pa.array(scores, pa.list_(pa.float64())), *(best[k] for k in ("t", "j", "pdp", "edp"))]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["pid", *(c.split()[0] for c in _FOUND.split(", "))]).filter(pa.array(found))
+            out = [batch.column("kind"), case, kept_tile, best["n"].astype(np.int32), pa.array(scores, pa.list_(pa.float64())), *(best[k] for k in ("t", "j", "pdp", "edp"))]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out], ["kind", *(c.split()[0] for c in _FOUND.split(", "))]).filter(pa.array(found))
 
-    return df.mapInArrow(search, f"pid {dict(problems.dtypes)['pid']}, {_FOUND}")
+    found = staged(df.mapInArrow(search, f"kind {dict(df.dtypes)['kind']}, {_FOUND}"), "problem_answers")
+    met = problems.join(small_side(found), [problems[c] == F.col(f"kind.{c}") for c in (*columns, "target")])
+    return met.select("pid", *(c.split()[0] for c in _FOUND.split(", ")))
 
 
 def best_subset(problems: DataFrame, weights: DataFrame, lookup: DataFrame, units: int, most: int | None = None) -> DataFrame:
